@@ -38,7 +38,8 @@ def text_key() -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """``cid, dk, doc_id, path, start, end, value, before, after`` for each candidate of
     ``docs(doc_id, text, source)``; places in code points, ends exclusive."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"))
+    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path"))
     rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("dk", text_key()).withColumn("row", F.monotonically_increasing_id())
     found = rows.select("row", "dk", "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("m"), F.split("text", CANDIDATE, -1).alias("p"))
     each = found.select("row", "dk", "doc_id", "path", F.posexplode(F.arrays_zip("m", F.slice("p", 1, F.size("m")).alias("b"), F.slice("p", 2, F.size("m")).alias("a"))).alias("i", "x"))
