@@ -11,8 +11,9 @@
    the first; each round is a stable split of the suffix order by symbol (the collection's
    Burrows-Wheeler column) and an update of common prefixes from those of the round
    before. A start whose suffix shares ``length`` bytes with a neighbour is repeated.
-   Collections with over ``WIDE`` members are spread instead: every start's string hash is
-   counted by Spark, so no group is ever gathered in one task.
+   Collections with over ``WIDE`` members are spread instead: Spark counts hashes of
+   blocks of neighbouring starts, and of single starts where a block is in doubt, so no
+   group is ever gathered in one task.
 4. Ranges go back to their documents, where bytes are removed.
 """
 
@@ -31,6 +32,8 @@ from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, mix, slices,
 GRAM = 24
 #: Members up to which a collection is compared by columns in one task.
 WIDE = 120
+#: Neighbouring starts in a block of a spread collection.
+BLOCK = 8
 #: Collections compared together; bounds a task's memory.
 COLUMN_BYTES = 8 << 20
 
@@ -158,6 +161,8 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     for batch in batches:
         for r in zip(*[batch.column(c).to_pylist() for c in ("gram", "dk", "at", "n", "bytes", "off")]):
+            if rows and r[:3] == rows[-1][:3]:
+                continue  # from a repeated row of the table
             if rows and held > COLUMN_BYTES and r[0] != rows[-1][0]:
                 yield done(rows)
                 rows, held = [], 0
@@ -183,41 +188,80 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "dk", "at", "n", "bytes", "off", "members"])
 
 
-def _string_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Hash of every start's string, for collections that are spread."""
+BLOCKS = "gram long, block int, region long, whole long, part boolean, dk long, at int, n int, near array<long>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of starts of spread collections. ``region`` hashes the bytes that all strings
+    of a block have, ``whole`` the bytes of a whole block, ``near`` each string."""
     for batch in batches:
-        data, offsets = as_bytes(pa.array(batch.column("bytes"), pa.binary()))
+        data, offsets = as_bytes(batch.column("bytes"))
         sub = SubstringHash(data, SYMBOLS)
-        n = batch.column("n").to_numpy().astype(np.int64)
+        n, off = batch.column("n").to_numpy().astype(np.int64), batch.column("off").to_numpy().astype(np.int64)
+        member = np.repeat(np.arange(len(n)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s = np.repeat(offsets[:-1], n) + k
-        names = ["gram", "h", "dk", "at"]
+        start, far = offsets[member] + k, off[member] - k  # far: bytes to the k-gram
+        block = far // BLOCK
+        near = sub.of(start, start + length).view(np.int64)
+        new = np.ones(len(k), bool)
+        new[1:] = (member[1:] != member[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(k)))
+        gram_at = offsets[member] + off[member]
+        lo = (gram_at - block * BLOCK)[first]
+        hi = (gram_at + length - (block * BLOCK + BLOCK - 1))[first]
+        region = sub.of(lo, hi).view(np.int64)
+        whole = sub.of(start[first], start[first] + size - 1 + length).view(np.int64)
+        of = member[first]
+        values = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)).astype(np.int32)), pa.array(near))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column("gram").to_numpy(), n)), pa.array(sub.of(s, s + length).view(np.int64)), pa.array(np.repeat(batch.column("dk").to_numpy(), n)), pa.array((np.repeat(batch.column("at").to_numpy(), n) + k).astype(np.int32))],
-            names,
+            [batch.column("gram").take(pa.array(of)), pa.array(block[first].astype(np.int32)), pa.array(region), pa.array(whole), pa.array(size < BLOCK), batch.column("dk").take(pa.array(of)), pa.array((batch.column("at").to_numpy()[of] + k[first]).astype(np.int32)), pa.array(size.astype(np.int32)), values],
+            ["gram", "block", "region", "whole", "part", "dk", "at", "n", "near"],
         )
 
 
+def _spread_ranges(texts: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges inside collections too wide for one task."""
+    spark = texts.sparkSession
+    blocks = stored(spark, texts.mapInArrow(lambda it: _blocks(it, length), BLOCKS), "blocks")
+    # blocks cut short by the end of a run are compared start by start
+    whole = F.when(F.col("part"), F.xxhash64("dk", "at")).otherwise(F.col("whole"))
+    blocks = blocks.withColumn("whole", whole)
+    key = ["gram", "block", "region"]
+    kinds = blocks.groupBy(*key, "whole").agg(F.count("*").alias("times"), F.min(F.struct("dk", "at", "n", "near")).alias("one"))
+    kinds = stored(spark, kinds, "block-kinds")
+    span = [F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi")]
+    sure = blocks.join(kinds.filter("times > 1").select(*key, "whole"), [*key, "whole"], "left_semi").select("dk", *span)
+    mixed = kinds.groupBy(*key).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    doubt = kinds.join(mixed, key).select("gram", "block", "times", "one.*").select("gram", "block", "times", "dk", "at", F.posexplode("near").alias("k", "h"))
+    doubt = stored(spark, doubt, "starts-in-doubt")
+    twice = doubt.groupBy("gram", "h").agg(F.count("*").alias("seen")).filter("seen > 1")
+    single = doubt.filter("times = 1").join(twice.select("gram", "h"), ["gram", "h"], "left_semi")
+    single = single.select("dk", (F.col("at") + F.col("k")).alias("lo"), (F.col("at") + F.col("k") + length).alias("hi"))
+    return sure.union(single)
+
+
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """``dk, lo, hi``: byte ranges covered by repeated strings, for each distinct text.
     ``docs(dk, text)`` is read twice; ``dk`` numbers texts (see ``keyed``)."""
     spark = docs.sparkSession
     runs = stored(spark, docs.mapInArrow(lambda it: _runs(it, length), RUNS), "runs")
+    # most k-grams occur once; what follows is about the others
+    shared = runs.groupBy("gram").agg(F.count("*").alias("runs")).filter("runs > 1")
+    runs = stored(spark, runs.join(shared.select("gram"), "gram", "left_semi"), "shared-runs")
     kinds = runs.groupBy("gram", "run").agg(F.count("*").alias("times"), F.min(F.struct("dk", "at", "n", "off")).alias("one"))
     kinds = stored(spark, kinds, "run-kinds")
-    whole = runs.join(kinds.filter("times > 1").select("gram", "run"), ["gram", "run"]).select("dk", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
+    whole = runs.join(kinds.filter("times > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("dk", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
     asked = kinds.join(mixed, "gram").select("one.*", "gram", "members", (F.col("one.n") - 1 + length).alias("size"))
     asked = asked.groupBy("dk").agg(F.collect_list(F.struct("gram", "at", "n", "size", "off", "members")).alias("runs"))
-    # a text may be in many rows; one of them gives the bytes
+    # a repeated row of the table gives its runs again; both ways below pass over them
     texts = docs.join(asked, "dk").mapInArrow(_cut_out, "gram long, dk long, at int, n int, bytes binary, off int, members long")
-    texts = stored(spark, texts.dropDuplicates(["gram", "dk", "at"]), "run-texts")
+    texts = stored(spark, texts, "run-texts")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = texts.filter(F.col("members") <= WIDE).repartition(tasks, "gram").sortWithinPartitions("gram", "dk", "at")
     small = small.mapInArrow(lambda it: _compare(it, length), "dk long, lo int, hi int")
-    wide = stored(spark, texts.filter(F.col("members") > WIDE).mapInArrow(lambda it: _string_hashes(it, length), "gram long, h long, dk long, at int"), "string-hashes")
-    twice = wide.groupBy("gram", "h").agg(F.count("*").alias("times")).filter("times > 1")
-    spread = wide.join(twice.select("gram", "h"), ["gram", "h"], "left_semi").select("dk", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    spread = _spread_ranges(texts.filter(F.col("members") > WIDE).dropDuplicates(["gram", "dk", "at"]), length)
     return whole.union(small).union(spread)
 
 
