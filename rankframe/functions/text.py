@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Phrases that announce an answer.
@@ -15,6 +17,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased words; everything but letters, digits, ``_`` and space parts them. Null: no words."""
     spaced = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"(?U)[^\w\s]", " ")
@@ -81,10 +88,13 @@ def last_line(text: Column | str) -> Column:
 
 def number(text: Column | str) -> Column:
     """The double a plain number literal stands for, else null (no suffixes; ``_`` only between digits)."""
-    t = F.lower(strip(_c(text)))
-    ok = t.rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$")
-    word = t.rlike(r"^[+-]?(inf|infinity|nan)$")
-    return F.when(ok, F.regexp_replace(t, "_", "").try_cast("double")).when(word, F.regexp_replace(t, "^\\+", "").try_cast("double"))
+
+    def parse(t: Column) -> Column:
+        ok = t.rlike(r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$")
+        word = t.rlike(r"^[+-]?(inf|infinity|nan)$")
+        return F.when(ok, F.regexp_replace(t, "_", "").try_cast("double")).when(word, F.regexp_replace(t, "^\\+", "").try_cast("double"))
+
+    return let(F.lower(strip(_c(text))), parse)
 
 
 def within_eps(pred: Column, truth: Column, ratio: float = 0.04, floor: float = 1e-9) -> Column:

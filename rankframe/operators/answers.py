@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankframe.functions.arithmetic import evaluate, literals
-from rankframe.functions.text import TRIGGERS, after_trigger, last_line, number, strip, strip_think, within_eps
+from rankframe.functions.text import TRIGGERS, after_trigger, last_line, let, number, strip, strip_think, within_eps
 
 #: Calculators whose answers are dates, an age in weeks and days, or integers.
 DATE_IDS, AGE_ID = [13, 68], 69
@@ -123,9 +123,12 @@ def extract_medcalc(text: Column, output_type: Column, calculator: Column) -> Co
 def fraction(text: Column) -> Column:
     """A number, or the value of ``a/b``; null otherwise."""
     pattern = r"^(-?\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$"
-    t = strip(text)
-    part = lambda i: F.regexp_extract(t, pattern, i).try_cast("double")
-    return F.coalesce(number(t), F.when(t.rlike(pattern), F.try_divide(part(1), part(2))))
+
+    def parse(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i).try_cast("double")
+        return F.coalesce(number(t), F.when(t.rlike(pattern), F.try_divide(part(1), part(2))))
+
+    return let(strip(text), parse)
 
 
 def _weeks_days(text: Column) -> Column:
@@ -138,11 +141,14 @@ def score_medcalc(extracted: Column, answer: Column, output_type: Column, calcul
     """By kind of calculator: equal dates, equal (weeks, days), equal rounded integers
     (half to even), or a number inside the limits. Unreadable answers are wrong."""
     day = lambda x: F.try_to_timestamp(strip(x), F.lit("M/d/yyyy"))
-    value = fraction(extracted)
-    whole = F.bround(value) == F.bround(fraction(answer))
-    right = F.when(calculator.isin(DATE_IDS), day(extracted) == day(answer)).when(calculator == AGE_ID, _weeks_days(extracted) == _weeks_days(answer))
-    right = right.when(calculator.isin(INTEGER_IDS) | (output_type == "integer"), whole).otherwise((value >= fraction(low)) & (value <= fraction(high)))
-    return F.coalesce(right, F.lit(False))
+
+    def judge(x: Column) -> Column:
+        value = fraction(x)
+        right = F.when(calculator.isin(DATE_IDS), day(x) == day(answer)).when(calculator == AGE_ID, _weeks_days(x) == _weeks_days(answer))
+        right = right.when(calculator.isin(INTEGER_IDS) | (output_type == "integer"), F.bround(value) == F.bround(fraction(answer)))
+        return right.otherwise(let(value, lambda v: (v >= fraction(low)) & (v <= fraction(high))))
+
+    return F.coalesce(let(extracted, judge), F.lit(False))
 
 
 # ---- champ -------------------------------------------------------------------------------
@@ -169,12 +175,14 @@ def alternative(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    low = F.lower(strip(text))
-    out = None
-    for pattern, to in CANONICAL:
-        hit = F.regexp_extract(low, pattern, 1) if to == "$1" else F.lit(to)
-        out = F.when(low.rlike(pattern), hit) if out is None else out.when(low.rlike(pattern), hit)
-    return out.otherwise(text)
+    def rewrite(low: Column) -> Column:
+        out = None
+        for pattern, to in CANONICAL:
+            hit = F.regexp_extract(low, pattern, 1) if to == "$1" else F.lit(to)
+            out = F.when(low.rlike(pattern), hit) if out is None else out.when(low.rlike(pattern), hit)
+        return out
+
+    return F.coalesce(let(F.lower(strip(text)), rewrite), text)
 
 
 def expression_value(text: Column) -> Column:
@@ -184,8 +192,11 @@ def expression_value(text: Column) -> Column:
 
 
 def _number_match(truth: Column, pred: Column) -> Column:
-    whole = (truth == F.floor(truth)) & (F.abs(truth) < 1e15)
-    return F.when(whole, F.bround(pred) == truth).otherwise(within_eps(pred, truth))
+    def compare(x: Column) -> Column:
+        t, p = x["t"], x["p"]
+        return F.when((t == F.floor(t)) & (F.abs(t) < 1e15), F.bround(p) == t).otherwise(within_eps(p, t))
+
+    return let(F.struct(truth.alias("t"), pred.alias("p")), compare)
 
 
 def score_champ(extracted: Column, answer: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankframe.functions.text import attribute_overlap, occurrences
 from rankframe.operators.dense import dense_topk
+from rankframe.operators.lineage import cut
 from rankframe.operators.ranking import maybe_broadcast, min_max, ranked
 
 #: Defaults of the method: expansion threshold, sentences an entity, hops, passage ratio,
@@ -16,12 +17,12 @@ from rankframe.operators.ranking import maybe_broadcast, min_max, ranked
 THRESHOLD, TOP_SENTENCES, HOPS = 0.5, 1, 2
 PASSAGE_RATIO, NODE_WEIGHT, DAMPING, ATTRIBUTE_BOOST = 1.5, 0.05, 0.5, 0.25
 #: Runs of capitalised words; a stand-in for a named-entity model, which is pluggable.
-ENTITY = r"\b[A-ZÀ-Þ][\p{L}]+(?: [A-ZÀ-Þ][\p{L}]+)*"
+ENTITY = r"(?:^|[^\p{L}])([A-ZÀ-Þ]\p{L}+(?: [A-ZÀ-Þ]\p{L}+)*)"
 
 
 def entities(text: Column | str) -> Column:
     """Distinct entities of a text by the default pattern."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(ENTITY), 0))
+    return F.array_distinct(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(ENTITY), 1))
 
 
 def question_entities(queries: DataFrame) -> DataFrame:
@@ -161,15 +162,14 @@ def attribute_boost(weights: DataFrame, queries: DataFrame, docs: DataFrame, boo
     return rows.select("query_id", "doc_id", (F.col("weight") + NODE_WEIGHT * boost * F.log1p(attribute_overlap("q", "p"))).alias("weight"))
 
 
-def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping: float = DAMPING, every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping: float = DAMPING) -> DataFrame:
     """Personalized PageRank of all queries at once: ``query_id, id, score``.
 
     ``edges(src, dst, weight)`` undirected, ``reset(query_id, id, weight)``; bad or negative
     weights count 0, a query whose weights are all 0 gets no rows. Mass of nodes without
     edges goes back by the reset vector. The error after n rounds is at most damping ** n.
-    Lineage is cut by checkpoints in the shared folder where one is set.
+    Each round is a checkpoint, for a round reads the one before it twice.
     """
-    spark = edges.sparkSession
     both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
     step = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -177,14 +177,12 @@ def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping:
     clean = clean.groupBy("query_id", "id").agg(F.sum("weight").alias("weight"))
     r = clean.withColumn("r", F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).select("query_id", "id", "r").persist(StorageLevel.MEMORY_AND_DISK)
     x = r.select("query_id", "id", F.col("r").alias("x"))
-    has_folder = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.getCheckpointDir() is not None
-    for i in range(1, iterations + 1):
+    for _ in range(iterations):
         moved = x.join(step, x.id == step.src).groupBy("query_id", "dst").agg(F.sum(F.col("x") * F.col("p")).alias("m"))
         kept = moved.groupBy("query_id").agg(F.sum("m").alias("kept"))
         back = r.join(kept, "query_id", "left").select("query_id", "id", ((1 - damping) * F.col("r") + damping * (1 - F.coalesce("kept", F.lit(0.0))) * F.col("r")).alias("x"))
         x = back.union(moved.select("query_id", F.col("dst").alias("id"), (damping * F.col("m")).alias("x"))).groupBy("query_id", "id").agg(F.sum("x").alias("x"))
-        if i % every == 0 and i < iterations and has_folder:
-            x = x.checkpoint()
+        x = cut(x)
     return x.select("query_id", "id", F.col("x").alias("score"))
 
 

@@ -38,16 +38,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain a question's whole text. A first word window narrows the
-    search: pairs share the question's first three tokens in a row."""
-    def starts(toks):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - 2, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, 3), " "))
-
-    q = questions(spark, sf).withColumn("toks", F.filter(T.tokens("text"), lambda x: x != ""))
-    # the first token may be cut inside a word of the document, so begin at the second
-    q = q.select("query_id", F.col("text").alias("q"), F.array_join(F.slice("toks", 2, 3), " ").alias("w"))
-    d = corpus(spark, sf).select("doc_id", "text", F.explode(F.array_distinct(starts(T.tokens("text")))).alias("w"))
-    pairs = d.join(ranking.maybe_broadcast(q), "w").filter(F.col("text").contains(F.col("q")))
+    """Documents that contain a question's whole text."""
+    pairs = metrics.containing(corpus(spark, sf), questions(spark, sf))
     return pairs.select("query_id", F.col("doc_id").alias("pos"), "doc_id")
 
 
@@ -234,7 +226,7 @@ def dense_top3(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- graph -------------------------------------------------------------------------------
 
-_ENT = r"list_distinct(regexp_extract_all(text, '\b[A-ZÀ-Þ][\p{L}]+(?: [A-ZÀ-Þ][\p{L}]+)*'))"
+_ENT = r"list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}])([A-ZÀ-Þ]\p{L}+(?: [A-ZÀ-Þ]\p{L}+)*)', 1))"
 EDGES = f"""e0 AS (SELECT doc_id, text, unnest({_ENT}) AS entity FROM documents),
  e AS (SELECT doc_id, entity, ((length(text) - length(replace(text, entity, ''))) / length(entity))::INT AS n FROM e0)"""
 
@@ -331,11 +323,11 @@ def ppr_scores(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(edges, reset, iterations=10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {COS}, {top('cs', 5)} SELECT query_id, doc_id, rank, CASE WHEN query_id % 40 = 0 THEN score ELSE round(score / 2, 6) END AS score FROM r")
+@query(f"WITH {COS}, {top('cs', 5)} SELECT query_id, doc_id, rank, CASE WHEN query_id % 40 = 0 THEN score ELSE round(score * 2, 6) END AS score FROM r")
 def dense_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Queries divisible by 40 have no graph scores and fall back to their cosines."""
     base = dense.dense_topk(vectors(spark, sf), vector_queries(spark, sf), 5)
-    scored = base.filter(F.col("query_id") % 40 != 0).select("query_id", "doc_id", (F.col("score") / 2).alias("score"))
+    scored = base.filter(F.col("query_id") % 40 != 0).select("query_id", "doc_id", (F.col("score") * 2).alias("score"))
     return graph.graph_retrieve(scored, base, 5)
 
 
@@ -651,19 +643,19 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     return run.pending(rows.select("instance_id").distinct(), rows.filter("turn = 2"))
 
 
-@query("SELECT conv_id::VARCHAR AS instance_id, 'logicbench' AS dataset, upper(text) AS raw_output, NULL::VARCHAR AS error FROM conversations WHERE turn = 1 AND conv_id % 7 <> 0 UNION ALL SELECT conv_id::VARCHAR, 'logicbench', NULL, 'ValueError: no answer' FROM conversations WHERE turn = 1 AND conv_id % 7 = 0")
+@query("SELECT conv_id::VARCHAR AS instance_id, 'logicbench' AS dataset, lower(text) AS raw_output, NULL::VARCHAR AS error FROM conversations WHERE turn = 1 AND conv_id % 7 <> 0 UNION ALL SELECT conv_id::VARCHAR, 'logicbench', NULL, 'ValueError: no answer' FROM conversations WHERE turn = 1 AND conv_id % 7 = 0")
 def run_direct(spark: SparkSession, sf: str) -> DataFrame:
-    """A stand-in responder that shouts the question back and fails for some."""
+    """A stand-in responder that says the question in lower case and fails for some."""
     rows = table(spark, sf, "conversations").filter("turn = 1").select(F.col("conv_id").cast("string").alias("instance_id"), F.lit("logicbench").alias("dataset"), F.when(F.col("conv_id") % 7 == 0, "fail").otherwise(F.col("text")).alias("question"))
 
-    def shout(system: str, user: str) -> str:
+    def echo(system: str, user: str) -> str:
         if user == "fail":
             raise ValueError("no answer")
-        return user.upper()
+        return user.lower()
 
     none = spark.createDataFrame([], "instance_id string, place int, skill_id string")
     skills = spark.createDataFrame([], "skill_id string, name string, description string, content string")
-    return run.run_many(rows, none, skills, shout).select("instance_id", "dataset", "raw_output", "error")
+    return run.run_many(rows, none, skills, echo).select("instance_id", "dataset", "raw_output", "error")
 
 
 @query("SELECT s.source AS dataset, m.label FROM (SELECT DISTINCT source FROM documents) s, (VALUES ('llm_direct'), ('oracle_skill'), ('bm25_top1'), ('bm25_select'), ('progressive_disclosure')) m(label)")
