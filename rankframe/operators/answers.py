@@ -31,7 +31,15 @@ CANONICAL = [
 DENIALS = [r"cannot\s+(?:be\s+)?(?:conclude|infer|say|determine)", r"not\s+necessarily\s+true", r"not\s+(?:possible|correct|true|valid)", r"cannot\s+(?:logically|necessarily|definitively)", r"\bno,\s"]
 OPTIONS = ["(a)", "(b)", "(c)", "(d)", "(e)", "(f)"]
 
-_evaluate = F.udf(evaluate, T.DoubleType())
+def _as_double(text: str | None) -> float | None:
+    value = evaluate(text or "")
+    try:
+        return None if value is None else float(value)
+    except OverflowError:
+        return None
+
+
+_evaluate = F.udf(_as_double, T.DoubleType())
 
 
 def _has(text: Column, pattern: str) -> Column:
