@@ -177,15 +177,24 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
             cut = np.searchsorted(byte, at)
+            found: dict[tuple[int, int], list[tuple]] = {}
             for k in np.flatnonzero(new).tolist():
                 r, t = int(row[k]), int(template[k])
                 text = part[at[r] : at[r + 1]].tobytes()
                 got = _matches(text, byte[cut[r] : cut[r + 1]] - at[r], int(begin[k]), index, t)
                 if got:
+                    found.setdefault((r, t), []).append(got)
+            for (r, t), many in found.items():
+                text = part[at[r] : at[r + 1]].tobytes()
+                taken: list[tuple[int, int]] = []
+                for got in sorted(many, key=lambda g: -g[0]):  # of places that overlap the best one stays
+                    lo, hi = got[2][0][0], got[2][-1][1]
+                    if any(lo < y and x < hi for x, y in taken):
+                        continue
+                    taken.append((lo, hi))
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
                     spans = [(int(chars[s]), int(chars[e])) for s, e in got[2]]
                     out.append((keys[a + r], index.names[t], got[0], got[1], spans[0][0], spans[-1][1], ",".join(f"{s}:{e}" for s, e in spans)))
-        out = list(dict.fromkeys(out))  # two candidates may align to one place
         kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         columns = list(zip(*out)) if out else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "template_id", "coverage", "matched_words", "start", "end", "spans"])
@@ -196,8 +205,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     matched_words, start, end, spans`` (code points, ends exclusive).
 
     Null and empty texts match nothing; a template that a text repeats gives a row per
-    place; equal matches of rows with one doc_id in a batch are one; an empty table or list gives no
-    rows; templates without words are passed over.
+    place; repeated rows give repeated matches; an empty table or list gives no rows;
+    templates without words are passed over.
     """
     spark = docs.sparkSession
     tune(spark)

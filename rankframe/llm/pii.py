@@ -104,6 +104,8 @@ _LABEL = r"[A-Za-z0-9-]+"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
 _AT_BRACKET = r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*"
 _LOCAL_PART = rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,3}}"
+#: Last labels of domains that are spelled out without any sign.
+TOP_LABELS = frozenset("com org net edu gov info biz io de fr es uk us eu co me ai dev app ch at it nl be ru cn jp br mx ca au in".split())
 # a bare "at" is a common word: it counts only with a disguised dot after it
 _DISGUISED_AT = re.compile(rf"(?i)(?:{_AT_BRACKET}(?={_LABEL}(?:\.|{_DOT}){_LABEL})|\s+(?:at|arroba)\s+(?={_LABEL}{_DOT}{_LABEL})|@(?={_LABEL}{_DOT}{_LABEL}))")
 _LOCAL_BEFORE = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-]){_LOCAL_PART}\Z")
@@ -181,6 +183,8 @@ def undo_at_and_dot(tape: Tape) -> Tape:
         if not local or m.start() < end:
             continue
         domain = _DOMAIN_AFTER.match(text, m.end())
+        if m[0].strip().lower() in ("at", "arroba") and re.split(r"[^A-Za-z0-9]+", domain[0])[-1].lower() not in TOP_LABELS:
+            continue
         for d in _DOT_ONLY.finditer(local[0]):
             edits.append((back + local.start() + d.start(), back + local.start() + d.end(), "."))
         edits.append((m.start(), m.end(), "@"))

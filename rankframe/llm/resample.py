@@ -65,9 +65,12 @@ def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
 
 
 def _threshold(scored: DataFrame, k: int) -> int | None:
-    """The k-th largest ``ordered``, exactly, by four counts of 16 bits each."""
+    """The k-th largest ``ordered``, exactly, by four counts of 16 bits each (the least
+    possible value where there are fewer rows)."""
     if k <= 0:
         return None
+    if scored.count() <= k:
+        return -(1 << 63)
     low, part = -(1 << 63), scored
     for shift in (48, 32, 16, 0):
         digit = F.shiftright("ordered", shift) if shift == 48 else F.shiftright("ordered", shift).bitwiseAND(0xFFFF)
