@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankframe.operators.ranking import PLACES, ranked
 
@@ -46,8 +46,16 @@ def _best(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray,
     yield best
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Scores that hold each query's best k of ``docs(doc_id, vec)``; ``queries(query_id, vec)`` is a stated set."""
+def _every(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if len(rows):
+            scores = np.round(matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T, PLACES)
+            yield pd.DataFrame({"query_id": np.repeat(ids, len(rows)), "doc_id": np.tile(rows["doc_id"].to_numpy(), len(ids)), "score": scores.ravel()})
+
+
+def dense_scores(docs: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """Scores that hold each query's best k of ``docs(doc_id, vec)``, or all scores without
+    k; ``queries(query_id, vec)`` is a stated set."""
     spark = docs.sparkSession
     first = queries.select(F.size("vec")).first()
     per_block = max(1, BLOCK_NUMBERS // max(1, first[0] if first else 1))
@@ -58,7 +66,7 @@ def dense_scores(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         ids = np.array([r[0] for r in rows], np.int64)
         matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
         sent = spark.sparkContext.broadcast((ids, matrix))
-        part = docs.select("doc_id", "vec").mapInPandas(lambda it, sent=sent: _best(it, *sent.value, k) if len(sent.value[0]) else iter(()), "query_id long, doc_id long, score double")
+        part = docs.select("doc_id", "vec").mapInPandas(lambda it, sent=sent: (_every(it, *sent.value) if k is None else _best(it, *sent.value, k)) if len(sent.value[0]) else iter(()), "query_id long, doc_id long, score double")
         out = part if out is None else out.union(part)
     return out
 
@@ -73,9 +81,20 @@ def retrieve_texts(texts: DataFrame, queries: DataFrame, k: int = 3) -> DataFram
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("answer"))
 
 
+def _nearest(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if len(rows):
+            scores = np.round(np.stack(rows["vec"].to_numpy()).astype(np.float64) @ matrix.T, PLACES)
+            at = scores.argmax(axis=1)  # the first of equal ones, and ids ascend
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "cluster_id": ids[at], "score": scores[np.arange(len(at)), at]})
+
+
 def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """``doc_id, cluster_id, score``: each row's centre of greatest dot product. ``centers``
-    (cluster_id, vec) are a bounded set; ties go to the least id."""
-    best = dense_scores(rows.select(F.col("doc_id"), "vec"), centers.select(F.col("cluster_id").cast("long").alias("query_id"), "vec"), 1 << 62)
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "query_id")
-    return best.withColumn("r", F.row_number().over(w)).filter("r = 1").select("doc_id", F.col("query_id").alias("cluster_id"), "score")
+    """``doc_id, cluster_id, score``: each row's centre of greatest dot product; ties go to
+    the least id. ``centers(cluster_id, vec)``, as many as clusters were fitted, are sent to
+    every task."""
+    found = sorted((r["cluster_id"], r["vec"]) for r in centers.select("cluster_id", "vec").collect())
+    if not found:
+        raise ValueError("no centres")
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in found], np.int64), np.array([v for _, v in found], np.float64)))
+    return rows.select("doc_id", "vec").mapInPandas(lambda it: _nearest(it, *sent.value), "doc_id long, cluster_id long, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from rankframe.functions.text import tokens
@@ -50,7 +51,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     """
     n, mean = corpus_stats(docs)
     terms = query_terms(queries)
-    post = postings(docs, terms)
+    post = postings(docs, terms).persist(StorageLevel.MEMORY_AND_DISK)  # read for df and for weights
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
@@ -70,10 +71,10 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosine of tf-idf vectors for pairs with a term in common. idf = ln(N / (1 + df)) may
     be negative; term frequencies are shares of the text's length."""
     n = float(docs.count())
-    post = postings(docs)
+    post = postings(docs).persist(StorageLevel.MEMORY_AND_DISK)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", F.log(n / (1 + F.col("df"))).alias("idf"))
-    weights = post.join(idf, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
+    weights = post.join(idf, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("qw"))
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankframe.functions import prompts, text as T
 from rankframe.functions.arithmetic import calculate
@@ -272,7 +272,7 @@ def _hop_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     mention = rows.select(F.concat(F.lit("l"), F.col("cluster_id").cast("string")).alias("entity_id"), F.col("doc_id").alias("sentence_id"))
     mention = mention.union(rows.select(F.concat(F.lit("b"), (F.col("doc_id") % 50).cast("string")), "doc_id")).distinct()
     seeds = rows.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.concat(F.lit("l"), F.col("cluster_id").cast("string")).alias("entity_id"), F.lit(1.0).alias("score"))
-    similarity = dense.dense_scores(rows, vector_queries(spark, sf), 1 << 62).select("query_id", F.col("doc_id").alias("sentence_id"), F.col("score").alias("sim"))
+    similarity = dense.dense_scores(rows, vector_queries(spark, sf), None).select("query_id", F.col("doc_id").alias("sentence_id"), F.col("score").alias("sim"))
     return seeds, mention, similarity
 
 
