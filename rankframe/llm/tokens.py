@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from rankframe.llm.common import SubstringHash, word_bounds
+from rankframe.llm.common import BLANK, SLICE_BYTES, SubstringHash, word_bounds
 
 #: Words and letter runs remembered by a task; a memo is emptied beyond that, which
 #: changes no result.
@@ -98,7 +98,16 @@ class Codec:
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice (see ``common.as_bytes``) in one array, and the
-        n+1 places in it where rows begin. Words are told apart by a 64-bit hash."""
+        n+1 places in it where rows begin. Words are told apart by a 64-bit hash. A very
+        long text is worked on in parts that end at blanks."""
+        if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+            blank = np.flatnonzero(BLANK[data])
+            cuts = blank[np.searchsorted(blank, np.arange(SLICE_BYTES, len(data), SLICE_BYTES)).clip(max=max(0, len(blank) - 1))] if len(blank) else blank
+            cuts = np.unique(np.concatenate([np.zeros(1, np.int64), cuts, np.array([len(data)])]))
+            if len(cuts) > 2:
+                parts = [self.encode_rows(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:])]
+                ids = np.concatenate(parts)
+                return ids, np.array([0, len(ids)])
         starts, ends, rows = word_bounds(data, offsets)
         h = SubstringHash(data).of(starts, ends) | np.uint64(1)
         number = self._find(h)
