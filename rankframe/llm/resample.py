@@ -2,8 +2,9 @@
 
 Words and word pairs (ASCII letters folded) are hashed into ``BUCKETS`` buckets. A
 generative model of the target texts and one of all raw texts are bucket counts, shrunk
-towards each other where a bucket has few; a document's log weight is the sum of the log ratios of its
-n-grams. Adding Gumbel noise (a hash of the key) and taking the k largest keys samples k
+towards each other where a bucket has few; a document's log weight is the mean log ratio of its
+n-grams times ``PASSAGE``: that of a passage of one length made like it, so that long and
+short documents compare. Adding Gumbel noise (a hash of the key) and taking the k largest keys samples k
 documents without replacement in proportion to their weights.
 """
 
@@ -23,6 +24,7 @@ BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 #: Raw n-grams of prior weight in each bucket; the target gets its share of them.
 SMOOTHING = 100.0
+PASSAGE = 500.0
 SEED = 17
 
 
@@ -55,7 +57,8 @@ def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.
         weight = np.zeros(batch.num_rows)
         for a, b in slices(offsets):
             bucket, row = ngram_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(ratio))
-            weight[a:b] = np.bincount(row, ratio[bucket], minlength=b - a)
+            total, n = np.bincount(row, ratio[bucket], minlength=b - a), np.bincount(row, minlength=b - a)
+            weight[a:b] = PASSAGE * total / np.maximum(n, 1)
         h = batch.column("h").to_numpy().view(np.uint64)
         uniform = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
         key = weight - np.log(-np.log(uniform))
