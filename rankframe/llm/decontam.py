@@ -150,11 +150,15 @@ def _windows(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray] |
 
 def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of ``docs(dk, text)`` and ``benchmark(item_id, text)`` with a window in
-    common: ``dk, item_id, coverage, run_tokens, consistent, n_slots, lo, hi`` (bytes)."""
+    common: ``dk, item_id, coverage, run_tokens, consistent, n_slots, lo, hi`` (bytes).
+    ``dk`` numbers texts with their ids, as items are numbered here (see ``_keyed``), so
+    that rows which repeat one another count once."""
     spark = docs.sparkSession
     tune(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    items = stored(spark, items.mapInArrow(lambda it: _windows(it, None), WINDOWS), "item-windows")
+    once = ["key", "family", "size", "at"]
+    named = _keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "ik", "item_id")
+    items = named.select(F.col("ik").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    items = stored(spark, items.mapInArrow(lambda it: _windows(it, None), WINDOWS).dropDuplicates(once), "item-windows")
     keys = items.select("size", "h").distinct()
     blocks = max(1, -(-keys.count() // BLOCK))
     found = None
@@ -166,11 +170,12 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(wanted)
         part = docs.mapInArrow(lambda it, sent=sent: _windows(it, sent.value), WINDOWS)
         found = part if found is None else found.union(part)
-    found = stored(spark, found, "matched-windows")
-    mine = items.select(F.col("key").alias("item_id"), "family", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
+    # a repeated row of the table gives its windows again
+    found = stored(spark, found.dropDuplicates(once), "matched-windows")
+    mine = items.select(F.col("key").alias("ik"), "family", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
     hits = found.select(F.col("key").alias("dk"), "family", "size", "at", "h", "lo", "hi", "slots").join(mine, ["family", "size", "h"])
     hits = stored(spark, hits, "window-hits")
-    pair = ["dk", "item_id"]
+    pair = ["dk", "ik"]
     covered = hits.groupBy(*pair, "family").agg(F.count_distinct("item_at").alias("n"), F.first("item_tokens").alias("tokens"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     covered = covered.withColumn("coverage", F.col("n") / F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1))
     line = Window.partitionBy(*pair, "family", "diagonal").orderBy("item_at")
@@ -185,28 +190,36 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = both.withColumn("contaminated", ((F.col("coverage") >= MIN_COVERAGE) | (F.col("run") >= MIN_RUN)) & (F.col("consistent") >= MIN_CONSISTENT))
     # the better family of the two
     best = both.groupBy(*pair).agg(F.max(F.struct("contaminated", "coverage", "run", "consistent", "n_slots", "lo", "hi")).alias("b"))
-    return best.select(*pair, "b.coverage", F.col("b.run").cast("long").alias("run_tokens"), "b.consistent", "b.n_slots", "b.lo", "b.hi", "b.contaminated")
+    best = best.join(named.select("ik", "item_id").distinct(), "ik")
+    return best.select("dk", "item_id", "b.coverage", F.col("b.run").cast("long").alias("run_tokens"), "b.consistent", "b.n_slots", "b.lo", "b.hi", "b.contaminated")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__rf_dk", F.xxhash64("doc_id", "text"))
+def _keyed(table: DataFrame, key: str, id: str) -> DataFrame:
+    """Adds ``key``, which numbers (id, text) pairs; defined for null ids as well."""
+    return table.withColumn(key, F.xxhash64(id, "text"))
+
+
+def _pairs(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    texts = rows.select(F.col("__rf_dk").alias("dk"), F.coalesce("text", F.lit("")).alias("text"))
+    return matched_pairs(texts, benchmark).filter("contaminated").drop("contaminated")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated pairs ``doc_id, item_id, coverage, run_tokens, consistent, n_slots,
     lo, hi`` (``lo``, ``hi``: bytes of the document from the first to the last match).
 
-    Null texts have no tokens and match nothing; rows that repeat one another give one
-    pair; an empty table on either side gives no rows.
+    Null texts have no tokens and match nothing; rows that repeat one another, on either
+    side, give one pair; an item without id gives pairs with a null ``item_id``; an empty
+    table on either side gives no rows.
     """
-    rows = _keyed(docs.select("doc_id", "text"))
-    pairs = matched_pairs(rows.select(F.col("__rf_dk").alias("dk"), F.coalesce("text", F.lit("")).alias("text")), benchmark).filter("contaminated").drop("contaminated")
+    rows = _keyed(docs.select("doc_id", "text"), "__rf_dk", "doc_id")
     ids = rows.select(F.col("__rf_dk").alias("dk"), F.col("doc_id").cast("long").alias("doc_id"))
-    return pairs.join(ids, "dk").drop("dk").select("doc_id", "item_id", "coverage", "run_tokens", "consistent", "n_slots", "lo", "hi").dropDuplicates(["doc_id", "item_id", "lo", "hi"])
+    found = _pairs(rows, benchmark).join(ids, "dk").drop("dk")
+    return found.select("doc_id", "item_id", "coverage", "run_tokens", "consistent", "n_slots", "lo", "hi").dropDuplicates(["doc_id", "item_id", "lo", "hi"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a contaminated pair, with all their columns."""
-    rows = _keyed(docs)
-    pairs = matched_pairs(rows.select(F.col("__rf_dk").alias("dk"), F.coalesce("text", F.lit("")).alias("text")), benchmark).filter("contaminated")
-    return rows.join(pairs.select(F.col("dk").alias("__rf_dk")).distinct(), "__rf_dk", "left_anti").select(*docs.columns)
+    rows = _keyed(docs, "__rf_dk", "doc_id")
+    bad = _pairs(rows, benchmark).select(F.col("dk").alias("__rf_dk")).distinct()
+    return rows.join(bad, "__rf_dk", "left_anti").select(*docs.columns)

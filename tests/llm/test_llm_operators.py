@@ -298,6 +298,16 @@ def test_decontamination(spark, edge, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    item = " ".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(60))
+    part = " ".join(item.split()[10:24])  # 14 tokens in a row, under the share
+    bench = spark.createDataFrame([(1, item), (1, item), (1, "another text under the same id, of no use to anyone"), (None, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, part)] * 3 + [(2, "clean text of more than eight words, as it should be")], SCHEMA)
+    got = decontam.contaminated(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id, r.run_tokens) for r in got), key=str) == [(1, 1, 14), (1, None, 14)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 5)
     texts = [" ".join("x" + chr(97 + i) + chr(97 + j) for j in range(20)) for i in range(6)]
