@@ -25,6 +25,10 @@ from rankframe.llm.components import components, local_roots
 SEED, SHINGLE_WORDS, RADIUS = 42, 3, 3
 #: Fingerprints aimed at in one cell of leading bits.
 CELL = 20_000
+#: A cell with more balls of radius 1 than this, or with ``16 * FULL`` of both, is split by
+#: further leading bits, ``SPLIT_BITS`` at a time, down to cells of ``LAST_BITS``, which
+#: hold few values of their own.
+FULL, SPLIT_BITS, LAST_BITS = 2 * CELL, 8, 56
 _ONE = np.uint64(1)
 
 
@@ -81,14 +85,15 @@ def _masks(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
 
 
-def _join_cell(key: tuple, rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+def _join_cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    bits = int(key[0])
     low = 64 - bits
     fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-    flipped = np.bitwise_count((fp >> np.uint64(low)) ^ np.uint64(key[0]))
+    flipped = np.bitwise_count((fp >> np.uint64(low)) ^ np.uint64(key[1]))
     values, member = np.unique(fp, return_inverse=True)
     near, wide = np.flatnonzero(rows["radius"].to_numpy() == 1), np.flatnonzero(rows["radius"].to_numpy() == 2)
     top = np.uint64((1 << low) - 1)
-    cell = np.uint64(key[0] << low) if low < 64 else np.uint64(0)
+    cell = np.uint64((int(key[1]) << low) & 0xFFFFFFFFFFFFFFFF)
     masks = [np.array(_masks(low, k), np.uint64) for k in range(3)]
 
     def variants(which: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,16 +127,51 @@ def _join_cell(key: tuple, rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"u": values[joined].view(np.int64), "v": values[label[joined]].view(np.int64)})
 
 
+def _sent(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """``rows(fp, radius, cell, ...)`` one level down: cells of ``bits`` leading bits are
+    split by the ``more`` bits after them, of which a row may flip what its radius has left."""
+    head = F.shiftrightunsigned("fp", 64 - bits - more)
+    own = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+    left = F.col("radius") - F.bit_count(own.bitwiseXOR(F.col("cell")))
+    by_left = [F.array(*[F.lit(m).cast("long") for m in _masks(more, k)]) for k in range(3)]
+    masks = F.when(left == 0, by_left[0]).when(left == 1, by_left[1]).otherwise(by_left[2])
+    inner = F.shiftleft("cell", more).bitwiseOR(head.bitwiseAND((1 << more) - 1))
+    return rows.select(*[c for c in rows.columns if c != "cell"], F.explode(F.transform(masks, lambda m: m.bitwiseXOR(inner))).alias("cell"))
+
+
+def _full_cells(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """Cells one level down that are too full. Where a row goes depends on its first bits
+    only, so rows are counted by those first."""
+    rest = 64 - bits - more
+    heads = rows.groupBy("radius", "cell", F.shiftleft(F.shiftrightunsigned("fp", rest), rest).alias("fp")).agg(F.count("*").alias("n"))
+    sizes = _sent(heads, bits, more).groupBy("cell").agg(F.sum(F.when(F.col("radius") == 1, F.col("n")).otherwise(0)).alias("near"), F.sum("n").alias("both"))
+    return sizes.filter((F.col("near") > FULL) | (F.col("both") > 16 * FULL)).select("cell")
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
-    """Edges ``u, v`` that connect all of ``distinct(fp)`` within 3 bits of each other."""
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = leading_bits(n, partitions)
-    head = F.shiftrightunsigned("fp", 64 - bits)
-    sent = [
-        distinct.select("fp", F.lit(radius).alias("radius"), F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in _masks(bits, radius)]), lambda m: m.bitwiseXOR(head))).alias("cell"))
-        for radius in (1, 2)
-    ]
-    return sent[0].union(sent[1]).groupBy("cell").applyInPandas(lambda k, rows: _join_cell(k, rows, bits), "u long, v long")
+    """Edges ``u, v`` that connect all of ``distinct(fp)`` within 3 bits of each other.
+
+    Fingerprints crowd where texts share most of their words, so cells are counted and
+    full ones are split again: no task holds more than a full cell.
+    """
+    spark = distinct.sparkSession
+    bits, more = 0, leading_bits(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = distinct.select("fp", F.explode(F.array(F.lit(1), F.lit(2))).alias("radius"), F.lit(0).cast("long").alias("cell"))
+    ready = None
+    while True:
+        full = None
+        if bits + more < LAST_BITS and n > FULL:  # a cell has one ball of a radius of a fingerprint
+            full = stored(spark, _full_cells(rows, bits, more), "full-cells")
+            full = None if full.isEmpty() else full
+        rows, bits = _sent(rows, bits, more), bits + more
+        fits = rows if full is None else rows.join(full, "cell", "left_anti")
+        fits = fits.select("fp", "radius", "cell", F.lit(bits).alias("bits"))
+        ready = fits if ready is None else ready.union(fits)
+        if full is None:
+            break
+        rows = stored(spark, rows.join(full, "cell", "left_semi").select("fp", "radius", "cell"), "crowded")
+        more = min(SPLIT_BITS, LAST_BITS - bits)
+    return ready.groupBy("bits", "cell").applyInPandas(_join_cell, "u long, v long")
 
 
 def groups(prints: DataFrame) -> DataFrame:

@@ -164,6 +164,20 @@ def test_links_at_distance_three_and_chains(spark):
     assert [got[p] for p in signed] == [0, 0, 0, 0, 4]
 
 
+def test_links_of_crowded_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(simhash, "FULL", 60)
+    centres = rng.integers(0, 1 << 63, 3, np.int64).view(np.uint64) << np.uint64(1)
+    prints = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 9)), False)) for c in centres for _ in range(150)]
+    prints += [int(x) for x in rng.integers(0, 1 << 63, 200)]
+    f = np.unique(np.array(prints, np.uint64))
+    i, j = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
+    want = components.local_roots(len(f), i, j)
+    df = spark.createDataFrame([(k, int(x)) for k, x in enumerate(f.view(np.int64))], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.groups(df).collect()}
+    assert [got[int(x)] for x in f.view(np.int64)] == want.tolist()
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.components(df).collect()}
