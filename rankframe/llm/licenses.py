@@ -3,13 +3,14 @@
 Texts and templates are reduced to ASCII letters and digits; the least of every ``SPAN``
 neighbouring k-gram hashes is a fingerprint, so any common stretch of ``GRAM + SPAN - 1``
 characters shares one. Template fingerprints form an inverted index. Hits that agree on
-where a template would begin are one candidate; a banded alignment of the words there
+where a template would begin, within a bounded distance, are one candidate; a banded alignment of the words there
 with the template's words gives the matched share of the template and the matched spans.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,9 @@ def _matches(text: bytes, byte: np.ndarray, begin: int, index: Index, template:
         found.append((m.start(), m.end(), m[0].lower()))
         if len(found) >= reach + len(lead):
             break
+    # no alignment matches more words than the two have in common
+    if (Counter(words) & Counter(w for _, _, w in found)).total() < max(min(MIN_WORDS, len(words)), MIN_COVERAGE * len(words)):
+        return None
     pairs = align(words, [w for _, _, w in found], band + len(lead))
     if len(pairs) < min(MIN_WORDS, len(words)) or len(pairs) < MIN_COVERAGE * len(words):
         return None
@@ -156,6 +160,19 @@ def _matches(text: bytes, byte: np.ndarray, begin: int, index: Index, template:
     return len(pairs) / len(words), len(pairs), spans
 
 
+def _clusters(row: np.ndarray, template: np.ndarray, begin: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Marks the first hit of each cluster of sorted hits: a cluster holds hits of a row and
+    a template whose begins lie within ``slack`` of its first begin, however many follow."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
+    edge = np.append(np.flatnonzero(new), len(row))
+    for a, b in zip(edge.tolist(), edge[1:].tolist()):
+        while a < b and begin[b - 1] - begin[a] > slack[a]:
+            a += int(np.searchsorted(begin[a:b], begin[a] + slack[a], "right"))
+            new[a] = True
+    return new
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column(0).to_pylist()
@@ -174,8 +191,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             order = np.lexsort((begin, template, row))
             row, begin, template = row[order], begin[order], template[order]
             slack = np.maximum(12, index.chars[template] // 8)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (template[1:] != template[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
+            new = _clusters(row, template, begin, slack)
             cut = np.searchsorted(byte, at)
             found: dict[tuple[int, int], list[tuple]] = {}
             for k in np.flatnonzero(new).tolist():
