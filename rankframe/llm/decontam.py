@@ -4,10 +4,13 @@ Texts become token sequences in which numbers, units after numbers, and names ar
 placeholders; neighbouring placeholders of one type are one. Windows of ``WINDOW`` tokens
 are hashed in two families, with names as placeholders and with names as plain words (a
 copy may have lost its capitals). Spark joins the windows of documents and of benchmark
-items by hash. For each pair of document and item, the matched windows give the covered
-share of the item, the longest run along one diagonal, and pairs of slot values, which
-must map each of the item's values to one value of the document: a re-parameterised copy
-does, an accidental mixture does not.
+items by hash. The matched windows of a pair of document and item are parted into
+occurrences by their diagonals. Each occurrence gives the covered share of the item, the
+longest run along one diagonal, and pairs of slot values: each of the item's slots must
+have one value in the occurrence, which a re-parameterised copy does and an accidental
+mixture does not; a verbatim stretch passes without that. All windows of the pair
+together count as well, where each of the item's values must map to one value of the
+document, so that a copy in scattered pieces is found. The best of these decides.
 
 Items of fewer than ``WINDOW`` but at least ``SHORTEST`` tokens are one window of their
 own length; shorter items are not searched for.
@@ -27,6 +30,8 @@ WINDOW, SHORTEST = 8, 4
 #: A pair is contaminated if this share of the item's windows, or a run of this many
 #: tokens, is matched, and this share of its slot values is consistent.
 MIN_COVERAGE, MIN_RUN, MIN_CONSISTENT = 0.3, 13, 0.75
+#: Diagonals of one occurrence follow each other within this many tokens, and a quarter of the item.
+MAX_SHIFT = 8
 #: Window hashes of benchmark items sent to tasks at once; more are searched in blocks.
 BLOCK = 1_000_000
 
@@ -107,9 +112,9 @@ class Tokens:
         return at, key
 
     def slots(self, at: int, size: int, data: np.ndarray) -> list[str]:
-        """Typed values of a window's placeholders in order."""
+        """Places in the window and typed values of its placeholders in order."""
         which = at + np.flatnonzero(self.type[at : at + size])
-        return [f"{self.type[i]}:" + bytes(data[self.start[i] : self.end[i]]).decode("utf-8", "replace").lower() for i in which.tolist()]
+        return [f"{i - at}:{self.type[i]}:" + bytes(data[self.start[i] : self.end[i]]).decode("utf-8", "replace").lower() for i in which.tolist()]
 
 
 WINDOWS = "key long, family int, size int, at int, h long, lo int, hi int, slots array<string>, tokens int"
@@ -176,24 +181,53 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = found.select(F.col("key").alias("dk"), "family", "size", "at", "h", "lo", "hi", "slots").join(mine, ["family", "size", "h"])
     hits = stored(spark, hits, "window-hits")
     pair = ["dk", "ik"]
-    covered = hits.groupBy(*pair, "family").agg(F.count_distinct("item_at").alias("n"), F.first("item_tokens").alias("tokens"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    covered = covered.withColumn("coverage", F.col("n") / F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1))
-    line = Window.partitionBy(*pair, "family", "diagonal").orderBy("item_at")
-    steps = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
-    steps = steps.withColumn("block", F.col("item_at") - F.row_number().over(line)).groupBy(*pair, "family", "diagonal", "block").agg((F.count("*") + F.max("size") - 1).alias("run"))
-    runs = steps.groupBy(*pair, "family").agg(F.max("run").alias("run"))
-    values = hits.select(*pair, "family", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*pair, "family", "s.item_slots", "s.slots")
-    values = values.groupBy(*pair, "family", "item_slots").agg(F.count_distinct("slots").alias("kinds"))
-    slots = values.groupBy(*pair, "family").agg(F.avg((F.col("kinds") == 1).cast("double")).alias("consistent"), F.count("*").alias("n_slots"))
-    both = covered.join(runs, [*pair, "family"]).join(slots, [*pair, "family"], "left")
-    both = both.withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
-    both = both.withColumn("contaminated", ((F.col("coverage") >= MIN_COVERAGE) | (F.col("run") >= MIN_RUN)) & (F.col("consistent") >= MIN_CONSISTENT))
-    # the better family of the two
+    group = [*pair, "family", "occ"]
+    steps = _occurrences(hits.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("same", F.col("slots") == F.col("item_slots")))
+    covered = steps.groupBy(*group).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(F.when(F.col("same"), F.col("item_at"))).alias("n_same"), F.first("item_tokens").alias("tokens"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    share = lambda n: F.col(n) / F.greatest(F.lit(1), F.col("tokens") - WINDOW + 1)
+    covered = covered.withColumn("coverage", share("n")).withColumn("same_coverage", share("n_same"))
+    runs = _runs(steps, group, "run").join(_runs(steps.filter("same"), group, "same_run"), group, "left")
+    each = steps.select(*group, "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    place = F.substring_index("s.item_slots", ":", 1)
+    value = lambda c: F.expr(f"substring({c}, locate(':', {c}) + 1)")
+    each = each.select(*group, (F.col("item_at") + place.cast("int")).alias("place"), value("s.item_slots").alias("item_value"), value("s.slots").alias("value"))
+    values = each.groupBy(*group, "item_value").agg(F.count_distinct("value").alias("kinds"))
+    values = values.groupBy(*group).agg(F.avg((F.col("kinds") == 1).cast("double")).alias("consistent"), F.count("*").alias("n_slots"))
+    places = each.groupBy(*group, "place").agg(F.count_distinct("value").alias("kinds")).groupBy(*group).agg(F.avg((F.col("kinds") == 1).cast("double")).alias("at_places"))
+    both = covered.join(runs, group).join(values, group, "left").join(places, group, "left")
+    both = both.withColumns({"consistent": F.coalesce("consistent", F.lit(1.0)), "n_slots": F.coalesce("n_slots", F.lit(0)), "at_places": F.coalesce("at_places", F.lit(1.0)), "same_run": F.coalesce("same_run", F.lit(0))})
+    enough = (F.col("coverage") >= MIN_COVERAGE) | (F.col("run") >= MIN_RUN)
+    verbatim = (F.col("same_coverage") >= MIN_COVERAGE) | (F.col("same_run") >= MIN_RUN)
+    slots_fit = F.when(F.col("occ") < 0, F.col("consistent")).otherwise(F.col("at_places")) >= MIN_CONSISTENT
+    both = both.withColumn("contaminated", (enough & slots_fit) | ((F.col("occ") >= 0) & verbatim))
+    # the best occurrence, in the better family of the two
     best = both.groupBy(*pair).agg(F.max(F.struct("contaminated", "coverage", "run", "consistent", "n_slots", "lo", "hi")).alias("b"))
     best = best.join(named.select("ik", "item_id").distinct(), "ik")
     return best.select("dk", "item_id", "b.coverage", F.col("b.run").cast("long").alias("run_tokens"), "b.consistent", "b.n_slots", "b.lo", "b.hi", "b.contaminated")
 
 
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """Hits by occurrence ``occ``: those of a pair whose diagonals follow each other within
+    a few tokens, for each place of the item the one on the diagonal with the most hits.
+    All hits of the pair together are occurrence -1."""
+    group = ["dk", "ik", "family"]
+    line = Window.partitionBy(*group).orderBy("diagonal")
+    slack = F.least(F.lit(MAX_SHIFT), F.floor(F.col("item_tokens") / 4))
+    parts = hits.withColumn("apart", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > slack).cast("int"), F.lit(0)))
+    parts = parts.withColumn("occ", F.sum("apart").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("apart")
+    parts = parts.withColumn("strength", F.count("*").over(Window.partitionBy(*group, "occ", "diagonal")))
+    best = Window.partitionBy(*group, "occ", "item_at").orderBy(F.desc("strength"), "diagonal")
+    parts = parts.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("strength", "nth")
+    return parts.unionByName(hits.withColumn("occ", F.lit(-1)))
+
+
+def _runs(steps: DataFrame, group: list[str], name: str) -> DataFrame:
+    """Tokens of the longest run of hits along one diagonal."""
+    line = Window.partitionBy(*group, "diagonal").orderBy("item_at")
+    blocks = steps.withColumn("block", F.col("item_at") - F.row_number().over(line)).groupBy(*group, "diagonal", "block").agg((F.count("*") + F.max("size") - 1).alias("run"))
+    return blocks.groupBy(*group).agg(F.max("run").alias(name))
+
+
 def _keyed(table: DataFrame, key: str, id: str) -> DataFrame:
     """Adds ``key``, which numbers (id, text) pairs; defined for null ids as well."""
     return table.withColumn(key, F.xxhash64(id, "text"))
