@@ -3,9 +3,10 @@ views of Arrow text batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,14 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str) -> tuple[object, str]:
+    """Arrow file system and path for a path of the shared folder, from tasks or the
+    driver. Names that only Spark's own connectors have (``s3a``) become the usual ones."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
 def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -78,6 +87,38 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+_BLANKS = re.compile(rb"[ \t-\r]")
+
+
+def parts(text: bytes, limit: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A long text in parts of about ``limit`` bytes that end at blanks."""
+    at = 0
+    while at < len(text):
+        cut = _BLANKS.search(text, at + limit)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+class Memo(dict):
+    """What ``make`` gives for each word, kept by the word's bytes for up to ``limit``
+    words; long words are made anew each time."""
+
+    LONGEST = 256
+
+    def __init__(self, make: Callable[[bytes], object], limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, word: bytes) -> object:
+        out = self.make(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = out
+        return out
+
+
 # ---- 64-bit hashes of substrings, for all of a slice at once --------------------------
 
 #: Odd multiplier of the polynomial, its inverse modulo 2**64, and the

@@ -32,10 +32,9 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacit
         data, offsets = as_bytes(batch.column(1))
         rows, pieces, starts, lengths, crcs = [], [], [], [], []
         for a, b in slices(offsets):
-            ids, cuts = enc.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            ids = np.insert(ids, cuts[1:], end_id).astype("<u4")
-            cuts = (cuts + np.arange(len(cuts))).tolist()
-            raw = memoryview(ids.tobytes())
+            ids, cuts = enc.encode_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+            cuts = cuts.tolist()
+            raw = memoryview(ids.astype("<u4").tobytes())
             for row in range(b - a):
                 lo, hi = cuts[row], cuts[row + 1]
                 for k, s in enumerate(range(lo, hi, capacity)):

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from rankframe.llm.common import BLANK, SLICE_BYTES, SubstringHash, word_bounds
+from rankframe.llm.common import SLICE_BYTES, Memo, parts
 
 #: Words and letter runs remembered by a task; a memo is emptied beyond that, which
 #: changes no result.
@@ -37,7 +37,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self._forget()
+        self.words = Memo(self._word, MEMO_WORDS)
         self.runs: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
@@ -51,6 +51,8 @@ class Codec:
         self.bytewise = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def _run(self, run: str) -> bytes:
+        if len(self.runs) > MEMO_RUNS:
+            self.runs.clear()
         packed, mapped = self.packed, run if run.isascii() else run.translate(self.bytewise)
         self.runs[run] = out = b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(mapped)])
         return out
@@ -65,74 +67,20 @@ class Codec:
             return b"".join([runs.get(r) or self._run(r) for r in _SPLIT_PLAIN.findall(text.lower())])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each word hash in the memo, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        todo, at = np.arange(len(h)), (h & self.mask).astype(np.int64)
-        while len(todo):
-            key = self.keys[at]
-            hit = key == h[todo]
-            out[todo[hit]] = self.number[at[hit]]
-            more = ~hit & (key != 0)
-            todo, at = todo[more], (at[more] + 1) & int(self.mask)
-        return out
+    def encode(self, text: bytes) -> bytes:
+        """Packed ids of one text. Words are told apart by their bytes."""
+        if len(text) <= SLICE_BYTES:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join([b"".join(map(self.words.__getitem__, part.split())) for part in parts(text)])
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice (see ``common.as_bytes``) in one array, each row with
+        the end id after it, and the n+1 places in it where rows begin."""
+        raw, at, end = data.tobytes(), offsets.tolist(), self.packed[end_id]
+        rows = [self.encode(raw[a:b]) + end for a, b in zip(at, at[1:])]
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // self.width
+        return np.frombuffer(b"".join(rows), self.dtype), np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
 
-    def _add(self, h: np.ndarray, words: list[bytes]) -> None:
-        """Encode new words, one for each distinct new hash, and remember them."""
-        ids = [self._word(w) for w in words]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        first, base = self.n_words, self.starts[self.n_words]
-        if base + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[:base], np.zeros(base + 2 * len(flat), self.dtype)])
-        self.pool[base : base + len(flat)] = flat
-        self.starts[first + 1 : first + 1 + len(ids)] = base + np.cumsum(lengths)
-        self.n_words += len(ids)
-        todo, at = np.arange(len(h)), (h & self.mask).astype(np.int64)
-        while len(todo):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[todo[free]]
-            won = free & (self.keys[at] == h[todo])
-            self.number[at[won]] = first + todo[won]
-            todo, at = todo[~won], (at[~won] + 1) & int(self.mask)
-
-    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a slice (see ``common.as_bytes``) in one array, and the
-        n+1 places in it where rows begin. Words are told apart by a 64-bit hash. A very
-        long text is worked on in parts that end at blanks."""
-        if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
-            blank = np.flatnonzero(BLANK[data])
-            cuts = blank[np.searchsorted(blank, np.arange(SLICE_BYTES, len(data), SLICE_BYTES)).clip(max=max(0, len(blank) - 1))] if len(blank) else blank
-            cuts = np.unique(np.concatenate([np.zeros(1, np.int64), cuts, np.array([len(data)])]))
-            if len(cuts) > 2:
-                parts = [self.encode_rows(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:])]
-                ids = np.concatenate(parts)
-                return ids, np.array([0, len(ids)])
-        starts, ends, rows = word_bounds(data, offsets)
-        h = SubstringHash(data).of(starts, ends) | np.uint64(1)
-        number = self._find(h)
-        if (new := np.flatnonzero(number < 0)).size:
-            fresh, first = np.unique(h[new], return_index=True)
-            if self.n_words + len(fresh) > MEMO_WORDS:
-                self._forget()
-                fresh, new = np.unique(h, return_index=True)
-                first = np.arange(len(new))
-            if len(self.runs) > MEMO_RUNS:
-                self.runs.clear()
-            raw = data.tobytes()
-            where = new[first]
-            self._add(fresh, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-            number = self._find(h)
-        lengths = self.starts[number + 1] - self.starts[number]
-        out = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-        ids = self.pool[np.arange(out[-1]) + np.repeat(self.starts[number] - out[:-1], lengths)]
-        return ids, out[np.searchsorted(rows, np.arange(len(offsets)))]
-
-    def _forget(self) -> None:
-        self.mask = np.uint64((1 << 21) - 1)
-        self.keys, self.number = np.zeros(1 << 21, np.uint64), np.zeros(1 << 21, np.int32)
-        self.starts, self.n_words = np.zeros(MEMO_WORDS + (1 << 20) + 2, np.int64), 0
-        self.pool = np.zeros(1 << 20, self.dtype)
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:

@@ -52,9 +52,41 @@ def test_store_misses_unknown_keys(spark):
 
 def test_perfect_hash():
     h = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
-    levels, slot = tokenstore.build_perfect_hash(h)
+    levels, ranks, slot = tokenstore.build_perfect_hash(h)
     assert sorted(slot) == list(range(len(h)))
-    assert (tokenstore.probe_perfect_hash(levels, h) == slot).all()
+    assert (tokenstore.probe_perfect_hash(levels, ranks, h) == slot).all()
+
+
+def test_bucket_of_keys_with_one_hash():
+    import pandas as pd
+
+    rows = pd.DataFrame({"h": [7, 7, 9], "h2": [1 << 40, 2 << 40, 3 << 40], "shard": [0, 0, 0], "first": [0, 5, 9], "n_tokens": [5, 4, 3]}).assign(doc_id=[1, 2, 3], occurrence=0)
+    index = tokenstore._build_bucket((0,), rows)
+    assert index["seed"][0] > 0
+    got = tokenstore._probe_bucket((0,), rows, index)
+    assert got["found"].all() and got["first"].tolist() == [0, 5, 9]
+
+
+def test_read_one_document(spark, edge):
+    folder = tokenstore.write_store(edge, tokenizer_path(), 2)
+    for k, t in EDGE:
+        assert tokenstore.read_document(spark, folder, k).tolist() == encode(t, 2).tolist()
+    assert tokenstore.read_document(spark, folder, 3, 1) is not None
+    assert tokenstore.read_document(spark, folder, 12345) is None
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_one_polynomial_hash(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} {other}"), (2, f"{other} {word}")]
+    got = tokenstore.store_and_read(spark.createDataFrame(rows, SCHEMA), tokenizer_path(), 2)
+    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {k: zlib.crc32(encode(t, 2).tobytes()) for k, t in rows}
+    packed = packing.pack(spark.createDataFrame(rows, SCHEMA), tokenizer_path(), 0, 2048).collect()
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in packed} == {(k, i // 2048): zlib.crc32(encode(t, 0)[i : i + 2048].tobytes()) for k, t in rows for i in range(0, len(encode(t, 0)), 2048)}
 
 
 def test_packing(edge, none):
