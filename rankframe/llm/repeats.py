@@ -4,16 +4,17 @@
    string; starts that follow each other under one k-gram form a *run* (the strings
    overlap, so a run is a little longer than a string). Equal strings have equal smallest
    k-grams, so only runs under one k-gram can hold the same string.
-2. Spark counts runs. A run that occurs twice is repeated as a whole. Different runs
-   under one k-gram form a collection that is compared string by string.
-3. A collection is compared by column-wise construction: its members are aligned at the
-   k-gram and one symbol of every member is inserted each round, from the last column to
-   the first; each round is a stable split of the suffix order by symbol (the collection's
+2. Spark counts equal runs (by k-gram and a 128-bit BLAKE2 digest of their bytes). A run
+   that occurs twice is repeated as a whole. Where different runs share a k-gram, each is
+   cut into blocks of starts at fixed distances from the k-gram, and blocks that agree in
+   the bytes which all strings of such a block hold form a collection.
+3. Collections are compared by column-wise construction: members are aligned at the k-gram
+   and one symbol of every member is inserted each round, from the last column to the
+   first; each round is a stable split of the suffix order by symbol (the collection's
    Burrows-Wheeler column) and an update of common prefixes from those of the round
    before. A start whose suffix shares ``length`` bytes with a neighbour is repeated.
-   Collections with over ``WIDE`` members are spread instead: Spark counts hashes of
-   blocks of neighbouring starts, and of single starts where a block is in doubt, so no
-   group is ever gathered in one task.
+   Collections of any size go this way; one with more members than a task should hold is
+   cut into smaller blocks of starts first, which parts it by content.
 4. Ranges go back to their documents, where bytes are removed.
 """
 
@@ -21,23 +22,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, mix, slices, stored, tune
+from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, slices, stored, tune
 
 #: Bytes of the k-gram that starts are put under.
-GRAM = 24
-#: Members up to which a collection is compared by columns in one task.
-WIDE = 120
-#: Neighbouring starts in a block of a spread collection.
-BLOCK = 8
+GRAM = 48
+#: Neighbouring starts in a block; the later sizes are for collections of over ``FULL``
+#: different members. In a block of one start all members are equal.
+BLOCKS_OF, FULL = (32, 4, 1), 20_000
 #: Collections compared together; bounds a task's memory.
 COLUMN_BYTES = 8 << 20
+#: A key with more than one in so many rows is hot; there are at most so many of them.
+HOT = 1000
 
-RUNS = "dk long, at int, n int, gram long, run long, off int"
+SALT = [k.to_bytes(2, "little") for k in range(1 << 16)]
+
+#: A document row is known by its id (``d``) and a hash of its text (``t``).
+KEY = ["d", "t"]
+RUNS = "d long, t long, at int, n int, gram long, run long, run2 long, off int"
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,12 +58,12 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of a slice: row, start in the row, number of starts, k-gram hash, run hash,
-    bytes from the first start to the k-gram."""
+    """Runs of a slice: row, start in the row, number of starts, k-gram hash, bytes from
+    the first start to the k-gram."""
     width = length - GRAM + 1
     z = np.zeros(0, np.int64)
     if len(data) < length:
-        return z, z, z, z.view(np.uint64), z.view(np.uint64), z
+        return z, z, z, z.view(np.uint64), z
     sub = SubstringHash(data, SYMBOLS)
     place = np.arange(len(data) - GRAM + 1)
     grams = sub.of(place, place + GRAM)
@@ -68,26 +75,29 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     ok = starts + length <= offsets[row + 1]
     starts, row, least = starts[ok], row[ok], least[ok]
     if not len(starts):
-        return z, z, z, z.view(np.uint64), z.view(np.uint64), z
+        return z, z, z, z.view(np.uint64), z
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(starts)))
     begin, at, row = starts[first], least[first], row[first]
-    whole = mix(sub.of(begin, begin + n - 1 + length) ^ (at - begin).astype(np.uint64))
-    return row, begin - offsets[row], n, grams[at], whole, at - begin
+    return row, begin - offsets[row], n, grams[at], at - begin
 
 
 def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = as_bytes(batch.column(1))
-        keys = batch.column(0).to_numpy()
+        data, offsets = as_bytes(batch.column(2))
+        d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, b in slices(offsets):
-            row, at, n, gram, run, off = runs_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a + row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(off.astype(np.int32))],
-                ["dk", "at", "n", "gram", "run", "off"],
-            )
+            part = data[offsets[a] : offsets[b]]
+            row, at, n, gram, off = runs_of(part, offsets[a : b + 1] - offsets[a], length)
+            lo = at + (offsets[a:b] - offsets[a])[row]
+            raw = memoryview(part.tobytes())
+            # a run is known by its bytes and the place of its k-gram
+            digest = b"".join([blake2b(raw[x:y], digest_size=16, salt=SALT[o]).digest() for x, y, o in zip(lo.tolist(), (lo + n - 1 + length).tolist(), off.tolist())])
+            run = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            columns = [d[a + row], t[a + row], at.astype(np.int32), n.astype(np.int32), gram.view(np.int64), np.ascontiguousarray(run[:, 0]), np.ascontiguousarray(run[:, 1]), off.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "t", "at", "n", "gram", "run", "run2", "off"])
 
 
 # ---- collections, column by column -------------------------------------------------------
@@ -146,123 +156,130 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by k-gram in; repeated ranges (bytes) of their documents out."""
+    """Members of collections in, sorted by collection; repeated ranges (bytes) of members
+    that stand for one place of the table out."""
     rows: list[tuple] = []
     held = 0
 
     def done(part: list[tuple]) -> pa.RecordBatch:
-        grams = np.unique([r[0] for r in part], return_inverse=True)[1]
-        found = repeated_starts([r[4] for r in part], [r[3] for r in part], [r[5] for r in part], grams, length)
-        dk, lo, hi = [], [], []
+        group = np.cumsum([i == 0 or r[:3] != part[i - 1][:3] for i, r in enumerate(part)])
+        found = repeated_starts([r[9] for r in part], [r[6] for r in part], [r[7] for r in part], group, length)
+        d, t, lo, hi = [], [], [], []
         for r, flags in zip(part, found):
-            for s, e in zip(*_spans(flags)):
-                dk.append(r[1]), lo.append(r[2] + int(s)), hi.append(r[2] + int(e) - 1 + length)
-        return pa.RecordBatch.from_arrays([pa.array(dk, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["dk", "lo", "hi"])
+            for s, e in zip(*_spans(flags)) if r[8] == 1 else ():
+                d.append(r[3]), t.append(r[4]), lo.append(r[5] + int(s)), hi.append(r[5] + int(e) - 1 + length)
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["d", "t", "lo", "hi"])
 
     for batch in batches:
-        for r in zip(*[batch.column(c).to_pylist() for c in ("gram", "dk", "at", "n", "bytes", "off")]):
-            if rows and r[:3] == rows[-1][:3]:
-                continue  # from a repeated row of the table
-            if rows and held > COLUMN_BYTES and r[0] != rows[-1][0]:
+        for r in zip(*[batch.column(c).to_pylist() for c in (*GROUP, *KEY, "at", "n", "off", "times", "bytes")]):
+            if rows and held > COLUMN_BYTES and r[:3] != rows[-1][:3]:
                 yield done(rows)
                 rows, held = [], 0
             rows.append(r)
-            held += len(r[4])
+            held += len(r[9])
     if rows:
         yield done(rows)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with a list of runs in; the runs with their bytes out."""
+    names = ["gram", *KEY, "at", "n", "off", "times", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
         raw, at = memoryview(data.tobytes()), offsets.tolist()
-        keys, lists = batch.column("dk").to_pylist(), batch.column("runs").to_pylist()
-        out: list[list] = [[] for _ in range(7)]
-        for i, runs in enumerate(lists):
+        out: list[tuple] = []
+        for base, d, t, runs in zip(at, batch.column("d").to_pylist(), batch.column("t").to_pylist(), batch.column("runs").to_pylist()):
             for r in runs:
-                lo = at[i] + r["at"]
-                for c, v in zip(out, (r["gram"], keys[i], r["at"], r["n"], bytes(raw[lo : lo + r["size"]]), r["off"], r["members"])):
-                    c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["gram", "dk", "at", "n", "bytes", "off", "members"])
+                lo = base + r["at"]
+                out.append((r["gram"], d, t, r["at"], r["n"], r["off"], r["times"], bytes(raw[lo : lo + r["size"]])))
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-BLOCKS = "gram long, block int, region long, whole long, part boolean, dk long, at int, n int, near array<long>"
+MEMBERS = "gram long, block int, region long, d long, t long, at int, n int, off int, times long, bytes binary"
+#: Members of one collection agree in these.
+GROUP = ["gram", "block", "region"]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of starts of spread collections. ``region`` hashes the bytes that all strings
-    of a block have, ``whole`` the bytes of a whole block, ``near`` each string."""
+def _blocks(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Runs, or members of larger blocks, cut into blocks of ``size`` starts. Strings that
+    start ``block * size`` to ``(block + 1) * size - 1`` bytes before the k-gram all hold
+    the bytes that ``region`` is a hash of."""
+    names = ["gram", "block", "region", *KEY, "at", "n", "off", "times", "bytes"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
-        data, offsets = as_bytes(batch.column("bytes"))
-        sub = SubstringHash(data, SYMBOLS)
-        n, off = batch.column("n").to_numpy().astype(np.int64), batch.column("off").to_numpy().astype(np.int64)
-        member = np.repeat(np.arange(len(n)), n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start, far = offsets[member] + k, off[member] - k  # far: bytes to the k-gram
-        block = far // BLOCK
-        near = sub.of(start, start + length).view(np.int64)
-        new = np.ones(len(k), bool)
-        new[1:] = (member[1:] != member[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(k)))
-        gram_at = offsets[member] + off[member]
-        lo = (gram_at - block * BLOCK)[first]
-        hi = (gram_at + length - (block * BLOCK + BLOCK - 1))[first]
-        region = sub.of(lo, hi).view(np.int64)
-        whole = sub.of(start[first], start[first] + size - 1 + length).view(np.int64)
-        of = member[first]
-        values = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)).astype(np.int32)), pa.array(near))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("gram").take(pa.array(of)), pa.array(block[first].astype(np.int32)), pa.array(region), pa.array(whole), pa.array(size < BLOCK), batch.column("dk").take(pa.array(of)), pa.array((batch.column("at").to_numpy()[of] + k[first]).astype(np.int32)), pa.array(size.astype(np.int32)), values],
-            ["gram", "block", "region", "whole", "part", "dk", "at", "n", "near"],
-        )
-
-
-def _spread_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges inside collections too wide for one task."""
-    spark = texts.sparkSession
-    blocks = stored(spark, texts.mapInArrow(lambda it: _blocks(it, length), BLOCKS), "blocks")
-    # blocks cut short by the end of a run are compared start by start
-    whole = F.when(F.col("part"), F.xxhash64("dk", "at")).otherwise(F.col("whole"))
-    blocks = blocks.withColumn("whole", whole)
-    key = ["gram", "block", "region"]
-    kinds = blocks.groupBy(*key, "whole").agg(F.count("*").alias("times"), F.min(F.struct("dk", "at", "n", "near")).alias("one"))
-    kinds = stored(spark, kinds, "block-kinds")
-    span = [F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi")]
-    sure = blocks.join(kinds.filter("times > 1").select(*key, "whole"), [*key, "whole"], "left_semi").select("dk", *span)
-    mixed = kinds.groupBy(*key).agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    doubt = kinds.join(mixed, key).select("gram", "block", "times", "one.*").select("gram", "block", "times", "dk", "at", F.posexplode("near").alias("k", "h"))
-    doubt = stored(spark, doubt, "starts-in-doubt")
-    twice = doubt.groupBy("gram", "h").agg(F.count("*").alias("seen")).filter("seen > 1")
-    single = doubt.filter("times = 1").join(twice.select("gram", "h"), ["gram", "h"], "left_semi")
-    single = single.select("dk", (F.col("at") + F.col("k")).alias("lo"), (F.col("at") + F.col("k") + length).alias("hi"))
-    return sure.union(single)
+        out = []
+        for gram, d, t, at, n, off, times, raw in zip(*[batch.column(c).to_pylist() for c in ("gram", *KEY, "at", "n", "off", "times", "bytes")]):
+            k = 0
+            while k < n:
+                block = (off - k) // size
+                last = min(n - 1, off - block * size)  # the block's start nearest to the k-gram
+                lo, hi = off - block * size, off + length - (block * size + size - 1)
+                region = int.from_bytes(blake2b(raw[lo:hi], digest_size=8).digest(), "little", signed=True)
+                out.append((gram, block, region, d, t, at + k, last - k + 1, off - k, times, raw[k : last + length]))
+                k = last + 1
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+
+def _having(rows: DataFrame, keys: DataFrame, on: list[str], total: str) -> DataFrame:
+    """Rows whose key is in the written table ``keys(*on, total)``, where ``total`` counts
+    a key's rows. Hot keys, at most ``HOT``, are broadcast, so none lands in one task."""
+    spark = rows.sparkSession
+    every = keys.agg(F.sum(total)).head()[0] or 0
+    hot = keys.filter(F.col(total) * HOT > every).select(*on)
+    cold = keys.filter(F.col(total) * HOT <= every).select(*on)
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
+    return marked.filter("hot").drop("hot").unionByName(marked.filter("hot is null").drop("hot").join(cold, on, "left_semi"))
+
+
+def _shared_ranges(runs: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges ``d, t, lo, hi`` of different runs that share a k-gram; ``runs`` has
+    each different run once, with its bytes and the times it occurs."""
+    spark = runs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = None
+    for level, size in enumerate(BLOCKS_OF):
+        cut = stored(spark, runs.mapInArrow(lambda it, size=size: _blocks(it, size, length), MEMBERS), "blocks")
+        # equal members, by their bytes, are one; a place is kept where there is only one
+        alike = cut.groupBy(*GROUP, "n", "off", "bytes").agg(F.sum("times").alias("times"), F.min(F.struct(*KEY, "at")).alias("one"), F.count("*").alias("rows"))
+        members = stored(spark, alike.select(*GROUP, "one.*", "n", "off", "times", "rows", "bytes"), "members")
+        again = members.filter("rows > 1").select(*GROUP, "n", "off", "bytes", "rows")
+        sure = _having(cut.filter("times = 1"), again, [*GROUP, "n", "off", "bytes"], "rows")
+        sure = sure.select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
+        sizes = stored(spark, members.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("times").alias("least")).filter("members > 1 and least = 1"), "collections")
+        full = F.col("members") > FULL if level + 1 < len(BLOCKS_OF) else F.lit(False)
+        fits = members.join(sizes.filter(~full).select(*GROUP), GROUP, "left_semi").drop("rows")
+        fits = fits.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP)
+        now = sure.union(fits.mapInArrow(lambda it: _compare(it, length), "d long, t long, lo int, hi int"))
+        found = now if found is None else found.union(now)
+        rest = sizes.filter(full).select(*GROUP, "members")
+        if rest.isEmpty():
+            break
+        runs = _having(members, rest, GROUP, "members").select("gram", *KEY, "at", "n", "off", "times", "bytes")
+    return found
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """``dk, lo, hi``: byte ranges covered by repeated strings, for each distinct text.
-    ``docs(dk, text)`` is read twice; ``dk`` numbers texts (see ``keyed``)."""
+    """``d, t, lo, hi``: byte ranges covered by repeated strings, for each row key of
+    ``docs(d, t, text)``, which is read twice (see ``keyed``)."""
     spark = docs.sparkSession
     runs = stored(spark, docs.mapInArrow(lambda it: _runs(it, length), RUNS), "runs")
     # most k-grams occur once; what follows is about the others
-    shared = runs.groupBy("gram").agg(F.count("*").alias("runs")).filter("runs > 1")
-    runs = stored(spark, runs.join(shared.select("gram"), "gram", "left_semi"), "shared-runs")
-    kinds = runs.groupBy("gram", "run").agg(F.count("*").alias("times"), F.min(F.struct("dk", "at", "n", "off")).alias("one"))
+    grams = stored(spark, runs.groupBy("gram").agg(F.count("*").alias("runs")).filter("runs > 1"), "shared-grams")
+    runs = stored(spark, _having(runs, grams, ["gram"], "runs"), "shared-runs")
+    same = ["gram", "run", "run2"]
+    kinds = runs.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "at", "n", "off")).alias("one"))
     kinds = stored(spark, kinds, "run-kinds")
-    whole = runs.join(kinds.filter("times > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("dk", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
-    asked = kinds.join(mixed, "gram").select("one.*", "gram", "members", (F.col("one.n") - 1 + length).alias("size"))
-    asked = asked.groupBy("dk").agg(F.collect_list(F.struct("gram", "at", "n", "size", "off", "members")).alias("runs"))
-    # a repeated row of the table gives its runs again; both ways below pass over them
-    texts = docs.join(asked, "dk").mapInArrow(_cut_out, "gram long, dk long, at int, n int, bytes binary, off int, members long")
-    texts = stored(spark, texts, "run-texts")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = texts.filter(F.col("members") <= WIDE).repartition(tasks, "gram").sortWithinPartitions("gram", "dk", "at")
-    small = small.mapInArrow(lambda it: _compare(it, length), "dk long, lo int, hi int")
-    spread = _spread_ranges(texts.filter(F.col("members") > WIDE).dropDuplicates(["gram", "dk", "at"]), length)
-    return whole.union(small).union(spread)
+    whole = _having(runs, kinds.filter("times > 1").select(*same, "times"), same, "times")
+    whole = whole.select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
+    mixed = stored(spark, kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1"), "mixed-grams")
+    asked = _having(kinds, mixed, ["gram"], "kinds").select("one.*", "gram", "times", (F.col("one.n") - 1 + length).alias("size"))
+    asked = stored(spark, asked.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "at", "n", "off", "times", "size")).alias("runs")), "asked")
+    texts = docs.join(asked, KEY).mapInArrow(_cut_out, "gram long, d long, t long, at int, n int, off int, times long, bytes binary")
+    # a repeated row of the table gives its runs again
+    return whole.union(_shared_ranges(texts.dropDuplicates(["gram", *KEY, "at"]), length))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +309,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``dk, doc_id, text``: dk numbers (doc_id, text) pairs, so that rows which repeat
-    both share their ranges."""
+    """``d, t, doc_id, text``: rows that repeat both id and text share their key, and so
+    their ranges."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(key.alias("d"), F.xxhash64(text, F.col("doc_id").isNull()).alias("t"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -303,12 +321,13 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     kept_sha256``.
 
     Null text is empty; rows that repeat one another are copies, and both lose what they
-    share; texts under ``length`` bytes lose nothing; an empty table gives no rows.
+    share; texts under ``length`` bytes lose nothing; an empty table gives no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
     tune(spark)
     rows = keyed(docs)
-    ranges = repeated_ranges(rows.select("dk", "text"), length)
+    ranges = repeated_ranges(rows.select(*KEY, "text"), length)
     # whole runs and starts overlap; ranges of a text are no more than its bytes
-    ranges = ranges.groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
-    return rows.join(ranges, "dk", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ranges = ranges.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    return rows.join(ranges, KEY, "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -140,14 +140,16 @@ def repeat_brute(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("wide", [120, 2])
-def test_repeats(spark, none, monkeypatch, wide):
-    monkeypatch.setattr(repeats, "WIDE", wide)
+@pytest.mark.parametrize("full", [20_000, 2])
+def test_repeats(spark, none, monkeypatch, full):
+    monkeypatch.setattr(repeats, "FULL", full)
     rng = np.random.default_rng(0)
     text = lambda n, a="abcdeé ": "".join(rng.choice(list(a), n))
     base = text(1500)
     rows = [(1, "a" * 700), (2, "b" * 200), (3, "b" * 199), (4, None), (5, ""), (6, base[:900]), (7, "x" + base[100:800] + "y"), (8, base[300:620] + "ab" * 200), (9, base[:900]), (9, base[:900]), (None, "é" * 250)]
     rows += [(20 + k, text(rng.integers(0, 150), "pqrs") + base[900 : 1300 - k] + text(rng.integers(0, 150), "pqrs")) for k in range(12)]
+    # near copies of one text: collections of more than 120 different members
+    rows += [(100 + k, base[:260] + base[260 : 300 + k % 7] + text(3) + base[400:640]) for k in range(150)]
     got = repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in got) == repeat_brute(rows, 200)
     assert repeats.remove_repeats(none).count() == 0
