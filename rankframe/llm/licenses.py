@@ -10,8 +10,10 @@ with the template's words gives the matched share of the template and the matche
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ MIN_COVERAGE, MIN_WORDS = 0.75, 3
 #: Characters of templates in one index sent to tasks; more templates are scanned in blocks.
 BLOCK_CHARS = 4_000_000
 
-SCHEMA = "doc_id long, template_id string, coverage double, matched_words long, start long, end long, spans string"
+SCHEMA = "doc_id long, template_id string, coverage double, matched_words long, start long, end long, spans string, best boolean"
 
 #: Common license notices.
 TEMPLATES: list[tuple[str, str]] = [
@@ -44,6 +46,36 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense-terms", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT-disclaimer", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("BSD-3-Clause-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-disclaimer", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSD-style-line", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("GPL-2.0-line", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CDDL", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.'),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."),
+    ("EUPL-1.2", 'Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the "Licence"); You may not use this work except in compliance with the Licence.'),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("ODbL-1.0", "is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-line", "Text is available under the Creative Commons Attribution-ShareAlike License"),
+    ("SPDX-MIT", "SPDX-License-Identifier: MIT"),
+    ("SPDX-Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("SPDX-GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("SPDX-GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("SPDX-BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
 
 _KEPT = np.zeros(256, bool)
@@ -87,6 +119,7 @@ class Index:
         self.hash, self.template, self.place = h[order], row[order], place[order]
         self.names = [n for n, _ in templates]
         self.words = [[w.lower() for w in _WORD.findall(r)] for r in raw]
+        self.joined = [b" %b " % b" ".join(w) for w in self.words]
         self.chars = np.diff(np.searchsorted(byte, offsets))
 
 
@@ -146,7 +179,12 @@ def _matches(text: bytes, byte: np.ndarray, begin: int, index: Index, template:
     # no alignment matches more words than the two have in common
     if (Counter(words) & Counter(w for _, _, w in found)).total() < max(min(MIN_WORDS, len(words)), MIN_COVERAGE * len(words)):
         return None
-    pairs = align(words, [w for _, _, w in found], band + len(lead))
+    place = (b" %b " % b" ".join([w for _, _, w in found])).find(index.joined[template])
+    if place >= 0:  # word for word
+        first = bisect_left(list(accumulate((len(w) + 1 for _, _, w in found), initial=0)), place)
+        pairs = [(i, first + i) for i in range(len(words))]
+    else:
+        pairs = align(words, [w for _, _, w in found], band + len(lead))
     if len(pairs) < min(MIN_WORDS, len(words)) or len(pairs) < MIN_COVERAGE * len(words):
         return None
     spans: list[list[int]] = []
@@ -193,32 +231,51 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Record
             slack = np.maximum(12, index.chars[template] // 8)
             new = _clusters(row, template, begin, slack)
             cut = np.searchsorted(byte, at)
-            found: dict[tuple[int, int], list[tuple]] = {}
+            matches: dict[int, list[tuple]] = {}
+            texts: dict[int, tuple[bytes, np.ndarray]] = {}
             for k in np.flatnonzero(new).tolist():
                 r, t = int(row[k]), int(template[k])
-                text = part[at[r] : at[r + 1]].tobytes()
-                got = _matches(text, byte[cut[r] : cut[r + 1]] - at[r], int(begin[k]), index, t)
+                if r not in texts:
+                    texts[r] = part[at[r] : at[r + 1]].tobytes(), byte[cut[r] : cut[r + 1]] - at[r]
+                got = _matches(*texts[r], int(begin[k]), index, t)
                 if got:
-                    found.setdefault((r, t), []).append(got)
-            for (r, t), many in found.items():
-                text = part[at[r] : at[r + 1]].tobytes()
-                taken: list[tuple[int, int]] = []
-                for got in sorted(many, key=lambda g: -g[0]):  # of places that overlap the best one stays
-                    lo, hi = got[2][0][0], got[2][-1][1]
-                    if any(lo < y and x < hi for x, y in taken):
+                    matches.setdefault(r, []).append((t, *got))
+            for r, many in matches.items():
+                raw = np.frombuffer(texts[r][0], np.uint8)
+                chars = np.concatenate([np.zeros(1, np.int64), np.cumsum((raw & 0xC0) != 0x80)])
+                taken, leaders = [Taken() for _ in index.names], Taken()
+                for t, coverage, n, where in sorted(many, key=lambda g: (-g[1], -g[2])):
+                    lo, hi = where[0][0], where[-1][1]
+                    if not taken[t].add(lo, hi):  # of places of a template that overlap the best one stays
                         continue
-                    taken.append((lo, hi))
-                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    spans = [(int(chars[s]), int(chars[e])) for s, e in got[2]]
-                    out.append((keys[a + r], index.names[t], got[0], got[1], spans[0][0], spans[-1][1], ",".join(f"{s}:{e}" for s, e in spans)))
-        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    spans = [(int(chars[s]), int(chars[e])) for s, e in where]
+                    out.append((keys[a + r], index.names[t], coverage, n, spans[0][0], spans[-1][1], ",".join(f"{s}:{e}" for s, e in spans), leaders.add(lo, hi)))
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         columns = list(zip(*out)) if out else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "template_id", "coverage", "matched_words", "start", "end", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "template_id", "coverage", "matched_words", "start", "end", "spans", "best"])
+
+
+class Taken:
+    """Ranges that don't overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, lo: int, hi: int) -> bool:
+        """Adds a range unless it overlaps one that is there."""
+        k = bisect_left(self.starts, hi)
+        if k and self.ends[k - 1] > lo:
+            return False
+        self.starts.insert(k, lo)
+        self.ends.insert(k, hi)
+        return True
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per match in ``docs(doc_id, text)``: ``doc_id, template_id, coverage,
-    matched_words, start, end, spans`` (code points, ends exclusive).
+    matched_words, start, end, spans`` (code points, ends exclusive) and ``best``, true
+    where no better match of another template overlaps (in blocks of templates: of its block).
 
     Null and empty texts match nothing; a template that a text repeats gives a row per
     place; repeated rows give repeated matches; an empty table or list gives no rows;

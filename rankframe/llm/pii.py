@@ -4,7 +4,10 @@ Base spans come from the source text. A chain of transducers then rewrites disgu
 (look-alike characters, spelled digits, words and brackets for ``@`` and ``.``) while it
 keeps, for every character it writes, the range of source characters it stands for. The
 same detectors run over the rewritten text and their spans are mapped back to source
-characters. A mapped span is added if it used a rewriting and touches no base span.
+characters. A mapped span is added if it used a rewriting and does not lie inside a base
+span; base spans stay. Two limits are part of the rules: letters that pass for digits
+(``O``, ``l``) are read as such in runs of at most 42 characters, and a bare ``at`` counts
+only before a disguised dot and a known last label.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,22 +100,28 @@ DIGIT_NAMES = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
-_DOT_WORD = r"(?:[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>]|(?:(?<=\s)|(?<=-))(?:dot|punkt|point|punto)(?=\s|-))"
-_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?{_NAME}(?:[\s,-]{{1,3}}(?:{_DOT_WORD}[\s-]{{1,3}})?{_NAME}){{3,}}(?!\w)")
-_SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<name>{_NAME})(?!\w)|(?P<dot>dot|punkt|point|punto|\.)|(?P<skip>.)", re.S)
+_DOT_NAME = "(?:dot|punkt|point|punto)"
+_DOT_SIGN = rf"(?:[\[({{<] ?(?:{_DOT_NAME}|\.) ?[\])}}>]|(?<=[\s-]){_DOT_NAME}(?=[\s-]))"
+_UNIT = rf"(?:{_NAME}(?!\w)|[0-9]+)"
+_SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]{{1,3}})?{_UNIT}(?:(?:[\s-]{{0,3}}{_DOT_SIGN}[\s-]{{0,3}}|[\s,.()-]{{1,3}}){_UNIT}){{2,}}(?!\w)")
+_SPELLED_HINT = re.compile(rf"(?i)(?<!\w){_NAME}(?!\w)|[0-9][\s-]{{0,3}}{_DOT_SIGN}")
+_SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[\s-]{{1,3}})|(?P<name>{_NAME})(?!\w)|(?P<digits>[0-9]+)|(?P<dot>[\s-]{{0,3}}{_DOT_SIGN}[\s-]{{0,3}})|(?P<gap>[\s,.()-]{{1,3}})")
 
 _LABEL = r"[A-Za-z0-9-]+"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+)"
-_AT_BRACKET = r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*"
-_LOCAL_PART = rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,3}}"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_NAME}|\.)\s*[\])}}>]\s*|\s+{_DOT_NAME}\s+)"
 #: Last labels of domains that are spelled out without any sign.
 TOP_LABELS = frozenset("com org net edu gov info biz io de fr es uk us eu co me ai dev app ch at it nl be ru cn jp br mx ca au in".split())
-# a bare "at" is a common word: it counts only with a disguised dot after it
-_DISGUISED_AT = re.compile(rf"(?i)(?:{_AT_BRACKET}(?={_LABEL}(?:\.|{_DOT}){_LABEL})|\s+(?:at|arroba)\s+(?={_LABEL}{_DOT}{_LABEL})|@(?={_LABEL}{_DOT}{_LABEL}))")
-_LOCAL_BEFORE = re.compile(rf"(?i)(?<![A-Za-z0-9_%+-]){_LOCAL_PART}\Z")
-_DOMAIN_AFTER = re.compile(rf"(?i){_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{1,6}}")
+# every alternative begins with a sign or a word, so runs of blanks are passed over once
+_DISGUISED_AT = re.compile(
+    rf"(?i)[\[({{<]\s*(?:at|arroba|@)\s*[\])}}>]\s*(?={_LABEL}(?:\.|{_DOT}){_LABEL})"
+    # a bare "at" is a common word: it counts only with a disguised dot after it
+    rf"|(?P<bare>(?<=\s)(?:at|arroba)\s+)(?={_LABEL}{_DOT}{_LABEL})|@(?={_LABEL}{_DOT}{_LABEL})"
+)
+_DOMAIN_AFTER = re.compile(rf"(?i){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+")
 _DOT_ONLY = re.compile(rf"(?i){_DOT}")
-_AT_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|arroba|@)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s|[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]")
+_AT_HINT = re.compile(rf"(?i)[\[({{<]\s*(?:at|arroba|@)\s*[\])}}>]|\s{_DOT_NAME}\s|[\[({{<]\s*(?:{_DOT_NAME}|\.)\s*[\])}}>]")
+_LOCAL_LABEL = _LOCAL - {"."}
+_DOT_NAMES = ("dot", "punkt", "point", "punto")
 
 _LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI][0-9OolI ().-]{8,40}[0-9OolI](?![A-Za-z0-9])")
 _AS_DIGIT = str.maketrans("OolI", "0011")
@@ -157,12 +167,20 @@ def undo_lookalikes(tape: Tape) -> Tape:
 
 
 def undo_spelled_digits(tape: Tape) -> Tape:
+    """Spelled digits next to digits or other spelled digits, and dots written out between them."""
     edits = []
     for m in _SPELLED.finditer(tape.text):
+        before, gap = "", None
         for p in _SPELLED_PART.finditer(m[0]):
-            a, b = m.start() + p.start(), m.start() + p.end()
-            new = {"plus": "+", "name": DIGIT_NAMES.get(p[0].lower(), ""), "dot": ".", "skip": ""}[p.lastgroup]
-            edits.append((a, b, new))
+            a, b, kind = m.start() + p.start(), m.start() + p.end(), p.lastgroup
+            if kind == "gap":
+                gap = (a, b)
+                continue
+            if kind == "name" and before == "name" and gap:
+                edits.append((*gap, ""))  # "five five" is 55
+            if kind != "digits":
+                edits.append((a, b, {"plus": "+", "name": DIGIT_NAMES.get(p[0].lower(), ""), "dot": "."}[kind]))
+            before, gap = kind, None
     return tape.rewritten(edits)
 
 
@@ -175,31 +193,76 @@ def undo_lettered_digits(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
+def _blanks_before(text: str, at: int, floor: int) -> int:
+    while at > floor and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, at: int, floor: int) -> int | None:
+    """Where a disguised dot that ends at ``at`` begins."""
+    a = _blanks_before(text, at, floor)
+    closed = a > floor and text[a - 1] in "])}>"
+    if not closed and a == at:
+        return None
+    word_end = _blanks_before(text, a - 1, floor) if closed else a
+    name = next((n for n in (*_DOT_NAMES, *("." if closed else "")) if text[max(floor, word_end - len(n)) : word_end].lower() == n), None)
+    if name is None:
+        return None
+    a = word_end - len(name)
+    b = _blanks_before(text, a, floor)
+    if not closed:
+        return b if b < a else None
+    return _blanks_before(text, b - 1, floor) if b > floor and text[b - 1] in "[({<" else None
+
+
+def _local_before(text: str, end: int, floor: int) -> tuple[int, list[tuple[int, int]]]:
+    """Start of the local part that ends at ``end`` (``end``: none) and its disguised dots."""
+    start, dots, waiting, at = end, [], [], end
+    while True:
+        a = at
+        while a > floor and text[a - 1] in _LOCAL_LABEL:
+            a -= 1
+        if a == at:
+            return start, dots
+        start, dots = a, dots + waiting
+        if a > floor and text[a - 1] == ".":
+            waiting, at = [], a - 1
+            continue
+        dot = _dot_before(text, a, floor)
+        if dot is None:
+            return start, dots
+        waiting, at = [(dot, a)], dot
+
+
 def undo_at_and_dot(tape: Tape) -> Tape:
     edits, text, end = [], tape.text, 0
     for m in _DISGUISED_AT.finditer(text):
-        back = max(end, m.start() - 300)
-        local = _LOCAL_BEFORE.search(text[back : m.start()])
-        if not local or m.start() < end:
+        if m.start() < end:
+            continue
+        left = _blanks_before(text, m.start(), end)
+        start, dots = _local_before(text, left, end)
+        if start == left:
             continue
         domain = _DOMAIN_AFTER.match(text, m.end())
-        if m[0].strip().lower() in ("at", "arroba") and re.split(r"[^A-Za-z0-9]+", domain[0])[-1].lower() not in TOP_LABELS:
+        if m["bare"] and re.split(r"[^A-Za-z0-9]+", domain[0])[-1].lower() not in TOP_LABELS:
             continue
-        for d in _DOT_ONLY.finditer(local[0]):
-            edits.append((back + local.start() + d.start(), back + local.start() + d.end(), "."))
-        edits.append((m.start(), m.end(), "@"))
-        for d in _DOT_ONLY.finditer(domain[0]):
-            edits.append((m.end() + d.start(), m.end() + d.end(), "."))
+        edits += [(a, b, ".") for a, b in reversed(dots)]
+        edits.append((left, m.end(), "@"))
+        edits += [(m.end() + d.start(), m.end() + d.end(), ".") for d in _DOT_ONLY.finditer(domain[0])]
         end = domain.end()
     return tape.rewritten(edits)
 
 
+_DASHES = frozenset("‐‑‒–—−﹣")
+
+
 def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows, in source characters."""
     tape = source = Tape(text)
     if _ODD.search(text):
         tape = undo_lookalikes(tape)
-    if _SPELLED.search(tape.text):
+    if _SPELLED_HINT.search(tape.text):
         tape = undo_spelled_digits(tape)
     if _LETTERED.search(tape.text):
         tape = undo_lettered_digits(tape)
@@ -207,11 +270,18 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
         tape = undo_at_and_dot(tape)
     if tape is source:
         return []
-    out, taken = [], base
+    starts, reach = [s for s, _, _ in base], [0]
+    for _, _, e in base:
+        reach.append(max(reach[-1], e))
+    out = []
     for s, kind, e in detect(tape.text):
         a, b = tape.start[s], tape.end[e - 1]
-        if text[a:b] != tape.text[s:e] and not any(x < b and a < y for x, _, y in taken):
-            out.append((a, kind, b))
+        if text[a:b] == tape.text[s:e] or reach[bisect_right(starts, a)] >= b:
+            continue
+        # a dash between words isn't part of the address after it
+        if kind == 0 and reach[bisect_left(starts, b)] > a and _DASHES.intersection(text[a:b]):
+            continue
+        out.append((a, kind, b))
     return out
 
 

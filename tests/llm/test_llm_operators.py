@@ -308,6 +308,12 @@ def test_pii_base_on_random_texts():
     ("call plus one five five five one two three four five six seven", "plus one five five five one two three four five six seven"),
     ("ip one nine two dot one six eight dot zero dot one ok", "one nine two dot one six eight dot zero dot one"),
     ("ab@x​.org", "ab@x​.org"),
+    ("mail jоhn.smith@example.com", "jоhn.smith@example.com"),
+    ("user@example.c​om", "user@example.c​om"),
+    ("call +1 415 five five five 0132 now", "+1 415 five five five 0132"),
+    ("plus 4 nine one 7 0 1 two 3 4 five 6", "plus 4 nine one 7 0 1 two 3 4 five 6"),
+    ("192[.]168[dot]0 dot 17", "192[.]168[dot]0 dot 17"),
+    ("a_very" + "y" * 200 + ".b.c.d.e.f [at] one.two.three.four.five.six.seven.com", "a_very" + "y" * 200 + ".b.c.d.e.f [at] one.two.three.four.five.six.seven.com"),
 ])
 def test_pii_disguises(text, want):
     base, full = pii.scan(text)
@@ -320,9 +326,39 @@ def test_pii_leaves_plain_text(text):
     assert pii.scan(text) == ([], [])
 
 
-@pytest.mark.parametrize("unit", ["1", "a.", "@", "one ", "1.1.", "a dot ", "O0", "a at ", "+1(", "[at] "])
+@pytest.mark.parametrize("unit", ["1", "a.", "@", "one ", "1.1.", "a dot ", "O0", "a at ", "+1(", "[at] ", " ", "\t[", "a  dot  ", "1 dot "])
 def test_pii_long_texts(unit):
-    pii.scan(unit * 30_000)
+    import time
+
+    start = time.time()
+    pii.scan((unit * 1_000_000)[:1_000_000] + "x a [at] b.com")
+    assert time.time() - start < 30
+
+
+def test_pii_recall_on_random_disguises():
+    """Identifiers disguised at random come back as their whole source spans."""
+    rng = np.random.default_rng(6)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    odd = {"a": "а", "o": "о", "e": "е", "i": "і", "c": "с", "p": "р"}
+    found = 0
+    for _ in range(400):
+        kind = int(rng.integers(4))
+        if kind == 0:
+            dot, at = pick([" dot ", "[dot]", " [.] ", "(punkt)"]), pick([" [at] ", "(at)", " {at} ", "[@]"])
+            value = f"{pick(['ana', 'joe', 'max'])}{dot}{pick(['lee', 'kim'])}{at}{pick(['mail', 'post'])}{dot}{pick(['com', 'org'])}"
+        elif kind == 1:
+            plain = f"{pick(['ana', 'joe', 'piece'])}.{pick(['cole', 'price'])}@{pick(['example', 'office'])}.com"
+            value = "".join(odd.get(c, c) if rng.random() < 0.4 else c for c in plain[:-4]) + plain[-4:]
+            if value == plain:
+                value = "\u0430" + plain
+        elif kind == 2:
+            value = "plus " + " ".join(names[int(d)] if rng.random() < 0.7 else str(d) for d in rng.integers(0, 10, 11)) + " five"
+        else:
+            value = pick([" dot ", "[.]", " [dot] "]).join(str(x) for x in rng.integers(1, 255, 4))
+        text = f"some words: {value} and others, é"
+        found += any(text[s:e] == value for s, _, e in pii.scan(text)[1])
+    assert found >= 396, found
 
 
 def test_pii_rows(edge, none):
