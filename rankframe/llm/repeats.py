@@ -45,6 +45,13 @@ SALT = [k.to_bytes(2, "little") for k in range(1 << 16)]
 #: A document row is known by its id (``d``) and a hash of its text (``t``).
 KEY = ["d", "t"]
 RUNS = "d long, t long, at int, n int, gram long, run long, run2 long, off int"
+#: Members of one collection agree in these.
+GROUP = ["gram", "block", "region"]
+#: A run is known by these, with ``start`` its first start.
+RUN = ["gram", *KEY, "start"]
+#: Equal members agree in these.
+ALIKE = [*GROUP, "n", "off", "same", "same2"]
+MEMBERS = "gram long, block int, region long, n int, off int, same long, same2 long, d long, t long, start int, at int, times long"
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -183,7 +190,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with a list of runs in; the runs with their bytes out."""
-    names = ["gram", *KEY, "at", "n", "off", "times", "bytes"]
+    names = [*RUN, "n", "off", "times", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
@@ -197,27 +204,23 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-MEMBERS = "gram long, block int, region long, d long, t long, at int, n int, off int, times long, bytes binary"
-#: Members of one collection agree in these.
-GROUP = ["gram", "block", "region"]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterator[pa.RecordBatch]:
     """Runs, or members of larger blocks, cut into blocks of ``size`` starts. Strings that
     start ``block * size`` to ``(block + 1) * size - 1`` bytes before the k-gram all hold
-    the bytes that ``region`` is a hash of."""
-    names = ["gram", "block", "region", *KEY, "at", "n", "off", "times", "bytes"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    the bytes that ``region`` is a hash of; ``same`` is a 128-bit digest of a member."""
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in MEMBERS.split(", ")]
     for batch in batches:
         out = []
-        for gram, d, t, at, n, off, times, raw in zip(*[batch.column(c).to_pylist() for c in ("gram", *KEY, "at", "n", "off", "times", "bytes")]):
+        for gram, d, t, start, at, n, off, times, raw in zip(*[batch.column(c).to_pylist() for c in (*RUN, "at", "n", "off", "times", "bytes")]):
             k = 0
             while k < n:
                 block = (off - k) // size
                 last = min(n - 1, off - block * size)  # the block's start nearest to the k-gram
                 lo, hi = off - block * size, off + length - (block * size + size - 1)
                 region = int.from_bytes(blake2b(raw[lo:hi], digest_size=8).digest(), "little", signed=True)
-                out.append((gram, block, region, d, t, at + k, last - k + 1, off - k, times, raw[k : last + length]))
+                same = blake2b(raw[k : last + length], digest_size=16).digest()
+                out.append((gram, block, region, last - k + 1, off - k, int.from_bytes(same[:8], "little", signed=True), int.from_bytes(same[8:], "little", signed=True), d, t, start, at + k, times))
                 k = last + 1
         columns = list(zip(*out)) if out else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
@@ -234,30 +237,34 @@ def _having(rows: DataFrame, keys: DataFrame, on: list[str], total: str) -> Data
     return marked.filter("hot").drop("hot").unionByName(marked.filter("hot is null").drop("hot").join(cold, on, "left_semi"))
 
 
-def _shared_ranges(runs: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges ``d, t, lo, hi`` of different runs that share a k-gram; ``runs`` has
-    each different run once, with its bytes and the times it occurs."""
-    spark = runs.sparkSession
+def _shared_ranges(texts: DataFrame, length: int) -> DataFrame:
+    """Repeated ranges ``d, t, lo, hi`` of different runs that share a k-gram; the written
+    table ``texts`` has each different run once, with its bytes and the times it occurs."""
+    spark = texts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = None
+    runs, found = texts.withColumn("at", F.col("start")), None
     for level, size in enumerate(BLOCKS_OF):
         cut = stored(spark, runs.mapInArrow(lambda it, size=size: _blocks(it, size, length), MEMBERS), "blocks")
-        # equal members, by their bytes, are one; a place is kept where there is only one
-        alike = cut.groupBy(*GROUP, "n", "off", "bytes").agg(F.sum("times").alias("times"), F.min(F.struct(*KEY, "at")).alias("one"), F.count("*").alias("rows"))
-        members = stored(spark, alike.select(*GROUP, "one.*", "n", "off", "times", "rows", "bytes"), "members")
-        again = members.filter("rows > 1").select(*GROUP, "n", "off", "bytes", "rows")
-        sure = _having(cut.filter("times = 1"), again, [*GROUP, "n", "off", "bytes"], "rows")
+        # equal members are one; a place is kept where there is only one
+        alike = cut.groupBy(*ALIKE).agg(F.sum("times").alias("times"), F.min(F.struct(*KEY, "start", "at")).alias("one"), F.count("*").alias("rows"))
+        members = stored(spark, alike.select(*ALIKE, "one.*", "times", "rows"), "members")
+        sure = _having(cut.filter("times = 1"), members.filter("rows > 1").select(*ALIKE, "rows"), ALIKE, "rows")
         sure = sure.select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
-        sizes = stored(spark, members.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("times").alias("least")).filter("members > 1 and least = 1"), "collections")
+        sizes = members.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("times").alias("least")).filter("members > 1 and least = 1")
+        sizes = stored(spark, sizes.select(*GROUP, "members"), "collections")
+        open_ = stored(spark, members.join(sizes, GROUP).drop("rows"), "open-members")
         full = F.col("members") > FULL if level + 1 < len(BLOCKS_OF) else F.lit(False)
-        fits = members.join(sizes.filter(~full).select(*GROUP), GROUP, "left_semi").drop("rows")
+        # only now the bytes
+        whole = texts.select(*RUN, F.col("bytes"))
+        bytes_ = F.expr(f"substring(bytes, at - start + 1, n - 1 + {length})").alias("bytes")
+        fits = open_.filter(~full).join(whole, RUN).select(*GROUP, *KEY, "at", "n", "off", "times", bytes_)
         fits = fits.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP)
         now = sure.union(fits.mapInArrow(lambda it: _compare(it, length), "d long, t long, lo int, hi int"))
         found = now if found is None else found.union(now)
-        rest = sizes.filter(full).select(*GROUP, "members")
+        rest = open_.filter(full)
         if rest.isEmpty():
             break
-        runs = _having(members, rest, GROUP, "members").select("gram", *KEY, "at", "n", "off", "times", "bytes")
+        runs = rest.join(whole, RUN).select(*RUN, "at", "n", "off", "times", bytes_)
     return found
 
 
@@ -277,9 +284,10 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     mixed = stored(spark, kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1"), "mixed-grams")
     asked = _having(kinds, mixed, ["gram"], "kinds").select("one.*", "gram", "times", (F.col("one.n") - 1 + length).alias("size"))
     asked = stored(spark, asked.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "at", "n", "off", "times", "size")).alias("runs")), "asked")
-    texts = docs.join(asked, KEY).mapInArrow(_cut_out, "gram long, d long, t long, at int, n int, off int, times long, bytes binary")
+    texts = docs.join(asked, KEY).mapInArrow(_cut_out, "gram long, d long, t long, start int, n int, off int, times long, bytes binary")
     # a repeated row of the table gives its runs again
-    return whole.union(_shared_ranges(texts.dropDuplicates(["gram", *KEY, "at"]), length))
+    texts = stored(spark, texts.dropDuplicates(RUN), "run-texts")
+    return whole.union(_shared_ranges(texts, length))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
