@@ -70,6 +70,21 @@ def calculate(expression: str) -> str:
     return str(value)
 
 
+def calculate_column(expression):
+    """``calculate`` of a column in Arrow batches; null where there is nothing to calculate."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else calculate(text)
+        except (ValueError, ArithmeticError):
+            return None
+
+    run = F.pandas_udf(lambda texts: pd.Series([one(t) for t in texts]), "string")
+    return run(expression)
+
+
 def literals(text: str) -> list | None:
     """Literal arguments of a call, or None."""
     try:

@@ -23,9 +23,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased words; everything but letters, digits, ``_`` and space parts them. Null: no words."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"(?U)[^\w\s]", " ")
-    return F.filter(F.split(spaced, r"(?U)\s+"), lambda x: x != "")
+    """Lower-cased words, runs of letters, digits and ``_``. Null: no words."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(r"(?U)\w+"), 0)
 
 
 def non_empty(x: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankframe.functions.arithmetic import evaluate, literals
+from rankframe.functions.code import code_column
 from rankframe.functions.text import TRIGGERS, after_trigger, last_line, let, number, strip, strip_think, within_eps
 
 #: Calculators whose answers are dates, an age in weeks and days, or integers.
@@ -282,17 +285,60 @@ def score_theorem(extracted: Column, answer: Column, answer_type: Column) -> Col
 # ---- all datasets ------------------------------------------------------------------------
 
 
-def evaluate_answers(records: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+Judge = Callable[[Column], tuple[Column, Column]]
+
+
+def judge_toolqa(text: Column) -> tuple[Column, Column]:
+    x = extract_toolqa(text)
+    return x, score_toolqa(x, F.col("answer")) != "none"
+
+
+def judge_logic(text: Column) -> tuple[Column, Column]:
+    x = F.when(F.coalesce("task_type", F.lit("BQA")) == "BQA", extract_yes_no(text)).otherwise(extract_choice(text, F.col("question")))
+    return x, score_logic(x, F.col("answer"))
+
+
+def judge_medcalc(text: Column) -> tuple[Column, Column]:
+    kind, calc = F.coalesce("output_type", F.lit("decimal")), F.coalesce("calculator_id", F.lit(0))
+    x = extract_medcalc(text, kind, calc)
+    return x, score_medcalc(x, F.col("answer"), kind, calc, F.col("lower_limit"), F.col("upper_limit"))
+
+
+def judge_champ(text: Column) -> tuple[Column, Column]:
+    x = extract_champ(text)
+    return x, score_champ(x, F.col("answer")) != "none"
+
+
+def judge_theorem(text: Column) -> tuple[Column, Column]:
+    x = extract_theorem(text)
+    return x, score_theorem(x, F.col("answer"), F.coalesce("answer_type", F.lit("float")))
+
+
+def judge_code(text: Column) -> tuple[Column, Column]:
+    """The code that the entry point needs; it isn't run, so nothing counts as right."""
+    return code_column(text, F.col("entry_point")), F.lit(False)
+
+
+#: What each dataset's answers are extracted and judged by.
+JUDGES: dict[str, Judge] = {"toolqa": judge_toolqa, "logicbench": judge_logic, "medcalcbench": judge_medcalc, "champ": judge_champ, "theoremqa": judge_theorem, "bigcodebench": judge_code}
+
+
+def evaluate_answers(records: DataFrame, instances: DataFrame, judges: dict[str, Judge] | None = None) -> tuple[DataFrame, DataFrame]:
     """Details of ``records(instance_id, raw_output)`` joined with ``instances(instance_id,
     dataset, question, answer, answer_type, task_type, output_type, calculator_id,
-    lower_limit, upper_limit)``, and the records without an instance."""
+    lower_limit, upper_limit, entry_point)``, and the records without an instance. A dataset
+    without a judge stops the run with an error."""
+    judges = JUDGES if judges is None else judges
+    if "entry_point" not in instances.columns:
+        instances = instances.withColumn("entry_point", F.lit(None).cast("string"))
     rows = records.join(instances, "instance_id").withColumn("text", strip_think("raw_output"))
-    t, d, kind, calc = F.col("text"), F.col("dataset"), F.coalesce("output_type", F.lit("decimal")), F.coalesce("calculator_id", F.lit(0))
-    logic = F.when(F.coalesce("task_type", F.lit("BQA")) == "BQA", extract_yes_no(t)).otherwise(extract_choice(t, F.col("question")))
-    got = F.when(d == "toolqa", extract_toolqa(t)).when(d == "logicbench", logic).when(d == "medcalcbench", extract_medcalc(t, kind, calc)).when(d == "champ", extract_champ(t)).when(d == "theoremqa", extract_theorem(t))
-    rows = rows.withColumn("extracted_answer", got)
-    x, a = F.col("extracted_answer"), F.col("answer")
-    right = F.when(d == "toolqa", score_toolqa(x, a) != "none").when(d == "logicbench", score_logic(x, a)).when(d == "medcalcbench", score_medcalc(x, a, kind, calc, F.col("lower_limit"), F.col("upper_limit")))
-    right = right.when(d == "champ", score_champ(x, a) != "none").when(d == "theoremqa", score_theorem(x, a, F.coalesce("answer_type", F.lit("float"))))
-    details = rows.select("instance_id", "dataset", F.col("answer").alias("ground_truth"), "extracted_answer", F.coalesce(right, F.lit(False)).alias("correct"))
+    details = None
+    for name, judge in judges.items():
+        answer, right = judge(F.col("text"))
+        part = rows.filter(F.col("dataset") == name).withColumn("extracted_answer", answer)
+        part = part.select("instance_id", "dataset", F.col("answer").alias("ground_truth"), "extracted_answer", F.coalesce(right, F.lit(False)).alias("correct"))
+        details = part if details is None else details.unionByName(part)
+    known = F.coalesce(F.col("dataset").isin(*judges), F.lit(False))
+    stop = rows.filter(~known).select("instance_id", F.raise_error(F.concat(F.lit("no judge for dataset "), F.coalesce("dataset", F.lit("null")))).cast("string").alias("dataset"))
+    details = details.unionByName(stop.select("instance_id", "dataset", *[F.lit(None).cast("string").alias(c) for c in ("ground_truth", "extracted_answer")], F.lit(False).alias("correct")))
     return details, records.join(instances, "instance_id", "left_anti")

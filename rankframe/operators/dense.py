@@ -89,12 +89,19 @@ def _nearest(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarra
             yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "cluster_id": ids[at], "score": scores[np.arange(len(at)), at]})
 
 
+#: Numbers in the centres that are sent to tasks.
+CENTER_NUMBERS = 8_000_000
+
+
 def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """``doc_id, cluster_id, score``: each row's centre of greatest dot product; ties go to
     the least id. ``centers(cluster_id, vec)``, as many as clusters were fitted, are sent to
-    every task."""
-    found = sorted((r["cluster_id"], r["vec"]) for r in centers.select("cluster_id", "vec").collect())
-    if not found:
+    every task, up to ``CENTER_NUMBERS`` numbers; more are refused."""
+    numbers = centers.agg(F.sum(F.size("vec"))).first()[0]
+    if not numbers:
         raise ValueError("no centres")
+    if numbers > CENTER_NUMBERS:
+        raise ValueError(f"{numbers} numbers in the centres; at most {CENTER_NUMBERS} are sent to tasks")
+    found = sorted((r["cluster_id"], r["vec"]) for r in centers.select("cluster_id", "vec").collect())
     sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in found], np.int64), np.array([v for _, v in found], np.float64)))
     return rows.select("doc_id", "vec").mapInPandas(lambda it: _nearest(it, *sent.value), "doc_id long, cluster_id long, score double")

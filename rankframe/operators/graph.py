@@ -3,14 +3,17 @@ passage weights and personalized PageRank; one plan for all queries."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankframe.functions.text import attribute_overlap, occurrences
-from rankframe.operators.dense import dense_topk
-from rankframe.operators.lineage import cut
+from rankframe.functions.text import asks_attribute, attribute_overlap
+from rankframe.operators.dense import dense_scores, dense_topk, dot
+from rankframe.operators.lineage import cut, stored
 from rankframe.operators.ranking import maybe_broadcast, min_max, ranked
+from rankframe.sources.io import dense_ids
 
 #: Defaults of the method: expansion threshold, sentences an entity, hops, passage ratio,
 #: node weight, damping, attribute boost.
@@ -41,24 +44,58 @@ def mentions(docs: DataFrame) -> DataFrame:
     return sentences(docs).select(F.explode(entities("sentence")).alias("entity"), "sentence_id").distinct()
 
 
+#: Characters times entities of a text from which all entities are counted in one pass.
+ONE_PASS = 4_000_000
+
+
+def _occurrences(text: str, names: list[str]) -> list[int]:
+    """Occurrences of each name that don't overlap, from the left."""
+    if len(text) * len(names) < ONE_PASS:
+        return [text.count(x) for x in names]
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, x in enumerate(names):
+        automaton.add_word(x, i)
+    automaton.make_automaton()
+    n, free = [0] * len(names), [0] * len(names)  # free: where the next one may begin
+    for last, i in automaton.iter(text):
+        if last + 1 - len(names[i]) >= free[i]:
+            n[i] += 1
+            free[i] = last + 1
+    return n
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, entity, n, share = [], [], [], []
+        for d, text, names in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "names")]):
+            if names:
+                found = _occurrences(text, names)
+                total = sum(found)
+                doc += [d] * len(names)
+                entity += names
+                n += found
+                share += [x / total for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(entity, pa.string()), pa.array(n, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "entity", "n", "weight"])
+
+
 def mention_edges(docs: DataFrame) -> DataFrame:
     """``doc_id, entity, n, weight``: occurrences of an entity in a passage that names it,
     and their share among the passage's entities."""
-    each = docs.select("doc_id", "text", F.explode(entities("text")).alias("entity"))
-    each = each.select("doc_id", "entity", occurrences("text", "entity").alias("n"))
-    return each.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", entities("text").alias("names"))
+    return named.mapInArrow(_edges, "doc_id long, entity string, n int, weight double")
 
 
 def adjacency_edges(docs: DataFrame) -> DataFrame:
-    """``src, dst, weight``: each passage and the next by id. Ids that follow each other at
-    once are found by a join; only gaps need an ordered pass, range by range."""
-    ids = docs.select("doc_id").distinct()
-    direct = ids.alias("a").join(ids.alias("b"), F.col("a.doc_id") + 1 == F.col("b.doc_id")).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"))
-    open_end = ids.join(direct.select(F.col("src").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("end"))
-    open_start = ids.join(direct.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("end"))
-    follow = F.lead("doc_id").over(Window.orderBy("doc_id", "end"))
-    gaps = open_start.union(open_end).withColumn("dst", follow).filter("end = 1 and dst is not null").select(F.col("doc_id").alias("src"), "dst")
-    return direct.union(gaps).withColumn("weight", F.lit(1.0))
+    """``src, dst, weight``: each passage and the next by id, found inside ranges of ids;
+    ranges are joined by their ends."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = stored(docs.select("doc_id").distinct().repartitionByRange(tasks, "doc_id").withColumn("part", F.spark_partition_id()), "id-ranges")
+    inside = ids.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")).alias("dst"))
+    ends = ids.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("src"))
+    between = ends.select("src", F.lead("first").over(Window.orderBy("part")).alias("dst"))  # one row a range
+    return inside.union(between).filter("dst is not null").withColumn("weight", F.lit(1.0))
 
 
 def graph_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +115,26 @@ def seed_entities(question: DataFrame, corpus: DataFrame) -> DataFrame:
     return best.select(F.col("query_id").alias("seed_id"), F.col("doc_id").alias("entity_id"), "score")
 
 
-def propagate(seeds: DataFrame, mention: DataFrame, similarity: DataFrame, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
+#: ``query_id, sentence_id, sim`` of all pairs, or a function that adds ``sim`` to given pairs.
+Similarity = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def cosine_of(query_vectors: DataFrame, sentence_vectors: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Similarity of the asked pairs only; ``(query_id, vec)``, ``(sentence_id, vec)``."""
+
+    def add(pairs: DataFrame) -> DataFrame:
+        rows = pairs.select("query_id", "sentence_id").distinct().join(query_vectors.select("query_id", F.col("vec").alias("qv")), "query_id")
+        rows = rows.join(sentence_vectors.select("sentence_id", F.col("vec").alias("sv")), "sentence_id")
+        return rows.select("query_id", "sentence_id", F.round(dot("qv", "sv"), 6).alias("sim"))
+
+    return add
+
+
+def _with_similarity(pairs: DataFrame, similarity: Similarity) -> DataFrame:
+    return pairs.join(similarity if isinstance(similarity, DataFrame) else similarity(pairs), ["query_id", "sentence_id"])
+
+
+def propagate(seeds: DataFrame, mention: DataFrame, similarity: Similarity, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
     """Set-based propagation: ``query_id, entity_id, score, tier``.
 
     ``seeds(query_id, entity_id, score)``, ``mention(entity_id, sentence_id)``,
@@ -91,9 +147,10 @@ def propagate(seeds: DataFrame, mention: DataFrame, similarity: DataFrame, hops:
     gained = active.withColumn("tier", F.lit(1))
     used = None
     for hop in range(1, hops + 1):
-        linked = active.filter(F.col("score") >= threshold).join(mention, "entity_id").join(similarity, ["query_id", "sentence_id"])
+        linked = active.filter(F.col("score") >= threshold).join(mention, "entity_id")
         if used is not None:
             linked = linked.join(used, ["query_id", "sentence_id"], "left_anti")
+        linked = stored(_with_similarity(linked, similarity), "linked")
         order = Window.partitionBy("query_id", "entity_id").orderBy(F.desc(F.round("sim", 6)), "sentence_id")
         taken = linked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select("query_id", "sentence_id").distinct()
         strength = linked.join(taken, ["query_id", "sentence_id"], "left_semi").groupBy("query_id", "sentence_id").agg(F.sum("score").alias("act"), F.first("sim").alias("sim"))
@@ -132,7 +189,7 @@ def _bfs(rows: pd.DataFrame, hops: int, threshold: float, top: int) -> pd.DataFr
     return pd.DataFrame({"query_id": query, "entity_id": list(score), "score": list(score.values()), "tier": [tier[e] for e in score]})
 
 
-def propagate_in_order(seeds: DataFrame, mention: DataFrame, similarity: DataFrame, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
+def propagate_in_order(seeds: DataFrame, mention: DataFrame, similarity: Similarity, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
     """Order-dependent propagation: entities in ascending order, a sentence is used once a
     query, and only gains at the threshold count. A query's rows are the links of entities
     within ``hops`` of its seeds, so a group is one query's neighbourhood."""
@@ -140,7 +197,7 @@ def propagate_in_order(seeds: DataFrame, mention: DataFrame, similarity: DataFra
     for _ in range(hops):
         around = near.join(mention, "entity_id").select("query_id", "sentence_id").distinct().join(mention, "sentence_id").select("query_id", "entity_id")
         near = near.union(around).distinct()
-    links = near.join(mention, "entity_id").join(similarity, ["query_id", "sentence_id"]).select("query_id", "entity_id", "sentence_id", "sim", F.lit(None).cast("double").alias("seed"))
+    links = _with_similarity(near.join(mention, "entity_id"), similarity).select("query_id", "entity_id", "sentence_id", "sim", F.lit(None).cast("double").alias("seed"))
     heads = seeds.select("query_id", "entity_id", F.lit(None).cast("string").alias("sentence_id"), F.lit(None).cast("double").alias("sim"), F.col("score").alias("seed"))
     rows = links.select("query_id", F.col("entity_id").cast("string"), F.col("sentence_id").cast("string"), "sim", "seed").union(heads.select("query_id", F.col("entity_id").cast("string"), "sentence_id", "sim", "seed"))
     return rows.groupBy("query_id").applyInPandas(lambda part: _bfs(part, hops, threshold, top), "query_id long, entity_id string, score double, tier int")
@@ -157,9 +214,12 @@ def passage_weights(cosines: DataFrame, activated: DataFrame, edges: DataFrame,
 
 
 def attribute_boost(weights: DataFrame, queries: DataFrame, docs: DataFrame, boost: float = ATTRIBUTE_BOOST) -> DataFrame:
-    """Adds boost * ln(1 + attribute words in common) for questions about attributes."""
-    rows = weights.join(maybe_broadcast(queries.select("query_id", F.col("text").alias("q"))), "query_id").join(docs.select("doc_id", F.col("text").alias("p")), "doc_id")
-    return rows.select("query_id", "doc_id", (F.col("weight") + NODE_WEIGHT * boost * F.log1p(attribute_overlap("q", "p"))).alias("weight"))
+    """Adds boost * ln(1 + attribute words in common) for questions about attributes; the
+    weights of other questions stay."""
+    about = queries.filter(asks_attribute("text")).select("query_id", F.col("text").alias("q"))
+    rows = weights.join(maybe_broadcast(about), "query_id", "left").join(docs.select("doc_id", F.col("text").alias("p")), "doc_id")
+    more = F.coalesce(NODE_WEIGHT * boost * F.log1p(attribute_overlap("q", "p")), F.lit(0.0))
+    return rows.select("query_id", "doc_id", (F.col("weight") + more).alias("weight"))
 
 
 def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping: float = DAMPING) -> DataFrame:
@@ -172,10 +232,12 @@ def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping:
     """
     both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    step = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+    step = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    step = stored(step, "steps")
     clean = reset.withColumn("weight", F.when(F.isnan("weight") | F.col("weight").isNull() | (F.col("weight") < 0), 0.0).otherwise(F.col("weight").cast("double"))).filter("weight > 0")
     clean = clean.groupBy("query_id", "id").agg(F.sum("weight").alias("weight"))
-    r = clean.withColumn("r", F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).select("query_id", "id", "r").persist(StorageLevel.MEMORY_AND_DISK)
+    r = clean.withColumn("r", F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).select("query_id", "id", "r")
+    r = stored(r, "reset")
     x = r.select("query_id", "id", F.col("r").alias("x"))
     for _ in range(iterations):
         moved = x.join(step, x.id == step.src).groupBy("query_id", "dst").agg(F.sum(F.col("x") * F.col("p")).alias("m"))
@@ -193,19 +255,40 @@ def graph_retrieve(pagerank_scores: DataFrame, fallback: DataFrame, k: int) -> D
     return top.unionByName(rest)
 
 
-def linear_rag(docs: DataFrame, doc_vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, entity_vectors: DataFrame, seeds_of: DataFrame, similarity: DataFrame, k: int = 10) -> DataFrame:
-    """The whole retriever from given vectors. ``seeds_of(query_id, seed_id, vec)`` are
-    question entities, ``entity_vectors(doc_id, entity, vec)`` corpus entities and
-    ``similarity(query_id, sentence_id, sim)`` sentence cosines."""
-    edges = mention_edges(docs)
-    seeds = seed_entities(seeds_of.select("seed_id", "vec"), entity_vectors.select("doc_id", "vec"))
-    seeds = seeds.join(seeds_of.select("query_id", "seed_id"), "seed_id").join(entity_vectors.select(F.col("doc_id").alias("entity_id"), "entity"), "entity_id")
-    named = mentions(docs).select(F.col("entity").alias("entity_id"), "sentence_id")
-    active = propagate(seeds.select("query_id", F.col("entity").alias("entity_id"), "score"), named, similarity)
-    cosines = dense_topk(doc_vectors, query_vectors, max(k, 200))
+def entity_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, entity`` (here ``doc_id`` numbers the corpus's entities in order of name)."""
+    names = docs.select(F.explode(entities("text")).alias("entity")).distinct()
+    return dense_ids(names, "entity").select(F.col("pos").alias("doc_id"), "entity")
+
+
+def linear_rag(
+    docs: DataFrame, queries: DataFrame, encode: Callable[[DataFrame, str], DataFrame], k: int = 10, attributes: bool = False, in_order: bool = False, iterations: int = 30
+) -> DataFrame:
+    """The whole retriever: ``query_id, doc_id, rank, score`` of ``docs(doc_id, text)`` for
+    ``queries(query_id, text)``, all queries in one plan.
+
+    ``encode(texts(key, text), key)`` gives unit vectors ``key, vec``. Every passage takes
+    part in the weights and in PageRank; only the ranking is cut to k. Questions without
+    entities get the cosine ranking.
+    """
+    edges = stored(mention_edges(docs), "mention-edges")
+    names = stored(entity_table(docs), "entities")
+    asked = question_entities(queries).join(queries.select("query_id"), "query_id")
+    asked = stored(asked.withColumn("seed_id", F.xxhash64("query_id", "entity")), "question-entities")
+    found = seed_entities(encode(asked.select("seed_id", F.col("entity").alias("text")), "seed_id"), encode(names.select("doc_id", F.col("entity").alias("text")), "doc_id"))
+    seeds = found.join(asked.select("seed_id", "query_id"), "seed_id").join(names.select(F.col("doc_id").alias("entity_id"), "entity"), "entity_id")
+    seeds = seeds.select("query_id", F.col("entity").alias("entity_id"), "score")
+    parts = stored(sentences(docs).select("sentence_id", F.col("sentence").alias("text")).dropDuplicates(["sentence_id"]), "sentences")
+    linked = parts.select(F.explode(entities("text")).alias("entity_id"), "sentence_id").distinct()
+    asked_vectors = stored(encode(queries.select("query_id", "text"), "query_id"), "query-vectors")
+    spread = propagate_in_order if in_order else propagate
+    active = stored(spread(seeds, stored(linked, "mentions"), cosine_of(asked_vectors, stored(encode(parts, "sentence_id"), "sentence-vectors"))), "active")
+    cosines = stored(dense_scores(encode(docs.select("doc_id", "text"), "doc_id"), asked_vectors, None), "cosines")
     weights = passage_weights(cosines, active, edges.select(F.col("entity").alias("entity_id"), "doc_id", "n"))
+    if attributes:
+        weights = attribute_boost(weights, queries, docs)
     reset = weights.join(active.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.concat(F.lit("p"), F.col("doc_id")).alias("id"), "weight")
     reset = reset.union(active.select("query_id", F.concat(F.lit("e"), F.col("entity_id")).alias("id"), F.col("score").alias("weight")))
-    ranks = pagerank(edges.select(F.concat(F.lit("p"), F.col("doc_id")).alias("src"), F.concat(F.lit("e"), F.col("entity")).alias("dst"), "weight"), reset)
+    ranks = pagerank(edges.select(F.concat(F.lit("p"), F.col("doc_id")).alias("src"), F.concat(F.lit("e"), F.col("entity")).alias("dst"), "weight"), reset, iterations)
     passages = ranks.filter(F.col("id").startswith("p")).select("query_id", F.substring("id", 2, 20).cast("long").alias("doc_id"), "score")
-    return graph_retrieve(passages, cosines, k)
+    return graph_retrieve(passages, ranked(cosines, k), k)

@@ -1,10 +1,11 @@
-"""Cutting lineage in iterative operators."""
+"""The shared folder, and cutting lineage in iterative operators."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,3 +20,20 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rankframe-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rankframe-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what several plans read."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

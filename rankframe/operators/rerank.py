@@ -23,6 +23,23 @@ def fit_clusters(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return rows.sparkSession.createDataFrame(centers, "cluster_id long, vec array<double>").select("cluster_id", unit("vec").alias("vec"))
 
 
+def lloyd(rows: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """``cluster_id, vec`` (not scaled) after some rounds of k-means from given centres
+    ``start(cluster_id, vec)``; a centre that no row is nearest to stays as it was."""
+    from rankframe.operators.lineage import stored
+
+    wide = rows.select("doc_id", "vec", F.concat(F.transform("vec", lambda x: x.cast("double")), F.array(F.lit(1.0))).alias("wide"))
+    centers = start.select("cluster_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    for _ in range(rounds):
+        # the nearest centre c of x has the greatest x.c - c.c / 2
+        sent = centers.select("cluster_id", F.concat("vec", F.array(-dot("vec", "vec") / 2)).alias("vec"))
+        near = nearest(wide.select("doc_id", F.col("wide").alias("vec")), sent).select("doc_id", "cluster_id")
+        each = wide.join(near, "doc_id").select("cluster_id", F.posexplode("vec").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        means = each.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
+        centers = stored(centers.join(means, "cluster_id", "left").select("cluster_id", F.coalesce("mean", "vec").alias("vec")), "centres")
+    return centers
+
+
 def mean_centers(rows: DataFrame) -> DataFrame:
     """Unit mean vector of each given cluster of ``rows(cluster_id, vec)``."""
     each = rows.select("cluster_id", F.posexplode("vec").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -2,56 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from rankframe.functions.text import tokens
+from rankframe.operators.lineage import stored
 from rankframe.operators.ranking import maybe_broadcast, pad_with_zeros, ranked
 
 K1, B = 1.5, 0.75
 
 
-def with_tokens(texts: DataFrame, key: str) -> DataFrame:
-    """``key, tokens`` of ``texts(key, text)``."""
-    return texts.select(key, tokens("text").alias("tokens"))
+def tokenized(docs: DataFrame) -> DataFrame:
+    """``doc_id, tokens`` of ``docs(doc_id, text)``, written once for all rankers that share it."""
+    return stored(docs.select("doc_id", tokens("text").alias("tokens")), "words")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, tf, length``: the distinct terms of each query."""
-    words = with_tokens(queries, "query_id").withColumn("length", F.size("tokens"))
+    words = queries.select("query_id", tokens("text").alias("tokens")).withColumn("length", F.size("tokens"))
     return words.select("query_id", "length", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``doc_id, term, tf, dl``; only of ``terms(term)`` where given (before anything is shuffled)."""
-    words = with_tokens(docs, "doc_id").withColumn("dl", F.size("tokens"))
-    each = words.select("doc_id", "dl", F.explode("tokens").alias("term"))
+def postings(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``doc_id, term, tf, dl`` of ``words(doc_id, tokens)``; only of ``terms(term)`` where
+    given (before anything is shuffled)."""
+    each = words.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
         each = each.join(maybe_broadcast(terms.select("term").distinct()), "term", "left_semi")
     return each.groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame) -> tuple[float, float]:
+def corpus_stats(words: DataFrame) -> tuple[float, float]:
     """Number of documents and their mean length, empty ones included."""
-    n, mean = docs.select(F.size(tokens("text")).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    n, mean = words.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     return float(n), float(mean or 0.0)
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
     """``term, df, idf`` of every term of the corpus."""
-    n = float(docs.count())
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    words = tokenized(docs)
+    n = float(words.count())
+    df = postings(words).groupBy("term").agg(F.count("*").alias("df"))
     return df.select("term", "df", F.greatest(F.lit(0.0), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Positive BM25 scores of ``docs(doc_id, text)`` for ``queries(query_id, text)``.
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, words: DataFrame | None = None) -> DataFrame:
+    """Positive BM25 scores of ``docs(doc_id, text)`` for ``queries(query_id, text)``; of
+    ``words`` (see ``tokenized``) where given.
 
     Query terms count once. Inverse document frequency is clipped at 0.
     """
-    n, mean = corpus_stats(docs)
-    terms = query_terms(queries)
-    post = postings(docs, terms).persist(StorageLevel.MEMORY_AND_DISK)  # read for df and for weights
+    words = tokenized(docs) if words is None else words
+    n, mean = corpus_stats(words)
+    terms = stored(query_terms(queries), "query-terms")
+    post = stored(postings(words, terms), "postings")  # read for df and for weights
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
@@ -60,28 +63,34 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     return scores.filter(F.round("score", 6) > 0)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, pad_zero: bool = False) -> DataFrame:
-    scores = bm25_scores(docs, queries)
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, pad_zero: bool = False, words: DataFrame | None = None) -> DataFrame:
+    scores = bm25_scores(docs, queries, words=words)
     if pad_zero:
         scores = pad_with_zeros(scores, queries, docs, k)
     return ranked(scores, k)
 
 
-def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def tfidf_scores(docs: DataFrame, queries: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Cosine of tf-idf vectors for pairs with a term in common. idf = ln(N / (1 + df)) may
     be negative; term frequencies are shares of the text's length."""
-    n = float(docs.count())
-    post = postings(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    words = tokenized(docs) if words is None else words
+    n = float(words.count())
+    post = stored(postings(words), "postings")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log(n / (1 + F.col("df"))).alias("idf"))
-    weights = post.join(idf, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+    idf = stored(df.select("term", F.log(n / (1 + F.col("df"))).alias("idf")), "idf")
+    weights = stored(post.join(idf, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w")), "weights")
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    terms = query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("qw"))
+    terms = stored(query_terms(queries).join(idf, "term").select("query_id", "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("qw")), "query-weights")
     qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     dots = weights.join(maybe_broadcast(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     one = lambda c: F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
     return dots.join(norms, "doc_id").join(maybe_broadcast(qnorm), "query_id").select("query_id", "doc_id", (F.col("dot") / (one("norm") * one("qnorm"))).alias("score"))
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(tfidf_scores(docs, queries), k)
+def tfidf(docs: DataFrame, queries: DataFrame, k: int = 10, pad_zero: bool = False, words: DataFrame | None = None) -> DataFrame:
+    """With ``pad_zero`` documents without a term in common count 0, before negative scores.
+    Those arise from terms that all documents have, and then every document has a score."""
+    scores = tfidf_scores(docs, queries, words)
+    if pad_zero:
+        scores = pad_with_zeros(scores, queries, docs, k)
+    return ranked(scores, k)

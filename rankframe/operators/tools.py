@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankframe.functions.arithmetic import calculate
 
+#: Rows that an observation can show: it has room for as many characters.
+SHOWN = 3000
 OPERATORS = (">=", "<=", ">", "<", "=")
 HELP = "Invalid Action. Valid actions are Calculate, RetrieveAgenda, RetrieveScirex, LoadDB, FilterDB, GetValue, LoadGraph, NeighbourCheck, NodeCheck, EdgeCheck, SQLInterpreter and Finish."
 
@@ -64,6 +66,12 @@ def get_value(df: DataFrame, column: str, order: str | None = None) -> DataFrame
     return df.agg(F.array_join(F.transform(F.array_sort(values), lambda x: x["v"]), ", ").alias("value"))
 
 
+def values_by(df: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """``key, value``: the same for every value of ``key``."""
+    values = F.collect_list(F.struct(F.col(order or column).alias("o"), F.col(column).cast("string").alias("v")))
+    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(values), lambda x: x["v"]), ", ").alias("value"))
+
+
 def rewrite_sql(sql: str) -> str:
     """Dotted table names (``x.y_data``) become the names of the registered views."""
     return re.sub(r"\b(\w+)\.\w+_data\b", r"\1_data", sql)
@@ -86,16 +94,28 @@ def neighbours(nodes: DataFrame, edges: DataFrame, name: str | None = None) -> D
     return both.join(start, ["graph", "src"]).join(nodes.select("graph", F.col("id").alias("dst"), F.col("name").alias("neighbour")), ["graph", "dst"]).select("graph", "name", "neighbour")
 
 
-def node_attributes(nodes: DataFrame, graph: str, name: str) -> DataFrame:
-    return nodes.filter((F.col("graph") == graph) & (F.col("name") == name)).select("graph", "name", "attrs")
+def node_attributes(nodes: DataFrame, graph: str | None = None, name: str | None = None) -> DataFrame:
+    """``graph, name, attrs`` of one node, of a graph's nodes, or of all."""
+    if graph is not None:
+        nodes = nodes.filter(F.col("graph") == graph)
+    if name is not None:
+        nodes = nodes.filter(F.col("name") == name)
+    return nodes.select("graph", "name", "attrs")
+
+
+def edges_between(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """``graph, a, b, attrs`` of the edges between named nodes ``asked(graph, a, b)``,
+    whichever way they were stored."""
+    ids = nodes.select("graph", "name", "id")
+    ends = asked.join(ids.withColumnsRenamed({"name": "a", "id": "src"}), ["graph", "a"]).join(ids.withColumnsRenamed({"name": "b", "id": "dst"}), ["graph", "b"])
+    both = edges.select("graph", "src", "dst", "attrs").union(edges.select("graph", F.col("dst"), F.col("src"), "attrs"))
+    return ends.join(both, ["graph", "src", "dst"]).select("graph", "a", "b", "attrs")
 
 
 def edge_attributes(nodes: DataFrame, edges: DataFrame, graph: str, a: str, b: str) -> DataFrame:
-    """Attributes of the edge between two named nodes, whichever way it was stored."""
-    ends = lambda n, to: nodes.filter((F.col("graph") == graph) & (F.col("name") == n)).select(F.col("id").alias(to))
-    some = edges.filter(F.col("graph") == graph)
-    both = some.select("src", "dst", "attrs").union(some.select(F.col("dst"), F.col("src"), "attrs"))
-    return both.join(ends(a, "src"), "src").join(ends(b, "dst"), "dst").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "attrs").limit(1)
+    """Attributes of the edge between two named nodes."""
+    asked = nodes.sparkSession.createDataFrame([(graph, a, b)], "graph string, a string, b string")
+    return edges_between(nodes, edges, asked).select("a", "b", "attrs").limit(1)
 
 
 def titled_papers(rows: DataFrame, papers: DataFrame) -> DataFrame:
@@ -153,11 +173,14 @@ class ToolSession:
         self.table, said = filter_db(self.table, argument)
         return said
 
+    # an observation keeps 3,000 characters, so no more rows than that are asked for
+
     def _do_getvalue(self, column: str) -> str:
-        return get_value(self.table, column).first()["value"]
+        rows = self.table.select(F.col(f"`{column}`").cast("string").alias("v")).orderBy("v").limit(SHOWN).collect()
+        return ", ".join(r["v"] for r in rows if r["v"] is not None)
 
     def _do_sqlinterpreter(self, sql: str) -> str:
-        return "\n".join(r["row"] for r in formatted_rows(run_sql(self.spark, sql)).collect())
+        return "\n".join(r["row"] for r in formatted_rows(run_sql(self.spark, sql)).limit(SHOWN).collect())
 
     def _do_loadgraph(self, name: str) -> str:
         if name != "dblp" or self._graph is None:
@@ -169,7 +192,7 @@ class ToolSession:
         graph, name = argument.split(", ", 1)
         nodes, edges = self.net
         rows = neighbours(nodes.filter(F.col("graph") == graph), edges.filter(F.col("graph") == graph), name)
-        return str(sorted(r["neighbour"] for r in rows.collect()))
+        return str([r["neighbour"] for r in rows.select("neighbour").orderBy("neighbour").limit(SHOWN).collect()])
 
     def _do_nodecheck(self, argument: str) -> str:
         return str(node_attributes(self.net[0], *argument.split(", ", 1)).first()["attrs"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankframe.functions import prompts, text as T
-from rankframe.functions.arithmetic import calculate
+from rankframe.functions.arithmetic import calculate_column
 from rankframe.operators import answers, dense, fusion, graph, metrics, ranking, rerank, select, sparse, tools
 from rankframe.plans import run
 
@@ -78,12 +78,18 @@ COS = f"""qv AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE
  cs AS (SELECT query_id, e.vec_id AS doc_id, round({DOT.format(a='qv.v', b='e.embedding')}, 6) AS score FROM qv, embeddings e)"""
 
 
-def bm25_10(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.bm25(corpus(spark, sf), questions(spark, sf), 10)
+def bm25_10(spark: SparkSession, sf: str, words: DataFrame | None = None) -> DataFrame:
+    return sparse.bm25(corpus(spark, sf), questions(spark, sf), 10, words=words)
 
 
-def tfidf_10(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.tfidf(corpus(spark, sf), questions(spark, sf), 10)
+def tfidf_10(spark: SparkSession, sf: str, words: DataFrame | None = None) -> DataFrame:
+    return sparse.tfidf(corpus(spark, sf), questions(spark, sf), 10, words=words)
+
+
+def both_10(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both rankings from one pass over the texts."""
+    words = sparse.tokenized(corpus(spark, sf))
+    return bm25_10(spark, sf, words), tfidf_10(spark, sf, words)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,6 +214,12 @@ def bm25_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.index_stats(corpus(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
+@query(f"""WITH {TERMS}, {TFIDF_10}, z AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(ts.score, 0) AS score FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) b, d LEFT JOIN ts ON ts.query_id = b.item_id AND ts.doc_id = d.doc_id), {top('z', 60)} SELECT * FROM r""")
+def tfidf_padded(spark: SparkSession, sf: str) -> DataFrame:
+    asked = questions(spark, sf).union(spark.createDataFrame([(-1, "qqqqqq")], "query_id long, text string"))
+    return sparse.tfidf(corpus(spark, sf), asked, 60, pad_zero=True)
+
+
 @query(f"WITH {TERMS}, {TFIDF_10} SELECT * FROM tfidf")
 def tfidf_top10(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf_10(spark, sf)
@@ -272,8 +284,7 @@ def _hop_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     mention = rows.select(F.concat(F.lit("l"), F.col("cluster_id").cast("string")).alias("entity_id"), F.col("doc_id").alias("sentence_id"))
     mention = mention.union(rows.select(F.concat(F.lit("b"), (F.col("doc_id") % 50).cast("string")), "doc_id")).distinct()
     seeds = rows.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.concat(F.lit("l"), F.col("cluster_id").cast("string")).alias("entity_id"), F.lit(1.0).alias("score"))
-    similarity = dense.dense_scores(rows, vector_queries(spark, sf), None).select("query_id", F.col("doc_id").alias("sentence_id"), F.col("score").alias("sim"))
-    return seeds, mention, similarity
+    return seeds, mention, graph.cosine_of(vector_queries(spark, sf), rows.select(F.col("doc_id").alias("sentence_id"), "vec"))
 
 
 @query(f"WITH {HOPS} SELECT query_id, entity_id, round(sum(act), 6) AS score, min(tier)::INT AS tier FROM (SELECT *, 1 AS tier FROM g0 UNION ALL SELECT *, 1 FROM g1 UNION ALL SELECT *, 2 FROM g2) GROUP BY 1, 2")
@@ -282,9 +293,21 @@ def entity_hop_set(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "entity_id", F.round("score", 6).alias("score"), "tier")
 
 
-@query()
+# two hops in order: the one seed takes its best sentence s1; then, of the entities of s1 in
+# ascending order, each takes its best sentence that isn't used yet
+_BEST = "(SELECT arg_min(cs.doc_id, struct_pack(a := -cs.score, b := cs.doc_id)) FROM m JOIN cs ON cs.doc_id = m.sentence_id WHERE cs.query_id = {q} AND m.entity_id = {e}{no})"
+BFS = f"""{COS}, {_MENTION}, s AS (SELECT vec_id AS query_id, 'l' || label::VARCHAR AS seed FROM embeddings WHERE vec_id % 20 = 0),
+ h1 AS (SELECT query_id, seed, {_BEST.format(q='s.query_id', e='s.seed', no='')} AS s1 FROM s), h1s AS (SELECT h1.*, cs.score AS sim1 FROM h1 JOIN cs ON cs.query_id = h1.query_id AND cs.doc_id = s1),
+ g1 AS (SELECT query_id, s1, entity_id, 1.0::DOUBLE * sim1 AS gain FROM h1s JOIN m ON m.sentence_id = s1 WHERE sim1 >= 0.5),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id) AS nth FROM g1),
+ p1 AS (SELECT *, {_BEST.format(q='o.query_id', e='o.entity_id', no=' AND m.sentence_id <> o.s1')} AS sent FROM o WHERE nth = 1 AND gain >= 0.5),
+ p2 AS (SELECT o.*, {_BEST.format(q='o.query_id', e='o.entity_id', no=' AND m.sentence_id <> o.s1 AND m.sentence_id <> coalesce((SELECT max(sent) FROM p1 WHERE p1.query_id = o.query_id), -1)')} AS sent FROM o WHERE nth = 2 AND gain >= 0.5),
+ g2 AS (SELECT p.query_id, m.entity_id, p.gain * cs.score AS gain FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) p JOIN cs ON cs.query_id = p.query_id AND cs.doc_id = p.sent JOIN m ON m.sentence_id = p.sent WHERE p.gain * cs.score >= 0.5)"""
+
+
+@query(f"WITH {BFS} SELECT query_id, entity_id, round(sum(gain), 6) AS score, min(tier)::INT AS tier FROM (SELECT query_id, seed AS entity_id, 1.0::DOUBLE AS gain, 1 AS tier FROM s UNION ALL SELECT query_id, entity_id, gain, 2 FROM g1 UNION ALL SELECT query_id, entity_id, gain, 3 FROM g2) GROUP BY 1, 2")
 def entity_hop_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.propagate_in_order(*_hop_inputs(spark, sf))
+    return graph.propagate_in_order(*_hop_inputs(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {BM25_10}, {EDGES}, act AS (SELECT b.item_id AS query_id, unnest({_ENT.replace('text', 'b.text')}) AS entity FROM benchmark b),
@@ -338,7 +361,7 @@ def dense_fallback(spark: SparkSession, sf: str) -> DataFrame:
  f AS (SELECT query_id, doc_id, min(rank * 2 + src) AS key, arg_min(score, rank * 2 + src) AS score FROM u GROUP BY 1, 2)
  SELECT query_id, doc_id, rank::INT AS rank, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY key) AS rank FROM f) WHERE rank <= 10""")
 def round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.round_robin(bm25_10(spark, sf), tfidf_10(spark, sf), 10)
+    return fusion.round_robin(*both_10(spark, sf), 10)
 
 
 @query(f"""WITH {BM25_10}, {TFIDF_10}, b AS (SELECT * FROM tfidf WHERE query_id % 4 <> 0),
@@ -346,7 +369,8 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT * FROM bm25 WHERE query_id % 4 <> 0) a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id), {top('j', 10, order='score DESC, ra NULLS LAST, rb')}
  SELECT * FROM r UNION ALL SELECT * FROM bm25 WHERE query_id % 4 = 0""")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.rrf(bm25_10(spark, sf), tfidf_10(spark, sf).filter(F.col("query_id") % 4 != 0), 10)
+    a, b = both_10(spark, sf)
+    return fusion.rrf(a, b.filter(F.col("query_id") % 4 != 0), 10)
 
 
 CENTERS = """c0 AS (SELECT label AS cluster_id, i, avg(x) AS x FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE {where}) GROUP BY 1, 2),
@@ -389,9 +413,27 @@ def gold_kmeans_blend(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.cluster_blend(candidates, vector_queries(spark, sf), dense.nearest(rows, centers), centers, 0.6, 10, docs=rows)
 
 
-@query()
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of k-means on the first eight numbers of each vector, from the rows 0 to 9."""
+    parts = ["x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS v FROM embeddings)", "c0 AS (SELECT vec_id AS cluster_id, v FROM x WHERE vec_id < 10)"]
+    for i in range(rounds):
+        parts.append(f"n{i} AS (SELECT vec_id, arg_min(cluster_id, struct_pack(a := -s, b := cluster_id)) AS cluster_id FROM (SELECT x.vec_id, c.cluster_id, round(list_dot_product(x.v, c.v) - list_dot_product(c.v, c.v) / 2, 6) AS s FROM x, c{i} c) GROUP BY 1)")
+        parts.append(f"m{i} AS (SELECT cluster_id, i, avg(x.v[i]) AS a FROM n{i} JOIN x USING (vec_id), range(1, 9) t(i) GROUP BY 1, 2)")
+        parts.append(f"c{i + 1} AS (SELECT cluster_id, coalesce(list(a ORDER BY i) FILTER (a IS NOT NULL), any_value(c{i}.v)) AS v FROM c{i} LEFT JOIN m{i} USING (cluster_id) GROUP BY 1)")
+    return f"WITH {', '.join(parts)} SELECT cluster_id, array_to_string(list_transform(v, lambda x: round(x, 4)::DECIMAL(9, 4)::VARCHAR), ',') AS center FROM c{rounds}"
+
+
+@query(_lloyd_sql(3))
 def kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted clusters, and how many rows each has."""
+    """Three rounds from given centres."""
+    rows = vectors(spark, sf).select("doc_id", F.slice("vec", 1, 8).alias("vec"))
+    start = rows.filter("doc_id < 10").select(F.col("doc_id").alias("cluster_id"), "vec")
+    return rerank.lloyd(rows, start, 3).select("cluster_id", F.array_join(F.transform("vec", lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string")), ",").alias("center"))
+
+
+@query()
+def kmeans_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters fitted with a random start, and how many rows each has."""
     rows = vectors(spark, sf)
     return dense.nearest(rows, rerank.fit_clusters(rows, 10)).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
@@ -462,9 +504,16 @@ def select_llm(spark: SparkSession, sf: str) -> DataFrame:
     return select.llm_select(bm25_10(spark, sf), corpus(spark, sf), questions(spark, sf).select("query_id", said.alias("text")), 10)
 
 
-@query()
+_PICK = "list_filter({l}, lambda x: NOT list_contains(chosen, x))[1]"
+
+
+@query(f"""WITH RECURSIVE {BM25_10}, {TFIDF_10}, {GOLD}, g AS (SELECT query_id, list(doc_id ORDER BY doc_id) AS l FROM gold GROUP BY 1), a AS (SELECT query_id, list(doc_id ORDER BY rank) AS l FROM bm25 GROUP BY 1), b AS (SELECT query_id, list(doc_id ORDER BY rank) AS l FROM tfidf GROUP BY 1),
+ q AS (SELECT item_id AS query_id, coalesce(g.l, []) AS gold_l, coalesce(a.l, []) AS la, coalesce(b.l, []) AS lb FROM benchmark LEFT JOIN g ON g.query_id = item_id LEFT JOIN a ON a.query_id = item_id LEFT JOIN b ON b.query_id = item_id),
+ r AS (SELECT query_id, 0 AS i, gold_l AS chosen, la, lb FROM q UNION ALL
+  SELECT query_id, i + 1, CASE WHEN pick IS NULL THEN chosen ELSE list_append(chosen, pick) END, la, lb FROM (SELECT *, CASE WHEN i % 2 = 0 THEN coalesce({_PICK.format(l='la')}, {_PICK.format(l='lb')}) ELSE coalesce({_PICK.format(l='lb')}, {_PICK.format(l='la')}) END AS pick FROM r WHERE i < 4))
+ SELECT query_id, array_to_string(list_transform(chosen, lambda x: x::VARCHAR), ',') AS doc_ids FROM r WHERE i = 4""")
 def select_distractor(spark: SparkSession, sf: str) -> DataFrame:
-    return select.distractors(gold_pairs(spark, sf), corpus(spark, sf), bm25_10(spark, sf), tfidf_10(spark, sf), 4)
+    return _lists(select.as_lists(questions(spark, sf), select.distractors(gold_pairs(spark, sf), corpus(spark, sf), *both_10(spark, sf), 4, shuffle=False)))
 
 
 # ---- metrics -----------------------------------------------------------------------------
@@ -489,16 +538,17 @@ def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.accuracy(details).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("SELECT count(*) FILTER (source <> 'src0') AS n_gold, count(*) FILTER (source = 'src0') AS n_web FROM documents")
+@query(f"WITH {GOLD} SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM gold)) AS n_gold, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM gold)) AS n_web FROM documents")
 def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").agg(F.count_if(F.col("source") != "src0").alias("n_gold"), F.count_if(F.col("source") == "src0").alias("n_web"))
+    return metrics.gold_counts(corpus(spark, sf), gold_pairs(spark, sf))
 
 
 @query(f"""WITH {BM25_10}, {TFIDF_10}, {GOLD}, q AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset FROM benchmark), s1 AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
  u AS (SELECT 'bm25' AS run, * FROM bm25 UNION ALL SELECT 'tfidf', * FROM tfidf), h AS (SELECT run, query_id, count(*) AS n FROM u SEMI JOIN gold USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1, 2)
  SELECT dataset, round(coalesce(sum(h1.n / n_gold), 0) / count(*), 6) AS bm25, round(coalesce(sum(h2.n / n_gold), 0) / count(*), 6) AS tfidf FROM q JOIN s1 USING (query_id) LEFT JOIN (SELECT * FROM h WHERE run = 'bm25') h1 USING (query_id) LEFT JOIN (SELECT * FROM h WHERE run = 'tfidf') h2 USING (query_id) GROUP BY 1""")
 def run_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    runs = bm25_10(spark, sf).withColumn("run", F.lit("bm25")).unionByName(tfidf_10(spark, sf).withColumn("run", F.lit("tfidf")))
+    a, b = both_10(spark, sf)
+    runs = a.withColumn("run", F.lit("bm25")).unionByName(b.withColumn("run", F.lit("tfidf")))
     asked = questions(spark, sf).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("dataset"))
     out = metrics.recall_table(runs, gold_pairs(spark, sf), asked, 5, ["bm25", "tfidf"])
     return out.select("dataset", F.round("bm25", 6).alias("bm25"), F.round("tfidf", 6).alias("tfidf"))
@@ -581,9 +631,10 @@ def filter_db(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
 
 
-@query("SELECT string_agg(n_name, ', ' ORDER BY n_nationkey) AS value FROM nation WHERE n_regionkey = 1")
+@query("SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY o_orderkey) AS value FROM orders GROUP BY 1")
 def get_value(spark: SparkSession, sf: str) -> DataFrame:
-    return tools.get_value(table(spark, sf, "nation").filter("n_regionkey = 1"), "n_name", "n_nationkey")
+    """The column of each customer's orders."""
+    return tools.values_by(_orders(spark, sf), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, min(o_orderpriority) AS first_priority FROM orders GROUP BY 1")
@@ -600,8 +651,16 @@ def calc_aggregates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, (p_size * 2 + 1)::VARCHAR AS value FROM part")
 def calc_expressions(spark: SparkSession, sf: str) -> DataFrame:
-    run_one = F.udf(calculate)
-    return table(spark, sf, "part").select("p_partkey", run_one(F.format_string("(%d)*2-(-1)", "p_size")).alias("value"))
+    return table(spark, sf, "part").select("p_partkey", calculate_column(F.format_string("(%d)*2-(-1)", "p_size")).alias("value"))
+
+
+@query("""SELECT o_custkey, round(avg(x), 3) AS mean, round(median(x), 3) AS median, round(sum(x), 3) AS total, max(x) AS most, min(x) AS least FROM (SELECT o_custkey, o_totalprice::BIGINT::DOUBLE AS x FROM orders) GROUP BY 1""")
+def calc_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The calculator's aggregates over each customer's prices, a ``nan`` among them."""
+    price = F.round(F.bround("o_totalprice", 0)).cast("long").cast("string")
+    listed = _orders(spark, sf).groupBy("o_custkey").agg(F.array_join(F.collect_list(price), ", ").alias("l"))
+    say = lambda name: calculate_column(F.concat(F.lit(f"{name}(nan, "), "l", F.lit(")"))).cast("double")
+    return listed.select("o_custkey", say("mean").alias("mean"), say("median").alias("median"), say("sum").alias("total"), say("max").alias("most"), say("min").alias("least"))
 
 
 def _net(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -609,7 +668,7 @@ def _net(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     attrs = lambda c: F.create_map(F.lit("key"), F.col(c).cast("string"))
     g = F.lit("net").alias("graph")
     nodes = table(spark, sf, "region").select(g, name("r", "r_regionkey").alias("id"), F.col("r_name").alias("name"), attrs("r_regionkey").alias("attrs"))
-    nodes = nodes.union(table(spark, sf, "nation").select(g, name("n", "n_nationkey"), "n_name", attrs("n_nationkey"))).union(table(spark, sf, "supplier").select(g, name("s", "s_suppkey"), "s_name", attrs("s_acctbal")))
+    nodes = nodes.union(table(spark, sf, "nation").select(g, name("n", "n_nationkey"), "n_name", attrs("n_nationkey"))).union(table(spark, sf, "supplier").select(g, name("s", "s_suppkey"), "s_name", attrs("s_suppkey")))
     edges = table(spark, sf, "nation").select(g, name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"), attrs("n_regionkey").alias("attrs"))
     return nodes, edges.union(table(spark, sf, "supplier").select(g, name("s", "s_suppkey"), name("n", "s_nationkey"), attrs("s_nationkey")))
 
@@ -620,18 +679,18 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return tools.neighbours(*_net(spark, sf))
 
 
-@query("SELECT 'net' AS graph, n_name AS name, n_nationkey::VARCHAR AS key FROM nation WHERE n_nationkey = 7")
+@query("""SELECT 'net' AS graph, n_name AS name, n_nationkey::VARCHAR AS key FROM nation UNION ALL SELECT 'net', r_name, r_regionkey::VARCHAR FROM region
+ UNION ALL SELECT 'net', s_name, s_suppkey::VARCHAR FROM supplier""")
 def node_check(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, _ = _net(spark, sf)
-    name = table(spark, sf, "nation").filter("n_nationkey = 7").first()["n_name"]
-    return tools.node_attributes(nodes, "net", name).select("graph", "name", F.col("attrs")["key"].alias("key"))
+    return tools.node_attributes(_net(spark, sf)[0], "net").select("graph", "name", F.col("attrs")["key"].alias("key"))
 
 
-@query("SELECT r_name AS a, n_name AS b, n_regionkey::VARCHAR AS key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 7")
+@query("SELECT n_name AS a, s_name AS b, s_nationkey::VARCHAR AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def edge_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The edge of every supplier and its nation, asked for the other way round."""
     nodes, edges = _net(spark, sf)
-    row = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey = 7").first()
-    return tools.edge_attributes(nodes, edges, "net", row["r_name"], row["n_name"]).select("a", "b", F.col("attrs")["key"].alias("key"))
+    asked = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("net").alias("graph"), F.col("n_name").alias("a"), F.col("s_name").alias("b"))
+    return tools.edges_between(nodes, edges, asked).select("a", "b", F.col("attrs")["key"].alias("key"))
 
 
 # ---- runs --------------------------------------------------------------------------------
@@ -643,10 +702,10 @@ def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     return run.pending(rows.select("instance_id").distinct(), rows.filter("turn = 2"))
 
 
-@query("SELECT conv_id::VARCHAR AS instance_id, 'logicbench' AS dataset, lower(text) AS raw_output, NULL::VARCHAR AS error FROM conversations WHERE turn = 1 AND conv_id % 7 <> 0 UNION ALL SELECT conv_id::VARCHAR, 'logicbench', NULL, 'ValueError: no answer' FROM conversations WHERE turn = 1 AND conv_id % 7 = 0")
+@query("""SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS instance_id, 'logicbench' AS dataset, CASE WHEN conv_id % 7 <> 0 THEN lower(text) END AS raw_output, CASE WHEN conv_id % 7 = 0 THEN 'ValueError: no answer' END AS error FROM conversations""")
 def run_direct(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in responder that says the question in lower case and fails for some."""
-    rows = table(spark, sf, "conversations").filter("turn = 1").select(F.col("conv_id").cast("string").alias("instance_id"), F.lit("logicbench").alias("dataset"), F.when(F.col("conv_id") % 7 == 0, "fail").otherwise(F.col("text")).alias("question"))
+    rows = table(spark, sf, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("instance_id"), F.lit("logicbench").alias("dataset"), F.when(F.col("conv_id") % 7 == 0, "fail").otherwise(F.col("text")).alias("question"))
 
     def echo(system: str, user: str) -> str:
         if user == "fail":

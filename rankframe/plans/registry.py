@@ -50,16 +50,20 @@ def listing() -> dict[str, list[str]]:
 
 
 def _fill() -> None:
-    from rankframe.operators import answers, dense, select, sparse
-
-    RETRIEVERS.register("bm25")(sparse.bm25)
-    RETRIEVERS.register("tfidf")(sparse.tfidf)
-    RETRIEVERS.register("dense")(dense.dense_topk)
+    from rankframe.operators import answers, dense, fusion, graph, rerank, select, sparse
+    from rankframe.plans import engines  # noqa: F401  (registers the engines)
+
+    retrievers = {
+        "bm25": sparse.bm25, "tfidf": sparse.tfidf, "dense": dense.dense_topk, "linearrag": graph.linear_rag,
+        "hybrid": fusion.round_robin, "rrf": fusion.rrf, "kmeans_rerank": rerank.cluster_blend, "cross_encoder_rerank": rerank.pair_blend, "llm_rerank": rerank.listwise,
+    }
+    for name, rank in retrievers.items():
+        RETRIEVERS.register(name)(rank)
     for name in ("none", "oracle", "topk", "llm_select"):
         PROVIDERS.register(name)(getattr(select, name))
     PROVIDERS.register("oracle_distractor")(select.distractors)
-    for name in ("toolqa", "logicbench", "medcalcbench", "champ", "theoremqa"):
-        EVALUATORS.register(name)(answers.evaluate_answers)
+    for name, judge in answers.JUDGES.items():
+        EVALUATORS.register(name)(judge)
 
 
 _fill()

@@ -6,53 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankframe.functions.prompts import prompts
+from rankframe.functions.text import model_short_name
+from rankframe.plans.engines import Outcome, Responder
 from rankframe.plans.registry import ENGINES
 
-#: Rounds that an engine may take.
-TOOL_ROUNDS, DISCLOSURE_ROUNDS, REACT_STEPS = 5, 10, 20
-RECORDS = "instance_id string, dataset string, raw_output string, skill_ids_used array<string>, error string"
-
-Responder = Callable[[str, str], str]
-
-
-@ENGINES.register("direct")
-def direct(responder: Responder, system: str, user: str, skills: list[dict]) -> str:
-    return responder(system, user)
-
-
-@ENGINES.register("progressive_disclosure")
-def disclose(responder: Responder, system: str, user: str, skills: list[dict]) -> str:
-    """Shows names and descriptions first; ``LOAD_SKILL: x`` (number, id or name) adds a text."""
-    catalog = "\n".join(f"[{i}] {s['name']}: {s['description']}" for i, s in enumerate(skills, 1))
-    by = {str(i): s for i, s in enumerate(skills, 1)} | {str(s["skill_id"]): s for s in skills}
-    names = {str(s["name"]).lower(): s for s in reversed(skills)}
-    talk, said = f"Skills:\n{catalog}\n\n{user}", ""
-    for _ in range(DISCLOSURE_ROUNDS):
-        said = responder(system, talk)
-        _, asked, rest = said.partition("LOAD_SKILL:")
-        if not asked:
-            break
-        key = rest.strip().split("\n")[0].strip()
-        skill = by.get(key) or names.get(key.lower())
-        talk += f"\n{said}\n" + (f"Skill {skill['name']}:\n{skill['content']}" if skill else f"No skill {key}.")
-    return said
-
-
-@ENGINES.register("react")
-def react(responder: Responder, system: str, user: str, skills: list[dict], execute: Callable[[str], str] | None = None) -> str:
-    """Thought and action in turn, with an observation from ``execute``, until Finish[...]."""
-    pad = user
-    for step in range(1, REACT_STEPS + 1):
-        said = responder(system, f"{pad}\nThought {step}:").split("\nObservation")[0]
-        pad += f"\nThought {step}:{said}"
-        action = said.rpartition("Action")[2].partition(":")[2].strip()
-        if action.startswith("Finish[") or not action:
-            break
-        pad += f"\nObservation {step}: " + (execute(action)[:3000] if execute else "no tools")
-    return pad
+RECORDS = "instance_id string, dataset string, raw_output string, transcript string, skill_ids_used array<string>, error string"
 
 
 def pending(instances: DataFrame, done: DataFrame) -> DataFrame:
@@ -65,34 +26,54 @@ def rerank_pending(queries: DataFrame, done: DataFrame, made_for: int | None, k:
     return queries if made_for != k else queries.join(done.select("query_id").distinct(), "query_id", "left_anti")
 
 
-def run_many(instances: DataFrame, chosen: DataFrame, skills: DataFrame, responder: Responder, engine: str = "direct") -> DataFrame:
+def _plain(value: object) -> object:
+    """Rows and arrays as dicts and lists."""
+    if hasattr(value, "asDict"):
+        value = value.asDict()
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":
+        return [_plain(v) for v in value]
+    return value
+
+
+def run_many(
+    instances: DataFrame, chosen: DataFrame, skills: DataFrame, responder: Responder, engine: str = "direct", execute: Callable[[str], str] | None = None, functions: dict[str, Callable] | None = None
+) -> DataFrame:
     """Records of ``instances(instance_id, dataset, question)`` with the skills of
     ``chosen(instance_id, place, skill_id)`` in their prompts. An instance that fails gives a
-    record with its error; the others go on."""
-    used = chosen.join(skills.select("skill_id", "name", "description", "content"), "skill_id")
-    used = used.groupBy("instance_id").agg(F.array_sort(F.collect_list(F.struct("place", "skill_id", "name", "description", "content"))).alias("skills"))
+    record with its error; the others go on.
+
+    ``execute(action)`` runs the actions of ReAct engines. Tools of skills (``tools``, where
+    the table has them) are called by name through ``functions``; code that a skill brings
+    along is never run.
+    """
+    fields = ["skill_id", "name", "description", "content"] + (["tools"] if "tools" in skills.columns else [])
+    used = chosen.join(skills.select(*fields), "skill_id")
+    used = used.groupBy("instance_id").agg(F.sort_array(F.collect_list(F.struct("place", *fields))).alias("skills"))
     rows = instances.join(used, "instance_id", "left")
     shown = F.coalesce(F.transform("skills", lambda s: s["content"]), F.array().cast("array<string>"))
-    system, user = prompts(F.col("dataset"), F.col("question"), shown if engine != "progressive_disclosure" else None)
+    system, user = prompts(F.col("dataset"), F.col("question"), None if engine.endswith("progressive_disclosure") else shown)
     run = ENGINES.get(engine)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                have = [] if r.skills is None else [s if isinstance(s, dict) else s.asDict() for s in r.skills]
+                have = [] if r.skills is None else [_plain(s) for s in r.skills]
                 try:
-                    text, error = run(responder, r.system or "", r.user or "", have), None
+                    got, error = run(responder, r.system or "", r.user or "", have, execute=execute, functions=functions or {}), None
                 except Exception as e:  # kept with the record
-                    text, error = None, f"{type(e).__name__}: {e}"
-                out.append((r.instance_id, r.dataset, text, [s["skill_id"] for s in have], error))
-            yield pd.DataFrame(out, columns=["instance_id", "dataset", "raw_output", "skill_ids_used", "error"])
+                    got, error = Outcome(None, None, [s["skill_id"] for s in have]), f"{type(e).__name__}: {e}"
+                out.append((r.instance_id, r.dataset, got.text, got.transcript, got.used, error))
+            yield pd.DataFrame(out, columns=["instance_id", "dataset", "raw_output", "transcript", "skill_ids_used", "error"])
 
     return rows.select("instance_id", "dataset", "skills", system.alias("system"), user.alias("user")).mapInPandas(work, RECORDS)
 
 
 # ---- experiments -------------------------------------------------------------------------
 
+# fixed values: labels, sources and sizes of the published experiments
 
 @dataclass(frozen=True)
 class Method:
@@ -149,6 +130,27 @@ def grid(spark: SparkSession, experiment: str, datasets: list[str], sources: set
     return spark.createDataFrame(rows, "dataset string, label string, provider string, engine string, source string")
 
 
+def catalog(datasets: DataFrame) -> DataFrame:
+    """``experiment, dataset, label, provider, engine, source, k, n``: the runs of every
+    experiment for each row of ``datasets(dataset)``."""
+    rows = [(e.name, m.label, m.provider, m.engine, m.engine_for("toolqa"), m.source, m.k, m.n) for e in EXPERIMENTS.values() for m in e.methods]
+    methods = datasets.sparkSession.createDataFrame(rows, "experiment string, label string, provider string, engine string, tool_engine string, source string, k int, n int")
+    engine = F.when(F.col("dataset") == "toolqa", F.col("tool_engine")).otherwise(F.col("engine"))
+    # the catalog has a fixed number of rows
+    out = datasets.select("dataset").distinct().join(F.broadcast(methods), F.lit(True))
+    return out.select("experiment", "dataset", "label", "provider", engine.alias("engine"), "source", "k", "n")
+
+
+def path_columns(workspace: str, dataset: Column, model: Column, label: Column, source: Column) -> dict[str, Column]:
+    """The paths of ``paths`` for the rows of a table of runs."""
+    short, root = model_short_name(model), F.lit(workspace)
+    return {
+        "retrieval": F.concat(root, F.lit("/retrieval/"), dataset, F.lit("-"), source, F.lit(".json")),
+        "inference": F.concat(root, F.lit("/inference/"), short, F.lit("/"), label, F.lit("/"), dataset, F.lit(".jsonl")),
+        "eval": F.concat(root, F.lit("/eval/"), short, F.lit("/"), label, F.lit("/"), dataset, F.lit(".json")),
+    }
+
+
 def paths(workspace: str, dataset: str, model: str, label: str = "", source: str = "") -> dict[str, str]:
     short = model.split("/")[-1]
     return {"retrieval": f"{workspace}/retrieval/{dataset}-{source}.json", "inference": f"{workspace}/inference/{short}/{label}/{dataset}.jsonl", "eval": f"{workspace}/eval/{short}/{label}/{dataset}.json"}

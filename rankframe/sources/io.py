@@ -6,6 +6,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rankframe.operators.lineage import stored
+
 TOOL = "struct<name:string,description:string,parameters:array<struct<name:string,type:string>>,implementation:string>"
 CORPUS = f"skill_id string, name string, description string, content string, tools array<{TOOL}>"
 INSTANCES = (
@@ -26,6 +28,15 @@ def _array_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
+def write_arrays(rows: DataFrame, path: str, key: str, per_file: int = 1000) -> None:
+    """Rows as files of JSON arrays in order of ``key``, about ``per_file`` rows each; rows
+    of one key are in one file."""
+    files = max(1, -(-rows.count() // per_file))
+    whole = F.struct(*rows.columns)
+    lists = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key, whole.alias("row")))).alias("rows"))
+    lists.select(F.to_json(F.transform("rows", lambda r: r["row"]))).write.text(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return _array_file(spark, path, CORPUS)
 
@@ -48,6 +59,21 @@ def first_rows(rows: DataFrame, n: int | None) -> DataFrame:
     return rows.filter(F.col("pos") <= (-1 if bound is None else bound))
 
 
+def write_subset(corpus: DataFrame, n: int, path: str) -> None:
+    """The first n rows in file order as a corpus of its own (JSON lines, with ``pos``)."""
+    first_rows(corpus, n).write.json(path)
+
+
+def read_subset(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{CORPUS}, pos long").json(path)
+
+
+def as_lookup(ranked: DataFrame) -> DataFrame:
+    """``instance_id, retrieved``: each instance's ranked list."""
+    lists = F.array_sort(F.collect_list(F.struct("rank", "skill_id", "score")))
+    return ranked.groupBy("instance_id").agg(F.transform(lists, lambda x: F.struct(x["skill_id"], x["score"])).alias("retrieved"))
+
+
 def read_retrieval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Ranked rows ``instance_id, skill_id, rank, score`` and the one-row metadata."""
     raw = spark.read.schema(RETRIEVAL).json(path, multiLine=True)
@@ -59,8 +85,7 @@ def write_retrieval(ranked: DataFrame, gold: DataFrame, metrics: DataFrame, path
     """One JSON document: metadata, metrics, and a list of results. ``ranked(instance_id,
     skill_id, rank, score)``, ``gold(instance_id, gold_skill_ids)``. This format is one
     file by nature; ``ranked.write.parquet`` is the scalable sink."""
-    lists = ranked.groupBy("instance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill_id", "score"))), lambda x: F.struct(x["skill_id"], x["score"])).alias("retrieved"))
-    results = gold.join(lists, "instance_id", "left").select("instance_id", "gold_skill_ids", F.coalesce("retrieved", F.array().cast("array<struct<skill_id:string,score:double>>")).alias("retrieved"))
+    results = gold.join(as_lookup(ranked), "instance_id", "left").select("instance_id", "gold_skill_ids", F.coalesce("retrieved", F.array().cast("array<struct<skill_id:string,score:double>>")).alias("retrieved"))
     meta = [F.lit(retriever).alias("retriever"), F.lit(corpus_size).cast("long").alias("corpus_size"), F.lit(top_k).alias("top_k"), F.size("results").cast("long").alias("n_queries"), F.lit(datetime.now(timezone.utc).isoformat()).alias("timestamp")]
     if dataset:
         meta.insert(0, F.lit(dataset).alias("dataset"))
@@ -108,6 +133,26 @@ def pending_hashes(hashes: DataFrame, cache: DataFrame) -> DataFrame:
     return hashes.join(cache.select("hash_id"), "hash_id", "left_anti")
 
 
+def append_mentions(found: DataFrame, path: str) -> None:
+    """Add ``found(hash_id, entity)`` to the cache of named entities; a text without any has
+    one row with a null entity, so that it isn't asked for again."""
+    found.select("hash_id", "entity").write.mode("append").parquet(path)
+
+
+def read_mentions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("hash_id string, entity string").parquet(path)
+
+
+def write_clusters(centers: DataFrame, assignment: DataFrame, path: str) -> None:
+    """Fitted centres ``(cluster_id, vec)`` and the cluster of each row ``(doc_id, cluster_id)``."""
+    centers.select("cluster_id", "vec").write.mode("overwrite").parquet(f"{path}/centers")
+    assignment.select("doc_id", "cluster_id").write.mode("overwrite").parquet(f"{path}/assignment")
+
+
+def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema("cluster_id long, vec array<double>").parquet(f"{path}/centers"), spark.read.schema("doc_id long, cluster_id long").parquet(f"{path}/assignment")
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -136,8 +181,8 @@ def read_texts(spark: SparkSession, path: str, field: str) -> DataFrame:
 def dense_ids(rows: DataFrame, key: str) -> DataFrame:
     """Adds ``pos``: 0, 1, ... by key, by two levels of counting instead of one global window."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.repartitionByRange(tasks, key).withColumn("part", F.spark_partition_id()).persist()
-    sizes = cut.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    cut = stored(rows.repartitionByRange(tasks, key).withColumn("part", F.spark_partition_id()), "ranges")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    sizes = cut.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return cut.withColumn("inside", inside).join(F.broadcast(before.select("part", "before")), "part").withColumn("pos", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+    return cut.withColumn("inside", inside).join(F.broadcast(sizes), "part").withColumn("pos", F.col("before") + F.col("inside")).drop("part", "inside", "before")
