@@ -49,6 +49,16 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stored`` that no plan reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def file_system(path: str) -> tuple[object, str]:
     """Arrow file system and path for a path of the shared folder, from tasks or the
     driver. Names that only Spark's own connectors have (``s3a``) become the usual ones."""

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, slices, stored, tune
+from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, discard, slices, stored, tune
 
 #: Bytes of the k-gram that starts are put under.
 GRAM = 48
@@ -275,7 +275,9 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     runs = stored(spark, docs.mapInArrow(lambda it: _runs(it, length), RUNS), "runs")
     # most k-grams occur once; what follows is about the others
     grams = stored(spark, runs.groupBy("gram").agg(F.count("*").alias("runs")).filter("runs > 1"), "shared-grams")
-    runs = stored(spark, _having(runs, grams, ["gram"], "runs"), "shared-runs")
+    every = runs
+    runs = stored(spark, _having(every, grams, ["gram"], "runs"), "shared-runs")
+    discard(every, grams)
     same = ["gram", "run", "run2"]
     kinds = runs.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "at", "n", "off")).alias("one"))
     kinds = stored(spark, kinds, "run-kinds")
@@ -287,6 +289,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     texts = docs.join(asked, KEY).mapInArrow(_cut_out, "gram long, d long, t long, start int, n int, off int, times long, bytes binary")
     # a repeated row of the table gives its runs again
     texts = stored(spark, texts.dropDuplicates(RUN), "run-texts")
+    discard(asked, mixed)
     return whole.union(_shared_ranges(texts, length))
 
 
