@@ -31,7 +31,7 @@ def unit(v: Column | str) -> Column:
 def encode(texts: DataFrame, key: str, encoder: Callable[[pd.Series], pd.Series], prefix: str = "") -> DataFrame:
     """``key, vec`` by a pluggable encoder of text batches; vectors are made unit length."""
     vectors = F.pandas_udf(encoder, "array<double>")
-    return texts.select(key, unit(vectors(F.concat(F.lit(prefix), F.col("text")))).alias("vec"))
+    return texts.select(key, vectors(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))).alias("vec")).select(key, unit("vec").alias("vec"))
 
 
 def _best(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:

@@ -34,7 +34,7 @@ def write_arrays(rows: DataFrame, path: str, key: str, per_file: int = 1000) ->
     files = max(1, -(-rows.count() // per_file))
     whole = F.struct(*rows.columns)
     lists = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("file")).agg(F.array_sort(F.collect_list(F.struct(key, whole.alias("row")))).alias("rows"))
-    lists.select(F.to_json(F.transform("rows", lambda r: r["row"]))).write.text(path)
+    lists.select(F.to_json(F.transform("rows", lambda r: r["row"])).alias("value"), "file").write.partitionBy("file").text(path)  # an array is a file
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
