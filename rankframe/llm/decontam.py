@@ -50,6 +50,7 @@ _CLASS = np.zeros(256, np.int8)  # 1 letter, 2 digit
 _CLASS[48:58] = 2
 _CLASS[65:91] = _CLASS[97:123] = 1
 _CLASS[128:] = 1
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -111,19 +112,23 @@ class Tokens:
             key = mix(key ^ self.hash[at + j])
         return at, key
 
+    def canon(self, at: int, size: int, data: np.ndarray) -> str:
+        """The window's tokens, placeholders by type; windows are equal if these are."""
+        return " ".join([f"<{t}>" if t else bytes(data[a:b]).decode("utf-8", "replace").translate(_LOWER) for t, a, b in zip(self.type[at : at + size].tolist(), self.start[at : at + size].tolist(), self.end[at : at + size].tolist())])
+
     def slots(self, at: int, size: int, data: np.ndarray) -> list[str]:
         """Places in the window and typed values of its placeholders in order."""
         which = at + np.flatnonzero(self.type[at : at + size])
         return [f"{i - at}:{self.type[i]}:" + bytes(data[self.start[i] : self.end[i]]).decode("utf-8", "replace").lower() for i in which.tolist()]
 
 
-WINDOWS = "key long, family int, size int, at int, h long, lo int, hi int, slots array<string>, tokens int"
+WINDOWS = "key long, family int, size int, at int, h long, lo int, hi int, slots array<string>, tokens int, canon string"
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.string()]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "family", "size", "at", "h", "lo", "hi", "slots", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "family", "size", "at", "h", "lo", "hi", "slots", "tokens", "canon"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
@@ -149,7 +154,7 @@ def _windows(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray] |
                         place, h = place[ok], h[ok]
                     for p, x in zip(place.tolist(), h.view(np.int64).tolist()):
                         r = int(t.row[p])
-                        out.append((int(keys[a + r]), family, size, p - int(first[r]), x, int(t.start[p] - at[r]), int(t.end[p + size - 1] - at[r]), t.slots(p, size, part), int(count[r])))
+                        out.append((int(keys[a + r]), family, size, p - int(first[r]), x, int(t.start[p] - at[r]), int(t.end[p + size - 1] - at[r]), t.slots(p, size, part), int(count[r]), t.canon(p, size, part)))
             yield _emit(out)
 
 
@@ -177,8 +182,11 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = part if found is None else found.union(part)
     # a repeated row of the table gives its windows again
     found = stored(spark, found.dropDuplicates(once), "matched-windows")
-    mine = items.select(F.col("key").alias("ik"), "family", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
-    hits = found.select(F.col("key").alias("dk"), "family", "size", "at", "h", "lo", "hi", "slots").join(mine, ["family", "size", "h"])
+    same = ["family", "size", "h", "canon"]
+    mine = items.select(F.col("key").alias("ik"), *same, F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
+    theirs = found.select(F.col("key").alias("dk"), *same, "at", "lo", "hi", "slots")
+    pairs = stored(spark, _candidates(theirs, mine), "candidate-pairs")
+    hits = pairs.join(mine, ["ik", "family"]).join(theirs, ["dk", *same])
     hits = stored(spark, hits, "window-hits")
     pair = ["dk", "ik"]
     group = [*pair, "family", "occ"]
@@ -206,6 +214,24 @@ def matched_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("dk", "item_id", "b.coverage", F.col("b.run").cast("long").alias("run_tokens"), "b.consistent", "b.n_slots", "b.lo", "b.hi", "b.contaminated")
 
 
+def _candidates(theirs: DataFrame, mine: DataFrame) -> DataFrame:
+    """``dk, ik, family`` of every pair that can reach the share or the run.
+
+    Such a pair has at least ``need`` of the item's windows in common, and so at least one
+    of its ``windows - need + 1`` rarest ones: only those bring pairs together. A phrase
+    that many items and many documents share joins nothing by itself, unless one window is
+    all that an item needs.
+    """
+    same = ["family", "size", "h", "canon"]
+    often = theirs.groupBy(*same).agg(F.count("*").alias("times"))
+    rare = mine.join(often, same, "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    windows = F.count("*").over(Window.partitionBy("ik", "family"))
+    need = F.greatest(F.lit(1), F.least(F.ceil(MIN_COVERAGE * F.col("windows") - 1e-6), F.lit(MIN_RUN - WINDOW + 1)))
+    nth = F.row_number().over(Window.partitionBy("ik", "family").orderBy("times", "item_at"))
+    rare = rare.withColumn("windows", windows).withColumn("nth", nth).filter(F.col("nth") <= F.col("windows") - need + 1).filter("times > 0")
+    return theirs.join(rare.select("ik", *same).distinct(), same).select("dk", "ik", "family").distinct()
+
+
 def _occurrences(hits: DataFrame) -> DataFrame:
     """Hits by occurrence ``occ``: those of a pair whose diagonals follow each other within
     a few tokens, for each place of the item the one on the diagonal with the most hits.
@@ -253,7 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a contaminated pair, with all their columns."""
+    """The rows of ``docs`` without a contaminated pair, with all their columns.
+
+    Null and empty texts stay; rows that repeat one another stay or go together; an empty
+    ``docs`` gives no rows, an empty ``benchmark`` drops none. A column of ``docs`` named
+    ``__rf_dk`` isn't allowed.
+    """
     rows = _keyed(docs, "__rf_dk", "doc_id")
     bad = _pairs(rows, benchmark).select(F.col("dk").alias("__rf_dk")).distinct()
     return rows.join(bad, "__rf_dk", "left_anti").select(*docs.columns)

@@ -30,3 +30,46 @@ def test_scattered_pieces_count_together(spark):
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = decontam.contaminated(spark.createDataFrame([(1, " ".join(pieces))], "doc_id long, text string"), bench).collect()
     assert len(got) == 1 and got[0].run_tokens < 13
+
+
+def test_against_all_pairs(spark):
+    """Items of plain words: a pair counts from a share of the windows or a run of tokens."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    common = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    phrase = "which of the following is true for all of them"
+    items, docs = [], []
+    for k in range(30):
+        words = [str(rng.choice(common)) + chr(97 + k % 26) for _ in range(int(rng.integers(4, 60)))]
+        items.append((k, (phrase + " " if k % 3 == 0 else "") + " ".join(words)))
+    for d in range(120):
+        parts = []
+        for _ in range(int(rng.integers(1, 5))):
+            words = items[int(rng.integers(30))][1].split()
+            a = int(rng.integers(0, len(words)))
+            parts += words[a : a + int(rng.integers(3, 30))] + ["filler"] * int(rng.integers(1, 9))
+        docs.append((d, " ".join(parts + phrase.split())))
+    want = set()
+    for i, item in items:
+        w = item.split()
+        size = min(8, len(w))
+        mine = [tuple(w[p : p + size]) for p in range(len(w) - size + 1)]
+        for d, text in docs:
+            t = text.split()
+            theirs = {tuple(t[p : p + size]) for p in range(len(t) - size + 1)}
+            covered = sum(x in theirs for x in mine) / len(mine)
+            run = max((n for p in range(len(t)) for q in range(len(w)) for n in [next((j for j in range(len(w)) if p + j >= len(t) or q + j >= len(w) or t[p + j] != w[q + j]), len(w))]), default=0)
+            if covered >= 0.3 or run >= 13:
+                want.add((d, i))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 50
+
+
+def test_words_with_one_polynomial_hash(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    item = f"one two three {word} four five six seven eight nine"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, item.replace(word, other))], "doc_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(docs, bench).collect()] == [1]
