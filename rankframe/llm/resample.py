@@ -2,10 +2,11 @@
 
 Words and word pairs (ASCII letters folded) are hashed into ``BUCKETS`` buckets. A
 generative model of the target texts and one of all raw texts are bucket counts, shrunk
-towards each other where a bucket has few; a document's log weight is the mean log ratio of its
-n-grams times ``PASSAGE``: that of a passage of one length made like it, so that long and
-short documents compare. Adding Gumbel noise (a hash of the key) and taking the k largest keys samples k
-documents without replacement in proportion to their weights.
+towards each other where a bucket has few; a document's log weight is the sum of its n-grams'
+log ratios, the ratio of the two models. Adding Gumbel noise (a hash of the key) and taking
+the k largest keys samples k documents without replacement in proportion to their weights.
+Where length should not count, ``passage`` makes the weight that of so many n-grams like the
+document's own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 #: Raw n-grams of prior weight in each bucket; the target gets its share of them.
 SMOOTHING = 100.0
-PASSAGE = 500.0
 SEED = 17
 
 
@@ -51,17 +51,22 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
+def gumbel_keys(weight: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Log weights plus Gumbel noise made of 64-bit hashes."""
+    uniform = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return weight - np.log(-np.log(uniform))
+
+
+def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray, passage: float | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column("text"))
         weight = np.zeros(batch.num_rows)
         for a, b in slices(offsets):
             bucket, row = ngram_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(ratio))
-            total, n = np.bincount(row, ratio[bucket], minlength=b - a), np.bincount(row, minlength=b - a)
-            weight[a:b] = PASSAGE * total / np.maximum(n, 1)
-        h = batch.column("h").to_numpy().view(np.uint64)
-        uniform = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
-        key = weight - np.log(-np.log(uniform))
+            weight[a:b] = np.bincount(row, ratio[bucket], minlength=b - a)
+            if passage is not None:
+                weight[a:b] *= passage / np.maximum(np.bincount(row, minlength=b - a), 1)
+        key = gumbel_keys(weight, batch.column("h").to_numpy().view(np.uint64))
         signed = key.view(np.int64)
         ordered = signed ^ ((signed >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))  # sorts like the keys
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(key), pa.array(ordered)], ["doc_id", "log_weight", "gumbel_key", "ordered"])
@@ -104,8 +109,9 @@ def log_ratio(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.
     return np.log((both[:, 1] + SMOOTHING * share) / ((both[:, 0] + SMOOTHING) * share))
 
 
-def resample(docs: DataFrame, target: DataFrame, share: float | None = None, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, share: float | None = None, k: int | None = None, passage: float | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, log_weight, gumbel_key, kept``.
+    With ``passage`` a weight is the mean log ratio times that number.
 
     ``kept`` marks the k largest keys (``share`` of the rows if k is not given); rows that
     tie with the k-th are kept as well. Null text has no n-grams and weight 0; repeated
@@ -117,7 +123,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float | None = None, k:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ratio = spark.sparkContext.broadcast(log_ratio(rows, target))  # one number a bucket
     hashed = rows.withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
-    scored = stored(spark, hashed.mapInArrow(lambda it: _score(it, ratio.value), "doc_id long, log_weight double, gumbel_key double, ordered long"), "weights")
+    scored = stored(spark, hashed.mapInArrow(lambda it: _score(it, ratio.value, passage), "doc_id long, log_weight double, gumbel_key double, ordered long"), "weights")
     if k is None:
         k = round(share * scored.count())
     least = _threshold(scored, k)
@@ -131,8 +137,8 @@ def good_share(labels: DataFrame) -> float:
     return 1.0 if value is None else value
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+def select_quality(docs: DataFrame, labels: DataFrame, share: float | None = None, passage: float | None = None) -> DataFrame:
     """``resample`` with the documents labelled quality 1 as target and, unless given,
     their share of the labels as the share kept."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return resample(docs, good, share=good_share(labels) if share is None else share)
+    return resample(docs, good, share=good_share(labels) if share is None else share, passage=passage)

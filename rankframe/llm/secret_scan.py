@@ -1,11 +1,16 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Everything here is DataFrame expressions and Spark's own random forest. Candidates are
-long runs of key characters with a digit or with mixed case. Features: length, shares of
-character classes, runs of one class, entropy, mean log probability of the candidate's
-letter transitions under the corpus's words, share of it covered by dictionary words, the
-path's parts, and neighbouring words. The dictionary and the transitions are counted over
-all texts. The forest is fitted on labelled findings.
+private key blocks, values assigned to a telling name, and long runs of key characters with
+a digit or with mixed case. Features: length, shares of character classes, runs of one
+class, entropy, mean log probability of the candidate's letter transitions under the
+corpus's words, share of it covered by dictionary words, known beginnings, the path's parts,
+and neighbouring words. The dictionary and the transitions are counted over all texts.
+
+The forest is fitted on labelled findings. Where none are given, findings are planted:
+secrets and look-alikes of many kinds, made by a generator, are put between words of the
+corpus, and the generator, not the features, says which is which. A fifth of them is held
+out, for precision and recall (``held_out``).
 """
 
 from __future__ import annotations
@@ -15,20 +20,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rankframe.llm.common import stored
 
 #: Key characters; a candidate is a whole run of at least 16 with a digit or with two
-#: changes from lower to upper case.
-_KEY = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9]|[{_KEY}]*?[a-z][A-Z][{_KEY}]*?[a-z][A-Z])[{_KEY}]{{16,}}+"
-#: Words that stand near secrets, and parts of paths that hold examples.
+#: changes from lower to upper case, and ``=`` only as padding at its end.
+_KEY = "A-Za-z0-9+/_-"
+_RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9]|[{_KEY}]*?[a-z][A-Z][{_KEY}]*?[a-z][A-Z])[{_KEY}]{{16,}}+={{0,2}}"
+#: Names that secrets are assigned to; values from 8 characters count there.
+_NAMED = r"(?<=[:=\s\"'])(?<=(?i:password|passwd|pwd|secret|token|api.?key|access.?key|private.?key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"'<>,;&\x01\x02]{8,}"
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^\x01]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
+#: Words that stand near secrets, words that stand near look-alikes, beginnings
+#: of known keys, and parts of paths that hold examples.
 NEAR_WORDS = r"(?i)(secret|token|passw(or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credential|bearer)"
+OTHER_WORDS = r"(?i)(sha-?[0-9]*|md5|hash|checksum|digest|commit|uuid|guid|base64|color|version|example|placeholder)"
+KNOWN = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-|eyJ|-----BEGIN)"
 EXAMPLE_PATHS = r"(?i)(test|example|sample|mock|fixture|doc)"
 BEFORE, AFTER = 60, 20
 #: A word is in the dictionary if the corpus has it so often.
 DICTIONARY_COUNT = 3
 #: The forest is fitted on at most so many labelled findings (those whose hashed keys are least).
 TRAIN_ROWS = 20_000
-TREES, DEPTH, SEED = 20, 6, 5
+TREES, DEPTH, SEED = 30, 8, 5
 FLOOR = -12.0
-FEATURES = ["size", "digits", "uppers", "lowers", "others", "runs", "entropy", "hex", "transitions", "dictionary", "near", "assigned", "quoted", "path_example", "path_depth"]
+FEATURES = ["size", "digits", "uppers", "lowers", "others", "runs", "entropy", "hex", "transitions", "dictionary", "near", "other_near", "assigned", "quoted", "known", "path_example", "path_depth"]
 
 
 def text_key() -> Column:
@@ -40,9 +52,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     ``docs(doc_id, text, source)``; places in code points, ends exclusive."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path"))
-    rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("dk", text_key()).withColumn("row", F.monotonically_increasing_id())
-    found = rows.select("row", "dk", "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("m"), F.split("text", CANDIDATE, -1).alias("p"))
-    each = found.select("row", "dk", "doc_id", "path", F.posexplode(F.arrays_zip("m", F.slice("p", 1, F.size("m")).alias("b"), F.slice("p", 2, F.size("m")).alias("a"))).alias("i", "x"))
+    # one pass of the pattern over each text: matches are put between marks, then cut out
+    marked = F.regexp_replace(F.translate("text", "\x01", "\x02"), F.lit(CANDIDATE), F.lit("\x01$0\x01"))
+    rows = rows.select("doc_id", "path", text_key().alias("dk"), F.split(marked, "\x01", -1).alias("p")).filter(F.size("p") > 1).withColumn("row", F.monotonically_increasing_id())
+    pieces = F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), lambda i: F.struct(F.get("p", i).alias("m"), F.get("p", i - 1).alias("b"), F.get("p", i + 1).alias("a")))
+    each = rows.select("row", "dk", "doc_id", "path", F.posexplode(pieces).alias("i", "x"))
     each = each.select("row", "dk", "doc_id", "path", "i", F.col("x.m").alias("value"), F.col("x.b").alias("b"), F.substring("x.a", 1, AFTER).alias("after"))
     order = Window.partitionBy("row").orderBy("i")
     end = F.sum(F.length("b") + F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -77,12 +91,14 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         share("0-9").alias("digits"),
         share("A-Z").alias("uppers"),
         share("a-z").alias("lowers"),
-        share("+/_=-").alias("others"),
+        (1 - share("0-9A-Za-z")).alias("others"),
         (F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) / size).alias("runs"),
         F.aggregate(counts, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0)).alias("entropy"),
         F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
         F.col("before").rlike(NEAR_WORDS).cast("double").alias("near"),
+        F.col("before").rlike(OTHER_WORDS).cast("double").alias("other_near"),
         F.col("before").rlike("[:=]\\s*[\"']?$").cast("double").alias("assigned"),
+        F.col("value").rlike(KNOWN).cast("double").alias("known"),
         (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double").alias("quoted"),
         F.col("path").rlike(EXAMPLE_PATHS).cast("double").alias("path_example"),
         F.size(F.split("path", "/")).cast("double").alias("path_depth"),
@@ -95,45 +111,125 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     return out.withColumns({"transitions": F.coalesce("transitions", F.lit(FLOOR)), "dictionary": F.coalesce("dictionary", F.lit(0.0))})
 
 
-def rule_labels(table: DataFrame) -> DataFrame:
-    """Labelled findings where there are no reviewed ones: ``cid, label`` by rules of high
-    precision. An assignment next to a telling word, of high entropy, is a secret; plain
-    numbers, words of the dictionary and runs without any sign around are not."""
-    yes = (F.col("near") == 1) & (F.col("assigned") == 1) & (F.col("entropy") >= 3) & (F.col("dictionary") < 0.3)
-    no = (F.col("digits") == 1) | (F.col("dictionary") >= 0.5) | ((F.col("near") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0))
-    return table.select("cid", F.when(yes, 1.0).when(no, 0.0).alias("label")).filter("label is not null")
+def _made(h: Column) -> list[tuple[float, Column, Column, Column]]:
+    """Label, text before, value and text after of every kind of planted finding, from a hash."""
+    hx = F.sha2(h.cast("string"), 256)
+    bits = F.base64(F.unhex(hx))
+    plain = F.translate(bits, "+/=", "x7")
+    size = (F.pmod(F.shiftright(h, 20), F.lit(24)) + 16).cast("int")
+    cut = lambda v, n=size: F.substring(v, F.lit(1), F.lit(n) if isinstance(n, int) else n)
+    some = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.shiftright(h, 12), F.lit(len(words))) + 1).cast("int"))
+    word = some("alpha", "buffer", "cursor", "daemon", "editor", "folder", "garden", "header", "island", "jungle")
+    name = some("password", "passwd", "secret", "token", "api_key", "API_KEY", "access_key", "SECRET_KEY", "auth_token", "private_key")
+    sign = some('="', " = '", ': "', "=", ": ", " = ")
+    quote = some('"', "'", '"', "", "", "")
+    mixed = F.concat(cut(plain, 5), F.lit("!"), F.substring(plain, 8, 6), F.lit("#"))
+    uuid = F.concat_ws("-", cut(hx, 8), F.substring(hx, 9, 4), F.substring(hx, 13, 4), F.substring(hx, 17, 4), F.substring(hx, 21, 12))
+    number = F.translate(hx, "abcdef", "012345")
+    block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), bits, F.lit("\n"), F.reverse(bits), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    empty = F.lit("")
+    return [
+        (1.0, F.concat(name, sign), cut(hx, 40), quote),
+        (1.0, F.concat(name, sign), cut(hx), quote),
+        (1.0, F.concat(name, sign), cut(plain), quote),
+        (1.0, F.concat(name, sign), bits, quote),
+        (1.0, F.concat(some("password", "passwd", "pwd"), sign), mixed, quote),
+        (1.0, some("Authorization: Bearer ", "auth: ", "credential "), cut(plain, 40), empty),
+        (1.0, F.concat(F.lit("https://host/path?"), some("token=", "access_token=", "api_key=")), cut(plain), F.lit("&page=2")),
+        (1.0, some("key ", "use ", ""), F.concat(F.lit("AKIA"), F.upper(cut(plain, 16))), empty),
+        (1.0, some("with ", "", "login "), F.concat(some("ghp_", "sk-", "xoxb-", "glpat-"), cut(plain, 36)), empty),
+        (1.0, empty, block, empty),
+        (0.0, some("commit ", "sha1 ", "revision ", "at "), cut(hx, 40), empty),
+        (0.0, some("sha256: ", "md5 = ", 'checksum="', "digest: "), cut(hx), empty),
+        (0.0, some("id=", "uuid: ", 'guid="', "item "), uuid, empty),
+        (0.0, some("order ", "number: ", "id=", "account "), cut(number), empty),
+        (0.0, some("call ", "the function ", "class ", ""), F.concat(word, F.lit("FromUser"), F.initcap(word), F.lit("ById2")), empty),
+        (0.0, some("see ", "in ", "path=", "https://host/"), F.concat(word, F.lit("/share/"), word, F.lit("-docs/chapter-2/index")), empty),
+        (0.0, some("file ", "name: ", ""), F.concat(word, F.lit("_"), word, F.lit("_2024_01_31_final")), empty),
+        (0.0, F.concat(name, sign), F.concat(F.lit("your-"), word, F.lit("-here-1234")), quote),
+        (0.0, F.concat(name, sign), some("xxxxxxxxxxxxxxxx1", "changeme12345678", "********", "0000000000000000", "${SECRET_VALUE_1}", "environment.value"), quote),
+        (0.0, some("data:image/png;base64,", "src=base64,"), F.concat(bits, F.reverse(plain)), empty),
+        (0.0, some("version ", "build: ", "release "), F.concat(F.lit("2024-01-31-"), word, F.lit("-build-17")), empty),
+        (0.0, some("", "- ", "> "), F.concat(word, word, F.lit("12345678")), empty),
+        (0.0, some("token ", "the secret ", "a password "), F.concat(word, F.lit("Of"), F.initcap(word), F.lit("InTheGarden7")), empty),
+    ]
+
+
+def planted(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, source, kind, label, lo, hi``: findings put between words of at most
+    ``rows`` texts (those whose hash is least); ``lo`` to ``hi`` is the planted value."""
+    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("text", F.lit("")), F.lit("planted"))
+    some = docs.select(h.alias("h"), path.alias("source"), F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("head")).orderBy("h").limit(rows)
+    made = _made(F.col("h"))
+    kind = F.pmod(F.xxhash64("h"), F.lit(len(made))).cast("int")
+    pick = lambda j: F.element_at(F.array(*[x[j] if isinstance(x[j], Column) else F.lit(x[j]) for x in made]), F.col("kind") + 1)
+    out = some.withColumn("kind", kind).select("h", "source", "kind", "head", pick(0).alias("label"), pick(1).alias("b"), pick(2).alias("v"), pick(3).alias("a"))
+    at = (F.pmod(F.shiftright("h", 30), F.lit(200)) + 1).cast("int")
+    before = F.concat(F.substring("head", at, F.lit(80)), F.lit(" "), "b")
+    after = F.concat("a", F.lit(" "), F.substring("head", at + 80, F.lit(60)))
+    return out.select(F.col("h").alias("doc_id"), F.concat(before, "v", after).alias("text"), "source", "kind", "label", F.length(before).alias("lo"), (F.length(before) + F.length("v")).alias("hi"), F.pmod(F.xxhash64("h", F.lit(1)), F.lit(5)).alias("fold"))
+
+
+def _labelled(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Features, ``label``, ``kind`` and ``fold`` of the planted findings."""
+    made = stored(docs.sparkSession, planted(docs), "planted")
+    table = features(stored(docs.sparkSession, candidates(made), "planted-candidates"), words)
+    where = made.select("doc_id", "kind", "label", "lo", "hi", "fold").dropDuplicates(["doc_id"])
+    return table.join(where, "doc_id").filter("start < hi and end > lo").drop("lo", "hi")
+
+
+def _forest(sample: DataFrame):
+    """A fitted forest of ``sample(*FEATURES, label)``; None where all labels are of one kind."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
+    sample = stored(sample.sparkSession, vector.transform(sample).select("vector", "label"), "labelled")
+    if sample.select("label").distinct().count() < 2:
+        return None
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(sample)
+
+
+def _judged(table: DataFrame, forest) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    if forest is None:
+        rule = (F.col("known") == 1) | ((F.col("near") == 1) & (F.col("assigned") == 1) & (F.col("entropy") >= 3))
+        return table.withColumn("score", rule.cast("double"))
+    wide = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(table)
+    return forest.transform(wide).withColumn("score", vector_to_array("probability")[1])
+
+
+def held_out(docs: DataFrame) -> DataFrame:
+    """``kind, label, n, n_flagged`` of planted findings that the forest was not fitted on."""
+    spark = docs.sparkSession
+    words = stored(spark, dictionary(docs), "dictionary")
+    table = stored(spark, _labelled(docs, words), "planted-features")
+    out = _judged(table.filter("fold = 0"), _forest(table.filter("fold > 0")))
+    return out.groupBy("kind", "label").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.5).alias("n_flagged"))
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Candidates of ``docs(doc_id, text, source)`` with ``score`` (the forest's
     probability) and ``is_secret``; ``labelled(doc_id, start, end, label)`` has reviewed
-    findings.
+    findings, in place of planted ones.
 
     Null and empty texts have no candidates; repeated rows repeat theirs; an empty table
-    gives no rows; with labels of one kind, or none, the rules decide alone.
+    gives no rows; with labels of one kind, or none, a rule decides (a known beginning, or
+    an assignment next to a telling word, of some entropy).
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     spark = docs.sparkSession
     found = stored(spark, candidates(docs), "candidates")
     words = stored(spark, dictionary(docs), "dictionary")
     table = stored(spark, features(found, words), "candidate-features")
     if labelled is None:
-        labels = rule_labels(table)
+        sample = _labelled(docs, words).filter("fold > 0")
     else:
-        labels = table.join(labelled.select("doc_id", "start", "end", F.col("label").cast("double").alias("label")), ["doc_id", "start", "end"]).select("cid", "label")
-    sample = table.join(labels, "cid").orderBy(F.xxhash64("doc_id", "start"), "cid").limit(TRAIN_ROWS)
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-    sample = stored(spark, vector.transform(sample).select("vector", "label"), "labelled")
-    if sample.select("label").distinct().count() < 2:
-        rule = (F.col("near") == 1) & (F.col("assigned") == 1) & (F.col("entropy") >= 3)
-        out = table.withColumn("score", rule.cast("double"))
-    else:
-        forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(sample)
-        out = forest.transform(vector.transform(table)).withColumn("score", vector_to_array("probability")[1])
-    return out.withColumn("is_secret", F.col("score") >= 0.5)
+        labels = table.join(labelled.select("doc_id", "start", "end", F.col("label").cast("double").alias("label")), ["doc_id", "start", "end"])
+        sample = labels.orderBy(F.xxhash64("doc_id", "start"), "cid").limit(TRAIN_ROWS)
+    return _judged(table, _forest(sample)).withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def secret_report(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -148,7 +244,11 @@ MASK = "<secret>"
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with all their columns, each secret in ``text`` replaced by
-    ``MASK`` and ``n_chars``, where there is one, brought up to date."""
+    ``MASK`` and ``n_chars``, where there is one, brought up to date.
+
+    Null texts stay null; rows that repeat one another are masked alike; an empty table
+    gives no rows. Columns named ``__rf_dk`` or ``__rf_spans`` aren't allowed.
+    """
     spans = findings(docs).filter("is_secret").groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__rf_spans")).withColumnRenamed("dk", "__rf_dk")
     rows = docs.withColumn("__rf_dk", text_key()).join(spans, "__rf_dk", "left")
     masked = F.expr(

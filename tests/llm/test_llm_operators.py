@@ -453,6 +453,27 @@ def test_resampling(spark, edge, none):
     assert resample.resample(none, labels, k=3).count() == 0
 
 
+def test_gumbel_keys_sample_in_proportion_to_weights():
+    rng = np.random.default_rng(12)
+    weight = np.array([0.0, 1.0, 2.0, -1.0, 0.5])
+    h = rng.integers(0, 1 << 63, (40_000, 5), dtype=np.int64).view(np.uint64) << np.uint64(1)
+    keys = np.stack([resample.gumbel_keys(weight, row) for row in h])
+    first = np.bincount(keys.argmax(axis=1), minlength=5) / len(h)
+    assert first == pytest.approx(np.exp(weight) / np.exp(weight).sum(), abs=0.01)
+
+
+def test_weights_are_log_ratios_of_the_models(spark):
+    rows = [(1, "a b c"), (2, "a a"), (3, "b c d"), (4, "d d d")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    target = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {r.doc_id: r.log_weight for r in resample.resample(df, target, k=2).collect()}
+    grams = lambda t: t.lower().split() + list(zip(t.lower().split(), t.lower().split()[1:]))
+    raw, chosen = Counter(g for _, t in rows for g in grams(t)), Counter(g for k, t in rows if k < 3 for g in grams(t))
+    share = sum(chosen.values()) / sum(raw.values())
+    want = {k: sum(np.log((chosen[g] + resample.SMOOTHING * share) / ((raw[g] + resample.SMOOTHING) * share)) for g in grams(t)) for k, t in rows}
+    assert got == pytest.approx(want)
+
+
 def test_pipeline_stages(spark, edge, none, tmp_path):
     import corpus_pipeline
 
