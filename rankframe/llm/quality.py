@@ -1,169 +1,295 @@
 """Quality rules with an n-gram perplexity: a modified Kneser-Ney model per language.
 
-The model is over symbol classes (blank, each ASCII letter by case, digits, kinds of
-punctuation, parts of other characters: 64 in all), so its table has a proven bound of
-``64 ** ORDER`` n-grams a language however large the corpus. Tasks count n-grams, Spark
-adds them up over all documents and derives the lower orders (distinct left extensions),
-discounts and interpolated probabilities as joins. The result is stored as sorted arrays
-of packed n-grams and log probabilities, one row a language, which tasks read from the
-shared folder. A document's figure is bits a letter (log2 of its perplexity); words with
-a digit (numbers, keys, addresses) carry no language and are left out. It is rejected
-outside its language's band, which is wider for short texts.
+The model is over characters (code points; a run of blanks is one): its n-grams are counted
+over all documents, with no bound on alphabet or table. Rows are written once with the
+number of their part (``chunk``); tasks count the different n-grams of each chunk, Spark
+adds them up, derives the lower orders (distinct left extensions), discounts, and
+interpolated probabilities as joins. The model is stored as sorted arrays of 64-bit hashes
+with log probability and back-off weight, spread by hash. What a chunk needs of it is
+gathered by a shuffle of the chunk's different n-grams against those arrays: what is found
+counts as it is, what isn't backs off to shorter n-grams. So a task holds the n-grams of its
+own chunk only, however large the model is.
+
+A document's figure is bits a letter (log2 of its perplexity). Words with a digit (numbers,
+keys, addresses) carry no language and aren't scored; a text of which less than a quarter is
+scored has no perplexity. Documents are rejected outside their language's band, which is
+wider for short texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from rankframe.llm.common import BLANK, SYMBOLS, SubstringHash, as_bytes, fresh_path, mix, slices, stored, tune, word_bounds
+from rankframe.llm.common import BLANK, POLY, SYMBOLS, SubstringHash, as_bytes, discard, file_system, fresh_path, mix, slices, stored, tune, word_bounds
 
-ORDER = 4
-BITS = 6
+ORDER = 5
 #: Bands: medians plus or minus this share of the median and so many robust deviations.
-BAND_SHARE, BAND_DEVIATIONS = 0.05, 4.0
+BAND_SHARE, BAND_DEVIATIONS = 0.02, 4.0
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Languages up to which the bands are broadcast; beyond that they are joined by shuffle.
+#: Languages up to which tables of one row a language are broadcast; beyond that they are
+#: joined by shuffle.
 FEW_LANGUAGES = 10_000
+#: Entries aimed at in one part of the model's arrays.
+PART = 200_000
+#: Stands before a text, so that its first characters have a context too.
+EDGE = "\n"
 
+DIGIT = np.zeros(256, bool)
+DIGIT[48:58] = True
+SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-def _classes() -> np.ndarray:
-    out = np.full(256, 63, np.int64)
-    out[BLANK] = 0
-    out[97:123] = 1 + np.arange(26)
-    out[65:91] = 27 + np.arange(26)
-    out[48:58] = 53
-    for text, k in ((b".", 54), (b",;:", 55), (b"!?", 56), (b"#*$%&|<>", 57)):
-        out[list(text)] = k
-    out[192:] = 58
-    out[128:192] = 59 + np.arange(64) % 4
-    return out
 
+# ---- n-grams -----------------------------------------------------------------------------
 
-CLASSES = _classes()
-LETTER = ((CLASSES >= 1) & (CLASSES <= 52)) | (CLASSES == 58)
-DIGIT = CLASSES == 53
-SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
-
-def packed_ngrams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed n-gram that ends at each scored byte, the byte's row, and whether it is a
-    letter. Runs of blanks count as one; each row starts after ``order - 1`` blanks."""
+def scored_text(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """The scored words of a slice, each with a blank after it and ``ORDER - 1`` edges
+    before each row; the row of every character, and whether it is scored (not an edge)."""
     starts, ends, rows = word_bounds(data, offsets)
-    if not len(starts):
-        z = np.zeros(0, np.int64)
-        return z.astype(np.int32), z, z.astype(bool)
     digit = np.concatenate([np.zeros(1, np.int64), np.cumsum(DIGIT[data])])
     plain = digit[ends] == digit[starts]
     starts, ends, rows = starts[plain], ends[plain], rows[plain]
-    size = ends - starts + 1  # the word and a blank after it
+    if not len(starts):
+        return "", np.zeros(0, np.int64), np.zeros(0, bool)
+    size = ends - starts + 1
     total = int(size.sum())
     base = np.cumsum(size) - size
-    source = np.arange(total) + np.repeat(starts - base, size)
-    symbol = CLASSES[data[np.minimum(source, len(data) - 1)]]
-    last = base + size - 1
-    symbol[last] = 0
-    row = np.repeat(rows, size)
-    letter = LETTER[data[np.minimum(source, len(data) - 1)]]
-    letter[last] = False
+    symbol = data[np.minimum(np.arange(total) + np.repeat(starts - base, size), len(data) - 1)].copy()
+    symbol[base + size - 1] = 32
     new_row = np.ones(len(rows), bool)
     new_row[1:] = rows[1:] != rows[:-1]
-    gap = np.repeat(np.cumsum(new_row) * (order - 1), size)  # blanks put before each row
-    padded = np.zeros(total + int(new_row.sum()) * (order - 1), np.int32)
-    place = np.arange(total) + gap
-    padded[place] = symbol
-    code = symbol.astype(np.int32)
-    for j in range(1, order):
-        code |= padded[place - j] << np.int32(BITS * j)
-    return code, row, letter
+    place = np.arange(total) + np.repeat(np.cumsum(new_row) * (ORDER - 1), size)
+    out = np.full(total + int(new_row.sum()) * (ORDER - 1), ord(EDGE), np.uint8)
+    out[place] = symbol
+    row, real = np.zeros(len(out), np.int64), np.zeros(len(out), bool)
+    row[place], real[place] = np.repeat(rows, size), True
+    lead = (out & 0xC0) != 0x80
+    return out.tobytes().decode("utf-8", "replace"), row[lead], real[lead]
 
 
-def _by_language(batch: pa.RecordBatch, lang: str, text: str) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
-    """Rows of a batch by language: language, row numbers, texts."""
-    codes, names = pd.factorize(np.array(["" if x is None else x for x in batch.column(lang).to_pylist()], object))
-    for k, name in enumerate(names):
-        rows = np.flatnonzero(codes == k)
-        yield name, rows, batch.column(text).take(pa.array(rows))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+def chain(codes: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams, given their last characters, those before them, and so on."""
+    with np.errstate(over="ignore"):
+        key = mix(codes[0] * POLY + np.uint64(1))
+        for c in codes[1:]:
+            key = mix(key ^ (c * POLY + np.uint64(7)))
+    return key
+
+
+def ngrams(text: str, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams of scored characters end, and their hashes."""
+    at = np.flatnonzero(real)
+    codes = _codes(text)
+    return at, chain([codes[at - j] for j in range(ORDER)])
+
 
-    def merged(parts: list) -> list:
-        grams, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-        return [(grams, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64))]
+def _by_language(batch: pa.RecordBatch, chunk: str, lang: str, text: str) -> Iterator[tuple[int, str, np.ndarray, pa.Array]]:
+    """Rows of a batch by chunk and language: both, row numbers, texts."""
+    keys = [(c, x or "") for c, x in zip(batch.column(chunk).to_pylist(), batch.column(lang).to_pylist())]
+    at: dict[tuple[int, str], list[int]] = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    for (c, name), rows in at.items():
+        yield c, name, np.array(rows), batch.column(text).take(pa.array(rows))
 
+
+class _Counts:
+    """Different n-grams of one chunk and language, as hashes, texts and numbers."""
+
+    def __init__(self) -> None:
+        self.hash, self.gram, self.n, self.more = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.int64), []
+        self.waiting = 0
+
+    def add(self, text: str, real: np.ndarray) -> None:
+        at, h = ngrams(text, real)
+        kinds, first, n = np.unique(h, return_index=True, return_counts=True)
+        new = np.array([text[i - ORDER + 1 : i + 1] for i in at[first].tolist()], object)
+        self.more.append((kinds, new, n))
+        self.waiting += len(kinds)
+        if self.waiting > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        parts = [(self.hash, self.gram, self.n), *self.more]
+        h, gram, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.hash, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        self.gram, self.n = gram[first], np.bincount(inverse, n, minlength=len(first)).astype(np.int64)
+        self.more, self.waiting = [], 0
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[tuple[int, str], _Counts] = {}
     for batch in batches:
-        for name, _, texts in _by_language(batch, "lang", "text"):
+        for chunk, name, _, texts in _by_language(batch, "chunk", "lang", "text"):
             data, offsets = as_bytes(texts)
             for a, b in slices(offsets):
-                code, _, _ = packed_ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                held.setdefault(name, []).append(np.unique(code, return_counts=True))
-            if sum(len(g) for g, _ in held[name]) > 1 << 20:
-                held[name] = merged(held[name])
-    for name, parts in held.items():
-        grams, n = merged(parts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                text, _, real = scored_text(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if text:
+                    held.setdefault((chunk, name), _Counts()).add(text, real)
+    for (chunk, name), c in held.items():
+        c.settle()
+        m = len(c.n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk, np.int32)), pa.array([name] * m, pa.string()), pa.array(c.gram, pa.string()), pa.array(c.n)], ["chunk", "lang", "gram", "n"])
 
 
-def _pack_model(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("gram")
-    return pd.DataFrame({"lang": [key[0]], "grams": [rows["gram"].to_numpy(np.int32).tobytes()], "logs": [np.log2(rows["p"].to_numpy(np.float64)).astype(np.float32).tobytes()]})
+# ---- the model ---------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, order: int = ORDER) -> str:
-    """Count and smooth the models of all languages of ``docs(lang, text)``; the folder of
-    the stored sorted arrays. A null language is the language ''."""
-    spark = docs.sparkSession
-    tune(spark)
-    counts = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    levels = {order: stored(spark, counts, "ngrams")}
-    for k in range(order - 1, 0, -1):
-        low = F.col("gram").bitwiseAND((1 << BITS * k) - 1)
-        levels[k] = levels[k + 1].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n"))
-    lower = None
-    for k in range(1, order + 1):
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row a language, broadcast if there are few."""
+    return F.broadcast(table) if rows <= FEW_LANGUAGES else table
+
+
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("key")
+    column = lambda c, kind: [rows[c].to_numpy(np.float64).astype(kind).tobytes()]
+    return pd.DataFrame({"part": [key[0]], "keys": [rows["key"].to_numpy(np.int64).tobytes()], "logs": column("log", np.float32), "backs": column("back", np.float32)})
+
+
+MODEL = "part long, keys binary, logs binary, backs binary, parts long"
+
+
+def _key() -> Column:
+    return F.xxhash64("lang", "gram")
+
+
+def smooth(counts: DataFrame) -> DataFrame:
+    """``lang, gram, log, back``: log2 probability of each n-gram's last character after the
+    others, and log2 of the weight that shorter n-grams have after it, from
+    ``counts(lang, gram, n)`` of order ``ORDER``. The empty gram has the probability of a
+    character that was never seen."""
+    spark = counts.sparkSession
+    levels = {ORDER: stored(spark, counts, "ngrams")}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = stored(spark, levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    alphabet = levels[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("below"))
+    alphabet = stored(spark, alphabet, "alphabets")
+    few = alphabet.count()
+    lower, out = None, alphabet.select("lang", F.lit("").alias("gram"), F.col("below").alias("p"))
+    weights = None
+    for k in range(1, ORDER + 1):
         table = levels[k]
-        c = [F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)]
-        seen = table.groupBy("lang").agg(*[x.alias(f"n{i + 1}") for i, x in enumerate(c)])
+        seen = table.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
         y = F.col("n1") / F.greatest(F.lit(1.0), F.col("n1") + 2 * F.col("n2"))
 
         def discount(i: int, y: Column = y) -> Column:
             raw = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.lit(1.0), F.col(f"n{i}"))
             return F.least(F.lit(float(i)), F.greatest(F.lit(0.1), raw))
 
-        seen = seen.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
+        seen = _small(seen.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]), few)
         table = table.join(seen, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        table = table.withColumn("context", F.shiftright("gram", BITS))
-        over = Window.partitionBy("lang", "context")
+        table = table.withColumn("context", F.substring("gram", 1, k - 1))
+        over = Window.partitionBy("lang", "context")  # as many rows as the alphabet has characters
         table = table.withColumn("total", F.sum("n").over(over)).withColumn("spare", F.sum("d").over(over) / F.col("total"))
         if lower is None:
-            table = table.withColumn("below", F.lit(1.0 / (1 << BITS)))
+            table = table.join(_small(alphabet, few), "lang")
         else:
-            tail = F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)
-            table = table.withColumn("tail", tail).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
-        lower = table.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("spare") * F.col("below")).alias("p"))
+            table = table.withColumn("tail", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
+        table = stored(spark, table.select("lang", "gram", "context", "spare", ((F.col("n") - F.col("d")) / F.col("total") + F.col("spare") * F.col("below")).alias("p")), "level")
+        lower = table.select("lang", "gram", "p")
+        out = out.union(lower)
+        back = table.groupBy("lang", "context").agg(F.first("spare").alias("spare"))
+        weights = back if weights is None else weights.union(back)
+    # edges are contexts, but nothing ends with one: those have a weight and no probability
+    both = out.join(weights.withColumnRenamed("context", "gram"), ["lang", "gram"], "full")
+    return both.select("lang", "gram", F.log2("p").alias("log"), F.coalesce(F.log2("spare"), F.lit(0.0)).alias("back"))
+
+
+def train(counts: DataFrame) -> str:
+    """Smooth ``counts(lang, gram, n)`` and store the model; its folder."""
+    spark = counts.sparkSession
+    entries = stored(spark, smooth(counts).withColumn("key", _key()), "entries")
+    parts = max(1, -(-entries.count() // PART))
     folder = fresh_path(spark, "ngram-model")
-    # at most 64 ** order rows a language
-    lower.groupBy("lang").applyInPandas(_pack_model, "lang string, grams binary, logs binary").write.parquet(folder)
+    rows = entries.select(F.pmod("key", F.lit(parts)).alias("part"), "key", "log", "back")
+    rows.groupBy("part").applyInPandas(_pack, "part long, keys binary, logs binary, backs binary").withColumn("parts", F.lit(parts).cast("long")).write.parquet(folder)
     return folder
 
 
-@lru_cache(maxsize=6)
-def load_model(folder: str, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow.parquet as pq
-    from pyarrow.fs import FileSystem
+def _find(key: tuple, asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    out = asked.drop(columns=["part", "key"])
+    if model.empty:
+        return out.assign(log=np.nan, back=0.0, found=False)
+    row = model.iloc[0]
+    keys = np.frombuffer(row["keys"], np.int64)
+    at = np.minimum(np.searchsorted(keys, asked["key"].to_numpy()), len(keys) - 1)
+    there = keys[at] == asked["key"].to_numpy()
+    log, back = (np.frombuffer(row[c], np.float32)[at].astype(np.float64) for c in ("logs", "backs"))
+    found = there & ~np.isnan(log)
+    return out.assign(log=np.where(found, log, np.nan), back=np.where(there, back, 0.0), found=found)
+
+
+def look_up(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """``asked(lang, gram, ...)`` with ``log, back, found`` from the stored arrays."""
+    model = spark.read.schema(MODEL).parquet(folder)
+    head = model.select("parts").head()
+    rows = asked.withColumn("key", _key())
+    rows = rows.withColumn("part", F.pmod("key", F.lit(head[0] if head else 1).cast("long")))
+    schema = T.StructType([*asked.schema.fields, T.StructField("log", T.DoubleType()), T.StructField("back", T.DoubleType()), T.StructField("found", T.BooleanType())])
+    return rows.groupBy("part").cogroup(model.select("part", "keys", "logs", "backs").groupBy("part")).applyInPandas(_find, schema)
+
+
+def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """``chunk, lang, gram, log`` of ``asked(chunk, lang, gram)``: what the model has, and by
+    back-off to shorter n-grams what it hasn't. A language that it doesn't know gives no rows."""
+    first = stored(spark, look_up(spark, folder, asked), "looked-up")
+    out = first.filter("found").select("chunk", "lang", "gram", "log")
+    missing = first.filter("not found").select("chunk", "lang", F.col("gram").alias("whole"), F.lit(0.0).alias("spent"))
+    for k in range(ORDER - 1, -1, -1):
+        if missing.isEmpty():
+            break
+        rest = missing.withColumn("context", F.substring("whole", ORDER - k, k))
+        names = rest.select("lang", F.col("context").alias("gram")).union(rest.select("lang", F.substring("whole", ORDER - k + 1, k)))
+        known = stored(spark, look_up(spark, folder, names.distinct()), "looked-up")
+        rest = rest.join(known.select("lang", F.col("gram").alias("context"), F.col("back")), ["lang", "context"]).withColumn("spent", F.col("spent") + F.col("back")).drop("back")
+        rest = rest.withColumn("gram", F.substring("whole", ORDER - k + 1, k)).join(known.select("lang", "gram", "log", "found"), ["lang", "gram"])
+        out = out.union(rest.filter("found").select("chunk", "lang", "whole", F.col("spent") + F.col("log")))
+        missing = stored(spark, rest.filter("not found").select("chunk", "lang", "whole", "spent"), "missing")
+    return out
+
 
-    fs, inner = FileSystem.from_uri(folder)
-    rows = pq.read_table(inner, filesystem=fs, filters=[("lang", "==", lang)]).to_pylist()
-    if not rows:
-        return np.zeros(1, np.int32), np.zeros(1, np.float32)
-    return np.frombuffer(rows[0]["grams"], np.int32), np.frombuffer(rows[0]["logs"], np.float32)
+def _pack_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    codes = _codes("".join(rows["gram"])).reshape(-1, ORDER)
+    h = chain([codes[:, ORDER - 1 - j] for j in range(ORDER)])
+    order = np.argsort(h)
+    return pd.DataFrame({"chunk": [key[0]], "lang": [key[1]], "hashes": [h[order].tobytes()], "logs": [rows["log"].to_numpy(np.float64)[order].astype(np.float32).tobytes()]})
+
+
+def gather(counts: DataFrame, folder: str) -> str:
+    """For each chunk of ``counts(chunk, lang, gram, n)`` the log probabilities of its
+    n-grams, as sorted arrays in a folder of its own."""
+    spark = counts.sparkSession
+    path = fresh_path(spark, "chunk-grams")
+    logs = probabilities(spark, folder, counts.select("chunk", "lang", "gram"))
+    # a group is what one chunk has of one language
+    logs.groupBy("chunk", "lang").applyInPandas(_pack_chunk, "chunk int, lang string, hashes binary, logs binary").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+@lru_cache(maxsize=2)
+def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileType
+
+    fs, inner = file_system(f"{path}/chunk={chunk}")
+    if fs.get_file_info(inner).type == FileType.NotFound:
+        return {}
+    rows = ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["lang", "hashes", "logs"]).to_pylist()
+    return {r["lang"] or "": (np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["logs"], np.float32)) for r in rows}
+
+
+# ---- figures of documents ----------------------------------------------------------------
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -181,7 +307,7 @@ def _twice(keys: np.ndarray) -> np.ndarray:
     return again[at] == keys
 
 
-FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "letters"]
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "letters", "scored"]
 
 
 def base_figures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -194,53 +320,62 @@ def base_figures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     inside = ~BLANK[data]
     out["word_chars"] = _sums(inside & ((data & 0xC0) != 0x80), offsets)
     out["n_symbols"] = _sums(SYMBOL[data], offsets)
-    sub = SubstringHash(data, SYMBOLS)
-    line_end = data == 10
-    first = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(line_end) + 1]))
-    first = first[first < len(data)]
-    last = np.append(first[1:], len(data))
-    last = np.where(line_end[last - 1], last - 1, last)  # without the line feed
-    last = np.maximum(last, first)
-    words = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
-    some = words[last] > words[first]
-    first, last = first[some], last[some]
-    row = np.searchsorted(offsets, first, "right") - 1
-    key = mix(sub.of(first, last) ^ mix(row.astype(np.uint64) + np.uint64(1)))
-    kinds = np.unique(key, return_index=True)[1]
-    out["n_dup_lines"] = np.bincount(row, minlength=n) - np.bincount(row[kinds], minlength=n)
+    raw, at = data.tobytes(), offsets.tolist()
+    dup = np.zeros(n, np.int64)
+    for i, (x, y) in enumerate(zip(at, at[1:])):
+        lines = [line for line in raw[x:y].split(b"\n") if line.strip()]
+        dup[i] = len(lines) - len(set(lines))
+    out["n_dup_lines"] = dup
     repeat = np.zeros(n, np.int64)
     if len(starts) >= WINDOW:
-        h = sub.of(starts, ends)
+        # equal windows have equal hashes; rows that have any are counted by their words
+        h = SubstringHash(data, SYMBOLS).of(starts, ends)
         m = len(h) - WINDOW + 1
         key = mix(rows[:m].astype(np.uint64) + np.uint64(1))
         for j in range(WINDOW):
             key = mix(key ^ h[j : j + m])
         ok = np.flatnonzero(rows[:m] == rows[WINDOW - 1 :])
-        hit = ok[_twice(key[ok])]
-        if len(hit):
-            cover = np.zeros(len(h) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + WINDOW, -1)
-            repeat = np.bincount(rows[np.cumsum(cover[:-1]) > 0], minlength=n)
+        for i in np.unique(rows[ok[_twice(key[ok])]]).tolist():
+            repeat[i] = repeated_words(raw[at[i] : at[i + 1]].split())
     out["n_repeat_words"] = repeat
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], folder: str, passed: int) -> Iterator[pa.RecordBatch]:
-    """Adds the figures to the first ``passed`` columns; language and text are the last two."""
+def repeated_words(words: list[bytes]) -> int:
+    """Words in windows of ``WINDOW`` words that the text has twice or more."""
+    windows = list(zip(*[words[j:] for j in range(WINDOW)]))
+    often = Counter(windows)
+    covered, end = 0, 0
+    for i, w in enumerate(windows):
+        if often[w] > 1:
+            covered += i + WINDOW - max(end, i)
+            end = i + WINDOW
+    return covered
+
+
+def _score(batches: Iterator[pa.RecordBatch], path: str, passed: int) -> Iterator[pa.RecordBatch]:
+    """Adds the figures to the first ``passed`` columns; chunk, language and text are the last three."""
     for batch in batches:
         figures = {c: np.zeros(batch.num_rows, np.int64) for c in FIGURES}
         bits = np.zeros(batch.num_rows)
-        for name, rows, texts in _by_language(batch, "__rf_lang", "__rf_text"):
-            grams, logs = load_model(folder, name)
+        for chunk, name, rows, texts in _by_language(batch, "__rf_chunk", "__rf_lang", "__rf_text"):
             data, offsets = as_bytes(texts)
             for a, b in slices(offsets):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 base = base_figures(part, at)
-                code, row, letter = packed_ngrams(part, at)
-                log = logs[np.minimum(np.searchsorted(grams, code), len(grams) - 1)]
-                base["letters"] = np.bincount(row[letter], minlength=b - a)
-                bits[rows[a:b]] = -np.bincount(row, log, minlength=b - a)
+                base["letters"] = base["scored"] = np.zeros(b - a, np.int64)
+                text, row, real = scored_text(part, at)
+                if text:
+                    hashes, logs = chunk_arrays(path, chunk)[name]
+                    end, h = ngrams(text, real)
+                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    if not (hashes[place] == h).all():
+                        raise ValueError("an n-gram was not gathered for its chunk")
+                    bits[rows[a:b]] = -np.bincount(row[end], logs[place], minlength=b - a)
+                    code = _codes(text)[end]
+                    base["scored"] = np.bincount(row[end[code != 32]], minlength=b - a)
+                    letter = (code >= 128) | ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
+                    base["letters"] = np.bincount(row[end[letter]], minlength=b - a)
                 for c in FIGURES:
                     figures[c][rows[a:b]] = base[c]
         names = batch.schema.names[:passed] + [f"__rf_{c}" for c in [*FIGURES, "bits"]] + ["__rf_lang"]
@@ -250,20 +385,27 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str, passed: int) -> Itera
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs(lang, text, ...)`` with the figures, ``bits_per_letter``,
-    the band and the verdicts in columns named ``__rf_...``.
+    the band and the verdicts in columns named ``__rf_...`` (``docs`` may not have such).
 
-    Null text has no words and fails the base rules; a text without letters outside words
-    with digits has no perplexity and is not kept; repeated rows count each; an empty
-    table gives no rows.
+    Null text has no words and fails the base rules; a text that isn't scored for a quarter of
+    its characters at least has no perplexity and is not kept; a null language is the
+    language ''; repeated rows count each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tune(spark)
+    base = stored(spark, docs.select(*dict.fromkeys([*keep, "lang", "text"]), F.spark_partition_id().alias("__rf_chunk")), "chunks")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    folder = train(docs.select(lang.alias("lang"), text.alias("text")))
-    rows = docs.select(*keep, lang.alias("__rf_lang"), text.alias("__rf_text"))
+    rows = base.select(*keep, F.col("__rf_chunk"), lang.alias("__rf_lang"), text.alias("__rf_text"))
+    counts = rows.select(F.col("__rf_chunk").alias("chunk"), F.col("__rf_lang").alias("lang"), F.col("__rf_text").alias("text"))
+    counts = stored(spark, counts.mapInArrow(_count, "chunk int, lang string, gram string, n long"), "chunk-counts")
+    folder = train(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    path = gather(counts, folder)
     schema = T.StructType(rows.schema.fields[: len(keep)] + [T.StructField(f"__rf_{c}", T.LongType()) for c in FIGURES] + [T.StructField("__rf_bits", T.DoubleType()), T.StructField("__rf_lang", T.StringType())])
-    scored = stored(spark, rows.mapInArrow(lambda it: _score(it, folder, len(keep)), schema), "scored")
+    scored = stored(spark, rows.mapInArrow(lambda it: _score(it, path, len(keep)), schema), "scored")
+    discard(base, counts)
+    enough = 4 * F.col("__rf_scored") >= F.col("__rf_word_chars")
+    scored = scored.withColumn("__rf_letters", F.when(enough, F.col("__rf_letters")).otherwise(0))
     failed = (F.col("__rf_n_words") < MIN_WORDS) | (100 * F.col("__rf_n_repeat_words") > REPEAT_PERCENT * F.col("__rf_n_words"))
     scored = scored.withColumn("__rf_base_failed", failed).withColumn("__rf_bits_per_letter", F.expr("try_divide(__rf_bits, __rf_letters)"))
     fair = scored.filter("not __rf_base_failed and __rf_letters > 0")
@@ -288,5 +430,6 @@ def quality_figures(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns; see ``judged`` for
+    nulls, empty texts, repeated rows and empty tables."""
     return judged(docs, docs.columns).filter("__rf_kept").select(*docs.columns)

@@ -250,32 +250,79 @@ def test_quality(spark, edge, none):
     assert quality.quality_figures(none.selectExpr("*", "'x' as lang")).count() == 0
 
 
-def test_model_sums_to_one(spark):
-    """Modified Kneser-Ney against a plain version on a small text."""
-    text = "abab abba cab"
-    folder = quality.train(spark.createDataFrame([("en", text)], "lang string, text string"))
-    quality.load_model.cache_clear()
-    grams, logs = quality.load_model(folder, "en")
-    raw = np.frombuffer(text.encode(), np.uint8)
-    code, _, _ = quality.packed_ngrams(raw, np.array([0, len(raw)]))
-    counts = {4: Counter(code.tolist())}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g & ((1 << 6 * k) - 1) for g in counts[k + 1])
-    prob = lambda k, g: 1 / 64 if k == 0 else None
+def plain_model(texts, order):
+    """Modified Kneser-Ney of one language, n-gram by n-gram."""
+    counts = {order: Counter()}
+    for t in texts:
+        chars = "\n" * (order - 1) + "".join(w + " " for w in t.split())
+        counts[order].update(chars[i : i + order] for i in range(len(chars) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
 
     def p(k, g):
         if k == 0:
-            return prob(0, g)
+            return 1 / (len(counts[1]) + 1)
         c = counts[k]
         n = [sum(v == i for v in c.values()) for i in range(1, 5)]
         y = n[0] / max(1, n[0] + 2 * n[1])
         d = [min(i, max(0.1, i - (i + 1) * y * n[i] / max(1, n[i - 1]))) for i in (1, 2, 3)]
-        same = {x: v for x, v in c.items() if x >> 6 == g >> 6}
+        same = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(k - 1, g[1:])
         total = sum(same.values())
-        return (c[g] - d[min(c[g], 3) - 1]) / total + sum(d[min(v, 3) - 1] for v in same.values()) / total * p(k - 1, g & ((1 << 6 * (k - 1)) - 1))
-
-    want = [np.log2(p(4, g)) for g in sorted(counts[4])]
-    assert grams.tolist() == sorted(counts[4]) and logs.tolist() == pytest.approx(want, abs=1e-5)
+        own = (c[g] - d[min(c[g], 3) - 1]) / total if g in c else 0.0
+        return own + sum(d[min(v, 3) - 1] for v in same.values()) / total * p(k - 1, g[1:])
+
+    return p, counts
+
+
+def test_perplexity_model(spark):
+    """The stored model against a plain one, for n-grams that it has and others."""
+    texts = ["abab abba cab é", "bac abc日", "aab"]
+    docs = spark.createDataFrame([(0, "en", t) for t in texts], "chunk int, lang string, text string")
+    counts = docs.mapInArrow(quality._count, "chunk int, lang string, gram string, n long").groupBy("lang", "gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    folder = quality.train(counts)
+    p, plain = plain_model(texts, quality.ORDER)
+    assert {r.gram: r.n for r in counts.collect()} == dict(plain[quality.ORDER])
+    asked = [*plain[quality.ORDER], "zzzzz", "abab日", "xabab", "babaz", "\n\n\n\nz"]
+    got = quality.probabilities(spark, folder, spark.createDataFrame([(0, "en", g) for g in asked], "chunk int, lang string, gram string")).collect()
+    assert {r.gram: r.log for r in got} == pytest.approx({g: np.log2(p(quality.ORDER, g)) for g in asked}, abs=1e-4)
+    for context in ("\n\n\n\n", "abab", "\n\nca"):
+        assert sum(p(quality.ORDER, context + c) for c in [*plain[1], "?"]) == pytest.approx(1)
+        known = quality.probabilities(spark, folder, spark.createDataFrame([(0, "en", context + c) for c in [*plain[1], "?"]], "chunk int, lang string, gram string")).collect()
+        assert sum(2**r.log for r in known) == pytest.approx(1, abs=1e-4)
+
+
+def test_verdicts_against_a_plain_version(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = "the of and house tree river mountain running quickly people water light story under again".split()
+    rows = [(k, " ".join(rng.choice(vocabulary, int(rng.integers(12, 60)))), "en") for k in range(60)]
+    rows += [(100 + k, " ".join("".join(rng.choice(list("qzxjkvwy"), 6)) for _ in range(30)), "en") for k in range(4)]
+    got = {r.doc_id: r for r in quality.quality_figures(spark.createDataFrame(rows, SCHEMA + ", lang string").repartition(3)).collect()}
+    p, _ = plain_model([t for _, t, _ in rows], quality.ORDER)
+    memo = {}
+    for k, t, _ in rows:
+        chars = "\n" * (quality.ORDER - 1) + "".join(w + " " for w in t.split())
+        grams = [chars[i : i + quality.ORDER] for i in range(len(chars) - quality.ORDER + 1)]
+        bits = -sum(memo.setdefault(g, np.log2(p(quality.ORDER, g))) for g in grams)
+        assert got[k].bits_per_letter == pytest.approx(bits / sum(c.isalpha() for c in t), rel=1e-4)
+    fair = {k: r for k, r in got.items() if not r.base_failed}
+    middle = sorted(r.bits_per_letter for r in fair.values())[(len(fair) - 1) // 2]
+    letters = {k: sum(c.isalpha() for c in t) for k, t, _ in rows}
+    apart = {k: abs(r.bits_per_letter - middle) * letters[k] ** 0.5 for k, r in fair.items()}
+    spread = 1.4826 * sorted(apart.values())[(len(apart) - 1) // 2]
+    for k, r in got.items():
+        inside = not r.base_failed and apart[k] / letters[k] ** 0.5 <= quality.BAND_SHARE * middle + quality.BAND_DEVIATIONS * spread / letters[k] ** 0.5
+        assert r.kept == inside
+    assert not any(got[100 + k].kept for k in range(4))
+
+
+def test_lines_and_words_with_one_polynomial_hash(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"{word}\n{other}\nw x y {word} z\nw x y {other} z"
+    got = quality.quality_figures(spark.createDataFrame([(1, text, "en")], SCHEMA + ", lang string")).first()
+    assert got.n_dup_lines == 0 and got.n_repeat_words == 0
 
 
 def luhn(d):
