@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text is worked on in slices of about this many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
@@ -49,6 +49,23 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is hot; there are at most so many of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` joined with the written ``table``, one row a key, whose column ``n`` counts
+    the key's rows. Hot keys, at most ``HOT``, are broadcast, so none lands in one task; the
+    others go by shuffle. ``n`` is dropped."""
+    every = table.agg(F.sum(n)).head()[0] or 0
+    hot = table.filter(F.col(n) * HOT > every).drop(n).withColumn("__hot", F.lit(True))
+    cold = table.filter(F.col(n) * HOT <= every).drop(n)
+    marked = rows.join(F.broadcast(hot), on, "left")
+    rest = marked.filter("__hot is null").select(*rows.columns).join(cold, on)
+    found = marked.filter("__hot").drop("__hot")
+    return found.unionByName(rest)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables from ``stored`` that no plan reads any more."""
     for df in tables:

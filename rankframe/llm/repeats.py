@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, discard, slices, stored, tune
+from rankframe.llm.common import SYMBOLS, SubstringHash, as_bytes, discard, join_hot, slices, stored, tune
 
 #: Bytes of the k-gram that starts are put under.
 GRAM = 48
@@ -37,9 +37,6 @@ GRAM = 48
 BLOCKS_OF, FULL = (32, 4, 1), 20_000
 #: Collections compared together; bounds a task's memory.
 COLUMN_BYTES = 8 << 20
-#: A key with more than one in so many rows is hot; there are at most so many of them.
-HOT = 1000
-
 SALT = [k.to_bytes(2, "little") for k in range(1 << 16)]
 
 #: A document row is known by its id (``d``) and a hash of its text (``t``).
@@ -226,17 +223,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, length: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-def _having(rows: DataFrame, keys: DataFrame, on: list[str], total: str) -> DataFrame:
-    """Rows whose key is in the written table ``keys(*on, total)``, where ``total`` counts
-    a key's rows. Hot keys, at most ``HOT``, are broadcast, so none lands in one task."""
-    spark = rows.sparkSession
-    every = keys.agg(F.sum(total)).head()[0] or 0
-    hot = keys.filter(F.col(total) * HOT > every).select(*on)
-    cold = keys.filter(F.col(total) * HOT <= every).select(*on)
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
-    return marked.filter("hot").drop("hot").unionByName(marked.filter("hot is null").drop("hot").join(cold, on, "left_semi"))
-
-
 def _shared_ranges(texts: DataFrame, length: int) -> DataFrame:
     """Repeated ranges ``d, t, lo, hi`` of different runs that share a k-gram; the written
     table ``texts`` has each different run once, with its bytes and the times it occurs."""
@@ -248,7 +234,7 @@ def _shared_ranges(texts: DataFrame, length: int) -> DataFrame:
         # equal members are one; a place is kept where there is only one
         alike = cut.groupBy(*ALIKE).agg(F.sum("times").alias("times"), F.min(F.struct(*KEY, "start", "at")).alias("one"), F.count("*").alias("rows"))
         members = stored(spark, alike.select(*ALIKE, "one.*", "times", "rows"), "members")
-        sure = _having(cut.filter("times = 1"), members.filter("rows > 1").select(*ALIKE, "rows"), ALIKE, "rows")
+        sure = join_hot(cut.filter("times = 1"), members.filter("rows > 1").select(*ALIKE, "rows"), ALIKE, "rows")
         sure = sure.select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
         sizes = members.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("times").alias("least")).filter("members > 1 and least = 1")
         sizes = stored(spark, sizes.select(*GROUP, "members"), "collections")
@@ -276,15 +262,15 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     # most k-grams occur once; what follows is about the others
     grams = stored(spark, runs.groupBy("gram").agg(F.count("*").alias("runs")).filter("runs > 1"), "shared-grams")
     every = runs
-    runs = stored(spark, _having(every, grams, ["gram"], "runs"), "shared-runs")
+    runs = stored(spark, join_hot(every, grams, ["gram"], "runs"), "shared-runs")
     discard(every, grams)
     same = ["gram", "run", "run2"]
     kinds = runs.groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "at", "n", "off")).alias("one"))
     kinds = stored(spark, kinds, "run-kinds")
-    whole = _having(runs, kinds.filter("times > 1").select(*same, "times"), same, "times")
+    whole = join_hot(runs, kinds.filter("times > 1").select(*same, "times"), same, "times")
     whole = whole.select(*KEY, F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
     mixed = stored(spark, kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1"), "mixed-grams")
-    asked = _having(kinds, mixed, ["gram"], "kinds").select("one.*", "gram", "times", (F.col("one.n") - 1 + length).alias("size"))
+    asked = join_hot(kinds, mixed, ["gram"], "kinds").select("one.*", "gram", "times", (F.col("one.n") - 1 + length).alias("size"))
     asked = stored(spark, asked.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "at", "n", "off", "times", "size")).alias("runs")), "asked")
     texts = docs.join(asked, KEY).mapInArrow(_cut_out, "gram long, d long, t long, start int, n int, off int, times long, bytes binary")
     # a repeated row of the table gives its runs again

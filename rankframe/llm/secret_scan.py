@@ -24,7 +24,7 @@ from rankframe.llm.common import stored
 _KEY = "A-Za-z0-9+/_-"
 _RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9]|[{_KEY}]*?[a-z][A-Z][{_KEY}]*?[a-z][A-Z])[{_KEY}]{{16,}}+={{0,2}}"
 #: Names that secrets are assigned to; values from 8 characters count there.
-_NAMED = r"(?<=[:=\s\"'])(?<=(?i:password|passwd|pwd|secret|token|api.?key|access.?key|private.?key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"'<>,;&\x01\x02]{8,}"
+_NAMED = r"(?<=[:=\s\"'])(?<=[:=][\s\"']{0,3})(?<=(?i:password|passwd|pwd|secret|token|api.?key|access.?key|private.?key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"'<>,;&\x01\x02]{8,}"
 _BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^\x01]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
 #: Words that stand near secrets, words that stand near look-alikes, beginnings
@@ -36,7 +36,8 @@ EXAMPLE_PATHS = r"(?i)(test|example|sample|mock|fixture|doc)"
 BEFORE, AFTER = 60, 20
 #: A word is in the dictionary if the corpus has it so often.
 DICTIONARY_COUNT = 3
-#: The forest is fitted on at most so many labelled findings (those whose hashed keys are least).
+#: The forest is fitted on so many labelled findings: about as many planted ones, or at most
+#: as many reviewed ones (those whose hashed keys are least).
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 8, 5
 FLOOR = -12.0
@@ -156,11 +157,13 @@ def _made(h: Column) -> list[tuple[float, Column, Column, Column]]:
 
 
 def planted(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, text, source, kind, label, lo, hi``: findings put between words of at most
-    ``rows`` texts (those whose hash is least); ``lo`` to ``hi`` is the planted value."""
+    """``doc_id, text, source, kind, label, lo, hi``: findings put between words of about
+    ``rows`` texts (those whose hash lies under a bound); ``lo`` to ``hi`` is the planted value."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("text", F.lit("")), F.lit("planted"))
-    some = docs.select(h.alias("h"), path.alias("source"), F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("head")).orderBy("h").limit(rows)
+    some = docs.select(h.alias("h"), path.alias("source"), F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("head"))
+    bound = int(min(1.0, rows / max(1, docs.count())) * (1 << 53)) - (1 << 52)
+    some = some.filter(F.shiftright("h", 11) < bound)
     made = _made(F.col("h"))
     kind = F.pmod(F.xxhash64("h"), F.lit(len(made))).cast("int")
     pick = lambda j: F.element_at(F.array(*[x[j] if isinstance(x[j], Column) else F.lit(x[j]) for x in made]), F.col("kind") + 1)

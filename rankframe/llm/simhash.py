@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import as_bytes, slices, stored, tune
+from rankframe.llm.common import as_bytes, join_hot, slices, stored, tune
 from rankframe.llm.components import components, local_roots
 
 SEED, SHINGLE_WORDS, RADIUS = 42, 3, 3
@@ -175,15 +175,16 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """``fp, component_id`` for the distinct fingerprints of ``prints(doc_id, fp)``, a
+    """``fp, component_id, n`` (rows) for the distinct fingerprints of ``prints(doc_id, fp)``, a
     written table. The id is the least doc_id of the component (null ids are passed over;
     null where there is no other)."""
     spark = prints.sparkSession
-    distinct = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fp")
+    distinct = stored(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fp")
     roots = components(links(distinct.select("fp"), distinct.count()))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(spark, rooted, "rooted")
+    least = stored(spark, rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints")), "component-ids")
+    return join_hot(rooted, least, ["root"], "prints").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -194,16 +195,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     prints = stored(spark, fingerprints(docs), "fingerprints")
-    found = groups(prints)
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = stored(spark, groups(prints), "groups")
+    return join_hot(prints, found, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """All columns of one document of each group: the one whose doc_id is least (of rows
-    that repeat that id, any one)."""
+    that repeat that id, any one; a row without id only where no other is). Null and empty
+    texts are one group; an empty table gives no rows."""
     spark = docs.sparkSession
     prints = stored(spark, fingerprints(docs), "fingerprints")
-    rows = prints.join(groups(prints), "fp").groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__rf_n"))
+    found = stored(spark, groups(prints), "groups")
+    rows = join_hot(prints, found, ["fp"], "n").groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__rf_n"))
     kept = docs.join(rows.withColumnRenamed("component_id", "__rf_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("__rf_id")))
     once = kept.filter("__rf_n = 1").select(*[docs[c] for c in docs.columns])
     again = kept.filter("__rf_n > 1").dropDuplicates(["__rf_id"]).select(*[docs[c] for c in docs.columns])
