@@ -7,7 +7,9 @@ has gaps, the n-th piece by rank going to the n-th gap, the gaps shrink, and the
 the class goes on to the next successor or opens new sequences. Lengths and gaps are at
 most the sequence length, so classes, not rows, are what the supersteps hold: a table of
 at most ``capacity`` counts, however many documents there are. Rows are ranked inside
-their class by a distributed two-level count and placed by rank.
+their class by a distributed two-level count and placed by rank. The sweeps over the table
+of classes run in the driver: as Spark rounds over rows they would be some 50 rounds of four
+small jobs each, for the same number of sequences (see the README).
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rankframe.llm.common import as_bytes, slices, stored, tune
 from rankframe.llm.tokens import codec
 
+#: Bytes of the placement of classes that are sent to tasks.
+PLAN_BYTES = 256 << 20
+
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -116,7 +121,8 @@ def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.R
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """Pack ``pieces(doc_id, piece, start, length, ids_crc32)``: adds ``sequence_id`` and
-    ``offset``. Ties in length go by document and piece; repeated rows are packed each.
+    ``offset``. Ties in length go by document and piece; repeated rows are packed each; a
+    null doc_id is a value like any other; an empty table gives no rows.
 
     ``pieces`` should be a written table, for it is read three times.
     """
@@ -124,7 +130,11 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     # at most ``capacity`` rows reach the driver
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan, _ = supersteps(counts, capacity)
-    sent = spark.sparkContext.broadcast(plan)  # bounded by the number of classes, not of rows
+    # a class takes part of the gaps of each size once at most: fewer than capacity ** 2 / 2
+    # rows of 40 bytes however many pieces there are; some thousands in practice
+    if plan.nbytes > PLAN_BYTES:
+        raise ValueError(f"{len(plan)} placements of classes are too many for a capacity of {capacity}")
+    sent = spark.sparkContext.broadcast(plan)
     cells = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)).cast("int"))
     per_cell = rows.groupBy("length", "cell").agg(F.count("*").alias("n"))
@@ -137,7 +147,9 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Encode, cut and pack all of ``docs(doc_id, text)``; one row per piece. An empty
-    table gives no rows."""
+    """Encode, cut and pack all of ``docs(doc_id, text)``; one row per piece.
+
+    Null and empty texts are one piece of the end id alone; repeated rows are packed each; a
+    null doc_id stays null; an empty table gives no rows; other columns are not read."""
     pieces = stored(docs.sparkSession, pieces_of(docs, tokenizer, end_id, capacity), "pieces")
     return best_fit(pieces, capacity)
