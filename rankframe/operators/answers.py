@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankframe.functions.arithmetic import evaluate, literals
 from rankframe.functions.code import code_column
@@ -34,6 +35,40 @@ CANONICAL = [
 DENIALS = [r"cannot\s+(?:be\s+)?(?:conclude|infer|say|determine)", r"not\s+necessarily\s+true", r"not\s+(?:possible|correct|true|valid)", r"cannot\s+(?:logically|necessarily|definitively)", r"\bno,\s"]
 OPTIONS = ["(a)", "(b)", "(c)", "(d)", "(e)", "(f)"]
 
+# Where answers stand, in the order tried. A rule is the part of the text that is
+# looked at (whole, low: lower case, tail: its last 500 characters, end: last line), a pattern,
+# its group, whether the first or the last match counts, and what a match stands for.
+YES_NO = {"yes": "yes", "true": "yes", "no": "no", "false": "no"}
+YES_NO_RULES = [
+    ("low", r"(?:the\s+)?answer\s+is[:\s]*\**\s*(yes|no|true|false)\b", 1, "last", YES_NO),
+    ("low", r"^\**(yes|no)\**[.,!\s]", 1, "first", YES_NO),
+    ("tail", "|".join(f"(?:{d})" for d in DENIALS), 0, "first", "no"),
+    ("tail", r"\b(yes|no)\b", 1, "last", YES_NO),
+    ("tail", "true", 0, "first", "yes"),
+    ("tail", "false", 0, "first", "no"),
+]
+CHOICE_RULES = [
+    ("low", r"choice[_ ]?(\d+)", 1, "last", None),
+    ("low", r"(?:answer|option)\s*(?:is)?[:\s]*\**\s*(?:choice[_ ]?)?(\d+)\b", 1, "first", None),
+]
+CHOICE_TEXT, CHOICE_DIGIT = r"(?i)choice_{i}:\s*(.+?)(?:\n|choice_|$)", r"\b([1-5])\b"
+JSON_ANSWER = r'[Aa]nswer":\s*(.*?)\}'
+DAY = r"(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/(\d{4})"
+AGE_IN_TEXT = r"\(?[\"']?(\d+)\s*(?:weeks?)?\s*,?\s*[\"']?(\d+)\s*(?:days?)?[\"']?\s*\)?"
+AGE_GIVEN = r"\(?[\"']?(\d+)\s*(?:weeks?)?[\"']?,?\s*[\"']?(\d+)\s*(?:days?)?[\"']?\s*\)?"
+LAST_NUMBER, LAST_DECIMAL = r"-?\d+\.?\d*", r"-?\d*\.?\d+"
+FRACTION = r"^(-?\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$"
+#: What is taken from answers before they are compared: pattern and replacement, in order.
+REMARKS = [(r"\.+$", ""), (r"(?is),?\s*or\s+(?:equivalently|approximately)\s+.*$", ""), (r"(?i)\s+\((?:i\.e\.[,\s]|none\b)[^)]*\)\s*$", ""), (r"\s+", " ")]
+OTHER_WORDING, OTHER_REMARKS = r"(?i),?\s*or\s+(?:equivalently|approximately)\s+(.+)$", [(r"\.+$", ""), (r"\s*\([^)]*\)\s*$", "")]
+UNITS = [
+    (r"\\pi", "\u03c0"), ("(?<![\\d}])\\\\?\u03c0", "3.14"), ("(\\d)(\\\\?\u03c0)", "$1*3.14"), ("\\{(\\\\?\u03c0)\\}", "3.14"), ("\\*(\\\\?\u03c0)", "*3.14"),
+    ("%", "/100"), ("\\$|\u00a5|\u00b0C| C|\u00b0", ""),
+]
+TRUE_INSIDE, FALSE_INSIDE, OPTION_INSIDE = "yes|true", "no|false", r"\([a-f]\)"
+NUMBER_AND_UNIT = r"^-?[\d\.]+\s\D+$|^-?[\d\.]+\s[^\s]+$"
+
+
 def _as_double(text: str | None) -> float | None:
     value = evaluate(text or "")
     try:
@@ -42,7 +77,34 @@ def _as_double(text: str | None) -> float | None:
         return None
 
 
-_evaluate = F.udf(_as_double, T.DoubleType())
+def _evaluate(text: Column) -> Column:
+    """Value of an arithmetic expression, in Arrow batches; null without one."""
+    run = F.pandas_udf(lambda texts: pd.Series([_as_double(t) for t in texts], dtype="float64"), "double")
+    return F.nanvl(run(text), F.lit(None).cast("double"))
+
+
+def _parts(text: Column) -> dict[str, Column]:
+    low = F.lower(text)
+    return {"whole": text, "low": low, "tail": F.substring(low, F.greatest(F.length(low) - 499, F.lit(1)), F.lit(500)), "end": F.lower(strip(F.substring_index(text, "\n", -1)))}
+
+
+def _by_rules(parts: dict[str, Column], rules: list[tuple]) -> list[Column]:
+    """What each rule finds (null: nothing), in the rules' order."""
+    out = []
+    for part, pattern, group, which, meaning in rules:
+        found = _last(parts[part], pattern, group) if which == "last" else _first(parts[part], pattern, group)
+        if isinstance(meaning, dict):
+            found = F.element_at(F.create_map(*[F.lit(x) for kv in meaning.items() for x in kv]), found)
+        elif meaning is not None:
+            found = F.when(found.isNotNull(), meaning)
+        out.append(found)
+    return out
+
+
+def _cleaned(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, to in steps:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def _has(text: Column, pattern: str) -> Column:
@@ -88,29 +150,21 @@ def score_toolqa(extracted: Column, answer: Column) -> Column:
 
 
 def extract_yes_no(text: Column) -> Column:
-    text = strip(text)
-    low = F.lower(text)
-    tail = F.substring(low, F.greatest(F.length(low) - 499, F.lit(1)), F.lit(500))
-    stated = _last(low, r"(?:the\s+)?answer\s+is[:\s]*\**\s*(yes|no|true|false)\b", 1)
-    stated = F.when(stated.isin("yes", "true"), "yes").when(stated.isNotNull(), "no")
-    denied = F.when(tail.rlike("|".join(f"(?:{d})" for d in DENIALS)), "no")
-    words = F.when(tail.contains("true"), "yes").when(tail.contains("false"), "no")
-    end = F.lower(strip(F.substring_index(text, "\n", -1)))
-    return F.coalesce(stated, _first(low, r"^\**(yes|no)\**[.,!\s]", 1), denied, _last(tail, r"\b(yes|no)\b", 1), words, end)
+    parts = _parts(strip(text))
+    return F.coalesce(*_by_rules(parts, YES_NO_RULES), parts["end"])
 
 
 def extract_choice(text: Column, question: Column) -> Column:
     text = strip(text)
-    low = F.lower(text)
-    tail = F.substring(low, F.greatest(F.length(low) - 499, F.lit(1)), F.lit(500))
-    ways = [_last(low, r"choice[_ ]?(\d+)", 1), _first(low, r"(?:answer|option)\s*(?:is)?[:\s]*\**\s*(?:choice[_ ]?)?(\d+)\b", 1)]
+    parts = _parts(text)
+    quoted = []
     for i in (5, 4, 3, 2, 1):
-        pattern = rf"(?i)choice_{i}:\s*(.+?)(?:\n|choice_|$)"
-        choice = F.substring(F.lower(strip(F.regexp_extract(question, pattern, 1))), 1, 40)
-        ways.append(F.when(question.rlike(pattern) & tail.contains(choice), str(i)))
+        pattern = CHOICE_TEXT.replace("{i}", str(i))
+        words = F.substring(F.lower(strip(F.regexp_extract(question, pattern, 1))), 1, 40)
+        quoted.append(F.when(question.rlike(pattern) & parts["tail"].contains(words), str(i)))
     rest = F.lower(strip(F.coalesce(after_trigger(text), last_line(text))))
-    ways.append(_first(rest, r"\b([1-5])\b", 1))
-    return F.coalesce(F.concat(F.lit("choice_"), F.coalesce(*ways)), rest)
+    number = F.coalesce(*_by_rules(parts, CHOICE_RULES), *quoted, _first(rest, CHOICE_DIGIT, 1))
+    return F.coalesce(F.concat(F.lit("choice_"), number), rest)
 
 
 def score_logic(extracted: Column, answer: Column) -> Column:
@@ -121,33 +175,38 @@ def score_logic(extracted: Column, answer: Column) -> Column:
 
 
 def extract_medcalc(text: Column, output_type: Column, calculator: Column) -> Column:
-    json = F.regexp_replace(F.regexp_replace(strip(F.regexp_extract(text, r'[Aa]nswer":\s*(.*?)\}', 1)), r'^"+|"+$', ""), r"^'+|'+$", "")
-    json = F.when((json != "") & ~json.isin(PLACEHOLDERS), json)
-    day = r"(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/(\d{4})"
-    date = F.concat_ws("/", F.lpad(F.regexp_extract(text, day, 1), 2, "0"), F.lpad(F.regexp_extract(text, day, 2), 2, "0"), F.regexp_extract(text, day, 3))
-    date = F.when(((output_type == "date") | calculator.isin(DATE_IDS)) & text.rlike(day), date)
-    span = r"\(?[\"']?(\d+)\s*(?:weeks?)?\s*,?\s*[\"']?(\d+)\s*(?:days?)?[\"']?\s*\)?"
-    age = F.when((calculator == AGE_ID) & text.rlike(span), F.concat(F.lit("("), F.regexp_extract(text, span, 1), F.lit(", "), F.regexp_extract(text, span, 2), F.lit(")")))
-    return F.coalesce(_answer_line(text), json, after_trigger(text), date, age, _last(text, r"-?\d+\.?\d*"), last_line(text))
+    group = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    json = F.regexp_replace(F.regexp_replace(strip(group(JSON_ANSWER, 1)), r'^"+|"+$', ""), r"^'+|'+$", "")
+    date = F.concat_ws("/", F.lpad(group(DAY, 1), 2, "0"), F.lpad(group(DAY, 2), 2, "0"), group(DAY, 3))
+    age = F.format_string("(%s, %s)", group(AGE_IN_TEXT, 1), group(AGE_IN_TEXT, 2))
+    ways = [
+        _answer_line(text),
+        F.when((json != "") & ~json.isin(PLACEHOLDERS), json),
+        after_trigger(text),
+        F.when(((output_type == "date") | calculator.isin(DATE_IDS)) & text.rlike(DAY), date),
+        F.when((calculator == AGE_ID) & text.rlike(AGE_IN_TEXT), age),
+        _last(text, LAST_NUMBER),
+        last_line(text),
+    ]
+    return F.coalesce(*ways)
+
+
+def _pair(text: Column, pattern: str, kind: str) -> Column:
+    """The two numbers of a pattern as a struct; null without a match."""
+    part = lambda i: F.regexp_extract(text, pattern, i).try_cast(kind)
+    return F.when(text.rlike(pattern), F.struct(part(1).alias("a"), part(2).alias("b")))
 
 
 def fraction(text: Column) -> Column:
     """A number, or the value of ``a/b``; null otherwise."""
-    pattern = r"^(-?\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$"
 
     def parse(t: Column) -> Column:
-        part = lambda i: F.regexp_extract(t, pattern, i).try_cast("double")
-        return F.coalesce(number(t), F.when(t.rlike(pattern), F.try_divide(part(1), part(2))))
+        two = _pair(t, FRACTION, "double")
+        return F.coalesce(number(t), F.try_divide(two["a"], two["b"]))
 
     return let(strip(text), parse)
 
 
-def _weeks_days(text: Column) -> Column:
-    pattern = r"\(?[\"']?(\d+)\s*(?:weeks?)?[\"']?,?\s*[\"']?(\d+)\s*(?:days?)?[\"']?\s*\)?"
-    part = lambda i: F.regexp_extract(text, pattern, i).try_cast("int")
-    return F.when(text.rlike(pattern), F.struct(part(1).alias("w"), part(2).alias("d")))
-
-
 def score_medcalc(extracted: Column, answer: Column, output_type: Column, calculator: Column, low: Column, high: Column) -> Column:
     """By kind of calculator: equal dates, equal (weeks, days), equal rounded integers
     (half to even), or a number inside the limits. Unreadable answers are wrong."""
@@ -155,7 +214,7 @@ def score_medcalc(extracted: Column, answer: Column, output_type: Column, calcul
 
     def judge(x: Column) -> Column:
         value = fraction(x)
-        right = F.when(calculator.isin(DATE_IDS), day(x) == day(answer)).when(calculator == AGE_ID, _weeks_days(x) == _weeks_days(answer))
+        right = F.when(calculator.isin(DATE_IDS), day(x) == day(answer)).when(calculator == AGE_ID, _pair(x, AGE_GIVEN, "int") == _pair(answer, AGE_GIVEN, "int"))
         right = right.when(calculator.isin(INTEGER_IDS) | (output_type == "integer"), F.bround(value) == F.bround(fraction(answer)))
         return right.otherwise(let(value, lambda v: (v >= fraction(low)) & (v <= fraction(high))))
 
@@ -171,18 +230,13 @@ def extract_champ(text: Column) -> Column:
 
 def plain_answer(text: Column) -> Column:
     """Without a closing dot, an alternative wording and a bracketed remark."""
-    t = F.regexp_replace(strip(text), r"\.+$", "")
-    t = F.regexp_replace(t, r"(?is),?\s*or\s+(?:equivalently|approximately)\s+.*$", "")
-    t = F.regexp_replace(t, r"(?i)\s+\((?:i\.e\.[,\s]|none\b)[^)]*\)\s*$", "")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(_cleaned(strip(text), REMARKS))
 
 
 def alternative(text: Column) -> Column:
     """The other wording after "or equivalently"; null without one."""
-    pattern = r"(?i),?\s*or\s+(?:equivalently|approximately)\s+(.+)$"
-    part = F.regexp_replace(strip(F.regexp_extract(text, pattern, 1)), r"\.+$", "")
-    part = strip(F.regexp_replace(part, r"\s*\([^)]*\)\s*$", ""))
-    return F.when(text.rlike(pattern) & (part != ""), part)
+    part = strip(_cleaned(strip(F.regexp_extract(text, OTHER_WORDING, 1)), OTHER_REMARKS))
+    return F.when(part != "", part)
 
 
 def canonical(text: Column) -> Column:
@@ -232,12 +286,7 @@ def score_champ(extracted: Column, answer: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    pi = "\u03c0"
-    t = F.replace(text, F.lit("\\pi"), F.lit(pi))
-    for pattern, to in ((rf"(?<![\d}}])\\?{pi}", "3.14"), (rf"(\d)(\\?{pi})", "$1*3.14"), (rf"\{{(\\?{pi})\}}", "3.14"), (rf"\*(\\?{pi})", "*3.14")):
-        t = F.regexp_replace(t, pattern, to)
-    t = F.replace(t, F.lit("%"), F.lit("/100"))
-    return F.regexp_replace(t, "\\$|\u00a5|\u00b0C| C|\u00b0", "")
+    return _cleaned(text, UNITS)
 
 
 def _bare(text: Column) -> Column:
@@ -253,11 +302,10 @@ def extract_theorem(text: Column) -> Column:
     flagged = F.size(parts) > 1
     pred = strip(_bare(F.regexp_replace(F.element_at(parts, -1), r"^\n+|\n+$", "")))
     low = F.lower(pred)
-    options = low.rlike(r"\([a-f]\)")
     tail = _units(strip(F.substring_index(pred, "=", -1)))
-    tail = F.when(tail.rlike(r"^-?[\d\.]+\s\D+$") | tail.rlike(r"^-?[\d\.]+\s[^\s]+$"), F.substring_index(tail, " ", 1)).otherwise(tail)
-    free = F.coalesce(_last(pred, r"-?\d*\.?\d+"), F.lit(""))
-    out = F.when(low.rlike("yes|true"), "True").when(low.rlike("no|false"), "False").when(options, pred).when(flagged, tail).otherwise(free)
+    tail = F.when(tail.rlike(NUMBER_AND_UNIT), F.substring_index(tail, " ", 1)).otherwise(tail)
+    free = F.coalesce(_last(pred, LAST_DECIMAL), F.lit(""))
+    out = F.when(low.rlike(TRUE_INSIDE), "True").when(low.rlike(FALSE_INSIDE), "False").when(low.rlike(OPTION_INSIDE), pred).when(flagged, tail).otherwise(free)
     return _bare(out)
 
 
@@ -271,7 +319,9 @@ def _list_match(answer: str | None, truth: str | None) -> bool:
     return all(round(x) == y if isinstance(y, int) else abs(x - y) <= max(abs(y) * 0.04, 1e-9) for x, y in zip(sorted(a), sorted(t)))
 
 
-_lists_agree = F.udf(_list_match, T.BooleanType())
+def _lists_agree(answer: Column, truth: Column) -> Column:
+    run = F.pandas_udf(lambda a, t: pd.Series([_list_match(x, y) for x, y in zip(a, t)], dtype="bool"), "boolean")
+    return run(answer, truth)
 
 
 def score_theorem(extracted: Column, answer: Column, answer_type: Column) -> Column:
