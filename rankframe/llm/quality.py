@@ -1,14 +1,15 @@
 """Quality rules with an n-gram perplexity: a modified Kneser-Ney model per language.
 
 The model is over characters (code points; a run of blanks is one): its n-grams are counted
-over all documents, with no bound on alphabet or table. Rows are written once with the
-number of their part (``chunk``); tasks count the different n-grams of each chunk, Spark
-adds them up, derives the lower orders (distinct left extensions), discounts, and
-interpolated probabilities as joins. The model is stored as sorted arrays of 64-bit hashes
-with log probability and back-off weight, spread by hash. What a chunk needs of it is
-gathered by a shuffle of the chunk's different n-grams against those arrays: what is found
-counts as it is, what isn't backs off to shorter n-grams. So a task holds the n-grams of its
-own chunk only, however large the model is.
+over all documents, with no bound on alphabet or table. Tasks count the different n-grams
+of each partition of the rows (``chunk``), Spark adds them up, derives the lower orders
+(distinct left extensions), discounts, and interpolated probabilities as joins. The model is
+stored as sorted arrays of 64-bit hashes with log probability and back-off weight, spread by
+hash. What a chunk needs of it is gathered by a shuffle of the chunk's different n-grams
+against those arrays: what is found counts as it is, what isn't backs off to shorter
+n-grams. So a task holds the n-grams of its own chunk only, however large the model is. A
+row that Spark has put in another partition since (executors come and go) finds what its
+chunk lacks in the model's arrays themselves.
 
 A document's figure is bits a letter (log2 of its perplexity). Words with a digit (numbers,
 keys, addresses) carry no language and aren't scored; a text of which less than a quarter is
@@ -36,6 +37,9 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Languages up to which tables of one row a language are broadcast; beyond that they are
 #: joined by shuffle.
 FEW_LANGUAGES = 10_000
+#: Text is counted and scored in slices of about so many bytes (several arrays of 8 bytes a
+#: character are held for a slice).
+SLICE = 1 << 19
 #: Entries aimed at in one part of the model's arrays.
 PART = 200_000
 #: Stands before a text, so that its first characters have a context too.
@@ -78,11 +82,11 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
-def chain(codes: list[np.ndarray]) -> np.ndarray:
+def chain(codes: Iterator[np.ndarray]) -> np.ndarray:
     """Hashes of n-grams, given their last characters, those before them, and so on."""
     with np.errstate(over="ignore"):
-        key = mix(codes[0] * POLY + np.uint64(1))
-        for c in codes[1:]:
+        key = mix(next(codes) * POLY + np.uint64(1))
+        for c in codes:
             key = mix(key ^ (c * POLY + np.uint64(7)))
     return key
 
@@ -91,7 +95,7 @@ def ngrams(text: str, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the n-grams of scored characters end, and their hashes."""
     at = np.flatnonzero(real)
     codes = _codes(text)
-    return at, chain([codes[at - j] for j in range(ORDER)])
+    return at, chain(codes[at - j] for j in range(ORDER))
 
 
 def _by_language(batch: pa.RecordBatch, chunk: str, lang: str, text: str) -> Iterator[tuple[int, str, np.ndarray, pa.Array]]:
@@ -114,10 +118,13 @@ class _Counts:
     def add(self, text: str, real: np.ndarray) -> None:
         at, h = ngrams(text, real)
         kinds, first, n = np.unique(h, return_index=True, return_counts=True)
-        new = np.array([text[i - ORDER + 1 : i + 1] for i in at[first].tolist()], object)
-        self.more.append((kinds, new, n))
+        place = np.minimum(np.searchsorted(self.hash, kinds), max(0, len(self.hash) - 1))
+        known = self.hash[place] == kinds if len(self.hash) else np.zeros(len(kinds), bool)
+        self.n[place[known]] += n[known]
+        kinds, first, n = kinds[~known], first[~known], n[~known]
+        self.more.append((kinds, np.array([text[i - ORDER + 1 : i + 1] for i in at[first].tolist()], object), n))
         self.waiting += len(kinds)
-        if self.waiting > 1 << 20:
+        if self.waiting > max(50_000, len(self.hash) // 4):
             self.settle()
 
     def settle(self) -> None:
@@ -133,7 +140,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, name, _, texts in _by_language(batch, "chunk", "lang", "text"):
             data, offsets = as_bytes(texts)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 text, _, real = scored_text(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if text:
                     held.setdefault((chunk, name), _Counts()).add(text, real)
@@ -206,15 +213,16 @@ def smooth(counts: DataFrame) -> DataFrame:
     return both.select("lang", "gram", F.log2("p").alias("log"), F.coalesce(F.log2("spare"), F.lit(0.0)).alias("back"))
 
 
-def train(counts: DataFrame) -> str:
-    """Smooth ``counts(lang, gram, n)`` and store the model; its folder."""
+def train(counts: DataFrame) -> tuple[str, int]:
+    """Smooth ``counts(lang, gram, n)`` and store the model; its folder and number of parts."""
     spark = counts.sparkSession
     entries = stored(spark, smooth(counts).withColumn("key", _key()), "entries")
     parts = max(1, -(-entries.count() // PART))
     folder = fresh_path(spark, "ngram-model")
     rows = entries.select(F.pmod("key", F.lit(parts)).alias("part"), "key", "log", "back")
     rows.groupBy("part").applyInPandas(_pack, "part long, keys binary, logs binary, backs binary").withColumn("parts", F.lit(parts).cast("long")).write.parquet(folder)
-    return folder
+    discard(entries)
+    return folder, parts
 
 
 def _find(key: tuple, asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -243,9 +251,14 @@ def look_up(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
 def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     """``chunk, lang, gram, log`` of ``asked(chunk, lang, gram)``: what the model has, and by
     back-off to shorter n-grams what it hasn't. A language that it doesn't know gives no rows."""
-    first = stored(spark, look_up(spark, folder, asked), "looked-up")
+    # each n-gram is looked up once: a group has no more of them than its part of the model
+    # and those that the model lacks
+    known = stored(spark, look_up(spark, folder, asked.select("lang", "gram").distinct()), "looked-up")
+    first = asked.join(known.select("lang", "gram", "log", "found"), ["lang", "gram"])
     out = first.filter("found").select("chunk", "lang", "gram", "log")
     missing = first.filter("not found").select("chunk", "lang", F.col("gram").alias("whole"), F.lit(0.0).alias("spent"))
+    if known.filter("not found").isEmpty():
+        return out
     for k in range(ORDER - 1, -1, -1):
         if missing.isEmpty():
             break
@@ -261,7 +274,7 @@ def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFra
 
 def _pack_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     codes = _codes("".join(rows["gram"])).reshape(-1, ORDER)
-    h = chain([codes[:, ORDER - 1 - j] for j in range(ORDER)])
+    h = chain(codes[:, ORDER - 1 - j] for j in range(ORDER))
     order = np.argsort(h)
     return pd.DataFrame({"chunk": [key[0]], "lang": [key[1]], "hashes": [h[order].tobytes()], "logs": [rows["log"].to_numpy(np.float64)[order].astype(np.float32).tobytes()]})
 
@@ -277,6 +290,38 @@ def gather(counts: DataFrame, folder: str) -> str:
     return path
 
 
+# ---- reading the stored model in a task --------------------------------------------------
+
+
+@lru_cache(maxsize=8)
+def model_part(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, logs and back-off weights of one part of the stored model."""
+    import pyarrow.dataset as ds
+
+    fs, inner = file_system(folder)
+    row = ds.dataset(inner, filesystem=fs, format="parquet", exclude_invalid_files=True).to_table(filter=ds.field("part") == part).to_pylist()[0]
+    return np.frombuffer(row["keys"], np.int64), np.frombuffer(row["logs"], np.float32), np.frombuffer(row["backs"], np.float32)
+
+
+def log_of(folder: str, parts: int, lang: str, gram: str) -> float:
+    """Log2 probability of one n-gram, from the stored arrays, with back-off."""
+    from xxhash import xxh64_intdigest
+
+    def entry(g: str) -> tuple[float, float]:
+        key = np.array([xxh64_intdigest(g.encode(), xxh64_intdigest(lang.encode(), 42))], np.uint64).view(np.int64)[0]  # Spark's xxhash64(lang, gram)
+        keys, logs, backs = model_part(folder, int(key) % parts)
+        at = int(np.searchsorted(keys, key))
+        return (float(logs[at]), float(backs[at])) if at < len(keys) and keys[at] == key else (np.nan, 0.0)
+
+    spent = 0.0
+    while True:
+        log, _ = entry(gram)
+        if log == log or not gram:
+            return spent + (log if log == log else 0.0)
+        spent += entry(gram[:-1])[1]
+        gram = gram[1:]
+
+
 @lru_cache(maxsize=2)
 def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     import pyarrow.dataset as ds
@@ -353,25 +398,27 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-def _score(batches: Iterator[pa.RecordBatch], path: str, passed: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], path: str, model: tuple[str, int], passed: int) -> Iterator[pa.RecordBatch]:
     """Adds the figures to the first ``passed`` columns; chunk, language and text are the last three."""
+    nothing = np.zeros(1, np.uint64), np.zeros(1, np.float32)
     for batch in batches:
         figures = {c: np.zeros(batch.num_rows, np.int64) for c in FIGURES}
         bits = np.zeros(batch.num_rows)
         for chunk, name, rows, texts in _by_language(batch, "__rf_chunk", "__rf_lang", "__rf_text"):
             data, offsets = as_bytes(texts)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 base = base_figures(part, at)
                 base["letters"] = base["scored"] = np.zeros(b - a, np.int64)
                 text, row, real = scored_text(part, at)
                 if text:
-                    hashes, logs = chunk_arrays(path, chunk)[name]
+                    hashes, logs = chunk_arrays(path, chunk).get(name, nothing)
                     end, h = ngrams(text, real)
                     place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    if not (hashes[place] == h).all():
-                        raise ValueError("an n-gram was not gathered for its chunk")
-                    bits[rows[a:b]] = -np.bincount(row[end], logs[place], minlength=b - a)
+                    log = logs[place].astype(np.float64)
+                    for i in np.flatnonzero(hashes[place] != h).tolist():
+                        log[i] = log_of(*model, name, text[end[i] - ORDER + 1 : end[i] + 1])
+                    bits[rows[a:b]] = -np.bincount(row[end], log, minlength=b - a)
                     code = _codes(text)[end]
                     base["scored"] = np.bincount(row[end[code != 32]], minlength=b - a)
                     letter = (code >= 128) | ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
@@ -393,17 +440,16 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     tune(spark)
-    base = stored(spark, docs.select(*dict.fromkeys([*keep, "lang", "text"]), F.spark_partition_id().alias("__rf_chunk")), "chunks")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = base.select(*keep, F.col("__rf_chunk"), lang.alias("__rf_lang"), text.alias("__rf_text"))
-    counts = rows.select(F.col("__rf_chunk").alias("chunk"), F.col("__rf_lang").alias("lang"), F.col("__rf_text").alias("text"))
+    rows = docs.select(*keep, F.spark_partition_id().alias("__rf_chunk"), lang.alias("__rf_lang"), text.alias("__rf_text"))
+    counts = docs.select(F.spark_partition_id().alias("chunk"), lang.alias("lang"), text.alias("text"))
     counts = stored(spark, counts.mapInArrow(_count, "chunk int, lang string, gram string, n long"), "chunk-counts")
-    folder = train(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    folder, parts = train(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     path = gather(counts, folder)
+    discard(counts)
     schema = T.StructType(rows.schema.fields[: len(keep)] + [T.StructField(f"__rf_{c}", T.LongType()) for c in FIGURES] + [T.StructField("__rf_bits", T.DoubleType()), T.StructField("__rf_lang", T.StringType())])
-    scored = stored(spark, rows.mapInArrow(lambda it: _score(it, path, len(keep)), schema), "scored")
-    discard(base, counts)
+    scored = stored(spark, rows.mapInArrow(lambda it: _score(it, path, (folder, parts), len(keep)), schema), "scored")
     enough = 4 * F.col("__rf_scored") >= F.col("__rf_word_chars")
     scored = scored.withColumn("__rf_letters", F.when(enough, F.col("__rf_letters")).otherwise(0))
     failed = (F.col("__rf_n_words") < MIN_WORDS) | (100 * F.col("__rf_n_repeat_words") > REPEAT_PERCENT * F.col("__rf_n_words"))

@@ -18,7 +18,7 @@ from rankframe.llm.common import SLICE_BYTES, Memo, parts
 
 #: Words and letter runs remembered by a task; a memo is emptied beyond that, which
 #: changes no result.
-MEMO_WORDS, MEMO_RUNS = 500_000, 1_000_000
+MEMO_WORDS, MEMO_RUNS = 200_000, 200_000
 
 #: Words for which the pipeline is known: printable ASCII and precomposed Latin-1 letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")

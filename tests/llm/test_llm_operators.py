@@ -281,12 +281,13 @@ def test_perplexity_model(spark):
     texts = ["abab abba cab é", "bac abc日", "aab"]
     docs = spark.createDataFrame([(0, "en", t) for t in texts], "chunk int, lang string, text string")
     counts = docs.mapInArrow(quality._count, "chunk int, lang string, gram string, n long").groupBy("lang", "gram").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
-    folder = quality.train(counts)
+    folder, parts = quality.train(counts)
     p, plain = plain_model(texts, quality.ORDER)
     assert {r.gram: r.n for r in counts.collect()} == dict(plain[quality.ORDER])
     asked = [*plain[quality.ORDER], "zzzzz", "abab日", "xabab", "babaz", "\n\n\n\nz"]
     got = quality.probabilities(spark, folder, spark.createDataFrame([(0, "en", g) for g in asked], "chunk int, lang string, gram string")).collect()
     assert {r.gram: r.log for r in got} == pytest.approx({g: np.log2(p(quality.ORDER, g)) for g in asked}, abs=1e-4)
+    assert {g: quality.log_of(folder, parts, "en", g) for g in asked} == pytest.approx({g: np.log2(p(quality.ORDER, g)) for g in asked}, abs=1e-4)
     for context in ("\n\n\n\n", "abab", "\n\nca"):
         assert sum(p(quality.ORDER, context + c) for c in [*plain[1], "?"]) == pytest.approx(1)
         known = quality.probabilities(spark, folder, spark.createDataFrame([(0, "en", context + c) for c in [*plain[1], "?"]], "chunk int, lang string, gram string")).collect()
