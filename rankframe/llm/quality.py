@@ -226,7 +226,7 @@ def train(counts: DataFrame) -> tuple[str, int]:
 
 
 def _find(key: tuple, asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    out = asked.drop(columns=["part", "key"])
+    out = asked.drop(columns=["part", "group", "key"])
     if model.empty:
         return out.assign(log=np.nan, back=0.0, found=False)
     row = model.iloc[0]
@@ -239,21 +239,26 @@ def _find(key: tuple, asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
 
 
 def look_up(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
-    """``asked(lang, gram, ...)`` with ``log, back, found`` from the stored arrays."""
+    """The written table ``asked(lang, gram)`` with ``log, back, found`` from the stored
+    arrays. A group has one part of them and about ``2 * PART`` n-grams: where more are asked
+    for, parts are sent to several groups."""
     model = spark.read.schema(MODEL).parquet(folder)
     head = model.select("parts").head()
+    parts = head[0] if head else 1
+    groups = max(1, -(-asked.count() // (parts * 2 * PART)))
     rows = asked.withColumn("key", _key())
-    rows = rows.withColumn("part", F.pmod("key", F.lit(head[0] if head else 1).cast("long")))
+    rows = rows.withColumn("part", F.pmod("key", F.lit(parts).cast("long"))).withColumn("group", F.pmod(F.shiftright("key", 40), F.lit(groups).cast("long")))
+    sent = model.select("part", "keys", "logs", "backs", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"))
     schema = T.StructType([*asked.schema.fields, T.StructField("log", T.DoubleType()), T.StructField("back", T.DoubleType()), T.StructField("found", T.BooleanType())])
-    return rows.groupBy("part").cogroup(model.select("part", "keys", "logs", "backs").groupBy("part")).applyInPandas(_find, schema)
+    return rows.groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInPandas(_find, schema)
 
 
 def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     """``chunk, lang, gram, log`` of ``asked(chunk, lang, gram)``: what the model has, and by
     back-off to shorter n-grams what it hasn't. A language that it doesn't know gives no rows."""
-    # each n-gram is looked up once: a group has no more of them than its part of the model
-    # and those that the model lacks
-    known = stored(spark, look_up(spark, folder, asked.select("lang", "gram").distinct()), "looked-up")
+    # each n-gram is looked up once, however many chunks have it
+    names = stored(spark, asked.select("lang", "gram").distinct(), "asked-grams")
+    known = stored(spark, look_up(spark, folder, names), "looked-up")
     first = asked.join(known.select("lang", "gram", "log", "found"), ["lang", "gram"])
     out = first.filter("found").select("chunk", "lang", "gram", "log")
     missing = first.filter("not found").select("chunk", "lang", F.col("gram").alias("whole"), F.lit(0.0).alias("spent"))
@@ -264,7 +269,7 @@ def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFra
             break
         rest = missing.withColumn("context", F.substring("whole", ORDER - k, k))
         names = rest.select("lang", F.col("context").alias("gram")).union(rest.select("lang", F.substring("whole", ORDER - k + 1, k)))
-        known = stored(spark, look_up(spark, folder, names.distinct()), "looked-up")
+        known = stored(spark, look_up(spark, folder, stored(spark, names.distinct(), "asked-grams")), "looked-up")
         rest = rest.join(known.select("lang", F.col("gram").alias("context"), F.col("back")), ["lang", "context"]).withColumn("spent", F.col("spent") + F.col("back")).drop("back")
         rest = rest.withColumn("gram", F.substring("whole", ORDER - k + 1, k)).join(known.select("lang", "gram", "log", "found"), ["lang", "gram"])
         out = out.union(rest.filter("found").select("chunk", "lang", "whole", F.col("spent") + F.col("log")))
