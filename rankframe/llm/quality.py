@@ -248,7 +248,7 @@ def look_up(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     groups = max(1, -(-asked.count() // (parts * 2 * PART)))
     rows = asked.withColumn("key", _key())
     rows = rows.withColumn("part", F.pmod("key", F.lit(parts).cast("long"))).withColumn("group", F.pmod(F.shiftright("key", 40), F.lit(groups).cast("long")))
-    sent = model.select("part", "keys", "logs", "backs", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"))
+    sent = model.select("part", "keys", "logs", "backs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
     schema = T.StructType([*asked.schema.fields, T.StructField("log", T.DoubleType()), T.StructField("back", T.DoubleType()), T.StructField("found", T.BooleanType())])
     return rows.groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInPandas(_find, schema)
 
