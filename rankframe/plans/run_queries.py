@@ -14,7 +14,7 @@ from rankframe.functions.arithmetic import calculate
 from rankframe.functions.code import code_column
 from rankframe.operators import answers, dense, graph, rerank, select, tools
 from rankframe.plans import engines, run
-from rankframe.plans.queries import _ENT, BM25_10, EDGES, bm25_10, corpus, query, questions, table, top
+from rankframe.plans.queries import _ENT, _net, BM25_10, EDGES, bm25_10, corpus, query, questions, table, top
 
 
 def _talk(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,6 +157,34 @@ def evaluate_missing(spark: SparkSession, sf: str) -> DataFrame:
     return missing.select("instance_id")
 
 
+@query(r"""SELECT conv_id, turn, split_part(text, ' ', 1) AS tool, CASE WHEN contains(text, 'on') THEN 'yes' ELSE 'no' END AS logic, 'choice_' || (1 + length(text) % 5)::VARCHAR AS choice, length(text)::VARCHAR AS medcalc, role || ' (x)' AS champ, length(text)::VARCHAR AS theorem,
+ CASE WHEN length(text) % 3 = 0 THEN 'exact' ELSE 'none' END AS tool_match, length(text) % 2 = 0 AS logic_right, length(text) <= 400 AS medcalc_right, CASE WHEN length(role) > 5 THEN 'exact' ELSE 'none' END AS champ_match, abs(length(text) - 300.5::DOUBLE) <= 300.5::DOUBLE * 0.04::DOUBLE AS theorem_right FROM conversations""")
+def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every extractor and score over whole turns; what is right depends on the texts."""
+    text, role = F.col("text"), F.col("role")
+    size = F.length(text)
+    first = F.substring_index(text, " ", 1)
+    yes = F.when(text.contains("on"), "yes").otherwise("no")
+    tool = answers.extract_toolqa(F.concat(text, F.lit("\nAction 3: Finish["), first, F.lit("]\nok")))
+    logic = answers.extract_yes_no(F.concat(F.lit("No way to tell at first. "), text, F.lit(" So the answer is **"), yes, F.lit("**.")))
+    choice = answers.extract_choice(F.concat(text, F.lit(" I take choice_"), (size % 5 + 1).cast("string"), F.lit(".")), F.lit("choice_1: a"))
+    calc, kind = F.lit(2), F.lit("decimal")
+    medcalc = answers.extract_medcalc(F.concat(text, F.lit("\nANSWER: **"), size.cast("string"), F.lit("**")), kind, calc)
+    champ = answers.extract_champ(F.concat(text, F.lit("\nANSWER: "), role, F.lit(" (x)")))
+    theorem = answers.extract_theorem(F.concat(text, F.lit(" Therefore, the answer is x = "), size.cast("string"), F.lit(" cm.")))
+    got = _talk(spark, sf).select("conv_id", "turn", "role", first.alias("first"), yes.alias("yes"), size.alias("size"), tool.alias("tool"), logic.alias("logic"), choice.alias("choice"), medcalc.alias("medcalc"), champ.alias("champ"), theorem.alias("theorem"))
+    size = F.col("size")
+    other = F.when(F.col("yes") == "yes", "no").otherwise("yes")
+    return got.select(
+        "conv_id", "turn", "tool", "logic", "choice", "medcalc", "champ", "theorem",
+        answers.score_toolqa(F.col("tool"), F.when(size % 3 == 0, F.concat(F.lit("The "), F.upper("first"), F.lit("!"))).otherwise("zzz")).alias("tool_match"),
+        answers.score_logic(F.col("logic"), F.when(size % 2 == 0, F.upper("yes")).otherwise(other)).alias("logic_right"),
+        answers.score_medcalc(F.col("medcalc"), F.lit("0"), kind, calc, F.lit("0"), F.lit("800/2")).alias("medcalc_right"),
+        answers.score_champ(F.col("champ"), F.when(F.length("role") > 5, F.concat(F.upper("role"), F.lit(" (X)."))).otherwise("zzz")).alias("champ_match"),
+        answers.score_theorem(F.col("theorem"), F.lit("300.5"), F.lit("float")).alias("theorem_right"),
+    )
+
+
 # ---- tools -------------------------------------------------------------------------------
 
 
@@ -181,6 +209,22 @@ def tool_session(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(said, 1)), "step int, seen string")
 
 
+@query("""WITH p AS (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey), q AS (SELECT * FROM p UNION ALL SELECT b, a FROM p),
+ n AS (SELECT n_name, r_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = (SELECT min(s_nationkey) FROM supplier))
+ SELECT 1 AS step, 'DBLP data is loaded, including two graphs: AuthorNet and PaperNet.' AS seen UNION ALL SELECT 2, '[' || string_agg(chr(39) || b || chr(39), ', ' ORDER BY b) || ']' FROM q JOIN n ON q.a = n_name
+ UNION ALL SELECT 3, replace('{"key": "' || min(s_nationkey)::VARCHAR || '"}', '"', chr(39)) FROM supplier UNION ALL SELECT 4, replace('{"key": "' || n_regionkey::VARCHAR || '"}', '"', chr(39)) FROM n
+ UNION ALL SELECT 5, 'Error executing LoadGraph: unknown graph other' UNION ALL SELECT 6, 'agenda: who?' UNION ALL SELECT 7, 'scirex: what?'""")
+def tool_session_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph and text tools of one conversation, over all nodes and edges."""
+    net = _net(spark, sf)
+    session = tools.ToolSession(spark, lambda name: net[0], lambda name: net, lambda name, question: f"{name}: {question}")
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    least = table(spark, sf, "supplier").agg(F.min("s_nationkey")).first()[0]
+    row = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).filter(F.col("n_nationkey") == least).first()
+    asked = ["LoadGraph[dblp]", f"NeighbourCheck[net, {row['n_name']}]", f"NodeCheck[net, {row['n_name']}]", f"EdgeCheck[net, {row['r_name']}, {row['n_name']}]", "LoadGraph[other]", "RetrieveAgenda[who?]", "RetrieveScirex[what?]"]
+    return spark.createDataFrame([(i, session.execute(a)) for i, a in enumerate(asked, 1)], "step int, seen string")
+
+
 @query("SELECT 'o' || l_orderkey::VARCHAR AS a, 's' || l_suppkey::VARCHAR AS b, string_agg(p_name, ', ' ORDER BY l_linenumber, l_partkey) AS papers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def edge_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Edges whose list of ids becomes a list of titles in its order."""
