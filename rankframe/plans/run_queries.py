@@ -177,7 +177,7 @@ def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
     other = F.when(F.col("yes") == "yes", "no").otherwise("yes")
     return got.select(
         "conv_id", "turn", "tool", "logic", "choice", "medcalc", "champ", "theorem",
-        answers.score_toolqa(F.col("tool"), F.when(size % 3 == 0, F.concat(F.lit("The "), F.upper("first"), F.lit("!"))).otherwise("zzz")).alias("tool_match"),
+        answers.score_toolqa(F.col("tool"), F.when(size % 3 == 0, F.concat(F.lit("The "), F.col("first"), F.lit("!"))).otherwise("zzz")).alias("tool_match"),
         answers.score_logic(F.col("logic"), F.when(size % 2 == 0, F.upper("yes")).otherwise(other)).alias("logic_right"),
         answers.score_medcalc(F.col("medcalc"), F.lit("0"), kind, calc, F.lit("0"), F.lit("800/2")).alias("medcalc_right"),
         answers.score_champ(F.col("champ"), F.when(F.length("role") > 5, F.concat(F.upper("role"), F.lit(" (X)."))).otherwise("zzz")).alias("champ_match"),
