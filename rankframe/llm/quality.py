@@ -117,7 +117,10 @@ class _Counts:
 
     def add(self, text: str, real: np.ndarray) -> None:
         at, h = ngrams(text, real)
-        kinds, first, n = np.unique(h, return_index=True, return_counts=True)
+        code, kinds = pd.factorize(h)
+        n = np.bincount(code, minlength=len(kinds))
+        first = np.zeros(len(kinds), np.int64)
+        first[code[::-1]] = np.arange(len(h))[::-1]
         place = np.minimum(np.searchsorted(self.hash, kinds), max(0, len(self.hash) - 1))
         known = self.hash[place] == kinds if len(self.hash) else np.zeros(len(kinds), bool)
         self.n[place[known]] += n[known]
@@ -184,7 +187,7 @@ def smooth(counts: DataFrame) -> DataFrame:
     alphabet = stored(spark, alphabet, "alphabets")
     few = alphabet.count()
     lower, out = None, alphabet.select("lang", F.lit("").alias("gram"), F.col("below").alias("p"))
-    weights = None
+    weights, tables = None, [alphabet]
     for k in range(1, ORDER + 1):
         table = levels[k]
         seen = table.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)])
@@ -204,22 +207,26 @@ def smooth(counts: DataFrame) -> DataFrame:
         else:
             table = table.withColumn("tail", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
         table = stored(spark, table.select("lang", "gram", "context", "spare", ((F.col("n") - F.col("d")) / F.col("total") + F.col("spare") * F.col("below")).alias("p")), "level")
+        tables.append(table)
         lower = table.select("lang", "gram", "p")
         out = out.union(lower)
         back = table.groupBy("lang", "context").agg(F.first("spare").alias("spare"))
         weights = back if weights is None else weights.union(back)
     # edges are contexts, but nothing ends with one: those have a weight and no probability
     both = out.join(weights.withColumnRenamed("context", "gram"), ["lang", "gram"], "full")
-    return both.select("lang", "gram", F.log2("p").alias("log"), F.coalesce(F.log2("spare"), F.lit(0.0)).alias("back"))
+    both = both.select("lang", "gram", F.log2("p").alias("log"), F.coalesce(F.log2("spare"), F.lit(0.0)).alias("back"))
+    both = stored(spark, both, "smoothed")
+    discard(*tables, *levels.values())
+    return both
 
 
 def train(counts: DataFrame) -> tuple[str, int]:
     """Smooth ``counts(lang, gram, n)`` and store the model; its folder and number of parts."""
     spark = counts.sparkSession
-    entries = stored(spark, smooth(counts).withColumn("key", _key()), "entries")
+    entries = smooth(counts)
     parts = max(1, -(-entries.count() // PART))
     folder = fresh_path(spark, "ngram-model")
-    rows = entries.select(F.pmod("key", F.lit(parts)).alias("part"), "key", "log", "back")
+    rows = entries.withColumn("key", _key()).select(F.pmod("key", F.lit(parts)).alias("part"), "key", "log", "back")
     rows.groupBy("part").applyInPandas(_pack, "part long, keys binary, logs binary, backs binary").withColumn("parts", F.lit(parts).cast("long")).write.parquet(folder)
     discard(entries)
     return folder, parts
@@ -328,7 +335,8 @@ def log_of(folder: str, parts: int, lang: str, gram: str) -> float:
 
 
 @lru_cache(maxsize=2)
-def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[pd.Index, np.ndarray]]:
+    """By language an index of the chunk's sorted hashes, and their log probabilities."""
     import pyarrow.dataset as ds
     from pyarrow.fs import FileType
 
@@ -336,7 +344,7 @@ def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[np.ndarray, np.ndarra
     if fs.get_file_info(inner).type == FileType.NotFound:
         return {}
     rows = ds.dataset(inner, filesystem=fs, format="parquet").to_table(columns=["lang", "hashes", "logs"]).to_pylist()
-    return {r["lang"] or "": (np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["logs"], np.float32)) for r in rows}
+    return {r["lang"] or "": (pd.Index(np.frombuffer(r["hashes"], np.uint64)), np.frombuffer(r["logs"], np.float32).astype(np.float64)) for r in rows}
 
 
 # ---- figures of documents ----------------------------------------------------------------
@@ -405,7 +413,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def _score(batches: Iterator[pa.RecordBatch], path: str, model: tuple[str, int], passed: int) -> Iterator[pa.RecordBatch]:
     """Adds the figures to the first ``passed`` columns; chunk, language and text are the last three."""
-    nothing = np.zeros(1, np.uint64), np.zeros(1, np.float32)
+    nothing = pd.Index(np.zeros(1, np.uint64)), np.zeros(1)
     for batch in batches:
         figures = {c: np.zeros(batch.num_rows, np.int64) for c in FIGURES}
         bits = np.zeros(batch.num_rows)
@@ -419,9 +427,9 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: tuple[str, int],
                 if text:
                     hashes, logs = chunk_arrays(path, chunk).get(name, nothing)
                     end, h = ngrams(text, real)
-                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    log = logs[place].astype(np.float64)
-                    for i in np.flatnonzero(hashes[place] != h).tolist():
+                    place = hashes.get_indexer(h)
+                    log = logs[place]
+                    for i in np.flatnonzero(place < 0).tolist():
                         log[i] = log_of(*model, name, text[end[i] - ORDER + 1 : end[i] + 1])
                     bits[rows[a:b]] = -np.bincount(row[end], log, minlength=b - a)
                     code = _codes(text)[end]
@@ -449,7 +457,7 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, F.spark_partition_id().alias("__rf_chunk"), lang.alias("__rf_lang"), text.alias("__rf_text"))
     counts = docs.select(F.spark_partition_id().alias("chunk"), lang.alias("lang"), text.alias("text"))
-    counts = stored(spark, counts.mapInArrow(_count, "chunk int, lang string, gram string, n long"), "chunk-counts")
+    counts = stored(spark, counts.mapInArrow(_count, "chunk int, lang string, gram string, n long"), "chunk-counts", "zstd")
     folder, parts = train(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     path = gather(counts, folder)
     discard(counts)
