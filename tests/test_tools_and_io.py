@@ -90,13 +90,15 @@ def test_run_many_keeps_errors_and_discloses(spark):
         return "got body" if "BODY" in user else "LOAD_SKILL: name"
 
     got = {r.instance_id: r for r in run.run_many(inst, chosen, skills, reply, "progressive_disclosure").collect()}
-    assert got["a"].raw_output == "got body" and got["b"].error == "ValueError: no" and got["a"].skill_ids_used == ["s"]
+    # the output is all that was said, the transcript also what was told in between
+    assert got["a"].raw_output == "LOAD_SKILL: namegot body" and got["a"].transcript.endswith("got body") and "BODY" in got["a"].transcript
+    assert got["b"].error == "ValueError: no" and got["a"].skill_ids_used == ["s"]
 
 
 def test_grid_and_registry(spark):
     g = run.grid(spark, "main", ["champ", "toolqa"], {("champ", "bm25")})
     assert g.count() == 7 and len(run.EXPERIMENTS) == 9
-    assert registry.runnable_datasets()[0] == ["champ", "logicbench", "medcalcbench", "theoremqa", "toolqa"]
+    assert registry.runnable_datasets()[0] == ["bigcodebench", "champ", "logicbench", "medcalcbench", "theoremqa", "toolqa"]
     with pytest.raises(KeyError):
         registry.RETRIEVERS.get("nope")
     assert run.key_values(["k=1", "s=x"]) == {"k": 1, "s": "x"}
