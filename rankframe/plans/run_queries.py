@@ -35,7 +35,7 @@ def candidate_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, '{"n": ' || o_orderkey::VARCHAR || ', "s": "' || o_orderstatus || '", "t": true}' AS options FROM orders""")
-def option_lists(spark: SparkSession, sf: str) -> DataFrame:
+def key_value_options(spark: SparkSession, sf: str) -> DataFrame:
     parse = F.pandas_udf(lambda n, s: pd.Series([json.dumps(run.key_values([f"n={a}", f"s={b}", "t=true"])) for a, b in zip(n, s)]), "string")
     return table(spark, sf, "orders").select("o_orderkey", parse("o_orderkey", "o_orderstatus").alias("options"))
 
