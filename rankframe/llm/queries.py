@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankframe.llm import decontam, licenses, packing, pii, quality, repeats, resample, secret_scan, simhash, tokenstore
+from rankframe.llm import archives, decontam, licenses, packing, pii, quality, repeats, resample, secret_scan, simhash, tokenstore
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,6 +60,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_archive_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_store": op2_token_store,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_archive_conversion": op13_archive_conversion,
 }
 
 ORACLE_SQL: dict[str, str] = {}
