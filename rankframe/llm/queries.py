@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankframe.llm import alignment, archives, decontam, licenses, packing, pii, quality, repeats, resample, secret_scan, simhash, tokenstore
+from rankframe.llm import alignment, archives, centroids, decontam, licenses, packing, pii, quality, repeats, resample, secret_scan, simhash, tokenstore
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,6 +60,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_token_alignment": op12_token_alignment,
     "op13_archive_conversion": op13_archive_conversion,
 }
