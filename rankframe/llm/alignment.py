@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import discard, stored, tune
+from rankframe.llm.common import as_bytes, discard, slices, stored, tune
 
 #: Records (a document's distinct pairs) in a chunk, and documents in one.
 SPILL, SPILL_DOCS = 4_000_000, 100_000
@@ -70,41 +70,52 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters.get(c, 63) for c in token) for token, i in self.a.get_vocab().items()}
+        named = {i: bytes(letters.get(c, 63) for c in token) for token, i in self.a.get_vocab().items()}
+        self.a_bytes = [named.get(i, b"") for i in range(max(named) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        # an id in decimal, and what follows it: a token, the other side, a group, a piece
+        self.decimal = np.array([[f"{i}{c}".encode() for c in ",|;\n"] for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object)
         self.space = self.b.piece_to_id("▁")
         self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
         self.before: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.long: list[str] = []
 
     def ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         return a, [ids or [self.space] for ids in self.b.encode(pieces, num_threads=1)]
 
-    def align(self, piece: str, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes]:
-        """Links as packed ``a << 32 | b``, the groups' string, and packed numbers of A and B
-        tokens, groups, and 1 if the bytes differ from the text's."""
-        whole = b" " + piece.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return b"", b"", np.array([0, 0, 0, 1], np.int64).tobytes()
-        links, groups, i, j, a0, b0 = [], [], 0, 0, 0, 0
-        ahead = len(self.a_bytes[a[0]]) - len(self.b_bytes[b[0]])
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if ahead == 0:
-                groups.append(",".join(map(str, a[a0 : i + 1])) + "|" + ",".join(map(str, b[b0 : j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                a0, b0 = i, j
-                ahead = len(self.a_bytes[a[i]]) - len(self.b_bytes[b[j]])
-            elif ahead < 0:
-                i += 1
-                ahead += len(self.a_bytes[a[i]])
-            else:
-                j += 1
-                ahead -= len(self.b_bytes[b[j]])
-        return np.array(links, np.int64).tobytes(), ";".join(groups).encode(), np.array([len(a), len(b), len(groups), 0], np.int64).tobytes()
+    def align(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> Iterator[tuple[bytes, bytes, bytes]]:
+        """For each piece the links as packed ``a << 32 | b``, the groups' string, and packed
+        numbers of A and B tokens, groups, and 1 if the bytes differ from the text's."""
+        whole = [(" " + p).encode() for p in pieces]
+        bad = np.array([b"".join([self.a_bytes[i] for i in x]) != w or b"".join([self.b_bytes[i] for i in y]) != w for x, y, w in zip(a, b, whole)])
+        if bad.any():
+            good = self.align([p for p, x in zip(pieces, bad) if not x], [x for x, y in zip(a, bad) if not y], [x for x, y in zip(b, bad) if not y]) if not bad.all() else iter(())
+            nothing = b"", b"", np.array([0, 0, 0, 1], np.int64).tobytes()
+            yield from (nothing if x else next(good) for x in bad)
+            return
+        n_a, n_b = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
+        a_ids, b_ids = np.array([i for x in a for i in x], np.int64), np.array([i for x in b for i in x], np.int64)
+        a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        piece_end = a_end[np.cumsum(n_a) - 1]
+        ends = np.union1d(a_end, b_end)  # every stretch between ends belongs to one token of each
+        links = (a_ids[np.searchsorted(a_end, ends)] << 32 | b_ids[np.searchsorted(b_end, ends)]).tobytes()
+        link_cut = (8 * np.concatenate([[0], np.searchsorted(ends, piece_end, "right")])).tolist()
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        n_groups = np.diff(np.concatenate([[0], np.searchsorted(both, piece_end, "right")]))
+        # tokens by group, A before B; a token that ends a side, a group or a piece says so
+        group = np.concatenate([2 * np.searchsorted(both, a_end), 2 * np.searchsorted(both, b_end) + 1])
+        order = np.argsort(group, kind="stable")
+        ids, group = np.concatenate([a_ids, b_ids])[order], group[order]
+        ends_side = np.append(group[1:] != group[:-1], True)
+        mark = np.where(ends_side, 1 + group % 2, 0)
+        mark[np.searchsorted(group, 2 * np.searchsorted(both, piece_end) + 1, "right") - 1] = 3
+        strings = b"".join(self.decimal[ids, mark].tolist()).split(b"\n")
+        counts = np.stack([n_a, n_b, n_groups, np.zeros_like(n_a)], axis=1).tobytes()
+        for k in range(len(pieces)):
+            yield links[link_cut[k] : link_cut[k + 1]], strings[k], counts[32 * k : 32 * k + 32]
 
     def learn(self, pieces: set[str]) -> None:
         """Afterwards ``known`` has all of ``pieces``."""
@@ -116,13 +127,14 @@ class Aligner:
                 self.known[p] = self.before[p]
             else:
                 new.append(p)
-        for p, a, b in zip(new, *self.ids(new)) if new else ():
-            self.known[p] = self.align(p, a, b)
+        if new:
+            self.known.update(zip(new, self.align(new, *self.ids(new))))
+            self.long += [p for p in new if len(p) > LONGEST]
 
-    def forget_long(self, pieces: set[str]) -> None:
-        for p in pieces:
-            if len(p) > LONGEST:
-                self.known.pop(p, None)
+    def forget_long(self) -> None:
+        for p in self.long:
+            self.known.pop(p, None)
+        self.long = []
 
 
 def text_parts(text: str) -> Iterator[list[str]]:
@@ -141,24 +153,30 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def text_links(enc: Aligner, text: str | None) -> tuple[np.ndarray, np.ndarray, str]:
-    """Links of a text, the numbers of its A and B tokens and groups, and the digest of its
-    groups; nothing for a text without tokens."""
+#: Links of a text, the numbers of its A and B tokens and groups, and the digest of its groups.
+Links = tuple[np.ndarray, np.ndarray, str]
+
+
+def text_links(enc: Aligner, texts: list[str | None]) -> Iterator[Links]:
+    """Links of texts of about ``PART`` characters together, or of a longer one; nothing for
+    a text without tokens."""
     nothing = np.zeros(0, np.int64), np.zeros(3, np.int64), ""
-    if not text:
-        return nothing
-    links, counts, digest = [], np.zeros(4, np.int64), hashlib.sha256()
-    for k, part in enumerate(text_parts(text)):
-        pieces = set(part)
-        enc.learn(pieces)
-        found, groups, numbers = zip(*map(enc.known.__getitem__, part))
-        digest.update((b";" if k else b"") + b";".join(groups))
-        links.append(b"".join(found))
-        counts += np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4).sum(axis=0)
-        enc.forget_long(pieces)
-        if counts[3]:
-            return nothing
-    return np.frombuffer(b"".join(links), np.int64), counts[:3], digest.hexdigest()
+    heads = [t.split(" ") if t and len(t) <= PART and not _ODD.search(t) else () for t in texts]
+    enc.learn(set().union(*heads))
+    for text, head in zip(texts, heads):
+        links, counts, digest = [], np.zeros(4, np.int64), hashlib.sha256()
+        for k, part in enumerate([head] if head else text_parts(text) if text else ()):
+            if not head:
+                enc.learn(set(part))
+            found, groups, numbers = zip(*map(enc.known.__getitem__, part))
+            digest.update((b";" if k else b"") + b";".join(groups))
+            links.append(b"".join(found))
+            counts += np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4).sum(axis=0)
+        if text and not counts[3]:
+            yield np.frombuffer(b"".join(links), np.int64), counts[:3], digest.hexdigest()
+        else:
+            yield nothing
+    enc.forget_long()
 
 
 # ---- packed arrays ------------------------------------------------------------------------
@@ -238,11 +256,13 @@ class Chunk:
 def _spill(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, parts: int, spill: int) -> Iterator[pa.RecordBatch]:
     enc, chunk, n = aligner(a_path, b_path), Chunk(), TaskContext.get().partitionId() << 32
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            chunk.add(doc_id.as_py(), *text_links(enc, text.as_py()))
-            if chunk.full(spill):
-                yield from chunk.spill(n, parts)
-                chunk, n = Chunk(), n + 1
+        ids, cut = batch.column(0).to_pylist(), as_bytes(batch.column(1))[1]
+        for a, b in slices(cut, PART):
+            for doc_id, found in zip(ids[a:b], text_links(enc, batch.column(1).slice(a, b - a).to_pylist())):
+                chunk.add(doc_id, *found)
+                if chunk.full(spill):
+                    yield from chunk.spill(n, parts)
+                    chunk, n = Chunk(), n + 1
     if chunk.rows:
         yield from chunk.spill(n, parts)
 
