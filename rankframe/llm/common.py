@@ -57,15 +57,16 @@ ONE_TASK = 500_000
 def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
     """``rows`` joined with the written ``table``, one row a key, whose column ``n`` counts
     the key's rows. Hot keys, at most ``HOT``, are broadcast, so none lands in one task; the
-    others go by shuffle. Up to ``ONE_TASK`` rows may land in one task. ``n`` is dropped."""
+    others go by shuffle. Up to ``ONE_TASK`` rows may land in one task. ``n`` is dropped;
+    a column named ``__rf_hot`` isn't allowed."""
     every = table.agg(F.sum(n)).head()[0] or 0
     if every <= ONE_TASK:
         return rows.join(table.drop(n), on)
-    hot = table.filter(F.col(n) * HOT > every).drop(n).withColumn("__hot", F.lit(True))
+    hot = table.filter(F.col(n) * HOT > every).drop(n).withColumn("__rf_hot", F.lit(True))
     cold = table.filter(F.col(n) * HOT <= every).drop(n)
     marked = rows.join(F.broadcast(hot), on, "left")
-    rest = marked.filter("__hot is null").select(*rows.columns).join(cold, on)
-    found = marked.filter("__hot").drop("__hot")
+    rest = marked.filter("__rf_hot is null").select(*rows.columns).join(cold, on)
+    found = marked.filter("__rf_hot").drop("__rf_hot")
     return found.unionByName(rest)
 
 

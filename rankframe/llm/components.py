@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import join_hot, stored
+from rankframe.llm.common import discard, join_hot, stored
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -50,7 +50,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = stored(spark, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
         large = join_hot(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stored(spark, large, "large")
+        discard(now, least)
         least = stored(spark, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         small = join_hot(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = stored(spark, small.filter("u <> v").distinct(), "small")
+        discard(large, least)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,7 @@ import pytest
 pytest.importorskip("rankframe.llm")
 
 import corpus_pipeline
-from rankframe.llm import components, neardup
+from rankframe.llm import common, components, neardup
 
 SCHEMA = "doc_id long, text string"
 
@@ -23,7 +23,9 @@ def kept_brute(rows):
 @pytest.mark.parametrize("side", [256, 2])
 def test_near_copies_of_five_word_shingles(spark, monkeypatch, side):
     monkeypatch.setattr(neardup, "SIDE", side)
-    monkeypatch.setattr(neardup, "STAR_ROUNDS", 3 if side > 2 else 1)
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 4 if side > 2 else 1)
+    monkeypatch.setattr(neardup, "FOLLOWERS", 1000 if side > 2 else 2)
+    monkeypatch.setattr(common, "ONE_TASK", 500_000 if side > 2 else 0)
     rng = np.random.default_rng(6)
     vocabulary = [f"w{i}" for i in range(500)]
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (5, "A  B"), (6, "a c"), (6, "quite another text under one id"), (7, "É é"), (8, "é É")]
@@ -38,3 +40,39 @@ def test_near_copies_of_five_word_shingles(spark, monkeypatch, side):
     assert got == kept_brute(rows)
     twice = neardup.keep_one(spark.createDataFrame([(None, "one text"), (None, "two texts"), (3, "x"), (3, "x")], SCHEMA))
     assert sorted(r.text for r in twice.collect()) == ["one text", "two texts", "x"]
+
+
+def test_words_that_collide_in_polynomial_hashes_stay_apart(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([a] * 8)), (2, " ".join([b] * 8)), (3, "other words in a third text"), (4, f"{a} x {a}"), (5, f"{b} x {b}")]
+    assert sorted(r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_digests_and_hashes_of_words():
+    texts = [b"", b" \n", b"a b", b" a \t b\n", b"ab", b"a", b"b a", b"word " * 40, b" \xc3\xa9" * 3, b"x" * 100 + b" y"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = neardup.word_digests(data, offsets)
+    want = [neardup.hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]
+    assert got == want
+    words = [b"a", b"b", b"a\0", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"abcdefgi" * 3, b"abcdefgi" * 4, b"a"]
+    data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    h = neardup.word_hashes(data, end - [len(w) for w in words], end)
+    assert len(set(h.tolist())) == 8 and h[0] == h[-1]
+    assert len(neardup.word_hashes(data, end[:0], end[:0])) == 0
+
+
+def test_large_group_and_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.choice([f"v{i}" for i in range(300)], 100).tolist()
+    rows = []
+    for k in range(600):  # one group of near copies of one text
+        words = list(base)
+        words[int(rng.integers(100))] = f"u{rng.integers(50)}"
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(5, "one row three times over, word for word")] * 3 + [(4, "one row three times over,  word for word")]
+    out = neardup.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("node", common.F.lit(1)).repartition(5))
+    assert sorted(r.doc_id for r in out.collect()) == kept_brute(rows)
+    assert out.columns == ["doc_id", "text", "node"]
