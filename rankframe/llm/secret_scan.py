@@ -25,7 +25,9 @@ _KEY = "A-Za-z0-9+/_-"
 _RUN = rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9]|[{_KEY}]*?[a-z][A-Z][{_KEY}]*?[a-z][A-Z])[{_KEY}]{{16,}}+={{0,2}}"
 #: Names that secrets are assigned to; values from 8 characters count there.
 _NAMED = r"(?<=[:=\s\"'])(?<=[:=][\s\"']{0,3})(?<=(?i:password|passwd|pwd|secret|token|api.?key|access.?key|private.?key)[\"']{0,1}\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"'<>,;&\x01\x02]{8,}"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^\x01]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: A block ends at the first five hyphens after its beginning (or beyond 40 single ones), so
+#: text that begins blocks and never ends them is gone over once.
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-\x01]*+(?:-(?!----)[^-\x01]*+){0,40}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
 #: Words that stand near secrets, words that stand near look-alikes, beginnings
 #: of known keys, and parts of paths that hold examples.
@@ -48,21 +50,29 @@ def text_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def pieces() -> Column:
+    """``text`` cut at the candidates: text between them at even places, candidates at odd
+    ones. One pass of the pattern puts marks around matches; characters that serve as marks
+    are written in two others meanwhile."""
+    plain = F.replace(F.replace("text", F.lit("\x02"), F.lit("\x02\x03")), F.lit("\x01"), F.lit("\x02\x04"))
+    marked = F.split(F.regexp_replace(plain, F.lit(CANDIDATE), F.lit("\x01$0\x01")), "\x01", -1)
+    back = lambda x: F.replace(F.replace(x, F.lit("\x02\x04"), F.lit("\x01")), F.lit("\x02\x03"), F.lit("\x02"))
+    return F.transform(marked, back)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``cid, dk, doc_id, path, start, end, value, before, after`` for each candidate of
-    ``docs(doc_id, text, source)``; places in code points, ends exclusive."""
+    """``cid, dk, i, doc_id, path, start, end, value, before, after`` for each candidate of
+    ``docs(doc_id, text, source)``, the i-th of its text; places in code points, ends exclusive."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path"))
-    # one pass of the pattern over each text: matches are put between marks, then cut out
-    marked = F.regexp_replace(F.translate("text", "\x01", "\x02"), F.lit(CANDIDATE), F.lit("\x01$0\x01"))
-    rows = rows.select("doc_id", "path", text_key().alias("dk"), F.split(marked, "\x01", -1).alias("p")).filter(F.size("p") > 1).withColumn("row", F.monotonically_increasing_id())
-    pieces = F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), lambda i: F.struct(F.get("p", i).alias("m"), F.get("p", i - 1).alias("b"), F.get("p", i + 1).alias("a")))
-    each = rows.select("row", "dk", "doc_id", "path", F.posexplode(pieces).alias("i", "x"))
+    rows = rows.select("doc_id", "path", text_key().alias("dk"), pieces().alias("p"), F.monotonically_increasing_id().alias("row")).filter(F.size("p") > 1)
+    found = F.transform(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2)), lambda i: F.struct(F.get("p", i).alias("m"), F.get("p", i - 1).alias("b"), F.get("p", i + 1).alias("a")))
+    each = rows.select("row", "dk", "doc_id", "path", F.posexplode(found).alias("i", "x"))
     each = each.select("row", "dk", "doc_id", "path", "i", F.col("x.m").alias("value"), F.col("x.b").alias("b"), F.substring("x.a", 1, AFTER).alias("after"))
     order = Window.partitionBy("row").orderBy("i")
     end = F.sum(F.length("b") + F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     each = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return each.select(F.xxhash64("row", "i").alias("cid"), "dk", "doc_id", "path", "start", "end", "value", F.expr(f"right(b, {BEFORE})").alias("before"), "after")
+    return each.select(F.xxhash64("row", "i").alias("cid"), "dk", "i", "doc_id", "path", "start", "end", "value", F.expr(f"right(b, {BEFORE})").alias("before"), "after")
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -72,7 +82,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def transitions(words: DataFrame) -> DataFrame:
-    """``pair, logp``: at most 26 * 26 rows."""
+    """``pair, logp``: at most 26 * 26 rows, which the driver may hold."""
     pairs = words.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("pair"), "n")
     pairs = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.select("pair", F.log(F.col("n") / F.sum("n").over(Window.partitionBy(F.substring("pair", 1, 1)))).alias("logp"))
@@ -85,16 +95,28 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     classes = F.col("value")
     for pattern, c in (("[a-z]", "a"), ("[A-Z]", "b"), ("[0-9]", "c"), ("[^abc]", "d")):
         classes = F.regexp_replace(classes, pattern, c)
-    counts = F.expr("transform(array_distinct(split(value, '')), c -> cast(length(value) - length(replace(value, c, '')) as double) / length(value))")
+    # entropy from the lengths of runs among the sorted characters
+    entropy = F.expr(
+        """aggregate(array_append(array_sort(split(value, '')), ''), struct('' as c, 0.0D as n, 0.0D as s),
+            (acc, x) -> if(x = acc.c, struct(acc.c as c, acc.n + 1 as n, acc.s as s), struct(x as c, 1.0D as n, acc.s + if(acc.n > 1, acc.n * log2(acc.n), 0.0D) as s)),
+            acc -> log2(length(value)) - acc.s / length(value))"""
+    )
+    table = {r["pair"]: r["logp"] for r in transitions(words).collect()}
+    letters = [chr(97 + i) for i in range(26)]
+    matrix = F.array(*[F.lit(float(table.get(a + b, FLOOR))) for a in letters for b in letters])
+    pairs = F.transform(F.col("letters"), lambda c, i: F.when((c >= 0) & (c < 26) & (F.get("letters", i + 1) >= 0) & (F.get("letters", i + 1) < 26), F.get(matrix, c * 26 + F.get("letters", i + 1))).otherwise(F.lit(FLOOR)))
+    spread = F.aggregate(F.slice(pairs, 1, F.size("letters") - 1), F.lit(0.0), lambda a, x: a + x) / (F.size("letters") - 1)
+    found = found.withColumn("letters", F.transform(F.split(F.lower("value"), ""), lambda c: F.ascii(c) - 97))
     out = found.select(
-        "*",
+        *[c for c in found.columns if c != "letters"],
+        F.when(F.size("letters") > 1, spread).otherwise(F.lit(FLOOR)).alias("transitions"),
         size.alias("size"),
         share("0-9").alias("digits"),
         share("A-Z").alias("uppers"),
         share("a-z").alias("lowers"),
         (1 - share("0-9A-Za-z")).alias("others"),
         (F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) / size).alias("runs"),
-        F.aggregate(counts, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0)).alias("entropy"),
+        entropy.alias("entropy"),
         F.col("value").rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
         F.col("before").rlike(NEAR_WORDS).cast("double").alias("near"),
         F.col("before").rlike(OTHER_WORDS).cast("double").alias("other_near"),
@@ -104,12 +126,9 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         F.col("path").rlike(EXAMPLE_PATHS).cast("double").alias("path_example"),
         F.size(F.split("path", "/")).cast("double").alias("path_depth"),
     )
-    pairs = found.select("cid", F.explode(F.expr("transform(sequence(1, length(value) - 1), i -> substring(lower(value), i, 2))")).alias("pair"))
-    pairs = pairs.join(F.broadcast(transitions(words)), "pair", "left").groupBy("cid").agg(F.avg(F.coalesce("logp", F.lit(FLOOR))).alias("transitions"))
     runs = found.select("cid", F.length("value").alias("size"), F.explode(F.filter(F.split(F.lower("value"), "[^a-z]+"), lambda w: F.length(w) >= 3)).alias("word"))
     known = runs.join(words.select("word"), "word").groupBy("cid").agg((F.sum(F.length("word")) / F.first("size")).alias("dictionary"))
-    out = out.join(pairs, "cid", "left").join(known, "cid", "left")
-    return out.withColumns({"transitions": F.coalesce("transitions", F.lit(FLOOR)), "dictionary": F.coalesce("dictionary", F.lit(0.0))})
+    return out.join(known, "cid", "left").withColumn("dictionary", F.coalesce("dictionary", F.lit(0.0)))
 
 
 def _made(h: Column) -> list[tuple[float, Column, Column, Column]]:
@@ -250,17 +269,16 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     ``MASK`` and ``n_chars``, where there is one, brought up to date.
 
     Null texts stay null; rows that repeat one another are masked alike; an empty table
-    gives no rows. Columns named ``__rf_dk`` or ``__rf_spans`` aren't allowed.
+    gives no rows. Time is in proportion to the text, however long it is and however many
+    secrets it holds. Columns named ``__rf_dk`` or ``__rf_secret`` aren't allowed.
     """
-    spans = findings(docs).filter("is_secret").groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__rf_spans")).withColumnRenamed("dk", "__rf_dk")
-    rows = docs.withColumn("__rf_dk", text_key()).join(spans, "__rf_dk", "left")
-    masked = F.expr(
-        f"""aggregate(__rf_spans, struct(cast(0 as bigint) as at, '' as done),
-            (acc, s) -> struct(s.end as at, concat(acc.done, substring(text, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), '{MASK}') as done),
-            acc -> concat(acc.done, substring(text, cast(acc.at + 1 as int))))"""
-    )
-    rows = rows.withColumn("text", F.when(F.col("__rf_spans").isNull(), F.col("text")).otherwise(masked))
+    judged = findings(docs).groupBy("dk", "i").agg(F.max("is_secret").alias("secret"))
+    flags = judged.groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("i", "secret"))).alias("x"), F.count_if("secret").alias("n")).filter("n > 0")
+    flags = flags.select(F.col("dk").alias("__rf_dk"), F.transform("x", lambda c: c["secret"]).alias("__rf_secret"))
+    rows = docs.withColumn("__rf_dk", text_key()).join(flags, "__rf_dk", "left")
+    masked = F.array_join(F.transform(pieces(), lambda x, k: F.when((k % 2 == 1) & F.get("__rf_secret", F.floor((k - 1) / 2).cast("int")), F.lit(MASK)).otherwise(x)), "")
+    rows = rows.withColumn("text", F.when(F.col("__rf_secret").isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        rows = rows.withColumn("n_chars", F.when(F.col("__rf_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        rows = rows.withColumn("n_chars", F.when(F.col("__rf_secret").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return rows.select(*docs.columns)
