@@ -46,16 +46,17 @@ def _best(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray,
     yield best
 
 
-def _every(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+def _every(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray, places: int | None) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if len(rows):
-            scores = np.round(matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T, PLACES)
+            scores = matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T
+            scores = scores if places is None else np.round(scores, places)
             yield pd.DataFrame({"query_id": np.repeat(ids, len(rows)), "doc_id": np.tile(rows["doc_id"].to_numpy(), len(ids)), "score": scores.ravel()})
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """Scores that hold each query's best k of ``docs(doc_id, vec)``, or all scores without
-    k; ``queries(query_id, vec)`` is a stated set."""
+def _blocks(docs: DataFrame, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work(batches, ids, matrix)`` over all of ``docs(doc_id, vec)`` for blocks of
+    ``queries(query_id, vec)``, a stated set."""
     spark = docs.sparkSession
     first = queries.select(F.size("vec")).first()
     per_block = max(1, BLOCK_NUMBERS // max(1, first[0] if first else 1))
@@ -64,13 +65,36 @@ def dense_scores(docs: DataFrame, queries: DataFrame, k: int | None) -> DataFram
     for block in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "vec").collect()
         ids = np.array([r[0] for r in rows], np.int64)
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
         sent = spark.sparkContext.broadcast((ids, matrix))
-        part = docs.select("doc_id", "vec").mapInPandas(lambda it, sent=sent: (_every(it, *sent.value) if k is None else _best(it, *sent.value, k)) if len(sent.value[0]) else iter(()), "query_id long, doc_id long, score double")
+        part = docs.select("doc_id", "vec").mapInPandas(lambda it, sent=sent: work(it, *sent.value) if len(sent.value[0]) else iter(()), schema)
         out = part if out is None else out.union(part)
     return out
 
 
+def dense_scores(docs: DataFrame, queries: DataFrame, k: int | None, places: int | None = PLACES) -> DataFrame:
+    """Scores that hold each query's best k of ``docs(doc_id, vec)``, or all scores without
+    k (those to any number of places); ``queries(query_id, vec)`` is a stated set."""
+    work = (lambda it, ids, matrix: _every(it, ids, matrix, places)) if k is None else lambda it, ids, matrix: _best(it, ids, matrix, k)
+    return _blocks(docs, queries, work, "query_id long, doc_id long, score double")
+
+
+def _ends(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+    low, high = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+    for rows in batches:
+        if len(rows):
+            scores = matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T
+            low, high = np.minimum(low, scores.min(axis=1)), np.maximum(high, scores.max(axis=1))
+    some = np.isfinite(low)
+    yield pd.DataFrame({"query_id": ids[some], "low": low[some], "high": high[some]})
+
+
+def dense_range(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, low, high``: least and greatest dot product with all of ``docs(doc_id, vec)``."""
+    ends = _blocks(docs, queries, _ends, "query_id long, low double, high double")
+    return ends.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def dense_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(dense_scores(docs, queries, k), k)
 

@@ -9,10 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankframe.functions.text import asks_attribute, attribute_overlap
-from rankframe.operators.dense import dense_scores, dense_topk, dot
+from rankframe.functions.text import ATTRIBUTE_WORDS, asks_attribute
+from rankframe.operators.dense import dense_range, dense_topk, dot
+from rankframe.operators.diffusion import diffuse, push, transitions
 from rankframe.operators.lineage import cut, stored
-from rankframe.operators.ranking import maybe_broadcast, min_max, ranked
+from rankframe.operators.matching import name_counts, occurrences
+from rankframe.operators.ranking import PLACES, maybe_broadcast, min_max, ranked
 from rankframe.sources.io import dense_ids
 
 #: Defaults of the method: expansion threshold, sentences an entity, hops, passage ratio,
@@ -44,34 +46,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     return sentences(docs).select(F.explode(entities("sentence")).alias("entity"), "sentence_id").distinct()
 
 
-#: Characters times entities of a text from which all entities are counted in one pass.
-ONE_PASS = 4_000_000
-
-
-def _occurrences(text: str, names: list[str]) -> list[int]:
-    """Occurrences of each name that don't overlap, from the left."""
-    if len(text) * len(names) < ONE_PASS:
-        return [text.count(x) for x in names]
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for i, x in enumerate(names):
-        automaton.add_word(x, i)
-    automaton.make_automaton()
-    n, free = [0] * len(names), [0] * len(names)  # free: where the next one may begin
-    for last, i in automaton.iter(text):
-        if last + 1 - len(names[i]) >= free[i]:
-            n[i] += 1
-            free[i] = last + 1
-    return n
-
-
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, entity, n, share = [], [], [], []
         for d, text, names in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "names")]):
             if names:
-                found = _occurrences(text, names)
+                found = occurrences(text, names)
                 total = sum(found)
                 doc += [d] * len(names)
                 entity += names
@@ -135,17 +115,20 @@ def _with_similarity(pairs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, mention: DataFrame, similarity: Similarity, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
-    """Set-based propagation: ``query_id, entity_id, score, tier``.
+    """Set-based propagation: ``query_id, entity_id, score, last, tier``.
 
     ``seeds(query_id, entity_id, score)``, ``mention(entity_id, sentence_id)``,
     ``similarity(query_id, sentence_id, sim)``. In each hop every active entity takes its
     ``top`` best unused sentences; a taken sentence's activation is the sum over the active
     entities linked to it; each of its entities gains activation * similarity. Gains add
-    up whatever their size, only those at the threshold go on. The least tier counts.
+    up to ``score`` (a node's weight) whatever their size; those at the threshold go on, and
+    are the entity's activation: ``last`` is the latest one and ``tier`` its hop (a seed's
+    own is of tier 0), both null where no gain reached the threshold. A seed given twice
+    counts once in score and activation (the greater) and adds up in the first hop.
     """
-    active = seeds.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"))
-    gained = active.withColumn("tier", F.lit(1))
-    used = None
+    active = seeds.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"), F.max("score").alias("own"))
+    gained = active.select("query_id", "entity_id", F.col("own").alias("score"), F.struct(F.lit(0).alias("tier"), F.col("own").alias("last")).alias("at"))
+    active, used = active.drop("own"), None
     for hop in range(1, hops + 1):
         linked = active.filter(F.col("score") >= threshold).join(mention, "entity_id")
         if used is not None:
@@ -154,11 +137,13 @@ def propagate(seeds: DataFrame, mention: DataFrame, similarity: Similarity, hops
         order = Window.partitionBy("query_id", "entity_id").orderBy(F.desc(F.round("sim", 6)), "sentence_id")
         taken = linked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).select("query_id", "sentence_id").distinct()
         strength = linked.join(taken, ["query_id", "sentence_id"], "left_semi").groupBy("query_id", "sentence_id").agg(F.sum("score").alias("act"), F.first("sim").alias("sim"))
-        gain = strength.join(mention, "sentence_id").groupBy("query_id", "entity_id").agg(F.sum(F.col("act") * F.col("sim")).alias("score")).filter("score > 0")
-        gained = gained.unionByName(gain.withColumn("tier", F.lit(hop)))
+        gain = strength.join(mention, "sentence_id").groupBy("query_id", "entity_id").agg(F.sum(F.when((F.col("act") * F.col("sim")) > 0, F.col("act") * F.col("sim"))).alias("score")).filter("score > 0")
+        at = F.when(F.col("score") >= threshold, F.struct(F.lit(hop).alias("tier"), F.col("score").alias("last")))
+        gained = gained.unionByName(gain.withColumn("at", at))
         used = taken if used is None else used.union(taken)
         active = gain
-    return gained.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"), F.min("tier").alias("tier"))
+    out = gained.groupBy("query_id", "entity_id").agg(F.sum("score").alias("score"), F.max("at").alias("at"))
+    return out.select("query_id", "entity_id", "score", "at.last", "at.tier")
 
 
 def _bfs(rows: pd.DataFrame, hops: int, threshold: float, top: int) -> pd.DataFrame:
@@ -170,7 +155,7 @@ def _bfs(rows: pd.DataFrame, hops: int, threshold: float, top: int) -> pd.DataFr
         of_sentence.setdefault(s, set()).add(e)
     seeds = rows.loc[rows["seed"].notna(), ["entity_id", "seed"]].drop_duplicates("entity_id", keep="last")
     active = dict(zip(seeds["entity_id"], seeds["seed"]))
-    score, tier, used = dict(active), dict.fromkeys(active, 1), set()
+    score, last, tier, used = dict(active), dict(active), dict.fromkeys(active, 1), set()
     for hop in range(1, hops + 1):
         following = {}
         for e in sorted(active):
@@ -183,15 +168,17 @@ def _bfs(rows: pd.DataFrame, hops: int, threshold: float, top: int) -> pd.DataFr
                     gain = active[e] * sim[s]
                     if gain >= threshold:
                         score[other] = score.get(other, 0.0) + gain
-                        tier.setdefault(other, hop + 1)
+                        tier[other] = hop + 1
                         following[other] = gain
+        last.update(following)
         active = following
-    return pd.DataFrame({"query_id": query, "entity_id": list(score), "score": list(score.values()), "tier": [tier[e] for e in score]})
+    return pd.DataFrame({"query_id": query, "entity_id": list(score), "score": list(score.values()), "last": [last[e] for e in score], "tier": [tier[e] for e in score]})
 
 
 def propagate_in_order(seeds: DataFrame, mention: DataFrame, similarity: Similarity, hops: int = HOPS, threshold: float = THRESHOLD, top: int = TOP_SENTENCES) -> DataFrame:
     """Order-dependent propagation: entities in ascending order, a sentence is used once a
-    query, and only gains at the threshold count. A query's rows are the links of entities
+    query, and only gains at the threshold count; ``last`` and ``tier`` are of the latest gain
+    (seeds have tier 1, entities of hop h tier h + 1). A query's rows are the links of entities
     within ``hops`` of its seeds, so a group is one query's neighbourhood."""
     near = seeds.select("query_id", "entity_id").distinct()
     for _ in range(hops):
@@ -200,26 +187,34 @@ def propagate_in_order(seeds: DataFrame, mention: DataFrame, similarity: Similar
     links = _with_similarity(near.join(mention, "entity_id"), similarity).select("query_id", "entity_id", "sentence_id", "sim", F.lit(None).cast("double").alias("seed"))
     heads = seeds.select("query_id", "entity_id", F.lit(None).cast("string").alias("sentence_id"), F.lit(None).cast("double").alias("sim"), F.col("score").alias("seed"))
     rows = links.select("query_id", F.col("entity_id").cast("string"), F.col("sentence_id").cast("string"), "sim", "seed").union(heads.select("query_id", F.col("entity_id").cast("string"), "sentence_id", "sim", "seed"))
-    return rows.groupBy("query_id").applyInPandas(lambda part: _bfs(part, hops, threshold, top), "query_id long, entity_id string, score double, tier int")
+    return rows.groupBy("query_id").applyInPandas(lambda part: _bfs(part, hops, threshold, top), "query_id long, entity_id string, score double, last double, tier int")
+
 
+def passage_bonus(activated: DataFrame, counts: DataFrame) -> DataFrame:
+    """``query_id, doc_id, bonus``: ln(1 + sum of last activation * ln(1 + occurrences) /
+    tier), over the activated entities that a passage holds (``counts(entity_id, doc_id, n)``)."""
+    each = activated.filter("last is not null").join(counts.select("entity_id", "doc_id", "n"), "entity_id").groupBy("query_id", "doc_id")
+    total = F.sum(F.col("last") * F.log(1.0 + F.col("n")) / F.greatest(F.col("tier"), F.lit(1)))
+    return each.agg(total.alias("s")).select("query_id", "doc_id", F.log(1.0 + F.col("s")).alias("bonus"))
 
-def passage_weights(cosines: DataFrame, activated: DataFrame, edges: DataFrame, ratio: float = PASSAGE_RATIO, node: float = NODE_WEIGHT) -> DataFrame:
+
+def passage_weights(cosines: DataFrame, activated: DataFrame, counts: DataFrame, ratio: float = PASSAGE_RATIO, node: float = NODE_WEIGHT) -> DataFrame:
     """``query_id, doc_id, weight`` of all pairs in ``cosines(query_id, doc_id, score)``:
-    node * (ratio * minmax(cosine) + ln(1 + sum of entity score * ln(1 + occurrences) / tier))."""
-    bonus = activated.join(edges.select("entity_id", "doc_id", "n"), "entity_id").groupBy("query_id", "doc_id")
-    bonus = bonus.agg(F.sum(F.col("score") * F.log(1.0 + F.col("n")) / F.greatest(F.col("tier"), F.lit(1))).alias("bonus"))
-    rows = cosines.join(bonus, ["query_id", "doc_id"], "left").withColumn("similar", min_max("score", ["query_id"]))
-    gain = F.coalesce(F.log(1.0 + F.coalesce("bonus", F.lit(0.0))), F.lit(0.0))
-    return rows.select("query_id", "doc_id", (node * (ratio * F.col("similar") + gain)).alias("weight"))
+    node * (ratio * minmax(cosine) + bonus), see ``passage_bonus``."""
+    rows = cosines.join(passage_bonus(activated, counts), ["query_id", "doc_id"], "left").withColumn("similar", min_max("score", ["query_id"]))
+    return rows.select("query_id", "doc_id", (node * (ratio * F.col("similar") + F.coalesce("bonus", F.lit(0.0)))).alias("weight"))
 
 
-def attribute_boost(weights: DataFrame, queries: DataFrame, docs: DataFrame, boost: float = ATTRIBUTE_BOOST) -> DataFrame:
-    """Adds boost * ln(1 + attribute words in common) for questions about attributes; the
-    weights of other questions stay."""
+def attribute_bonus(queries: DataFrame, docs: DataFrame, boost: float = ATTRIBUTE_BOOST) -> DataFrame:
+    """``query_id, doc_id, bonus``: boost * ln(1 + attribute words in common) of passages that
+    share one with a question about attributes."""
     about = queries.filter(asks_attribute("text")).select("query_id", F.col("text").alias("q"))
-    rows = weights.join(maybe_broadcast(about), "query_id", "left").join(docs.select("doc_id", F.col("text").alias("p")), "doc_id")
-    more = F.coalesce(NODE_WEIGHT * boost * F.log1p(attribute_overlap("q", "p")), F.lit(0.0))
-    return rows.select("query_id", "doc_id", (F.col("weight") + more).alias("weight"))
+    words = F.array(*[F.lit(w) for w in ATTRIBUTE_WORDS])
+    named = lambda c: F.filter(words, lambda w: F.contains(F.lower(c), w))
+    asked = about.select("query_id", F.explode(named("q")).alias("word"))
+    held = docs.select("doc_id", F.explode(named("text")).alias("word"))  # at most a row a word of the list
+    both = held.join(maybe_broadcast(asked), "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    return both.select("query_id", "doc_id", (boost * F.log(1.0 + F.col("n"))).alias("bonus"))
 
 
 def pagerank(edges: DataFrame, reset: DataFrame, iterations: int = 30, damping: float = DAMPING) -> DataFrame:
@@ -262,14 +257,17 @@ def entity_table(docs: DataFrame) -> DataFrame:
 
 
 def linear_rag(
-    docs: DataFrame, queries: DataFrame, encode: Callable[[DataFrame, str], DataFrame], k: int = 10, attributes: bool = False, in_order: bool = False, iterations: int = 30
+    docs: DataFrame, queries: DataFrame, encode: Callable[[DataFrame, str], DataFrame], k: int = 10, attributes: bool = False, in_order: bool = False, iterations: int = 30, least: float = 1e-9
 ) -> DataFrame:
     """The whole retriever: ``query_id, doc_id, rank, score`` of ``docs(doc_id, text)`` for
     ``queries(query_id, text)``, all queries in one plan.
 
     ``encode(texts(key, text), key)`` gives unit vectors ``key, vec``. Every passage takes
-    part in the weights and in PageRank; only the ranking is cut to k. Questions without
-    entities get the cosine ranking.
+    part in the weights and in PageRank; only the ranking is cut to k. A query's reset vector
+    is a*cosine + b over all passages, which the passages' components and a column of ones
+    give when diffused once for all queries, plus what its activated entities and the
+    passages that hold them weigh, which is pushed. Questions without entities get the
+    cosine ranking.
     """
     edges = stored(mention_edges(docs), "mention-edges")
     names = stored(entity_table(docs), "entities")
@@ -283,12 +281,38 @@ def linear_rag(
     asked_vectors = stored(encode(queries.select("query_id", "text"), "query_id"), "query-vectors")
     spread = propagate_in_order if in_order else propagate
     active = stored(spread(seeds, stored(linked, "mentions"), cosine_of(asked_vectors, stored(encode(parts, "sentence_id"), "sentence-vectors"))), "active")
-    cosines = stored(dense_scores(encode(docs.select("doc_id", "text"), "doc_id"), asked_vectors, None), "cosines")
-    weights = passage_weights(cosines, active, edges.select(F.col("entity").alias("entity_id"), "doc_id", "n"))
+    vectors = stored(encode(docs.select("doc_id", "text"), "doc_id"), "passage-vectors")
+    counts = name_counts(docs, active.filter("last is not null").select(F.col("entity_id").alias("entity")))
+    bonus = passage_bonus(active, counts.select(F.col("entity").alias("entity_id"), "doc_id", "n"))
     if attributes:
-        weights = attribute_boost(weights, queries, docs)
-    reset = weights.join(active.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.concat(F.lit("p"), F.col("doc_id")).alias("id"), "weight")
-    reset = reset.union(active.select("query_id", F.concat(F.lit("e"), F.col("entity_id")).alias("id"), F.col("score").alias("weight")))
-    ranks = pagerank(edges.select(F.concat(F.lit("p"), F.col("doc_id")).alias("src"), F.concat(F.lit("e"), F.col("entity")).alias("dst"), "weight"), reset, iterations)
-    passages = ranks.filter(F.col("id").startswith("p")).select("query_id", F.substring("id", 2, 20).cast("long").alias("doc_id"), "score")
-    return graph_retrieve(passages, ranked(cosines, k), k)
+        bonus = bonus.union(attribute_bonus(queries.join(active.select("query_id").distinct(), "query_id", "left_semi"), docs))
+    passage = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    entity = lambda c: F.concat(F.lit("e"), F.col(c))
+    step = transitions(edges.select(passage("doc_id").alias("src"), entity("entity").alias("dst"), "weight"))
+    sparse = active.select("query_id", entity("entity_id").alias("id"), F.col("score").alias("weight")).union(bonus.select("query_id", passage("doc_id"), NODE_WEIGHT * F.col("bonus")))
+    pushed = stored(push(step, sparse, iterations, DAMPING, least)[0], "pushed-scores")
+    base = diffuse(step, vectors.select(passage("doc_id").alias("id"), F.concat(F.array(F.lit(1.0)), "vec").alias("vec")), iterations, DAMPING)
+    return graph_retrieve(_passage_scores(stored(base, "diffused-vectors"), pushed, vectors, asked_vectors.join(active.select("query_id").distinct(), "query_id", "left_semi"), k), dense_topk(vectors, asked_vectors, k), k)
+
+
+def _passage_scores(base: DataFrame, pushed: DataFrame, vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: passages among which are each query's best k.
+
+    A query's dense part is the product of ``base(id, vec)`` with a vector of its own. A
+    passage without a pushed part can only be among the best k if it is among the best k by
+    the dense part; all that have a pushed part are scored.
+    """
+    n = len(base.head()["vec"]) if base.head() else 0
+    sums = base.select(*[F.sum(F.get("vec", i)).alias(f"c{i}") for i in range(n)]).select(F.array(*[f"c{i}" for i in range(n)]).alias("sums"))  # one row
+    a = F.when(F.col("high") > F.col("low"), NODE_WEIGHT * PASSAGE_RATIO / (F.col("high") - F.col("low"))).otherwise(0.0)
+    ones = F.when(F.col("high") > F.col("low"), -a * F.col("low")).otherwise(NODE_WEIGHT * PASSAGE_RATIO)
+    own = asked.join(dense_range(vectors, asked), "query_id").select("query_id", F.concat(F.array(ones), F.transform("vec", lambda x: x * a)).alias("u"))
+    total = own.crossJoin(F.broadcast(sums)).select("query_id", "u", dot("u", "sums").alias("t")).join(pushed.groupBy("query_id").agg(F.sum("y").alias("y")), "query_id", "left")
+    own = total.withColumn("total", F.col("t") + F.coalesce("y", F.lit(0.0))).select("query_id", "total", F.transform("u", lambda x: x / F.col("total")).alias("vec"))
+    own = stored(own, "query-weights")
+    scored = base.filter(F.col("id").startswith("p")).select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "vec")
+    touched = pushed.filter(F.col("id").startswith("p")).select("query_id", F.substring("id", 2, 20).cast("long").alias("doc_id"), "y")
+    exact = touched.join(own.withColumnRenamed("vec", "u"), "query_id").join(scored, "doc_id")
+    exact = stored(exact.select("query_id", "doc_id", F.round(dot("u", "vec") + F.col("y") / F.col("total"), PLACES).alias("score")), "touched")
+    rest = dense_topk(scored, own.select("query_id", "vec"), k).select("query_id", "doc_id", "score")
+    return exact.unionByName(rest.join(exact, ["query_id", "doc_id"], "left_anti"))

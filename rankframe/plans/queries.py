@@ -287,10 +287,12 @@ def _hop_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return seeds, mention, graph.cosine_of(vector_queries(spark, sf), rows.select(F.col("doc_id").alias("sentence_id"), "vec"))
 
 
-@query(f"WITH {HOPS} SELECT query_id, entity_id, round(sum(act), 6) AS score, min(tier)::INT AS tier FROM (SELECT *, 1 AS tier FROM g0 UNION ALL SELECT *, 1 FROM g1 UNION ALL SELECT *, 2 FROM g2) GROUP BY 1, 2")
+ACTIVATED = "round(sum(act), 6) AS score, round(arg_max(act, tier) FILTER (WHERE tier = 0 OR act >= 0.5), 6) AS last, (max(tier) FILTER (WHERE tier = 0 OR act >= 0.5))::INT AS tier"
+
+
+@query(f"WITH {HOPS} SELECT query_id, entity_id, {ACTIVATED} FROM (SELECT *, 0 AS tier FROM g0 UNION ALL SELECT *, 1 FROM g1 UNION ALL SELECT *, 2 FROM g2) GROUP BY 1, 2")
 def entity_hop_set(spark: SparkSession, sf: str) -> DataFrame:
-    out = graph.propagate(*_hop_inputs(spark, sf))
-    return out.select("query_id", "entity_id", F.round("score", 6).alias("score"), "tier")
+    return graph.propagate(*_hop_inputs(spark, sf)).withColumns({c: F.round(c, 6) for c in ("score", "last")})
 
 
 # two hops in order: the one seed takes its best sentence s1; then, of the entities of s1 in
@@ -302,23 +304,12 @@ BFS = f"""{COS}, {_MENTION}, s AS (SELECT vec_id AS query_id, 'l' || label::VARC
  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY entity_id) AS nth FROM g1),
  p1 AS (SELECT *, {_BEST.format(q='o.query_id', e='o.entity_id', no=' AND m.sentence_id <> o.s1')} AS sent FROM o WHERE nth = 1 AND gain >= 0.5),
  p2 AS (SELECT o.*, {_BEST.format(q='o.query_id', e='o.entity_id', no=' AND m.sentence_id <> o.s1 AND m.sentence_id <> coalesce((SELECT max(sent) FROM p1 WHERE p1.query_id = o.query_id), -1)')} AS sent FROM o WHERE nth = 2 AND gain >= 0.5),
- g2 AS (SELECT p.query_id, m.entity_id, p.gain * cs.score AS gain FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) p JOIN cs ON cs.query_id = p.query_id AND cs.doc_id = p.sent JOIN m ON m.sentence_id = p.sent WHERE p.gain * cs.score >= 0.5)"""
+ g2 AS (SELECT p.query_id, m.entity_id, p.gain * cs.score AS gain, p.nth FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) p JOIN cs ON cs.query_id = p.query_id AND cs.doc_id = p.sent JOIN m ON m.sentence_id = p.sent WHERE p.gain * cs.score >= 0.5)"""
 
 
-@query(f"WITH {BFS} SELECT query_id, entity_id, round(sum(gain), 6) AS score, min(tier)::INT AS tier FROM (SELECT query_id, seed AS entity_id, 1.0::DOUBLE AS gain, 1 AS tier FROM s UNION ALL SELECT query_id, entity_id, gain, 2 FROM g1 UNION ALL SELECT query_id, entity_id, gain, 3 FROM g2) GROUP BY 1, 2")
+@query(f"WITH {BFS} SELECT query_id, entity_id, round(sum(gain), 6) AS score, round(arg_max(gain, tier * 10 + nth), 6) AS last, max(tier)::INT AS tier FROM (SELECT query_id, seed AS entity_id, 1.0::DOUBLE AS gain, 1 AS tier, 0 AS nth FROM s UNION ALL SELECT query_id, entity_id, gain, 2, 0 FROM g1 UNION ALL SELECT query_id, entity_id, gain, 3, nth FROM g2) GROUP BY 1, 2")
 def entity_hop_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.propagate_in_order(*_hop_inputs(spark, sf)).withColumn("score", F.round("score", 6))
-
-
-@query(f"""WITH {BM25_10}, {EDGES}, act AS (SELECT b.item_id AS query_id, unnest({_ENT.replace('text', 'b.text')}) AS entity FROM benchmark b),
- bonus AS (SELECT query_id, doc_id, sum(0.8::DOUBLE * ln(1 + n)) AS bonus FROM act JOIN e USING (entity) GROUP BY 1, 2)
- SELECT query_id, doc_id, round(0.05::DOUBLE * (1.5::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END + ln(1 + coalesce(bonus, 0))), 6) AS weight
- FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS hi, min(score) OVER (PARTITION BY query_id) AS lo FROM bm25) LEFT JOIN bonus USING (query_id, doc_id)""")
-def passage_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 scores stand in for the cosines of passages."""
-    edges = graph.mention_edges(corpus(spark, sf)).select(F.col("entity").alias("entity_id"), "doc_id", "n")
-    active = questions(spark, sf).select("query_id", F.explode(graph.entities("text")).alias("entity_id"), F.lit(0.8).alias("score"), F.lit(1).alias("tier"))
-    return graph.passage_weights(bm25_10(spark, sf), active, edges).withColumn("weight", F.round("weight", 6))
+    return graph.propagate_in_order(*_hop_inputs(spark, sf)).withColumns({c: F.round(c, 6) for c in ("score", "last")})
 
 
 def _ppr_sql(n: int) -> str:

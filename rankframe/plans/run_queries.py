@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rankframe.functions import prompts, text as T
 from rankframe.functions.arithmetic import calculate
 from rankframe.functions.code import code_column
-from rankframe.operators import answers, dense, graph, rerank, select, tools
+from rankframe.operators import answers, dense, graph, matching, rerank, select, tools
 from rankframe.plans import engines, run
 from rankframe.plans.queries import _ENT, _net, BM25_10, EDGES, bm25_10, corpus, query, questions, table, top
 
@@ -294,8 +294,34 @@ def question_entities(spark: SparkSession, sf: str) -> DataFrame:
     return graph.question_entities(questions(spark, sf))
 
 
-ROUNDS = 3
+#: Rounds of PageRank in the registered queries: what later rounds would add is under 2e-4.
+ROUNDS = 12
 _SENTENCES = r"unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)))"
+_QV = f"qv AS MATERIALIZED (SELECT item_id AS query_id, {_unit(_vec('text'))} AS v, text AS qt, list_has_any(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), {_WORDS}) AS asks FROM benchmark)"
+_DV = f"dv AS MATERIALIZED (SELECT doc_id, {_unit(_vec('text'))} AS v, text AS dt FROM documents)"
+_COS = "co AS MATERIALIZED (SELECT query_id, doc_id, list_dot_product(qv.v, dv.v) AS score, qt, asks, dt FROM qv, dv)"
+# occurrences of activated entities, lower-cased, in all passages
+_COUNTS = """ec AS MATERIALIZED (SELECT * FROM (SELECT entity, doc_id, (length(lt) - length(replace(lt, le, ''))) / length(le) AS n FROM (SELECT DISTINCT entity, lower(entity) AS le FROM la), (SELECT doc_id, lower(text) AS lt FROM documents)) WHERE n > 0),
+ bo AS (SELECT query_id, doc_id, ln(1.0::DOUBLE + sum(last * ln(1.0::DOUBLE + n) / greatest(tier, 1))) AS bonus FROM la JOIN ec USING (entity) GROUP BY 1, 2)"""
+_WEIGHTED = "(SELECT *, max(score) OVER (PARTITION BY query_id) AS hi, min(score) OVER (PARTITION BY query_id) AS lo FROM co) LEFT JOIN bo USING (query_id, doc_id)"
+_WEIGHT = "0.05::DOUBLE * (1.5::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END + coalesce(bonus, 0))"
+
+
+@query(f"WITH la AS (SELECT item_id AS query_id, unnest({_ENT}) AS entity, 0.8::DOUBLE AS last, 1 AS tier FROM benchmark), {_QV}, {_DV}, {_COS}, {_COUNTS} SELECT query_id, doc_id, round({_WEIGHT}, 6) AS weight FROM {_WEIGHTED}")
+def passage_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """All entities of a question are activated; weights of all its passages."""
+    docs = corpus(spark, sf)
+    active = questions(spark, sf).select("query_id", F.explode(graph.entities("text")).alias("entity_id"), F.lit(0.8).alias("last"), F.lit(1).alias("tier"))
+    counts = matching.name_counts(docs, active.select(F.col("entity_id").alias("entity"))).withColumnRenamed("entity", "entity_id")
+    cosines = dense.dense_scores(encode(docs, "doc_id"), encode(questions(spark, sf), "query_id"), None, places=None)
+    return graph.passage_weights(cosines, active, counts).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH la AS (SELECT DISTINCT unnest({_ENT}) AS entity, 1.0::DOUBLE AS last, 1 AS tier, 0 AS query_id FROM documents WHERE doc_id % 20 = 0), {_COUNTS} SELECT entity, doc_id, n::INT AS n FROM ec")
+def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of every 20th passage, counted in all passages."""
+    docs = corpus(spark, sf)
+    return matching.name_counts(docs, docs.filter("doc_id % 20 = 0").select(F.explode(graph.entities("text")).alias("entity"))).select("entity", "doc_id", "n")
 
 
 def _whole_sql(attributes: bool) -> str:
@@ -303,11 +329,11 @@ def _whole_sql(attributes: bool) -> str:
     hop = """l{h} AS (SELECT g.query_id, g.entity, g.act, m.sid, round(list_dot_product(qv.v, sv.v), 6) AS sim FROM g{p} g JOIN m USING (entity) JOIN qv USING (query_id) JOIN sv USING (sid) WHERE g.act >= 0.5{unused}),
  t{h} AS (SELECT DISTINCT query_id, sid FROM (SELECT query_id, sid, row_number() OVER (PARTITION BY query_id, entity ORDER BY sim DESC, sid) AS r FROM l{h}) WHERE r <= 1),
  a{h} AS (SELECT query_id, sid, sum(act) AS act, any_value(sim) AS sim FROM l{h} SEMI JOIN t{h} USING (query_id, sid) GROUP BY 1, 2),
- g{h} AS MATERIALIZED (SELECT query_id, entity, sum(act * sim) AS act FROM a{h} JOIN m USING (sid) GROUP BY 1, 2 HAVING sum(act * sim) > 0)"""
+ g{h} AS MATERIALIZED (SELECT query_id, entity, sum(act * sim) AS act, sum(act * sim) AS own FROM a{h} JOIN m USING (sid) GROUP BY 1, 2 HAVING sum(act * sim) > 0)"""
     boost = f" + CASE WHEN asks THEN 0.05::DOUBLE * 0.25::DOUBLE * ln(1 + len(list_filter({_WORDS}, lambda w: contains(lower(qt), w) AND contains(lower(dt), w)))) ELSE 0 END" if attributes else ""
     parts = [
         EDGES,
-        f"qv AS MATERIALIZED (SELECT item_id AS query_id, {_unit(_vec('text'))} AS v, text AS qt, list_has_any(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), {_WORDS}) AS asks FROM benchmark)",
+        _QV,
         "wt AS MATERIALIZED (SELECT doc_id, entity, n, n / sum(n) OVER (PARTITION BY doc_id) AS w FROM e)",
         f"en AS MATERIALIZED (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS eid, {_unit(_vec('entity'))} AS v FROM (SELECT DISTINCT entity FROM e))",
         f"qe AS (SELECT query_id, entity AS qent, {_unit(_vec('entity'))} AS v FROM (SELECT DISTINCT item_id AS query_id, lower(entity) AS entity FROM (SELECT item_id, unnest({_ENT}) AS entity FROM benchmark)))",
@@ -315,34 +341,35 @@ def _whole_sql(attributes: bool) -> str:
         f"st AS MATERIALIZED (SELECT DISTINCT 'sentence-' || md5(s) AS sid, s AS text FROM (SELECT {_SENTENCES} AS s FROM documents) WHERE trim(s) <> '')",
         f"sv AS MATERIALIZED (SELECT sid, {_unit(_vec('text'))} AS v FROM st)",
         f"m AS MATERIALIZED (SELECT DISTINCT sid, unnest({_ENT}) AS entity FROM st)",
-        "g0 AS MATERIALIZED (SELECT query_id, entity, sum(s) AS act FROM sd GROUP BY 1, 2)",
+        "g0 AS MATERIALIZED (SELECT query_id, entity, sum(s) AS act, max(s) AS own FROM sd GROUP BY 1, 2)",
         hop.format(h=1, p=0, unused=""),
         hop.format(h=2, p=1, unused=" AND NOT EXISTS (SELECT 1 FROM t1 WHERE t1.query_id = g.query_id AND t1.sid = m.sid)"),
-        "ac AS MATERIALIZED (SELECT query_id, entity, sum(act) AS act, min(tier) AS tier FROM (SELECT *, 1 AS tier FROM g0 UNION ALL SELECT *, 1 FROM g1 UNION ALL SELECT *, 2 FROM g2) GROUP BY 1, 2)",
-        f"dv AS MATERIALIZED (SELECT doc_id, {_unit(_vec('text'))} AS v, text AS dt FROM documents)",
-        "co AS MATERIALIZED (SELECT query_id, doc_id, round(list_dot_product(qv.v, dv.v), 6) AS score, qt, asks, dt FROM qv, dv)",
-        "bo AS (SELECT query_id, doc_id, sum(act * ln(1.0::DOUBLE + n) / greatest(tier, 1)) AS bonus FROM ac JOIN wt USING (entity) GROUP BY 1, 2)",
-        f"pw AS (SELECT query_id, doc_id, 0.05::DOUBLE * (1.5::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END + ln(1.0::DOUBLE + coalesce(bonus, 0))){boost} AS w FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS hi, min(score) OVER (PARTITION BY query_id) AS lo FROM co) LEFT JOIN bo USING (query_id, doc_id))",
+        "ev AS (SELECT query_id, entity, own, 0 AS tier FROM g0 UNION ALL SELECT query_id, entity, own, 1 FROM g1 UNION ALL SELECT query_id, entity, own, 2 FROM g2)",
+        "ac AS MATERIALIZED (SELECT query_id, entity, sum(own) AS act FROM ev GROUP BY 1, 2)",
+        "la AS MATERIALIZED (SELECT query_id, entity, arg_max(own, tier) AS last, max(tier) AS tier FROM ev WHERE tier = 0 OR own >= 0.5 GROUP BY 1, 2)",
+        _DV,
+        _COS,
+        _COUNTS,
+        f"pw AS (SELECT query_id, doc_id, {_WEIGHT}{boost} AS w FROM {_WEIGHTED})",
         "r0 AS (SELECT query_id, 'p' || doc_id::VARCHAR AS id, w FROM pw WHERE query_id IN (SELECT query_id FROM ac) UNION ALL SELECT query_id, 'e' || entity, act FROM ac)",
-        "rs AS MATERIALIZED (SELECT query_id, id, w / sum(w) OVER (PARTITION BY query_id) AS r FROM r0 WHERE w > 0)",
+        "x0 AS MATERIALIZED (SELECT query_id, id, sum(w) AS x FROM r0 WHERE w > 0 GROUP BY 1, 2)",
         "ed AS (SELECT 'p' || doc_id::VARCHAR AS src, 'e' || entity AS dst, w FROM wt), eb AS (SELECT * FROM ed UNION ALL SELECT dst, src, w FROM ed), sp AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM eb)",
-        "x0 AS (SELECT query_id, id, r AS x FROM rs)",
     ]
+    # y = reset + 0.5 * y P; nodes without edges would only scale it
     for i in range(ROUNDS):
-        parts.append(f"mv{i} AS MATERIALIZED (SELECT query_id, dst AS id, sum(x * p) AS mass FROM x{i} JOIN sp ON sp.src = x{i}.id GROUP BY 1, 2), k{i} AS (SELECT query_id, sum(mass) AS kept FROM mv{i} GROUP BY 1)")
-        parts.append(f"x{i + 1} AS MATERIALIZED (SELECT query_id, id, sum(x) AS x FROM (SELECT query_id, id, 0.5::DOUBLE * r + 0.5::DOUBLE * (1 - coalesce(kept, 0)) * r AS x FROM rs LEFT JOIN k{i} USING (query_id) UNION ALL SELECT query_id, id, 0.5::DOUBLE * mass FROM mv{i}) GROUP BY 1, 2)")
-    parts.append(f"fs AS (SELECT query_id, substr(id, 2)::BIGINT AS doc_id, round(x, 6) AS score FROM x{ROUNDS} WHERE id LIKE 'p%' UNION ALL SELECT query_id, doc_id, score FROM co WHERE query_id NOT IN (SELECT query_id FROM ac))")
+        parts.append(f"x{i + 1} AS MATERIALIZED (SELECT query_id, id, sum(x) AS x FROM (SELECT * FROM x0 UNION ALL SELECT query_id, dst, 0.5::DOUBLE * x * p FROM x{i} JOIN sp ON sp.src = x{i}.id) GROUP BY 1, 2)")
+    parts.append(f"fs AS (SELECT query_id, substr(id, 2)::BIGINT AS doc_id, round(x / total, 6) AS score FROM (SELECT *, sum(x) OVER (PARTITION BY query_id) AS total FROM x{ROUNDS}) WHERE id LIKE 'p%' UNION ALL SELECT query_id, doc_id, round(score, 6) FROM co WHERE query_id NOT IN (SELECT query_id FROM ac))")
     return f"WITH {', '.join(parts)}, {top('fs', 10)} SELECT * FROM r"
 
 
 @query(_whole_sql(False))
 def graph_retriever(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.linear_rag(corpus(spark, sf), questions(spark, sf), encode, 10, iterations=ROUNDS)
+    return graph.linear_rag(corpus(spark, sf), questions(spark, sf), encode, 10, iterations=ROUNDS, least=1e-12)
 
 
 @query(_whole_sql(True))
 def graph_retriever_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.linear_rag(corpus(spark, sf), questions(spark, sf), encode, 10, attributes=True, iterations=ROUNDS)
+    return graph.linear_rag(corpus(spark, sf), questions(spark, sf), encode, 10, attributes=True, iterations=ROUNDS, least=1e-12)
 
 
 # ---- engines -----------------------------------------------------------------------------

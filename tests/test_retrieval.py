@@ -178,10 +178,10 @@ def test_propagation_modes(spark):
     seeds = spark.createDataFrame([(1, "a", 1.0)], "query_id long, entity_id string, score double")
     mention = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("b", "s2"), ("c", "s2")], "entity_id string, sentence_id string")
     sim = spark.createDataFrame([(1, "s1", 0.9), (1, "s2", 0.8)], "query_id long, sentence_id string, sim double")
-    got = {r.entity_id: (round(r.score, 6), r.tier) for r in graph.propagate(seeds, mention, sim).collect()}
-    assert got == {"a": (1.9, 1), "b": (pytest.approx(1.62), 1), "c": (pytest.approx(0.72), 2)}
-    ordered = {r.entity_id: r.tier for r in graph.propagate_in_order(seeds, mention, sim).collect()}
-    assert ordered == {"a": 1, "b": 2, "c": 3}
+    got = {r.entity_id: (round(r.score, 6), round(r["last"], 6), r.tier) for r in graph.propagate(seeds, mention, sim).collect()}
+    assert got == {"a": (1.9, 0.9, 1), "b": (1.62, 0.72, 2), "c": (0.72, 0.72, 2)}
+    ordered = {r.entity_id: (round(r["last"], 6), r.tier) for r in graph.propagate_in_order(seeds, mention, sim).collect()}
+    assert ordered == {"a": (0.9, 2), "b": (0.72, 3), "c": (0.72, 3)}
 
 
 def test_adjacency_with_gaps(spark):
