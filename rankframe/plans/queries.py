@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankframe.functions import prompts, text as T
 from rankframe.functions.arithmetic import calculate_column
-from rankframe.operators import answers, dense, fusion, graph, metrics, ranking, rerank, select, sparse, tools
+from rankframe.operators import answers, dense, fusion, graph, metrics, postings, ranking, rerank, select, sparse, tools
 from rankframe.plans import run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,10 +86,21 @@ def tfidf_10(spark: SparkSession, sf: str, words: DataFrame | None = None) -> Da
     return sparse.tfidf(corpus(spark, sf), questions(spark, sf), 10, words=words)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> postings.Index:
+    """The index of the documents, built once a session and table."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build_index(corpus(spark, sf))
+    return postings.open_index(spark, _INDEXES[key])
+
+
 def both_10(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Both rankings from one pass over the texts."""
-    words = sparse.tokenized(corpus(spark, sf))
-    return bm25_10(spark, sf, words), tfidf_10(spark, sf, words)
+    """Both rankings from the stored index."""
+    index = stored_index(spark, sf)
+    return postings.search(index, questions(spark, sf), 10)[0], postings.tfidf_search(index, questions(spark, sf), 10)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,6 +247,23 @@ def dense_top3(spark: SparkSession, sf: str) -> DataFrame:
     return dense.retrieve_texts(rows, vector_queries(spark, sf), 3)
 
 
+@query(f"WITH {BM25_10} SELECT * FROM bm25")
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.search(stored_index(spark, sf), questions(spark, sf), 10)[0]
+
+
+@query(f"WITH {TERMS}, {TFIDF_10} SELECT * FROM tfidf")
+def tfidf_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return postings.tfidf_search(stored_index(spark, sf), questions(spark, sf), 10)
+
+
+@query(f"WITH {TERMS} SELECT query_id, sum(df.df)::BIGINT AS n_all, true AS fewer FROM qt JOIN df USING (term) GROUP BY 1")
+def postings_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of each question's terms; whether the search reads no more than those."""
+    read = postings.search(stored_index(spark, sf), questions(spark, sf), 10)[1]
+    return read.select("query_id", F.col("n_all").cast("long").alias("n_all"), (F.col("n_read") <= F.col("n_all")).alias("fewer"))
+
+
 # ---- graph -------------------------------------------------------------------------------
 
 _ENT = r"list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}])([A-ZÀ-Þ]\p{L}+(?: [A-ZÀ-Þ]\p{L}+)*)', 1))"
