@@ -109,10 +109,10 @@ def _by_language(batch: pa.RecordBatch, chunk: str, lang: str, text: str) -> Ite
 
 
 class _Counts:
-    """Different n-grams of one chunk and language, as hashes, texts and numbers."""
+    """Different n-grams of one chunk and language, as hashes, code points and numbers."""
 
     def __init__(self) -> None:
-        self.hash, self.gram, self.n, self.more = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.int64), []
+        self.hash, self.gram, self.n, self.more = np.zeros(0, np.uint64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64), []
         self.waiting = 0
 
     def add(self, text: str, real: np.ndarray) -> None:
@@ -125,19 +125,26 @@ class _Counts:
         known = self.hash[place] == kinds if len(self.hash) else np.zeros(len(kinds), bool)
         self.n[place[known]] += n[known]
         kinds, first, n = kinds[~known], first[~known], n[~known]
-        self.more.append((kinds, np.array([text[i - ORDER + 1 : i + 1] for i in at[first].tolist()], object), n))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.more.append((kinds, points[at[first][:, None] + np.arange(1 - ORDER, 1)], n))
         self.waiting += len(kinds)
         if self.waiting > max(50_000, len(self.hash) // 4):
             self.settle()
 
     def settle(self) -> None:
-        parts = [(self.hash, self.gram, self.n), *self.more]
-        h, gram, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        h, gram, n = (np.concatenate([getattr(self, c), *[m[k] for m in self.more]]) for k, c in enumerate(("hash", "gram", "n")))
         self.hash, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         self.gram, self.n = gram[first], np.bincount(inverse, n, minlength=len(first)).astype(np.int64)
         self.more, self.waiting = [], 0
 
 
+def _strings(grams: np.ndarray) -> pa.Array:
+    """Arrow strings of rows of code points, without one Python string each."""
+    width = 1 + (grams >= 0x80) + (grams >= 0x800) + (grams >= 0x10000)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(width.sum(axis=1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(grams), pa.py_buffer(ends.tobytes()), pa.py_buffer(grams.tobytes().decode("utf-32-le").encode()))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, str], _Counts] = {}
     for batch in batches:
@@ -147,10 +154,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, _, real = scored_text(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if text:
                     held.setdefault((chunk, name), _Counts()).add(text, real)
-    for (chunk, name), c in held.items():
+    while held:
+        (chunk, name), c = held.popitem()
         c.settle()
-        m = len(c.n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk, np.int32)), pa.array([name] * m, pa.string()), pa.array(c.gram, pa.string()), pa.array(c.n)], ["chunk", "lang", "gram", "n"])
+        for k in range(0, len(c.n), PART):
+            n = c.n[k : k + PART]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk, np.int32)), pa.array([name] * len(n), pa.string()), _strings(c.gram[k : k + PART]), pa.array(n)], ["chunk", "lang", "gram", "n"])
 
 
 # ---- the model ---------------------------------------------------------------------------
@@ -284,11 +293,12 @@ def probabilities(spark: SparkSession, folder: str, asked: DataFrame) -> DataFra
     return out
 
 
-def _pack_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    codes = _codes("".join(rows["gram"])).reshape(-1, ORDER)
+def _pack_chunk(rows: pa.Table) -> pa.Table:
+    codes = _codes(as_bytes(rows.column("gram"))[0].tobytes().decode()).reshape(-1, ORDER)
     h = chain(codes[:, ORDER - 1 - j] for j in range(ORDER))
     order = np.argsort(h)
-    return pd.DataFrame({"chunk": [key[0]], "lang": [key[1]], "hashes": [h[order].tobytes()], "logs": [rows["log"].to_numpy(np.float64)[order].astype(np.float32).tobytes()]})
+    logs = rows.column("log").to_numpy()[order].astype(np.float32)
+    return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "lang": [rows.column("lang")[0].as_py()], "hashes": pa.array([h[order].tobytes()], pa.binary()), "logs": pa.array([logs.tobytes()], pa.binary())})
 
 
 def gather(counts: DataFrame, folder: str) -> str:
@@ -298,7 +308,7 @@ def gather(counts: DataFrame, folder: str) -> str:
     path = fresh_path(spark, "chunk-grams")
     logs = probabilities(spark, folder, counts.select("chunk", "lang", "gram"))
     # a group is what one chunk has of one language
-    logs.groupBy("chunk", "lang").applyInPandas(_pack_chunk, "chunk int, lang string, hashes binary, logs binary").write.partitionBy("chunk").parquet(path)
+    logs.groupBy("chunk", "lang").applyInArrow(_pack_chunk, "chunk int, lang string, hashes binary, logs binary").write.partitionBy("chunk").parquet(path)
     return path
 
 
@@ -334,7 +344,7 @@ def log_of(folder: str, parts: int, lang: str, gram: str) -> float:
         gram = gram[1:]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def chunk_arrays(path: str, chunk: int) -> dict[str, tuple[pd.Index, np.ndarray]]:
     """By language an index of the chunk's sorted hashes, and their log probabilities."""
     import pyarrow.dataset as ds
