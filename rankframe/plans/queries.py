@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankframe.functions import prompts, text as T
 from rankframe.functions.arithmetic import calculate_column
 from rankframe.operators import answers, dense, fusion, graph, metrics, postings, ranking, rerank, select, sparse, tools
+from rankframe.operators.containment import containing
 from rankframe.plans import run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def gold_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that contain a question's whole text."""
-    pairs = metrics.containing(corpus(spark, sf), questions(spark, sf))
+    pairs = containing(corpus(spark, sf), questions(spark, sf))
     return pairs.select("query_id", F.col("doc_id").alias("pos"), "doc_id")
 
 

@@ -126,23 +126,23 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 
 
 def test_occurrences_in_one_pass(monkeypatch):
-    from rankframe.operators import graph
+    from rankframe.operators import matching
 
     text, names = "aaa aa aaaa baab Aa", ["aa", "aaa", "b", "Aa", "aab"]
     want = [text.count(x) for x in names]
-    assert graph._occurrences(text, names) == want
-    monkeypatch.setattr(graph, "ONE_PASS", 0)
-    assert graph._occurrences(text, names) == want
+    assert matching.occurrences(text, names) == want
+    monkeypatch.setattr(matching, "ONE_PASS", 0)
+    assert matching.occurrences(text, names) == want
 
 
 def test_containing(spark):
     import numpy as np
 
-    from rankframe.operators import metrics
+    from rankframe.operators.containment import containing
 
     rng = np.random.default_rng(2)
     docs = [(k, "".join(rng.choice(list("abé "), 60))) for k in range(40)] + [(99, None), (98, "")]
     asked = [(k, docs[k][1][5 : 5 + int(rng.integers(2, 9))]) for k in range(20)] + [(50, "zzz"), (51, None), (52, "ab")]
-    got = metrics.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"))
+    got = containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"))
     want = {(q, d) for q, x in asked for d, t in docs if x is not None and t is not None and x in t}
     assert {(r.query_id, r.doc_id) for r in got.collect()} == want

@@ -112,13 +112,6 @@ def test_metrics_edges(spark):
     assert metrics.accuracy(spark.createDataFrame([], "correct boolean")).first()["accuracy"] == 0
 
 
-def test_containing_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "BLOCK_CHARS", 3)
-    d = spark.createDataFrame([(1, "abcdef"), (2, None), (3, "xbcd")], "doc_id long, text string")
-    q = spark.createDataFrame([(1, "bcd"), (2, "def"), (3, None)], "query_id long, text string")
-    assert rows(metrics.containing(d, q)) == [(1, 1), (1, 3), (2, 1)]
-
-
 def test_blend_constants(spark):
     cand = spark.createDataFrame([(1, 1, 1, 2.0), (1, 2, 2, 2.0)], RANKED)
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
