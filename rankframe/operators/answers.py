@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankframe.functions.algebra import latex_value_column, same_form_column
 from rankframe.functions.arithmetic import evaluate, literals
 from rankframe.functions.code import code_column
 from rankframe.functions.text import TRIGGERS, after_trigger, last_line, let, number, strip, strip_think, within_eps
@@ -265,8 +266,8 @@ def _number_match(truth: Column, pred: Column) -> Column:
 
 
 def score_champ(extracted: Column, answer: Column) -> Column:
-    """Kind of match: exact, yes_no, canonical, numeric, the same with ``_alt``, or none.
-    Symbolic equality isn't attempted."""
+    """Kind of match: exact, yes_no, canonical, numeric, symbolic (one canonical form), the
+    same with ``_alt``, or none."""
     answer = strip(answer)
     truth, pred = plain_answer(answer), plain_answer(extracted)
     low = F.lower(pred)
@@ -275,7 +276,8 @@ def score_champ(extracted: Column, answer: Column) -> Column:
 
     def match(t: Column) -> Column:
         a, b = canonical(t), canonical(pred)
-        return F.when(F.lower(a) == F.lower(b), "canonical").when(_number_match(expression_value(a), expression_value(b)), "numeric")
+        found = F.when(F.lower(a) == F.lower(b), "canonical").when(_number_match(expression_value(a), expression_value(b)), "numeric")
+        return F.coalesce(found, F.when(same_form_column(a, b), "symbolic"))
 
     other = plain_answer(alternative(answer))
     out = F.when(F.lower(truth) == low, "exact").when(asked, F.when(yes_no == F.lower(truth), "yes_no").otherwise("none"))
@@ -303,7 +305,8 @@ def extract_theorem(text: Column) -> Column:
     pred = strip(_bare(F.regexp_replace(F.element_at(parts, -1), r"^\n+|\n+$", "")))
     low = F.lower(pred)
     tail = _units(strip(F.substring_index(pred, "=", -1)))
-    tail = F.when(tail.rlike(NUMBER_AND_UNIT), F.substring_index(tail, " ", 1)).otherwise(tail)
+    value = latex_value_column(tail)
+    tail = F.coalesce(value, F.when(tail.rlike(NUMBER_AND_UNIT), F.substring_index(tail, " ", 1)).otherwise(tail))
     free = F.coalesce(_last(pred, LAST_DECIMAL), F.lit(""))
     out = F.when(low.rlike(TRUE_INSIDE), "True").when(low.rlike(FALSE_INSIDE), "False").when(low.rlike(OPTION_INSIDE), pred).when(flagged, tail).otherwise(free)
     return _bare(out)

@@ -641,6 +641,31 @@ def answer_theorem(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).select("o_orderkey", got.alias("extracted"), answers.score_theorem(got, truth, F.when(kind == 4, "float").otherwise("integer")).alias("correct"))
 
 
+@query(rf"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'symbolic' ELSE 'none' END AS match FROM orders""")
+def answer_champ_symbolic(spark: SparkSession, sf: str) -> DataFrame:
+    """A square with the key in it, multiplied out; every third one rightly."""
+    key = F.col("o_orderkey").cast("string")
+    middle = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("2 "), key)).otherwise(key)
+    said = F.concat(F.lit("x^2 + "), middle, F.lit(" x + "), key, F.lit("^2"))
+    return _orders(spark, sf).select("o_orderkey", answers.score_champ(said, F.concat(F.lit("(x + "), key, F.lit(")^2"))).alias("match"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / (l_linenumber + 2) + l_linenumber ^ 3, 6) AS value, round(l_quantity / (l_linenumber + 2) + l_linenumber ^ 3, 0) % 2 = 0 AND l_quantity % (l_linenumber + 2) = 0 AS even FROM lineitem")
+def answer_theorem_latex(spark: SparkSession, sf: str) -> DataFrame:
+    """Fractions and powers in LaTeX, by value; integers judged against the next even one."""
+    q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
+    said = F.concat(F.lit("Therefore, the answer is x = \\frac{"), q, F.lit("}{"), n, F.lit(" + 2} + "), n, F.lit("^{3}."))
+    got = _orders_lines(spark, sf).select("l_orderkey", "l_linenumber", answers.extract_theorem(said).alias("x"))
+    value = F.col("x").cast("double")
+    truth = (2 * F.floor(value / 2)).cast("string")
+    right = answers.score_theorem(F.col("x"), truth, F.lit("integer")) & (value == F.floor(value))
+    return got.select("l_orderkey", "l_linenumber", F.round(value, 6).alias("value"), right.alias("even"))
+
+
+def _orders_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 # ---- tools -------------------------------------------------------------------------------
 
 
