@@ -11,6 +11,8 @@ from rankframe.functions.arithmetic import calculate
 
 #: Rows that an observation can show: it has room for as many characters.
 SHOWN = 3000
+#: Numbers the rows of a loaded table as they come.
+ROW = "__row"
 OPERATORS = (">=", "<=", ">", "<", "=")
 HELP = "Invalid Action. Valid actions are Calculate, RetrieveAgenda, RetrieveScirex, LoadDB, FilterDB, GetValue, LoadGraph, NeighbourCheck, NodeCheck, EdgeCheck, SQLInterpreter and Finish."
 
@@ -163,11 +165,12 @@ class ToolSession:
         return calculate(argument)
 
     def _do_loaddb(self, name: str) -> str:
-        self.table = as_strings(self._load(name))
+        table = as_strings(self._load(name))
+        self.table = table.withColumn(ROW, F.monotonically_increasing_id())
         if name not in self._views:
-            self.table.createOrReplaceTempView(f"{name}_data")
+            table.createOrReplaceTempView(f"{name}_data")
             self._views.add(name)
-        return f"We have successfully loaded the {name} database, including the following columns: {', '.join(self.table.columns)}."
+        return f"We have successfully loaded the {name} database, including the following columns: {', '.join(table.columns)}."
 
     def _do_filterdb(self, argument: str) -> str:
         self.table, said = filter_db(self.table, argument)
@@ -176,7 +179,7 @@ class ToolSession:
     # an observation keeps 3,000 characters, so no more rows than that are asked for
 
     def _do_getvalue(self, column: str) -> str:
-        rows = self.table.select(F.col(f"`{column}`").cast("string").alias("v")).orderBy("v").limit(SHOWN).collect()
+        rows = self.table.select(ROW, F.col(f"`{column}`").cast("string").alias("v")).orderBy(ROW).limit(SHOWN).collect()
         return ", ".join(r["v"] for r in rows if r["v"] is not None)
 
     def _do_sqlinterpreter(self, sql: str) -> str:

@@ -190,7 +190,7 @@ def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT 1 AS step, 'We have successfully loaded the flights database, including the following columns: o_orderkey, o_orderstatus, o_orderpriority.' AS seen
  UNION ALL SELECT 2, 'We have successfully filtered the data (' || count(*)::VARCHAR || ' rows).' FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority >= '3'
- UNION ALL SELECT 3, string_agg(o_orderkey::VARCHAR, ', ') FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority >= '3' AND o_orderkey::VARCHAR >= '9' ORDER BY o_orderkey::VARCHAR LIMIT 3000)
+ UNION ALL SELECT 3, string_agg(o_orderkey::VARCHAR, ', ') FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority >= '3' AND o_orderkey::VARCHAR >= '9' ORDER BY o_orderkey LIMIT 3000)
  UNION ALL SELECT 4, 'o_orderstatus: F, n: ' || count(*)::VARCHAR FROM orders WHERE o_orderstatus = 'F'
  UNION ALL SELECT 5, 'You are sending multiple actions at once. Please send one action at a time.' UNION ALL SELECT 6, (max(o_orderkey) * 2)::VARCHAR FROM orders UNION ALL SELECT 7, 'done' UNION ALL SELECT 8, 'again 0'""")
 def tool_session(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,6 +34,8 @@ def test_session(spark, data):
     assert "columns: n, t" in s.execute("LoadDB[demo]")
     assert "1 rows" in s.execute("FilterDB[t=x]")
     assert s.execute("GetValue[n]") == "9"
+    s.execute("LoadDB[demo]")
+    assert s.execute("GetValue[n]") == ", ".join(r.n for r in tools.as_strings(data).collect())  # as the rows come
     assert s.execute("SQLInterpreter[SELECT count(*) AS c FROM demo.demo_data]") == "c: 3"
     assert s.execute("Calculate[(-17)-(-7)]") == "-10"
     s.execute("LoadGraph[dblp]")
