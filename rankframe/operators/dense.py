@@ -106,26 +106,36 @@ def retrieve_texts(texts: DataFrame, queries: DataFrame, k: int = 3) -> DataFram
 
 
 def _nearest(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows with the best of these centres, or of those before (``cluster_id``, ``score``)."""
     for rows in batches:
         if len(rows):
             scores = np.round(np.stack(rows["vec"].to_numpy()).astype(np.float64) @ matrix.T, PLACES)
             at = scores.argmax(axis=1)  # the first of equal ones, and ids ascend
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "cluster_id": ids[at], "score": scores[np.arange(len(at)), at]})
+            best, score = ids[at], scores[np.arange(len(at)), at]
+            if "score" in rows:
+                old, before = rows["cluster_id"].to_numpy(), rows["score"].to_numpy()
+                keep = (before > score) | ((before == score) & (old < best))
+                best, score = np.where(keep, old, best), np.where(keep, before, score)
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "vec": rows["vec"].to_numpy(), "cluster_id": best, "score": score})
 
 
-#: Numbers in the centres that are sent to tasks.
+#: Numbers in the centres that are sent to tasks at once; more centres go in blocks.
 CENTER_NUMBERS = 8_000_000
 
 
 def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """``doc_id, cluster_id, score``: each row's centre of greatest dot product; ties go to
-    the least id. ``centers(cluster_id, vec)``, as many as clusters were fitted, are sent to
-    every task, up to ``CENTER_NUMBERS`` numbers; more are refused."""
+    the least id. ``centers(cluster_id, vec)`` are sent to every task in blocks of
+    ``CENTER_NUMBERS`` numbers; rows pass all blocks in one stage."""
     numbers = centers.agg(F.sum(F.size("vec"))).first()[0]
     if not numbers:
         raise ValueError("no centres")
-    if numbers > CENTER_NUMBERS:
-        raise ValueError(f"{numbers} numbers in the centres; at most {CENTER_NUMBERS} are sent to tasks")
-    found = sorted((r["cluster_id"], r["vec"]) for r in centers.select("cluster_id", "vec").collect())
-    sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in found], np.int64), np.array([v for _, v in found], np.float64)))
-    return rows.select("doc_id", "vec").mapInPandas(lambda it: _nearest(it, *sent.value), "doc_id long, cluster_id long, score double")
+    kind = dict(rows.dtypes)["vec"]
+    now, blocks = rows.select("doc_id", "vec"), -(-numbers // CENTER_NUMBERS)
+    for block in range(blocks):
+        part = centers.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)) == block)
+        found = sorted((r["cluster_id"], r["vec"]) for r in part.select("cluster_id", "vec").collect())
+        if found:
+            sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in found], np.int64), np.array([v for _, v in found], np.float64)))
+            now = now.mapInPandas(lambda it, sent=sent: _nearest(it, *sent.value), f"doc_id long, vec {kind}, cluster_id long, score double")
+    return now.select("doc_id", "cluster_id", "score")

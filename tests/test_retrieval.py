@@ -185,3 +185,15 @@ def test_adjacency_with_gaps(spark):
 def test_min_max_constant(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 0.0), (2, 4.0)], "q int, x double")
     assert rows(df.select("q", ranking.min_max("x", ["q"], 0.5).alias("y"))) == [(1, 0.5), (1, 0.5), (2, 0.0), (2, 1.0)]
+
+
+def test_nearest_in_blocks_of_centres(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centers = rng.integers(-2, 3, (13, 3)).astype(float)  # with equal ones
+    vectors = rng.integers(-3, 4, (60, 3)).astype(float)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, vec array<double>")
+    given = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id long, vec array<double>")
+    want = sorted((i, int((v @ centers.T).argmax()), float((v @ centers.T).max())) for i, v in enumerate(vectors))
+    for numbers in (1000, 12, 3):
+        monkeypatch.setattr(dense, "CENTER_NUMBERS", numbers)
+        assert rows(dense.nearest(docs, given)) == want
