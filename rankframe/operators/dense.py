@@ -123,9 +123,9 @@ def _nearest(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarra
 CENTER_NUMBERS = 8_000_000
 
 
-def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """``doc_id, cluster_id, score``: each row's centre of greatest dot product; ties go to
-    the least id. ``centers(cluster_id, vec)`` are sent to every task in blocks of
+def with_nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """``doc_id, vec, cluster_id, score``: each row's centre of greatest dot product; ties go
+    to the least id. ``centers(cluster_id, vec)`` are sent to every task in blocks of
     ``CENTER_NUMBERS`` numbers; rows pass all blocks in one stage."""
     numbers = centers.agg(F.sum(F.size("vec"))).first()[0]
     if not numbers:
@@ -138,4 +138,9 @@ def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
         if found:
             sent = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in found], np.int64), np.array([v for _, v in found], np.float64)))
             now = now.mapInPandas(lambda it, sent=sent: _nearest(it, *sent.value), f"doc_id long, vec {kind}, cluster_id long, score double")
-    return now.select("doc_id", "cluster_id", "score")
+    return now
+
+
+def nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """``doc_id, cluster_id, score``, see ``with_nearest``."""
+    return with_nearest(rows, centers).select("doc_id", "cluster_id", "score")

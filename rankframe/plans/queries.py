@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankframe.functions import prompts, text as T
 from rankframe.functions.arithmetic import calculate_column
-from rankframe.operators import answers, dense, fusion, graph, metrics, postings, ranking, rerank, select, sparse, tools
+from rankframe.operators import answers, dense, fusion, graph, ivf, metrics, postings, ranking, rerank, select, sparse, tools
 from rankframe.operators.containment import containing
 from rankframe.plans import run
 
@@ -248,6 +248,23 @@ def dense_top3(spark: SparkSession, sf: str) -> DataFrame:
     return dense.retrieve_texts(rows, vector_queries(spark, sf), 3)
 
 
+def _vector_index(spark: SparkSession, sf: str) -> ivf.VectorIndex:
+    rows = vectors(spark, sf)
+    return ivf.build(rows, rerank.mean_centers(rows))
+
+
+@query(f"WITH {COS}, {top('cs', 10)} SELECT * FROM r")
+def dense_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.search(_vector_index(spark, sf), vector_queries(spark, sf), 10)[0]
+
+
+@query("SELECT q.vec_id AS query_id, (SELECT count(*) FROM embeddings) AS n_all, true AS fewer FROM embeddings q WHERE q.vec_id % 20 = 0")
+def vectors_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors that there are; whether the search scores no more than those."""
+    read = ivf.search(_vector_index(spark, sf), vector_queries(spark, sf), 10)[1]
+    return read.select("query_id", F.col("n_all").cast("long").alias("n_all"), (F.col("n_scored") <= F.col("n_all")).alias("fewer"))
+
+
 @query(f"WITH {BM25_10} SELECT * FROM bm25")
 def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return postings.search(stored_index(spark, sf), questions(spark, sf), 10)[0]
