@@ -71,7 +71,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     sub = SubstringHash(data, SYMBOLS)
     place = np.arange(len(data) - GRAM + 1)
     grams = sub.of(place, place + GRAM)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    # the same cut everywhere: of k-grams that agree in the upper half the first is taken, so
+    # a string has one least k-gram in whatever slice it stands
+    bits = np.uint64(32)
     packed = (grams >> bits << bits) | place.astype(np.uint64)
     least = (_sliding_least(packed, width) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     starts = np.arange(len(least))

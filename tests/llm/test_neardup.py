@@ -76,3 +76,20 @@ def test_large_group_and_repeated_rows(spark):
     out = neardup.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("node", common.F.lit(1)).repartition(5))
     assert sorted(r.doc_id for r in out.collect()) == kept_brute(rows)
     assert out.columns == ["doc_id", "text", "node"]
+
+
+def test_components_and_fingerprints_with_hot_keys_split(spark, monkeypatch):
+    from rankframe.llm import simhash
+
+    rng = np.random.default_rng(9)
+    edges = [(0, int(k)) for k in range(1, 3000)] + [(int(a), int(b)) for a, b in rng.integers(3000, 9000, (3000, 2))]  # a hub and chains
+    rows = [(k, f"text {k % 7} of the group") for k in range(400)]
+    got = {}
+    for limit in (0, 500_000):
+        monkeypatch.setattr(common, "ONE_TASK", limit)
+        roots = components.components(spark.createDataFrame(edges, "u long, v long"))
+        prints = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+        got[limit] = sorted(map(tuple, roots.collect())), sorted(map(tuple, prints.collect()))
+    assert got[0] == got[500_000]
+    want = components.local_roots(9000, *np.array(edges).T)
+    assert all(want[node] == root for node, root in got[0][0]) and len({r.doc_id for r in spark.createDataFrame(rows, SCHEMA).collect()}) == len(got[0][1])
