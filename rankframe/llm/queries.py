@@ -61,7 +61,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    out = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_archive_conversion": op13_archive_conversion,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _lloyd_sql(k: int = 8, rounds: int = 10) -> str:
+    """Full scans in every round, in integers."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1)::INT AS k, v AS c FROM v QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) <= {k})",
+    ]
+    for i in range(rounds + 1):
+        gap = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, k := k)) AS m FROM (SELECT rid, vec_id, v, k, {gap} AS d FROM v, c{i}) GROUP BY rid)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT m.k AS k, unnest(range(1, 65)) AS j, unnest(v) AS x FROM a{i}) GROUP BY 1, 2)")
+            parts.append(f"n{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY k)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n USING (k))")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, m.k AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,"
+        f" sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = m.k"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _lloyd_sql(),
+    "op13_archive_conversion": """WITH g AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS kept, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS r FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+ SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND r > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND r > 1 THEN kept END AS refers_to FROM g""",
+}
