@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankframe.operators.lineage import stored
@@ -81,17 +83,34 @@ def read_retrieval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return each.select("instance_id", "x.skill_id", (F.col("i") + 1).alias("rank"), "x.score"), raw.select("metadata", "metrics")
 
 
+def _with_commas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of part 1 after the first of them begin with a comma."""
+    seen = False
+    for batch in batches:
+        out = []
+        for part, line in zip(*[c.to_pylist() for c in batch.columns]):
+            out.append(f",{line}" if part == 1 and seen else line)
+            seen |= part == 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
 def write_retrieval(ranked: DataFrame, gold: DataFrame, metrics: DataFrame, path: str, retriever: str, corpus_size: int, top_k: int, dataset: str | None = None) -> None:
     """One JSON document: metadata, metrics, and a list of results. ``ranked(instance_id,
-    skill_id, rank, score)``, ``gold(instance_id, gold_skill_ids)``. This format is one
-    file by nature; ``ranked.write.parquet`` is the scalable sink."""
+    skill_id, rank, score)``, ``gold(instance_id, gold_skill_ids)``. The format is one file
+    by nature: one task sorts the results, a line each, and writes them as they come;
+    ``ranked.write.parquet`` is the scalable sink."""
     results = gold.join(as_lookup(ranked), "instance_id", "left").select("instance_id", "gold_skill_ids", F.coalesce("retrieved", F.array().cast("array<struct<skill_id:string,score:double>>")).alias("retrieved"))
-    meta = [F.lit(retriever).alias("retriever"), F.lit(corpus_size).cast("long").alias("corpus_size"), F.lit(top_k).alias("top_k"), F.size("results").cast("long").alias("n_queries"), F.lit(datetime.now(timezone.utc).isoformat()).alias("timestamp")]
+    n_queries = results.count()
+    meta = [F.lit(retriever).alias("retriever"), F.lit(corpus_size).cast("long").alias("corpus_size"), F.lit(top_k).alias("top_k"), F.lit(n_queries).cast("long").alias("n_queries"), F.lit(datetime.now(timezone.utc).isoformat()).alias("timestamp")]
     if dataset:
         meta.insert(0, F.lit(dataset).alias("dataset"))
-    one = results.agg(F.array_sort(F.collect_list(F.struct("instance_id", "gold_skill_ids", "retrieved"))).alias("results"))
     values = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
-    one.join(F.broadcast(values), F.lit(True)).select(F.struct(*meta).alias("metadata"), "metrics", "results").coalesce(1).write.mode("overwrite").json(path)
+    inside = F.to_json(F.struct(F.struct(*meta).alias("metadata"), "metrics"))
+    head = values.select(inside.alias("line")).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.expr("left(line, length(line) - 1)"), F.lit(',"results":[')).alias("line"))
+    each = results.select(F.lit(1), "instance_id", F.to_json(F.struct("instance_id", "gold_skill_ids", "retrieved")))
+    end = ranked.sparkSession.range(1).select(F.lit(2), F.lit(""), F.lit("]}"))
+    lines = head.union(each).union(end).repartition(1).sortWithinPartitions("part", "key")
+    lines.select("part", "line").mapInArrow(_with_commas, "value string").write.mode("overwrite").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_medcalc_score(spark, pred, truth, calc, want):
     assert score(spark, got, p=pred, t=truth, calc=calc) is want
 
 
-@pytest.mark.parametrize("pred,truth,want", [("4.", "4", "exact"), ("no real solutions", "no solution", "canonical"), ("2^3", "8", "numeric"), ("sqrt(16)", "4", "numeric"), ("1.02", "1.01", "numeric"), ("252", "C(10, 5), or equivalently 252", "exact_alt"), ("That is false", "No", "yes_no"), ("x+1", "1+y", "none")])
+@pytest.mark.parametrize("pred,truth,want", [("4.", "4", "exact"), ("no real solutions", "no solution", "canonical"), ("2^3", "8", "numeric"), ("sqrt(16)", "4", "numeric"), ("1.02", "1.01", "numeric"), ("252", "C(10, 5), or equivalently 252", "symbolic"), ("252", "ten over five, or equivalently 252", "exact_alt"), ("(x+1)^2", "x^2 + 2x + 1", "symbolic"), ("x+2", "z, or equivalently 2+x", "symbolic_alt"), ("That is false", "No", "yes_no"), ("x+1", "1+y", "none")])
 def test_champ_score(spark, pred, truth, want):
     assert score(spark, A.score_champ(F.col("p"), F.col("t")), p=pred, t=truth) == want
 

@@ -59,6 +59,10 @@ def test_corpus_and_retrieval_round_trip(spark, tmp_path):
     back, meta = io.read_retrieval(spark, str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.collect()) == [("q", "a", 1, 2.0), ("q", "b", 2, 1.0)]
     assert meta.first()["metadata"]["n_queries"] == 2 and meta.first()["metadata"]["dataset"] is None
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "out").glob("part-*")))  # one document
+    assert [(r["instance_id"], r["gold_skill_ids"], len(r["retrieved"])) for r in whole["results"]] == [("q", ["a"], 2), ("r", ["b"], 0)] and whole["metrics"] == {"recall_1": 0.5}
+    io.write_retrieval(ranked.limit(0), gold.limit(0), metric, str(tmp_path / "none"), "bm25", 2, 10)
+    assert io.read_retrieval(spark, str(tmp_path / "none"))[0].count() == 0
 
 
 def test_torn_records_and_resume(spark, tmp_path):
