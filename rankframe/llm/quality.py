@@ -451,6 +451,7 @@ def _score(batches: Iterator[pa.RecordBatch], path: str, model: tuple[str, int],
         names = batch.schema.names[:passed] + [f"__rf_{c}" for c in [*FIGURES, "bits"]] + ["__rf_lang"]
         columns = [batch.column(i) for i in range(passed)] + [pa.array(figures[c]) for c in FIGURES] + [pa.array(bits), batch.column("__rf_lang")]
         yield pa.RecordBatch.from_arrays(columns, names)
+    chunk_arrays.cache_clear()  # Spark keeps the worker for other tasks
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
