@@ -2,14 +2,20 @@
 
 Two texts are near copies if the Jaccard similarity of their sets of ``SHINGLE`` words is
 at least ``SIMILAR``. Texts equal word for word are one node, told by a 128-bit digest of
-their words' bytes. Nodes that share a band of ``ROWS`` MinHash values are candidates, and
-every link is verified on the whole sets. First come ``STAR_ROUNDS`` rounds in which each
-node is held against one leader of its buckets: sets travel to the task of the leader, whose
-own set is there once for every ``FOLLOWERS`` of them. Buckets that still hold several
-components are then cut by size of set (sets of similar nodes differ by a quarter at most)
-and all their pairs of different components are compared, in blocks of nodes. A pair at the
-threshold shares none of ``BANDS`` bands with a chance of ``(1 - 0.8**4)**32``, under one in
-ten million.
+their words' bytes.
+
+Nodes get SimHash fingerprints of their shingles, and those within 3 bits are brought
+together by balls that meet in the middle (``simhash.links``). Near copies at the threshold
+differ in some ten bits, so nodes that this leaves apart are candidates as well where they
+share a band of ``ROWS`` MinHash values; a pair at the threshold shares none of ``BANDS``
+bands with a chance of ``(1 - 0.8**4)**32``, under one in ten million. Every link is verified
+on the whole sets.
+
+In each of ``STAR_ROUNDS`` rounds, the first over the buckets of fingerprints alone, a node is
+held against one leader of its buckets: sets travel to the task of the leader, whose own set
+is there once for every ``FOLLOWERS`` of them. Buckets that still hold several components
+are then cut by size of set (sets of similar nodes differ by a quarter at most) and all their
+pairs of different components are compared, in blocks of nodes.
 """
 
 from __future__ import annotations
@@ -22,7 +28,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankframe.llm.common import BLANK, as_bytes, discard, mix, slices, stored, tune, word_bounds
+from rankframe.llm import simhash
+from rankframe.llm.common import BLANK, as_bytes, discard, join_hot, mix, slices, stored, tune, word_bounds
 from rankframe.llm.components import components, local_roots
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -105,17 +112,24 @@ def bands(key: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(key: np.ndarray, cut: np.ndarray) -> list[int]:
+    """SimHash fingerprint of each row's different shingles, as a signed 64-bit integer."""
+    return [simhash.fingerprint(np.unique(key[s:e])) if e > s else 0 for s, e in zip(cut, cut[1:])]
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = as_bytes(batch.column(2))
-        digests, found = [], [np.zeros((0, BANDS), np.int64)]
+        digests, fps, found = [], [], [np.zeros((0, BANDS), np.int64)]
         for a, b in slices(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             digests += word_digests(part, at)
-            found.append(bands(*shingles(part, at)).view(np.int64))
+            key, cut = shingles(part, at)
+            fps += fingerprints(key, cut)
+            found.append(bands(key, cut).view(np.int64))
         flat = np.concatenate(found)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists], ["doc_id", "tk", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), lists], ["doc_id", "tk", "digest", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +214,12 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, node, root`` of the buckets of ``members`` with several roots. Buckets of two
-    nodes are left out: their pair has been compared."""
+def _open_buckets(members: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """``bucket, node, root`` of the buckets of ``members`` with several roots after round ``k``.
+    Buckets of two nodes are left out once their pair has been compared."""
     now = members.join(labels, "node")
-    several = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).filter("x <> y and n > 2").select("bucket")
+    several = now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.max("first").alias("first"))
+    several = several.filter("x <> y").filter("n > 2" if k else "n > 2 or not first").select("bucket")
     return stored(members.sparkSession, now.join(several, "bucket").select("bucket", "node", "root"), "near-rest")
 
 
@@ -232,29 +247,46 @@ def _blocks(rest: DataFrame, sizes: DataFrame) -> DataFrame:
     return first.union(second)
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges ``u, v`` that connect all similar nodes of ``members(bucket, node)``;
-    ``sets(node, size, hashes)``. Both are written tables."""
+def simhash_buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket, node`` of the written table ``nodes(node, fp)``: any two nodes whose fingerprints
+    are within 3 bits share a bucket, named by a fingerprint that both were linked with."""
+    spark = nodes.sparkSession
+    distinct = stored(spark, nodes.groupBy("fp").agg(F.count("*").alias("n")), "near-fp")
+    found = simhash.links(distinct.select("fp"), distinct.count()).groupBy(F.col("u").alias("fp")).agg(F.collect_set("v").alias("with"))
+    own = F.array("fp")
+    of = distinct.join(found, "fp", "left").select("fp", "n", F.when(F.col("with").isNull(), own).otherwise(F.concat("with", own)).alias("buckets"))
+    of = stored(spark, of, "near-balls")
+    discard(distinct)
+    return join_hot(nodes.select("node", "fp"), of, ["fp"], "n").select(F.explode("buckets").alias("bucket"), "node")
+
+
+def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, root`` and edges ``u, v`` between roots that together connect all similar
+    nodes of ``members(bucket, node, first)``, where ``first`` marks the buckets of the first
+    round; ``sets(node, size, hashes)``. Both are written tables."""
     spark = members.sparkSession
-    both = members.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
-    pairs, rest, edges = both.filter("n = 2").select("u", "v").distinct(), members.join(both.filter("n > 2").select("bucket"), "bucket").withColumn("root", F.col("node")), None
+    rest, edges = members.filter("first").select("bucket", "node", F.col("node").alias("root")), None
     labels = members.select("node", F.col("node").alias("root")).distinct()
     for k in range(STAR_ROUNDS):
         order = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")
-        lead = rest.groupBy("bucket").agg(F.min(order).alias("m"))
-        led = rest.join(lead, "bucket").filter("root <> m.root").groupBy(F.col("node").alias("v")).agg(F.min(F.struct("m.h", "m.node")).alias("m")).select(F.col("m.node").alias("u"), "v")
-        found = _held_against_leaders(led if k else pairs.union(led), sets)
+        lead = rest.groupBy("bucket").agg(F.min(order).alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
+        led = rest.join(lead.filter("n > 2").select("bucket", "m"), "bucket").filter("root <> m.root").groupBy(F.col("node").alias("v")).agg(F.min(F.struct("m.h", "m.node")).alias("m")).select(F.col("m.node").alias("u"), "v")
+        # pairs are compared in the first round that has their bucket
+        found = _held_against_leaders(led if k > 1 else lead.filter("n = 2").select("u", "v").distinct().union(led), sets)
         edges = found if edges is None else edges.union(found)
         labels, old = _merged(labels, found), labels
-        before, rest = rest, _open_buckets(members, labels)
+        before, rest = rest, _open_buckets(members, labels, k)
         if k:
             discard(before, old)
         if rest.isEmpty():
-            return edges
-    blocks = _blocks(rest, sets.select("node", "size")).join(sets.select("node", "hashes"), "node")
-    found = stored(spark, blocks.groupBy("bucket", "class", "k", "l").applyInPandas(_join_block, "u long, v long"), "near-links")
-    discard(rest, labels)
-    return edges.union(found)
+            break
+    else:
+        blocks = _blocks(rest, sets.select("node", "size")).join(sets.select("node", "hashes"), "node")
+        edges = edges.union(stored(spark, blocks.groupBy("bucket", "class", "k", "l").applyInPandas(_join_block, "u long, v long"), "near-links"))
+    discard(rest)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = edges.join(of("u"), "u").join(of("v"), "v").filter("u_root <> v_root").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    return labels, between
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -268,22 +300,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
     tune(spark)
     keys = {"__rf_id": F.col("doc_id").cast("long"), "__rf_tk": F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))}
     rows = docs.withColumns(keys)
-    prints = rows.select("__rf_id", "__rf_tk", F.lower("text").alias("text")).mapInArrow(_prints, "doc_id long, tk binary, digest binary, bands array<long>")
+    prints = rows.select("__rf_id", "__rf_tk", F.lower("text").alias("text")).mapInArrow(_prints, "doc_id long, tk binary, digest binary, fp long, bands array<long>")
     prints = stored(spark, prints, "near-prints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
-    nodes = prints.groupBy("digest").agg(F.min(order).alias("least"), F.first("bands").alias("bands"))
+    nodes = prints.groupBy("digest").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = stored(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     empty = hashlib.blake2b(b"", digest_size=16).digest()
-    members = nodes.filter(F.col("digest") != F.lit(empty)).select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("bucket")
-    members = stored(spark, members.join(shared, "bucket"), "near-buckets")
+    worded = nodes.filter(F.col("digest") != F.lit(empty))
+    balls = simhash_buckets(worded).select("node", "bucket", F.lit(True).alias("first"))
+    members = worded.select("node", F.explode("bands").alias("bucket"), F.lit(False).alias("first")).union(balls).distinct()
+    shared = members.groupBy("bucket", "first").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("bucket", "first")
+    members = stored(spark, members.join(shared, ["bucket", "first"]), "near-buckets")
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("least.doc_id").alias("__rf_of"), F.col("least.tk").alias("__rf_by")), "node")
     of = F.col("__rf_id").eqNullSafe(F.col("__rf_of")) & (F.col("__rf_tk") == F.col("__rf_by"))
     texts = rows.select("__rf_id", "__rf_tk", F.lower("text").alias("text")).join(wanted, of).select("node", "text").dropDuplicates(["node"])
     sets = stored(spark, texts.mapInArrow(_sets, "node long, size long, hashes binary"), "near-sets")
-    edges = links(members, sets)
-    roots = components(edges)
-    named = nodes.select("digest", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labels, between = links(members, sets)
+    roots = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    labels = labels.join(roots, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    named = nodes.select("digest", "node", "least").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("least").alias("best"))
     kept = stored(spark, named.join(best, "root").filter("least = best").select("best.doc_id", "best.tk"), "near-kept")
     discard(members, sets, nodes)

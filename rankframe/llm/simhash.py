@@ -41,9 +41,9 @@ def shingle_hashes(text: bytes) -> list[int]:
     return [xxh64_intdigest(b"%b %b %b" % t, SEED) for t in zip(w, w[1:], w[2:])]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bits set in over half of the hashes, as a signed 64-bit integer; none: 0."""
-    if not hashes:
+    if not len(hashes):
         return 0
     h = np.array(hashes, np.uint64)
     ones = np.zeros(64, np.int64)

@@ -93,3 +93,33 @@ def test_components_and_fingerprints_with_hot_keys_split(spark, monkeypatch):
     assert got[0] == got[500_000]
     want = components.local_roots(9000, *np.array(edges).T)
     assert all(want[node] == root for node, root in got[0][0]) and len({r.doc_id for r in spark.createDataFrame(rows, SCHEMA).collect()}) == len(got[0][1])
+
+
+def test_fingerprints_are_the_first_link(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(30):
+        words = rng.choice([f"w{i}" for i in range(900)], 400).tolist()
+        for j in range(4):  # near copies of long texts: most differ in a few bits
+            rows.append((10 * k + j, " ".join(words)))
+            words[int(rng.integers(400))] = f"c{rng.integers(10**6)}"
+    df = spark.createDataFrame(rows, SCHEMA).select("doc_id", common.F.lit(b"").alias("tk"), "text").repartition(3)
+    nodes = df.mapInArrow(neardup._prints, "doc_id long, tk binary, digest binary, fp long, bands array<long>")
+    nodes = common.stored(spark, nodes.select(common.F.col("doc_id").alias("node"), "fp"), "test-nodes")
+    fp = {r.node: np.array(r.fp).view(np.uint64) for r in nodes.collect()}
+    members = common.stored(spark, neardup.simhash_buckets(nodes).withColumn("first", common.F.lit(True)), "test-members")
+    buckets = {}
+    for r in members.collect():
+        buckets.setdefault(r.node, set()).add(r.bucket)
+    close = {(a, b) for a in fp for b in fp if a < b and np.bitwise_count(fp[a] ^ fp[b]) <= 3}
+    assert len(close) > 60 and all(buckets[a] & buckets[b] for a, b in close)
+    assert all(a // 10 == b // 10 for a in fp for b in fp if buckets[a] & buckets[b])
+    sets = common.stored(spark, df.select(common.F.col("doc_id").alias("node"), "text").mapInArrow(neardup._sets, "node long, size long, hashes binary"), "test-sets")
+    labels, between = neardup.links(members, sets)
+    ids = sorted(fp)
+    at = {k: i for i, k in enumerate(ids)}
+    pairs = [(at[r.node], at[r.root]) for r in labels.collect()] + [(at[r.u], at[r.v]) for r in between.collect()]
+    got = components.local_roots(len(ids), *np.array(pairs).T)
+    want = components.local_roots(len(ids), *np.array([(at[a], at[b]) for a, b in close]).T)  # all of them reach the threshold
+    joined = [(a, b) for a in ids for b in ids if a < b and want[at[a]] == want[at[b]]]
+    assert all(got[at[a]] == got[at[b]] for a, b in joined)
