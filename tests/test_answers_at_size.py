@@ -20,6 +20,15 @@ def test_champ_rows_of_one_file_go_to_all_tasks(spark, tmp_path):
     assert {(r[0], r[1]) for r in got.collect()} == {(i, "symbolic" if i % 3 == 0 else "none") for i in range(1, 41)}
 
 
+def test_theorem_rows_of_one_file_go_to_all_tasks(spark, tmp_path):
+    got = QUERIES["answer_theorem_latex"](spark, _sf(spark, tmp_path))
+    assert got.rdd.getNumPartitions() == 4
+    for key, line, value, even in got.collect():
+        n = 1 + key % 7
+        exact = Fraction(key, n + 2) + n**3
+        assert line == n and abs(value - float(exact)) < 1e-6 and even == (exact.denominator == 1 and exact % 2 == 0)
+
+
 def test_answer_texts_are_cleaned_once(spark):
     from pyspark.sql import functions as F
 
