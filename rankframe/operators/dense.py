@@ -12,6 +12,8 @@ from rankframe.operators.ranking import PLACES, ranked
 
 #: Numbers in the query vectors that are sent to tasks at once; more queries go in blocks.
 BLOCK_NUMBERS = 4_000_000
+#: Scores that a task holds at once, and rows of a tile of them.
+TILE_SCORES, TILE_ROWS = 1_000_000, 2_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -34,24 +36,63 @@ def encode(texts: DataFrame, key: str, encoder: Callable[[pd.Series], pd.Series]
     return texts.select(key, vectors(F.concat(F.lit(prefix), F.coalesce("text", F.lit("")))).alias("vec")).select(key, unit("vec").alias("vec"))
 
 
-def _best(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    best = pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+def _tiles(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """``queries, doc_ids, scores`` of tiles of all queries by all rows, at most
+    ``TILE_SCORES`` scores each; a tile's rows go by id."""
     for rows in batches:
-        if rows.empty:
-            continue
-        scores = np.round(matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T, PLACES)
         doc = rows["doc_id"].to_numpy()
-        part = pd.DataFrame({"query_id": np.repeat(ids, len(doc)), "doc_id": np.tile(doc, len(ids)), "score": scores.ravel()})
-        best = pd.concat([best, part]).sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-    yield best
+        order = np.argsort(doc, kind="stable")
+        for at in range(0, len(doc), TILE_ROWS):
+            part = order[at : at + TILE_ROWS]
+            vectors = np.stack(rows["vec"].to_numpy()[part]).astype(np.float64).T
+            step = max(1, TILE_SCORES // len(part))
+            for q in range(0, len(ids), step):
+                yield slice(q, min(q + step, len(ids))), doc[part], matrix[q : q + step] @ vectors
+
+
+def _best(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """Best k of each query: scores and ids of those so far, and per tile what beats the k-th."""
+    empty = np.iinfo(np.int64).max
+    score, doc, held = np.full((len(ids), k), -np.inf), np.full((len(ids), k), empty, np.int64), np.zeros((len(ids), k), bool)
+    for queries, names, scores in _tiles(batches, ids, matrix):
+        last, full = np.where(np.isnan(score[queries, -1]), np.inf, score[queries, -1]), held[queries, -1]
+        near = ~(scores < (last - 2 * 10.0**-PLACES)[:, None])  # NaN is greatest
+        near[~full] = True
+        many = np.flatnonzero(near.sum(axis=1) > 4 * k)
+        if len(many):  # of those only the tile's own best k
+            near[many] = False
+            step = max(1, TILE_SCORES // 8 // len(names))
+            for at in range(0, len(many), step):
+                some = many[at : at + step]
+                first = np.argsort(-np.round(scores[some], PLACES), axis=1, kind="stable")
+                # NaN goes last there, and first here
+                lost = np.isnan(scores[some]).sum(axis=1)
+                keep = (np.arange(k)[None, :] - lost[:, None]) % len(names)
+                near[some[:, None], np.take_along_axis(first, keep[:, : len(names)], axis=1)] = True
+        q, at = np.nonzero(near)
+        if not len(q):
+            continue
+        rows = np.unique(q)
+        old_q, old_at = np.nonzero(held[queries][rows])
+        all_q = np.concatenate([np.searchsorted(rows, q), old_q])
+        all_score = np.concatenate([np.round(scores[q, at], PLACES), score[queries][rows[old_q], old_at]])
+        all_doc = np.concatenate([names[at], doc[queries][rows[old_q], old_at]])
+        order = np.lexsort((all_doc, -np.where(np.isnan(all_score), np.inf, all_score), ~np.isnan(all_score), all_q))
+        all_q = all_q[order]
+        place = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+        order, all_q, place = order[place < k], all_q[place < k], place[place < k]
+        at = rows[all_q] + queries.start
+        score[at, place], doc[at, place], held[at, place] = all_score[order], all_doc[order], True
+    q, at = np.nonzero(held)
+    for first in range(0, len(q), TILE_SCORES // 8):
+        part = slice(first, first + TILE_SCORES // 8)
+        yield pd.DataFrame({"query_id": ids[q[part]], "doc_id": doc[q[part], at[part]], "score": score[q[part], at[part]]})
 
 
 def _every(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray, places: int | None) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        if len(rows):
-            scores = matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T
-            scores = scores if places is None else np.round(scores, places)
-            yield pd.DataFrame({"query_id": np.repeat(ids, len(rows)), "doc_id": np.tile(rows["doc_id"].to_numpy(), len(ids)), "score": scores.ravel()})
+    for queries, names, scores in _tiles(batches, ids, matrix):
+        scores = scores if places is None else np.round(scores, places)
+        yield pd.DataFrame({"query_id": np.repeat(ids[queries], len(names)), "doc_id": np.tile(names, len(scores)), "score": scores.ravel()})
 
 
 def _blocks(docs: DataFrame, queries: DataFrame, work: Callable, schema: str) -> DataFrame:
@@ -81,10 +122,8 @@ def dense_scores(docs: DataFrame, queries: DataFrame, k: int | None, places: int
 
 def _ends(batches: Iterator[pd.DataFrame], ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
     low, high = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
-    for rows in batches:
-        if len(rows):
-            scores = matrix @ np.stack(rows["vec"].to_numpy()).astype(np.float64).T
-            low, high = np.minimum(low, scores.min(axis=1)), np.maximum(high, scores.max(axis=1))
+    for queries, _, scores in _tiles(batches, ids, matrix):
+        low[queries], high[queries] = np.minimum(low[queries], scores.min(axis=1)), np.maximum(high[queries], scores.max(axis=1))
     some = np.isfinite(low)
     yield pd.DataFrame({"query_id": ids[some], "low": low[some], "high": high[some]})
 
